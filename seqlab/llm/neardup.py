@@ -5,11 +5,12 @@ first spreads the shingles over 2^32 places; coordinate j is the least value tha
 after a circular shift by j. Documents with equal sets form a class, and only classes go on. Bands of coordinates
 put classes into buckets.
 
-Links are confirmed on full sets, in two rounds. First each class is held against the smallest class of the bucket
-mates it shares most bands with, and the confirmed links are joined to components. Then every pair of bucket mates
-that is still in two components is held against each other, save those that cannot reach the threshold: by size, or
-because too many of their shingles occur in no other class of the buckets still open. What is in one component
-already needs no more links, so a group of n near copies costs about n comparisons, not n squared.
+Links are confirmed on full sets, in two rounds. Each bucket's pivot is the class with the smallest share of shingles
+that no other class has, as an original has among its edited copies. First each class is held against the pivot that
+it shares most bands with, and the confirmed links are joined to components. Then every pair of bucket mates that is
+still in two components is held against each other, save those that cannot reach the threshold, by size or because
+too many of their shingles occur in no other class. What is in one component already needs no more links, so a group
+of n near copies costs about n comparisons, not n squared.
 
 Edge cases: null, empty and wordless texts have no shingles and link with nothing; fewer words than a shingle are one
 shingle, the whole sequence; repeated rows are equal sets and share a component; a row with a null id belongs to the
@@ -110,26 +111,34 @@ class NearDuplicates:
         self.classes = materialize(prints.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
 
     def buckets(self) -> DataFrame:
-        """rep, n_shingles, key of each class in a bucket that others share, with the bucket's smallest class."""
+        """rep, n_shingles, key of each class in each bucket that others share."""
         keyed = self.classes.where(F.col("rep").isNotNull()).select("rep", "n_shingles", F.explode("bands").alias("key"))
-        shared = keyed.groupBy("key").agg(F.count("*").alias("mates"), F.min("rep").alias("pivot")).where("mates > 1").drop("mates")
+        shared = keyed.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1").select("key")
         return materialize(keyed.join(shared, "key"), "buckets")
 
     def components(self) -> DataFrame:
         """rep, component of each class with a link to another."""
         buckets = self.buckets()
         sets = self._sets_of(buckets.select("rep").distinct())
-        votes = buckets.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("votes"))
+        buckets = materialize(buckets.join(self._common(sets), "rep"), "buckets")
+        alone = 1 - F.col("common") / F.col("n_shingles")
+        pivots = buckets.groupBy("key").agg(F.min_by("rep", F.struct(alone, "rep")).alias("pivot"))
+        votes = buckets.join(pivots, "key").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("votes"))
         first = votes.groupBy("rep").agg(F.min_by("pivot", F.struct(-F.col("votes"), F.col("pivot"))).alias("pivot"))
         links = materialize(self._confirmed(first.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), sets), "links")
         joined = connected_components(links).select(F.col("node").alias("rep"), "component")
-        rest = self._open_pairs(buckets, joined, sets)
-        more = materialize(self._confirmed(rest, sets), "links")
+        more = materialize(self._confirmed(self._open_pairs(buckets, joined), sets), "links")
         self.links = links.union(more)
         if not more.limit(1).count():
             return joined
         return connected_components(self.links).select(F.col("node").alias("rep"), "component")
 
+    def _common(self, sets: DataFrame) -> DataFrame:
+        """rep, common: how many of a class's shingles some other class in a bucket has too."""
+        single = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+        alone = single.groupBy("rep").agg(F.count("*").alias("alone"))
+        return sets.select("rep", "n_shingles").join(alone, "rep", "left").select("rep", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
+
     def _sets_of(self, reps: DataFrame) -> DataFrame:
         """rep, n_shingles, shingles of these classes."""
         texts = self.docs.withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").mapInArrow(_shingle_arrays(self.k, self.alphabet), f"rep {self.id_type}, shingles array<long>")
@@ -146,21 +155,11 @@ class NearDuplicates:
         both = F.size(F.array_intersect("set_a", "set_b"))
         return held.where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * self.percent).select("a", "b")
 
-    def _open_pairs(self, buckets: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
+    def _open_pairs(self, buckets: DataFrame, joined: DataFrame) -> DataFrame:
         """The pairs of bucket mates in two components that may still reach the threshold."""
         placed = buckets.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        placed = materialize(placed.join(several, "key", "left_semi"), "open")
-        rare = (
-            sets.join(placed.select("rep").distinct(), "rep", "left_semi")
-            .select("rep", F.explode("shingles").alias("shingle"))
-            .groupBy("shingle")
-            .agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
-            .where("n = 1")
-            .groupBy("rep")
-            .agg(F.count("*").alias("alone"))
-        )
-        common = materialize(placed.join(rare, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))), "open")
+        common = materialize(placed.join(several, "key", "left_semi"), "open")
         # within a bucket only those outside the component with the most classes look for links, and those look at all
         sizes = common.groupBy("key", "component").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
