@@ -90,9 +90,8 @@ def _shingle_arrays(k: int, alphabet: str):
     return arrays
 
 
-def _may_link(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
-    """Whether at most least(a, b) common shingles can reach the threshold for sets of these sizes."""
-    both = F.least(a, b)
+def _reaches(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether sets of these sizes with so many common shingles reach the threshold."""
     return both * 100 >= (n_a + n_b - both) * percent
 
 
@@ -125,9 +124,11 @@ class NearDuplicates:
         pivots = buckets.groupBy("key").agg(F.min_by("rep", F.struct(alone, "rep")).alias("pivot"))
         votes = buckets.join(pivots, "key").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("votes"))
         first = votes.groupBy("rep").agg(F.min_by("pivot", F.struct(-F.col("votes"), F.col("pivot"))).alias("pivot"))
-        links = materialize(self._confirmed(first.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), sets), "links")
+        held = materialize(self._compared(first.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), sets), "links")
+        links = held.where("linked").select("a", "b")
         joined = connected_components(links).select(F.col("node").alias("rep"), "component")
-        more = materialize(self._confirmed(self._open_pairs(buckets, joined), sets), "links")
+        inside = held.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.col("both").alias("inside"))
+        more = materialize(self._compared(self._open_pairs(buckets, joined, inside), sets).where("linked").select("a", "b"), "links")
         self.links = links.union(more)
         if not more.limit(1).count():
             return joined
@@ -147,17 +148,21 @@ class NearDuplicates:
         sized = texts.withColumn("n_shingles", F.size("shingles").cast("long")).join(same.drop("print_a"), ["rep", "n_shingles"], "left_semi")
         return materialize(sized.dropDuplicates(["rep"]), "sets")
 
-    def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs a, b whose full sets reach the threshold."""
+    def _compared(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b, both (common shingles of the full sets), linked of these pairs."""
         of_b = sets.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("shingles").alias("set_b"))
         of_a = sets.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("shingles").alias("set_a"))
-        held = pairs.join(of_a, "a").join(of_b, "b")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        return held.where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * self.percent).select("a", "b")
+        held = pairs.join(of_a, "a").join(of_b, "b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
+        return held.select("a", "b", "both", _reaches(F.col("both"), F.col("n_a"), F.col("n_b"), self.percent).alias("linked"))
 
-    def _open_pairs(self, buckets: DataFrame, joined: DataFrame) -> DataFrame:
-        """The pairs of bucket mates in two components that may still reach the threshold."""
-        placed = buckets.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    def _open_pairs(self, buckets: DataFrame, joined: DataFrame, inside: DataFrame) -> DataFrame:
+        """The pairs of bucket mates in two components that may still reach the threshold.
+
+        Two classes have at most as many shingles in common as the lesser of them shares with any class; held against
+        one pivot, at most the lesser count inside the pivot and the lesser of what they share outside it.
+        """
+        placed = buckets.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(inside, "rep", "left")
+        placed = placed.join(self.classes.select("rep", "bands"), "rep")
         several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         common = materialize(placed.join(several, "key", "left_semi"), "open")
         # within a bucket only those outside the component with the most classes look for links, and those look at all
@@ -167,12 +172,19 @@ class NearDuplicates:
         facing = common.join(largest, "key").join(best, "key")
         own = F.least("common", "most")
         out = facing.where("component <> largest").where(own * 100 >= (F.col("n_shingles") + F.greatest(F.col("least"), own) - own) * self.percent)
-        left = out.select("key", F.col("rep").alias("a"), F.col("component").alias("c_a"), F.col("n_shingles").alias("n_a"), F.col("common").alias("m_a"), "largest")
-        right = common.select("key", F.col("rep").alias("b"), F.col("component").alias("c_b"), F.col("n_shingles").alias("n_b"), F.col("common").alias("m_b"))
-        # two that both look meet once, with the smaller as a
-        once = (F.col("c_b") == F.col("largest")) | (F.col("a") < F.col("b"))
-        pairs = left.join(right, "key").where((F.col("c_a") != F.col("c_b")) & once & _may_link(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b"), self.percent))
-        return materialize(pairs.select("a", "b").distinct(), "pairs")
+        facts = ["rep", "component", "n_shingles", "common", "pivot", "inside", "bands"]
+        left = out.select("key", "largest", *(F.col(c).alias(f"{c}_a") for c in facts))
+        right = common.select("key", *(F.col(c).alias(f"{c}_b") for c in facts))
+        # two that both look meet once, with the smaller as a; what a pivot was held against is known
+        once = (F.col("component_b") == F.col("largest")) | (F.col("rep_a") < F.col("rep_b"))
+        known = F.col("pivot_a").eqNullSafe(F.col("rep_b")) | F.col("pivot_b").eqNullSafe(F.col("rep_a"))
+        most = F.least("common_a", "common_b")
+        split = F.least("inside_a", "inside_b") + F.least(F.col("common_a") - F.col("inside_a"), F.col("common_b") - F.col("inside_b"))
+        bound = F.when(F.col("pivot_a") == F.col("pivot_b"), F.least(most, split)).otherwise(most)
+        may = _reaches(bound, F.col("n_shingles_a"), F.col("n_shingles_b"), self.percent)
+        here = F.try_element_at(F.array_intersect("bands_a", "bands_b"), F.lit(1)) == F.col("key")  # in their first common bucket
+        pairs = left.join(right, "key").where((F.col("component_a") != F.col("component_b")) & once & ~known & may & here)
+        return materialize(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "pairs")
 
     def per_document(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept of each row of docs."""
