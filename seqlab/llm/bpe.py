@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Pieces remembered by a Python worker; beyond it the memory starts anew.
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 class Bpe:
@@ -160,6 +162,7 @@ class _Shared:
     """A broadcast vocabulary; equal keys share the automaton that a worker has built."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        bounded_batches(spark)
         ranks = read_ranks(spark, path)
         self.key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
         self.value = spark.sparkContext.broadcast((ranks, pattern))

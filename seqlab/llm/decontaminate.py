@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Lookup, Words, fmix64, words_of
+from .common import ALNUM, Lookup, Words, bounded_batches, fmix64, words_of
 
 SHINGLE = 5
 _LANES = fmix64(np.arange(1, 65, dtype=np.uint64))
@@ -205,4 +205,5 @@ def _without(docs: DataFrame, shared, _kind, least: float, radius: int) -> DataF
 
 
 def _passes(benchmark: DataFrame, block_items: int) -> int:
+    bounded_batches(benchmark.sparkSession)
     return -(-max(1, benchmark.count()) // block_items)

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, fmix64, words_of
+from .common import LETTERS, bounded_batches, fmix64, words_of
 
 ORDER = 5
 #: Words that a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = 10  # the code that stands for the border of a word
 
@@ -201,6 +201,7 @@ def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, train_docs: int = 400) -> Model:
     """Fits and calibrates on about train_docs documents of each language of docs (text, lang)."""
+    bounded_batches(docs.sparkSession)
     sample = _sample(docs, train_docs)
     counts = sample.where("part = 0").mapInArrow(_word_counts, "lang string, word binary, times long").groupBy("lang", "word").agg(F.sum("times").alias("times"))
     table = counts.toArrow().to_pandas()  # the words of the sample, whose size train_docs bounds
@@ -247,6 +248,7 @@ def identify(docs: DataFrame, model: Model, tolerance: float = 12.0) -> DataFram
     Rejected: no letter, or a cross-entropy over its language's usual one by tolerance spreads (of one word, over the
     root of the number of words) and one nat.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     size = len(model.languages)
     readers: dict[int, Reader] = {}

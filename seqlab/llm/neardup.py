@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, VISIBLE, Alphabet, Words, fmix32, fmix64, materialize, words_of
+from .common import ALNUM, VISIBLE, Words, bounded_batches, fmix32, fmix64, materialize, words_of
 from .components import connected_components
 
 ALPHABETS = {"visible": VISIBLE, "alnum": ALNUM}
@@ -100,6 +100,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, alphabet: str = "visible"):
         self.k, self.percent, self.alphabet = k, percent, alphabet
+        bounded_batches(docs.sparkSession)
         self.docs = docs.select("doc_id", "text")
         id_type = docs.schema["doc_id"].dataType.simpleString()
         self.id_type = id_type
