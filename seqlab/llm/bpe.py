@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Pieces remembered by a Python worker; beyond it the memory starts anew.
+#: Pieces, and pairs of tokens, remembered by a Python worker; beyond it the memory starts anew.
 MEMORY = 150_000
 
 
@@ -75,6 +75,8 @@ class Bpe:
                 bound = min(bound, b + 1)
                 b = of_b[0]
         if limit is None:
+            if len(self.fits) >= MEMORY:
+                self.fits.clear()
             self.fits[key] = good
         return good
 
@@ -230,8 +232,8 @@ def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared.bpe()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = [bpe.encode(t) for t in texts]
                 intact = [bpe.decode(x) == t.encode() for x, t in zip(ids, texts)]

@@ -155,7 +155,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def words_of(column: pa.Array, alphabet: Alphabet, most: int = 1 << 20) -> Iterator[Words]:
+def words_of(column: pa.Array, alphabet: Alphabet, most: int = 1 << 18) -> Iterator[Words]:
     """Splits all rows of a string column into words, in runs of whole rows of about most bytes."""
     data, offsets = text_buffers(column)
     lo, rows = 0, len(offsets) - 1
