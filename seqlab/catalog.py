@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from . import catalog_scores
 from .bindings import DRAWS, ITEMS, draws, items, steps, table
 from .operators import items as I
 from .operators import resampling as N
@@ -220,8 +221,8 @@ _register("k11_mode_mix", lambda s, d: _rounded(table(s, d, "events").groupBy("e
 
 
 def queries() -> dict[str, Callable]:
-    return dict(_QUERIES)
+    return _QUERIES | catalog_scores.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | catalog_scores.SQL
