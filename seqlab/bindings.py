@@ -36,3 +36,19 @@ draws AS (SELECT row_number() OVER (ORDER BY day, o_orderkey) - 1 AS t, *, CAST(
 ITEMS = DRAWS + """,
 items AS (SELECT DISTINCT t, CAST(substr(p_brand, 7) AS INTEGER) AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN draws ON l_orderkey = o_orderkey),
 st AS (SELECT count(*) AS steps FROM orders)"""
+
+
+def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the order lines shipped on each day: day, quantity, discount, price, n_lines."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("day"))
+    return lines.agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_extendedprice").alias("price"), F.count("*").alias("n_lines"))
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws with the covariates of their day, null where there are none."""
+    return draws(spark, sf_dir).join(covariates(spark, sf_dir), "day", "left")
+
+
+COVARIATES = DRAWS + """,
+v AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_extendedprice) AS price, count(*) AS n_lines FROM lineitem GROUP BY 1),
+w AS (SELECT draws.*, quantity, discount, price, n_lines FROM draws LEFT JOIN v USING (day))"""

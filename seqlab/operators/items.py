@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,8 +108,23 @@ def adjust_p_values(df: DataFrame, p: str, family: str, m: int | None = None) ->
     return ranked.withColumn("p_bh", F.coalesce(F.least(step_up, F.lit(1.0)), F.lit(1.0))).withColumn("p_bonferroni", F.coalesce(F.least(F.col("_p") * F.col("_m"), F.lit(1.0)), F.lit(1.0))).drop("_p", "_m", "_r")
 
 
-def normal_two_sided(z) -> object:
-    """Two-sided tail of the standard normal, by the rational form 7.1.26 of Abramowitz and Stegun (error below 2e-7)."""
-    x = F.abs(z) / math.sqrt(2)
-    u = 1 / (1 + 0.3275911 * x)
-    return u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * F.exp(-x * x)
+def baskets(items: DataFrame) -> DataFrame:
+    """The sorted items of each step as one array: t, xs."""
+    return items.groupBy("t").agg(F.sort_array(F.collect_set("item")).alias("xs"))
+
+
+def ks_exponential(df: DataFrame, key: str, value: str, mean: float) -> DataFrame:
+    """Per key the largest distance of the shares up to a value from an exponential's, on both sides of each step: n, d."""
+    cells = df.groupBy(key, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key)
+    upto, m = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w)
+    f = 1 - F.exp(-F.col(value) / mean)
+    return cells.select(key, m.alias("n"), F.greatest(F.abs(upto / m - f), F.abs((upto - F.col("n")) / m - f)).alias("d")).groupBy(key).agg(F.max("n").alias("n"), F.max("d").alias("d"))
+
+
+def ks_two_sample(left: DataFrame, right: DataFrame, value: str, n: str, m: str) -> DataFrame:
+    """Largest distance between two cumulative histograms over the same bounded set of values: n, m, d."""
+    both = left.join(right, value, "full").na.fill(0, [n, m])
+    upto, whole = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    far = F.abs(F.sum(n).over(upto) / F.sum(n).over(whole) - F.sum(m).over(upto) / F.sum(m).over(whole))
+    return both.select(F.sum(n).over(whole).alias("n"), F.sum(m).over(whole).alias("m"), far.alias("d")).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("d").alias("d"))

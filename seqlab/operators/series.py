@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from ..storage import pinned
 
 
-def with_ordinal(df: DataFrame, order: list[str], name: str = "t", partitions: int | None = None) -> DataFrame:
-    """Adds the 0-based place of each row in a total order.
+def prefix_sum(df: DataFrame, order: list[str], amount: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Adds the sum of amount over the rows before each row in a total order.
 
-    Rows are dealt out by ranges, counted per range, and numbered inside each; only the counts meet in one place.
+    Rows are dealt out by ranges, summed per range, and summed up inside each; only the sums meet in one place.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = pinned(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))  # ranges are sampled: both branches need the same
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_before") + place - 1).cast("long")).drop("_range", "_before")
+    sums = ranged.groupBy("_range").agg(F.sum(amount).alias("_n"))
+    offsets = sums.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_offset") + inside).drop("_range", "_offset")
+
+
+def with_ordinal(df: DataFrame, order: list[str], name: str = "t", partitions: int | None = None) -> DataFrame:
+    """Adds the 0-based place of each row in a total order."""
+    return prefix_sum(df.withColumn("_one", F.lit(1)), order, "_one", name, partitions).withColumn(name, F.col(name).cast("long")).drop("_one")
 
 
 def over_chunks(df: DataFrame, make: Callable[[object], dict[str, Column]], halo: int, chunk: int = 4096, t: str = "t") -> DataFrame:
