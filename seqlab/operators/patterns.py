@@ -38,7 +38,7 @@ def rule_tests(items: DataFrame, steps: int, least: int, ahead: int = 1) -> Data
     inside = items.where(F.col("t") < steps - ahead).groupBy(F.col("item").alias("a")).agg(F.count("*").alias("na"))
     later = items.where(F.col("t") >= ahead).groupBy(F.col("item").alias("b")).agg(F.count("*").alias("nb"))
     m = F.lit(steps - ahead).cast("long")
-    rows = cross_step_pairs(items, least, ahead).join(F.broadcast(inside), "a").join(F.broadcast(later), "b")
+    rows = cross_step_pairs(items, least, ahead).join(inside, "a").join(later, "b")
     p = fisher_greater(F.col("n"), F.col("na") - F.col("n"), F.col("nb") - F.col("n"), m - F.col("na") - F.col("nb") + F.col("n"))
     return rows.select("a", "b", "n", (F.col("n") / F.col("na")).alias("confidence"), (F.col("n") * m / (F.col("na") * F.col("nb"))).alias("lift"), p.alias("p"))
 
@@ -54,7 +54,7 @@ def rule_windows(items: DataFrame, steps: int, least: int, offsets: list[int]) -
 
 def rule_scores(items: DataFrame, rules: DataFrame, ahead: int = 1) -> DataFrame:
     """Per (t, item) the summed ln(lift) * confidence of the rules whose first item came ahead steps before."""
-    fired = items.select((F.col("t") + ahead).alias("t"), F.col("item").alias("a")).join(F.broadcast(rules.select("a", "b", (F.log("lift") * F.col("confidence")).alias("w"))), "a")
+    fired = items.select((F.col("t") + ahead).alias("t"), F.col("item").alias("a")).join(rules.select("a", "b", (F.log("lift") * F.col("confidence")).alias("w")), "a")
     return fired.groupBy("t", F.col("b").alias("item")).agg(F.sum("w").alias("score"))
 
 
@@ -171,4 +171,4 @@ def jaccard_pairs(items: DataFrame) -> DataFrame:
     """Jaccard similarity of the steps of each two items that meet in one: a, b, jaccard. Pairs are made inside a basket."""
     sizes = items.groupBy("item").agg(F.count("*").alias("n"))
     both = pair_counts(items)
-    return both.join(F.broadcast(sizes.toDF("a", "na")), "a").join(F.broadcast(sizes.toDF("b", "nb")), "b").select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"))
+    return both.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"))
