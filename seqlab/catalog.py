@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import catalog_features, catalog_io, catalog_patterns, catalog_relations, catalog_scores
+from . import catalog_features, catalog_io, catalog_models, catalog_patterns, catalog_relations, catalog_scores
 from .bindings import DRAWS, ITEMS, draws, items, steps, table
 from .operators import items as I
 from .operators import resampling as N
@@ -221,8 +221,8 @@ _register("k11_mode_mix", lambda s, d: _rounded(table(s, d, "events").groupBy("e
 
 
 def queries() -> dict[str, Callable]:
-    return _QUERIES | catalog_scores.QUERIES | catalog_io.QUERIES | catalog_relations.QUERIES | catalog_patterns.QUERIES | catalog_features.QUERIES
+    return _QUERIES | catalog_scores.QUERIES | catalog_io.QUERIES | catalog_relations.QUERIES | catalog_patterns.QUERIES | catalog_features.QUERIES | catalog_models.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalog_scores.SQL | catalog_io.SQL | catalog_relations.SQL | catalog_patterns.SQL | catalog_features.SQL
+    return _SQL | catalog_scores.SQL | catalog_io.SQL | catalog_relations.SQL | catalog_patterns.SQL | catalog_features.SQL | catalog_models.SQL

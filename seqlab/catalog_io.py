@@ -81,3 +81,60 @@ _register("x3_stream_tumbling_counts", _streamed(lambda e: streams.tumbling_coun
           "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 _register("x5_stream_running_stats", _streamed(lambda e: streams.running_stats(e, "user_id", "value"), ["user_id"]), "SELECT user_id, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 _register("x8_stream_dedupe", _streamed(lambda e: streams.without_repeats(e.unionByName(e).select("event_id", "ts", "user_id"), ["event_id"], LATE), ["event_id"], "append"), "SELECT DISTINCT event_id, ts, user_id FROM events")
+
+
+def _events(s, d, name):
+    """A folder of events and a stream of it."""
+    base, rows = _new(s, name), table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    rows.repartitionByRange(8, "ts").write.parquet(f"{base}/in")
+    return base, lambda: streams.event_stream(s, f"{base}/in", rows.schema)
+
+
+def _x2(s, d):
+    base, stream = _events(s, d, "matched")
+    pairs = streams.matched(stream().where("event_type = 'view'"), stream().where("event_type = 'click'"), "user_id", "6 hours", LATE)
+    streams.drain(pairs, f"{base}/out", f"{base}/checkpoint", "append")
+    return s.read.parquet(f"{base}/out").select("key", "id", "outcome")
+
+
+_register("x2_stream_score", _x2, "SELECT a.user_id AS key, a.event_id AS id, b.event_id AS outcome FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR")
+
+
+def _x4(s, d):
+    base, stream = _events(s, d, "seen")
+    streams.drain(streams.last_seen(stream(), "user_id"), f"{base}/out", f"{base}/checkpoint")
+    return streams.latest(s, f"{base}/out", ["user_id"]).select("user_id", "n", F.col("last").cast("timestamp_ntz").alias("last"))
+
+
+_register("x4_stream_last_seen", _x4, "SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY 1")
+
+
+def _x6(s, d):
+    base, stream = _events(s, d, "replica")
+    frozen = table(s, d, "events").where("event_id % 10 = 0").groupBy("event_type").agg(F.count("*").alias("n"))
+    streams.drain(stream(), "", f"{base}/checkpoint", sink=streams.score_then_learn(s, base, frozen, "event_type", 5))
+    return s.read.parquet(f"{base}/scores").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("frozen")) / F.sum("n"), 6).alias("frozen"))
+
+
+_register("x6_frozen_vs_replica", _x6, """WITH f AS (SELECT event_type, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY 1)
+SELECT count(*) AS n, round(avg(-ln((coalesce(f.n, 0) + 1) / ((SELECT sum(n) FROM f) + 5))), 6) AS frozen FROM events LEFT JOIN f USING (event_type)""")
+
+
+def _x7(s, d):
+    base, stream = _events(s, d, "sessions")
+    streams.drain(streams.sessions(stream(), "user_id", "30 minutes", LATE), f"{base}/out", f"{base}/checkpoint", "complete")
+    return streams.last_batch(s, f"{base}/out").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+_register("x7_stream_sessions", _x7, "WITH x AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, TRUE) AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT user_id, ts, sum(CAST(o AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, k")
+
+
+def _s2(s, d):
+    path = _new(s, "header")
+    table(s, d, "orders").select(F.when(F.col("o_orderkey") % 11 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), "o_orderkey", F.col("o_totalprice").cast("long").alias("price")).write.csv(path, header=True)
+    return files.read_header_csv(s, path, "date date, o_orderkey long, price long", "date")
+
+
+_register("s2_header_csv", _s2, "SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS price FROM orders WHERE o_orderkey % 11 > 0")
+_register("s5_coerce_nested", lambda s, d: table(s, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.replace("props", F.lit('"'), F.lit("'"))).alias("p")).select("event_id", files.coerce_nested(F.col("p"), "k string")["k"].alias("k")),
+          "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,15 @@ def read_groups(spark: SparkSession, path: str, split: str, value: str, prefixes
     """Columns with these prefixes of one split; other splits and columns are not read."""
     rows = spark.read.parquet(path).where(F.col(split) == value)
     return rows.select(*(c for c in rows.columns if any(c.startswith(p) for p in prefixes)))
+
+
+def read_header_csv(spark: SparkSession, path: str, schema: str, needed: str) -> DataFrame:
+    """A table with a header by a schema, without the rows that lack the needed column."""
+    return spark.read.schema(schema).csv(path, header=True).where(F.col(needed).isNotNull())
+
+
+def coerce_nested(value: Column, schema: str) -> Column:
+    """A struct from a text that is JSON, or JSON with single quotes."""
+    read = F.from_json(value, schema)
+    plain = F.from_json(F.replace(value, F.lit("'"), F.lit('"')), schema)
+    return F.when(F.instr(value, "'") > 0, plain).otherwise(read)

@@ -45,3 +45,63 @@ def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     rows = spark.read.parquet(out)
     values = [c for c in rows.columns if c not in {*keys, "batch"}]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(*keys, "x.*")
+
+
+def last_batch(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of the newest batch that drain has written: all there is, in complete mode."""
+    rows = spark.read.parquet(out)
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")
+
+
+def matched(predictions: DataFrame, outcomes: DataFrame, key: str, within: str, late: str, how: str = "inner") -> DataFrame:
+    """Two streams with ts: each prediction (id) with the outcomes (id) of its key that come within so long after it.
+
+    With how="left" a prediction without one comes out as well, once the watermark has passed its time.
+    """
+    left = predictions.withWatermark("ts", late).select(F.col(key).alias("key"), "id", F.col("ts").alias("made"))
+    right = outcomes.withWatermark("ts", late).select(F.col(key).alias("_key"), F.col("id").alias("outcome"), F.col("ts").alias("came"))
+    on = (F.col("key") == F.col("_key")) & (F.col("came") > F.col("made")) & (F.col("came") <= F.col("made") + F.expr(f"interval {within}"))
+    return left.join(right, on, how).select("key", "id", "outcome", "made")
+
+
+def last_seen(events: DataFrame, key: str) -> DataFrame:
+    """Own state of each key: how often it came and when last; a changed key comes out once in each batch."""
+    import pandas as pd
+
+    def step(keys, frames, state):
+        n, last = state.get if state.exists else (0, None)
+        for frame in frames:
+            n, newest = n + len(frame), frame["ts"].max()
+            last = newest if last is None or newest > last else last
+        state.update((n, last))
+        yield pd.DataFrame({key: [keys[0]], "n": [n], "last": [last]})
+
+    kind = events.schema[key].dataType.simpleString()
+    return events.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, last timestamp", "n long, last timestamp", "update", "NoTimeout")
+
+
+def score_then_learn(spark: SparkSession, base: str, frozen: DataFrame, symbol: str, symbols: int) -> Callable:
+    """A sink that scores each batch by add-one shares before it learns from it.
+
+    The frozen side keeps the counts it got (symbol, n); the replica adds the counts of all earlier batches. Every
+    batch writes its counts and scores under its number, so a batch that runs again changes nothing.
+    """
+    pinned = f"{base}/counts/batch=-1"
+    frozen.select(F.col(symbol).cast("string").alias("symbol"), F.col("n").cast("long").alias("n")).write.mode("overwrite").parquet(pinned)
+
+    def shares(counts: DataFrame, name: str) -> DataFrame:
+        sums = counts.groupBy("symbol").agg(F.sum("n").alias("n"))
+        return sums.join(F.broadcast(sums.agg(F.sum("n").alias("m")))).select("symbol", ((F.col("n") + 1) / (F.col("m") + symbols)).alias(name))
+
+    def put(batch: DataFrame, number: int) -> None:
+        own = batch.groupBy(F.col(symbol).cast("string").alias("symbol")).agg(F.count("*").alias("n"))
+        own.write.mode("overwrite").parquet(f"{base}/counts/batch={number}")
+        seen = spark.read.parquet(f"{base}/counts")
+        fixed, moving = shares(seen.where("batch = -1"), "f"), shares(seen.where(F.col("batch") < number), "r")
+        rows = seen.where(F.col("batch") == number).join(fixed, "symbol", "left").join(moving, "symbol", "left")
+        none = {x: seen.where(F.col("batch") < (0 if x == "f" else number)).agg((1 / (F.coalesce(F.sum("n"), F.lit(0)) + symbols)).alias(f"{x}0")) for x in "fr"}
+        scored = rows.join(F.broadcast(none["f"])).join(F.broadcast(none["r"]))
+        loss = {x: F.sum(-F.col("n") * F.log(F.coalesce(x, f"{x}0"))) / F.sum("n") for x in "fr"}
+        scored.agg(F.sum("n").alias("n"), loss["f"].alias("frozen"), loss["r"].alias("replica")).write.mode("overwrite").parquet(f"{base}/scores/batch={number}")
+
+    return put
