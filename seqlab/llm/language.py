@@ -6,7 +6,7 @@ the language of the lowest cross-entropy per character over all its words. Confi
 cross-entropies at a temperature fitted on held-back training rows; a text is rejected if it has no letter or if its
 cross-entropy is far above what its language showed on those rows.
 
-Fitting takes about train_docs documents of each language, chosen by a hash of the text, and the whole texts of these;
+Fitting takes about train_docs distinct texts of each language, chosen by a hash, and the whole texts of these;
 predictions read whole texts and nothing but texts. Edge cases: null, empty and letterless texts get `und`, score 0
 and are rejected; equal cross-entropies go to the language first in order; repeated rows are judged row by row; rows
 with a null id keep it; with no labelled row at all every text gets `und`.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, bounded_batches, fmix64, words_of
+from .common import LETTERS, bounded_batches, fmix64, materialize, words_of
 
 ORDER = 5
 #: Words that a Python worker remembers; beyond it the memory starts anew.
@@ -176,14 +176,18 @@ class Reader:
 
 
 def _sample(docs: DataFrame, train_docs: int) -> DataFrame:
-    """About train_docs rows of each language, fewer if there are over 50, for the 200 commonest: text, lang, part (0: fit, 1: calibrate)."""
+    """About train_docs distinct texts of each language, fewer if there are over 50, for the 200 commonest: text, lang, part (0: fit, 1: calibrate).
+
+    Copies count once and are drawn once, so the share is one of distinct texts; they are dropped before they move.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    distinct = labelled.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.count("*").alias("copies"))
+    sizes = distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
     train_docs = min(train_docs, max(20, 50 * train_docs // max(1, len(sizes))))
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_docs / r["count"])))) if sizes else F.lit(None)
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     picked = labelled.where(draw < F.try_element_at(share, "lang")) if sizes else labelled.limit(0)
-    return picked.withColumn("part", (F.pmod(F.hash("text"), F.lit(5)) == 0).cast("int"))
+    return materialize(picked.groupBy("lang", "text").agg(F.max((F.pmod(F.hash("text"), F.lit(5)) == 0).cast("int")).alias("part")).select("text", "lang", "part"), "sample")
 
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -157,6 +157,13 @@ def test_language(spark):
     assert all(got[i].language == "und" and got[i].rejected and got[i].confidence == 0 for i in (900, 901, 902))
 
 
+def test_language_sample_of_copies(spark):
+    texts = [(f"ka{i} lo mi", "aa") for i in range(1000)] + [("ka lo lo", "aa")] * 30_000 + [("ung ein", "bb")] * 3
+    rows = language._sample(spark.createDataFrame(texts, "text string, lang string"), 400).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("distinct")).collect()
+    got = {r.lang: (r.n, r.distinct) for r in rows}
+    assert got["bb"] == (1, 1) and got["aa"][0] == got["aa"][1] and 320 < got["aa"][0] < 480
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short one")], "item_id long, text string")
