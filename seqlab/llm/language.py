@@ -1,7 +1,8 @@
 """Language ID with interpolated Kneser-Ney character models.
 
-One character model per language over words (with their borders), orders 1 to 5. The n-grams of all languages share
-sorted hash arrays, one per order, with a column of log probabilities and back-off weights per language. A text goes to
+One character model per language over words (with their borders), orders 1 to 5. The n-grams of languages share
+sorted hash arrays, one per order, with a column of log probabilities and back-off weights per language, in blocks of 8
+languages that are scored one after the other. Every lang value is learned. A text goes to
 the language of the lowest cross-entropy per character over all its words. Confidence is the softmax of the
 cross-entropies at a temperature fitted on held-back training rows; a text is rejected if it has no letter or if its
 cross-entropy is far above what its language showed on those rows.
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ from .common import LETTERS, bounded_batches, fmix64, materialize, words_of
 ORDER = 5
 #: Words that a Python worker remembers; beyond it the memory starts anew.
 MEMORY = 200_000
+#: Languages whose n-grams share tables; beyond so many, texts are scored in blocks of languages.
+BLOCK = 8
+#: Bytes of tables up to which a worker keeps all blocks; above, it loads them in turn for each batch.
+HELD = 256 << 20
+TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = 10  # the code that stands for the border of a word
 
@@ -62,9 +69,10 @@ class Model:
     contexts: list[np.ndarray]  # per order: sorted hashes of the contexts
     backoff: list[np.ndarray]  # per order: log weight for each language
     unknown: np.ndarray
-    temperature: float = 1.0
-    mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for part in (self.grams, self.logp, self.contexts, self.backoff) for x in part)
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """Per word: the log probability under each language, then the number of characters and the end."""
@@ -92,8 +100,11 @@ class Model:
         return np.column_stack([np.add.reduceat(total, starts, axis=0), np.diff(np.append(starts, len(at)))])
 
 
-def fit_counts(counts: dict[str, tuple[list[bytes], np.ndarray]]) -> Model:
-    """Kneser-Ney models from the word counts of each language."""
+def fit_counts(counts: dict[str, tuple[list[bytes], np.ndarray]], symbols: int) -> Model:
+    """Kneser-Ney models from the word counts of each language; symbols is one more than all languages have characters.
+
+    A language's model depends on its own counts and symbols only, so blocks of languages can be fitted apart.
+    """
     languages = sorted(counts)
     table: dict[int, list] = {n: [] for n in range(1, ORDER + 1)}
     for words, times in (counts[x] for x in languages):
@@ -118,7 +129,6 @@ def fit_counts(counts: dict[str, tuple[list[bytes], np.ndarray]]) -> Model:
             table[n].append((gram, hashes[n - 1][place - 1], hashes[n - 1][place], count))
     size = len(languages)
     grams, logp, contexts, backoff = [np.empty(0, np.uint64)], [np.empty((0, size))], [np.empty(0, np.uint64)], [np.empty((0, size))]
-    symbols = max(2, len(np.unique(np.concatenate([g for g, *_ in table[1]])))) + 1 if size else 2
     lower = np.full((1, size), 1 / symbols)
     for n in range(1, ORDER + 1):
         every = np.concatenate([x[0] for x in table[n]])
@@ -144,8 +154,8 @@ def fit_counts(counts: dict[str, tuple[list[bytes], np.ndarray]]) -> Model:
 class Reader:
     """Scores whole texts, remembering the words it has met."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, memory: int = MEMORY):
+        self.model, self.memory = model, memory
         self._forget()
 
     def _forget(self):
@@ -164,7 +174,7 @@ class Reader:
             values[~new] = self.values[place[~new]]
             at = first[new].tolist()
             values[new] = self.model.words([w.data[w.start[i] : w.end[i]].tobytes() for i in at])
-            if len(self.keys) + len(at) > MEMORY:
+            if len(self.keys) + len(at) > self.memory:
                 self._forget()
                 place = np.zeros(len(keys), np.int64)
             self.keys = np.insert(self.keys, place[new], keys[new])
@@ -175,19 +185,62 @@ class Reader:
         return np.concatenate(out) if out else np.empty((0, self.values.shape[1] + 1))
 
 
+@dataclass
+class Languages:
+    """All learned languages in order, in broadcast blocks, and what calibration found."""
+
+    languages: list[str]
+    blocks: list[Broadcast]
+    held: bool
+    temperature: float
+    mean: np.ndarray
+    spread: np.ndarray
+
+
+class Scorer:
+    """Scores texts by one block of languages after the other."""
+
+    def __init__(self, blocks: list[Broadcast], held: bool):
+        self.blocks, self.held = blocks, held
+        self.kept: dict[int, Reader] = {}
+
+    def _reader(self, b: int) -> Reader:
+        if self.held:
+            return self.kept.get(b) or self.kept.setdefault(b, Reader(self.blocks[b].value, MEMORY // len(self.blocks)))
+        block = self.blocks[b]
+        reader = Reader(block.value)
+        if getattr(block, "_path", None):  # the next value is read from the file again
+            del block._value
+        return reader
+
+    def entropies(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per block: its first language's number, cross-entropies (texts x languages), characters, words."""
+        lo = 0
+        for b in range(len(self.blocks)):
+            reader = self._reader(b)
+            sums, size = reader.texts(column), len(reader.model.languages)
+            yield lo, -sums[:, :size] / np.maximum(sums[:, size : size + 1], 1), sums[:, size], sums[:, size + 1]
+            lo += size
+
+
+def _soft(entropy: np.ndarray, temperature: float) -> np.ndarray:
+    return np.logaddexp.reduce(-entropy / temperature, axis=1)
+
+
 def _sample(docs: DataFrame, train_docs: int) -> DataFrame:
-    """About train_docs distinct texts of each language, fewer if there are over 50, for the 200 commonest: text, lang, part (0: fit, 1: calibrate).
+    """About train_docs distinct texts of each language: text, lang, part (0: fit, 1: calibrate).
 
-    Copies count once and are drawn once, so the share is one of distinct texts; they are dropped before they move.
+    Copies count once and are drawn once, so the share is one of distinct texts; they are dropped before they move. A
+    language of which no text would be in part 0 has all of its texts there.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     distinct = labelled.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.count("*").alias("copies"))
-    sizes = distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
-    train_docs = min(train_docs, max(20, 50 * train_docs // max(1, len(sizes))))
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_docs / r["count"])))) if sizes else F.lit(None)
+    share = materialize(distinct.groupBy("lang").agg((F.lit(float(train_docs)) / F.count("*")).alias("share")), "shares")
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = labelled.where(draw < F.try_element_at(share, "lang")) if sizes else labelled.limit(0)
-    return materialize(picked.groupBy("lang", "text").agg(F.max((F.pmod(F.hash("text"), F.lit(5)) == 0).cast("int")).alias("part")).select("text", "lang", "part"), "sample")
+    picked = labelled.join(F.broadcast(share), "lang").where(draw < F.col("share")).groupBy("lang", "text").agg(F.max((F.pmod(F.hash("text"), F.lit(5)) == 0).cast("int")).alias("part"))
+    picked = materialize(picked.select("text", "lang", "part"), "sample")
+    least = picked.groupBy("lang").agg(F.min("part").alias("least"))
+    return picked.join(F.broadcast(least), "lang").select("text", "lang", (F.col("part") - F.col("least")).alias("part"))
 
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,76 +256,98 @@ def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, train_docs: int = 400) -> Model:
-    """Fits and calibrates on about train_docs documents of each language of docs (text, lang)."""
-    bounded_batches(docs.sparkSession)
-    sample = _sample(docs, train_docs)
-    counts = sample.where("part = 0").mapInArrow(_word_counts, "lang string, word binary, times long").groupBy("lang", "word").agg(F.sum("times").alias("times"))
-    table = counts.toArrow().to_pandas()  # the words of the sample, whose size train_docs bounds
-    model = fit_counts({x: (list(map(bytes, t["word"])), t["times"].to_numpy(float)) for x, t in table.groupby("lang")})
-    if model.languages:
-        _calibrate(model, sample.where("part = 1").select("text", "lang"))
-    return model
+def _characters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = np.unique(_codes(batch.column("word").to_pylist())) if len(batch) else np.empty(0, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64))], ["code"])
 
 
-def _calibrate(model: Model, rows: DataFrame) -> None:
+def train(docs: DataFrame, train_docs: int = 400) -> Languages:
+    """Fits and calibrates on about train_docs documents of each language of docs (text, lang), whatever their number."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    sample = _sample(docs, train_docs)
+    counts = sample.where("part = 0").mapInArrow(_word_counts, "lang string, word binary, times long").groupBy("lang", "word").agg(F.sum("times").alias("times"))
+    counts = materialize(counts, "words")
+    languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    symbols = max(2, counts.select("word").mapInArrow(_characters, "code long").distinct().count()) + 1
+    blocks, size = [], 0
+    for lo in range(0, len(languages), BLOCK):
+        names = languages[lo : lo + BLOCK]
+        table = counts.where(F.col("lang").isin(names)).toArrow().to_pandas()  # words of BLOCK times train_docs texts
+        model = fit_counts({x: (list(map(bytes, t["word"])), t["times"].to_numpy(float)) for x, t in table.groupby("lang")}, symbols)
+        size += model.nbytes
+        blocks.append(spark.sparkContext.broadcast(model))
+    learned = Languages(languages, blocks, size <= HELD, 1.0, np.full(len(languages), 4.0), np.full(len(languages), 4.0))
+    if languages:
+        _calibrate(learned, sample.where("part = 1").select("text", "lang"))
+    return learned
+
+
+def _calibrate(learned: Languages, rows: DataFrame) -> None:
     """Temperature by log loss; per language the mean and spread of the cross-entropy, scaled to one word."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    size = len(model.languages)
+    blocks, held = learned.blocks, learned.held
+    numbers = rows.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(learned.languages)})
 
     def score(batches):
-        reader = Reader(shared.value)
+        scorer = Scorer(blocks, held)
         for batch in batches:
-            sums = reader.texts(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(sums.tolist(), pa.list_(pa.float64())), batch.column("lang")], ["sums", "lang"])
-
-    seen = rows.mapInArrow(score, "sums array<double>, lang string").toArrow()
-    langs = np.array([model.languages.index(x) if x in model.languages else -1 for x in seen.column("lang").to_pylist()], int)
-    sums = np.array(seen.column("sums").to_pylist(), float).reshape(-1, size + 2)
-    good = (langs >= 0) & (sums[:, size] > 0)
-    langs, sums = langs[good], sums[good]
-    entropy = -sums[:, :size] / np.maximum(sums[:, size : size + 1], 1)
-    own = entropy[np.arange(len(langs)), langs]
-    model.mean, model.spread = np.full(size, 4.0), np.full(size, 4.0)
-    for x in range(size):
-        if (langs == x).sum() >= 5:
-            model.mean[x] = np.median(own[langs == x])
-            model.spread[x] = np.sqrt(np.median((own[langs == x] - model.mean[x]) ** 2 * sums[langs == x, size + 1])) * 1.5 + 0.1
-    best = np.inf
-    for t in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0):
-        z = -(entropy - entropy.min(1, keepdims=True)) / t
-        loss = -np.mean((z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(len(langs)), langs]) if len(langs) else 0.0
-        if loss < best:
-            best, model.temperature = loss, t
-
-
-def identify(docs: DataFrame, model: Model, tolerance: float = 12.0) -> DataFrame:
+            if not len(batch):
+                continue
+            langs = np.array([numbers.value.get(x, -1) for x in batch.column("lang").to_pylist()], int)
+            own, soft = np.zeros(len(langs)), np.full((len(langs), len(TEMPERATURES)), -np.inf)
+            for lo, entropy, letters, words in scorer.entropies(batch.column("text")):
+                mine = np.flatnonzero((langs >= lo) & (langs < lo + entropy.shape[1]))
+                own[mine] = entropy[mine, langs[mine] - lo]
+                for i, t in enumerate(TEMPERATURES):
+                    soft[:, i] = np.logaddexp(soft[:, i], _soft(entropy, t))
+            loss = own[:, None] / np.array(TEMPERATURES) + soft
+            good = (langs >= 0) & (letters > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(langs[good]), pa.array(own[good]), pa.array(words[good]), pa.array(loss[good].tolist(), pa.list_(pa.float64()))], ["number", "own", "words", "loss"])
+
+    seen = rows.mapInArrow(score, "number long, own double, words double, loss array<double>").toArrow()
+    if not len(seen):
+        return
+    langs, own, words = (seen.column(c).to_numpy() for c in ("number", "own", "words"))
+    learned.temperature = TEMPERATURES[int(np.array(seen.column("loss").to_pylist()).mean(0).argmin())]
+    order = np.argsort(langs, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(langs[order])) + 1):
+        if len(mine) >= 5:
+            x = langs[mine[0]]
+            learned.mean[x] = np.median(own[mine])
+            learned.spread[x] = np.sqrt(np.median((own[mine] - learned.mean[x]) ** 2 * words[mine])) * 1.5 + 0.1
+
+
+def identify(docs: DataFrame, learned: Languages, tolerance: float = 12.0) -> DataFrame:
     """All columns of docs and language, confidence (0 to 1), rejected.
 
     Rejected: no letter, or a cross-entropy over its language's usual one by tolerance spreads (of one word, over the
     root of the number of words) and one nat.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    size = len(model.languages)
-    readers: dict[int, Reader] = {}
+    blocks, held = learned.blocks, learned.held
+    shared = docs.sparkSession.sparkContext.broadcast((np.array(learned.languages, object), learned.temperature, learned.mean, learned.spread))
+    scorers: dict[int, Scorer] = {}
 
     @F.pandas_udf("struct<language:string,confidence:double,rejected:boolean>")
     def judge(texts):
         import pandas as pd
 
-        reader = readers.get(0) or readers.setdefault(0, Reader(shared.value))
-        m = reader.model
-        sums = reader.texts(pa.Array.from_pandas(texts, type=pa.string()))
-        entropy = -sums[:, :size] / np.maximum(sums[:, size : size + 1], 1)
-        best = entropy.argmin(1)
-        least = entropy[np.arange(len(best)), best]
-        confidence = 1 / np.exp(-(entropy - least[:, None]) / m.temperature).sum(1)
-        far = least > m.mean[best] + 1.0 + tolerance * m.spread[best] / np.sqrt(np.maximum(sums[:, size + 1], 1))
-        return pd.DataFrame({"language": np.array(m.languages, object)[best], "confidence": confidence, "rejected": far})
+        scorer = scorers.get(0) or scorers.setdefault(0, Scorer(blocks, held))
+        names, temperature, mean, spread = shared.value
+        best, least, soft = np.zeros(len(texts), int), np.full(len(texts), np.inf), np.full(len(texts), -np.inf)
+        words = np.zeros(len(texts))
+        for lo, entropy, _, words in scorer.entropies(pa.Array.from_pandas(texts, type=pa.string())):
+            first = entropy.argmin(1)
+            here = entropy[np.arange(len(first)), first]
+            best, least = np.where(here < least, lo + first, best), np.minimum(here, least)
+            soft = np.logaddexp(soft, _soft(entropy, temperature))
+        confidence = np.exp(-least / temperature - soft)
+        far = least > mean[best] + 1.0 + tolerance * spread[best] / np.sqrt(np.maximum(words, 1))
+        return pd.DataFrame({"language": names[best], "confidence": confidence, "rejected": far})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    if not size:
+    if not learned.languages:
         return docs.select("*", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"))
     judged = docs.select("*", judge("text").alias("judged"), letters.alias("lettered"))
     return judged.select(

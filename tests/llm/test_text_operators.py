@@ -164,6 +164,35 @@ def test_language_sample_of_copies(spark):
     assert got["bb"] == (1, 1) and got["aa"][0] == got["aa"][1] and 320 < got["aa"][0] < 480
 
 
+def test_language_learns_every_label(spark):
+    rng = random.Random(8)
+    rows = [(100 * l + i, " ".join("".join(rng.choice([f"{chr(0x4E00 + 3 * l + k)}" for k in range(3)]) for _ in range(4)) for _ in range(8)), f"l{l:03d}") for l in range(210) for i in range(1 + l % 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert len(model.languages) == 210
+    want = {i: l for i, _, l in rows}
+    got = {r.doc_id: (r.language, r.confidence) for r in language.identify(df, model).collect()}
+    assert {i: l for i, (l, _) in got.items()} == want
+    model.held = False  # blocks loaded in turn give the same
+    assert {r.doc_id: (r.language, r.confidence) for r in language.identify(df, model).collect()} == got
+
+
+def test_language_blocks_do_not_change_results(spark, monkeypatch):
+    rng = random.Random(9)
+    parts = {"aa": "ka lo mi", "bb": "ster ung ein", "cc": "ka ung po", "dd": "mi ein lo"}
+    rows = [(i, " ".join("".join(rng.choice(parts[l].split()) for _ in range(3)) for _ in range(20)), l) for i, l in enumerate(list(parts) * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r.doc_id: r for r in language.identify(df, language.train(df)).collect()}
+    monkeypatch.setattr(language, "BLOCK", 1)
+    apart = {r.doc_id: r for r in language.identify(df, language.train(df)).collect()}
+    assert all((a.language, a.rejected) == (b.language, b.rejected) and abs(a.confidence - b.confidence) < 1e-9 for a, b in ((whole[i], apart[i]) for i in whole))
+
+
+def test_language_without_labels(spark):
+    df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    assert language.identify(df, language.train(df)).first().language == "und"
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short one")], "item_id long, text string")
