@@ -209,6 +209,7 @@ _register("n2_permutation_null", lambda s, d: _rounded(N.permutation_match(S.ove
 o AS (SELECT rep, t, guess, d1, row_number() OVER (PARTITION BY rep ORDER BY t) AS slot, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('42:' || rep || ':' || t), 1, 12))::BIGINT, t) AS source FROM r),
 e AS (SELECT a.rep, avg(CAST(a.guess = b.d1 AS DOUBLE)) AS stat FROM o a JOIN o b ON a.rep = b.rep AND a.slot = b.source GROUP BY 1), s AS (SELECT avg(CAST(guess = d1 AS DOUBLE)) AS observed FROM x)
 SELECT round(observed, 6) AS observed, round(avg(stat), 6) AS null_mean, round((1 + count(*) FILTER (stat >= observed)) / 101, 6) AS p FROM e, s GROUP BY observed"""))
+_register("n2_permutation_null_all", lambda s, d: _rounded(N.permutation_match(S.over_chunks(draws(s, d), lambda w: {"guess": F.lag("d1", 1).over(w)}, 1).where("t > 0"), "guess", "d1", "t", 100), "observed", "null_mean", "p"))
 _register("n7_sign_flip", lambda s, d: _rounded(N.sign_flip(draws(s, d).select("t", (F.col("d1") - F.col("d2")).cast("double").alias("x")), "x", "t", 50), "observed", "p"),
           _with(DRAWS, """, f AS (SELECT rep, round(avg(CASE WHEN ('0x' || substr(md5('42:' || rep || ':' || t), 1, 12))::BIGINT % 2 = 0 THEN d1 - d2 ELSE d2 - d1 END), 9) AS m FROM draws, range(1, 51) q(rep) GROUP BY 1), s AS (SELECT round(avg(d1 - d2), 9) AS observed, count(*) AS n FROM draws)
 SELECT round(observed, 6) AS observed, n, round((1 + count(*) FILTER (abs(m) >= abs(observed))) / 51, 6) AS p FROM f, s GROUP BY 1, 2, observed"""))

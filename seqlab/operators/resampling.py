@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import with_ordinal
+
 
 def draw(seed: int, *parts: str) -> Column:
     """A 48-bit number from the hash of seed and columns."""
@@ -25,17 +27,21 @@ def sign_flip(diffs: DataFrame, value: str, row: str, replicates: int, seed: int
     return far.select("observed", "n", ((1 + F.col("far")) / (replicates + 1)).alias("p"))
 
 
-def permutation_match(pairs: DataFrame, prediction: str, outcome: str, t: str, replicates: int, seed: int = 42) -> DataFrame:
+def permutation_match(pairs: DataFrame, prediction: str, outcome: str, t: str, replicates: int, seed: int = 42, chunk: int = 4096) -> DataFrame:
     """Share of rows whose prediction equals the outcome, against outcomes permuted over the rows.
 
-    One row: observed, null_mean, p (one-sided, with the plus one). Replicates are sorted apart from each other.
+    One row: observed, null_mean, p (one-sided, with the plus one). t is a total order. Rows are numbered once by t, and
+    each replicate by ranges of its draws, of about chunk rows each; only the counts of the ranges meet in one place.
     """
-    reps = pairs.select(t, prediction, outcome, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    slot = F.row_number().over(Window.partitionBy("rep").orderBy(t))
-    source = F.row_number().over(Window.partitionBy("rep").orderBy(draw(seed, "rep", t), F.col(t)))
-    left = reps.select("rep", prediction, slot.alias("slot"))
-    right = reps.select("rep", F.col(outcome).alias("moved"), source.alias("slot"))
-    each = left.join(right, ["rep", "slot"]).groupBy("rep").agg(F.avg((F.col(prediction) == F.col("moved")).cast("double")).alias("stat"))
+    base = with_ordinal(pairs.select(t, prediction, outcome), [t], "slot")
+    ranges = max(1, -(-base.count() // chunk))
+    reps = base.select(t, outcome, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("draw", draw(seed, "rep", t))
+    reps = reps.withColumn("range", F.floor(F.col("draw") / F.lit((1 << 48) / ranges)))
+    before = Window.partitionBy("rep").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = reps.groupBy("rep", "range").agg(F.count("*").alias("n")).select("rep", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("rep", "range").orderBy("draw", t)) - 1
+    moved = reps.withColumn("inside", inside).join(offsets, ["rep", "range"]).select("rep", F.col(outcome).alias("moved"), (F.col("inside") + F.col("offset")).alias("slot"))
+    each = moved.join(base.select("slot", prediction), "slot").groupBy("rep").agg(F.avg((F.col(prediction) == F.col("moved")).cast("double")).alias("stat"))
     seen = pairs.agg(F.avg((F.col(prediction) == F.col(outcome)).cast("double")).alias("observed"))
     joined = each.join(F.broadcast(seen)).groupBy("observed").agg(F.avg("stat").alias("null_mean"), F.sum((F.col("stat") >= F.col("observed")).cast("int")).alias("far"))
     return joined.select("observed", "null_mean", ((1 + F.col("far")) / (replicates + 1)).alias("p"))
