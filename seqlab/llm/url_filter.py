@@ -6,8 +6,9 @@ the blocked url is itself a page. A url that a rule allows stays allowed whateve
 only in scheme or fragment are one.
 
 Edge cases: a null url, or one without `://`, has an empty host and path, no rule and no aliases, and is allowed; null
-html has no edges; relative targets are resolved when they begin with / (others are left out); repeated rows are
-judged row by row; no rows give no rows; columns beside page_id, url and html are ignored.
+html has no edges; all canonical links and refreshes of a page count; their character references are decoded (numeric
+ones, and amp, lt, gt, quot, apos) and relative targets are resolved against the page's url (a base element is ignored);
+repeated rows are judged row by row; no rows give no rows; columns beside page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from .components import connected_components
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST, PATH, REST = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)", r"(?s)^.*?://[^/?#]*([^#]*)"
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+LINK, META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+#: What follows the wait in a refresh, with or without url= and quotes.
+REFRESH = r"""(?is)^\s*+(?:[\d.]++(?:\s*+[;,]|\s++)\s*+(?:url\s*+=\s*+)?+|url\s*+=\s*+)(?:"([^"]*)|'([^']*)|([^"'].*))"""
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+PIECES = r"(?is)&#x[0-9a-f]+;?|&#[0-9]+;?|&(?:amp|lt|gt|quot|apos);|&|[^&]+"
 
 
 def host_of(url: Column) -> Column:
@@ -50,17 +54,86 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*(fits(*r) for r in sorted(rules, key=lambda r: (-len(r[1]), r[0]))))
 
 
+def _groups(text: Column, pattern: str) -> Column:
+    """The one of three groups that matched; empty if none did."""
+    return F.concat(*(F.regexp_extract(text, pattern, i) for i in (1, 2, 3)))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The raw value of an attribute: in double or single quotes, or bare; empty if it has none."""
+    return _groups(tag, rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+
+
+def _character(piece: Column) -> Column:
+    """What a numeric reference stands for, or the piece itself."""
+    digits = F.regexp_extract(piece, r"(?i)^&#x?0*([0-9a-f]*);?$", 1)
+    hexed = piece.rlike("(?i)^&#x")
+    point = F.when(hexed, F.conv(F.substring(digits, 1, 6), 16, 10)).otherwise(F.regexp_extract(F.substring(digits, 1, 7), "^[0-9]*", 0)).try_cast("int")
+    valid = (F.length(digits) <= F.when(hexed, 6).otherwise(7)) & (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    point = F.when(F.coalesce(valid, F.lit(False)), point).otherwise(0xFFFD)
+    return F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
+
+
+def unescaped(value: Column) -> Column:
+    """value with its character references decoded once: numeric ones, and amp, lt, gt, quot and apos."""
+
+    def one(piece):
+        out = F.when(piece.rlike("(?i)^&#x?[0-9a-f]+;?$"), _character(piece))
+        for name, character in NAMED.items():
+            out = out.when(F.lower(piece) == name, F.lit(character))
+        return out.otherwise(piece)
+
+    return F.when(value.contains("&"), F.array_join(F.transform(F.regexp_extract_all(value, F.lit(PIECES), F.lit(0)), one), "")).otherwise(value)
+
+
+def without_dots(path: Column) -> Column:
+    """A path that begins with / without its . and .. segments."""
+    dots = F.lit(".."), F.lit(".")
+    start = F.array(F.lit(""))
+    kept = F.aggregate(F.slice(F.split(path, "/"), 2, 1 << 30), start, lambda acc, x: F.when(x == dots[0], F.slice(acc, 1, F.greatest(F.lit(1), F.size(acc) - 1))).when(x == dots[1], acc).otherwise(F.concat(acc, F.array(x))))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """target as seen from the page url; null if it is empty or only a fragment."""
+    scheme, host, path = F.regexp_extract(url, r"(?s)^(.*?)://", 1), host_of(url), path_of(url)
+    bare = F.regexp_extract(target, r"(?s)^[^#]*", 0)
+    own, query = F.regexp_extract(bare, r"(?s)^[^?]*", 0), F.regexp_extract(bare, r"(?s)\?.*$", 0)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^.*/", 0))
+    root = F.concat(scheme, F.lit("://"), host)
+    return (
+        F.when(bare == "", None)
+        .when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), bare)
+        .when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare))
+        .when(bare.startswith("?"), F.concat(root, path, bare))
+        .when(bare.startswith("/"), F.concat(root, without_dots(own), query))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), query))
+    )
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """a, b: alias keys joined by a canonical link or a redirect of a page."""
-    host = host_of(F.col("url"))
-
-    def target(pattern):
-        raw = F.regexp_extract("html", pattern, 1)
-        scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
-        whole = F.when(raw.startswith("//"), F.concat(scheme, F.lit(":"), raw)).when(raw.startswith("/"), F.concat(scheme, F.lit("://"), host, raw)).otherwise(raw)
-        return alias_key(whole)
 
-    found = pages.where(F.col("html").isNotNull()).select(alias_key(F.col("url")).alias("a"), F.explode(F.array(target(CANONICAL), target(REFRESH))).alias("b"))
+    def tags(pattern, word):
+        return F.filter(F.regexp_extract_all("html", F.lit(pattern), F.lit(0)), lambda tag: tag.rlike(f"(?i){word}"))
+
+    def old(tag, name):  # broken quotes
+        return F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1)
+
+    def step(rows, **made):  # a generator is not merged with the next step, which would repeat its expressions
+        for name, value in made.items():
+            rows = rows.select("*", F.explode(F.array(value)).alias(name))
+        return rows
+
+    found = pages.where(F.col("html").isNotNull()).select("url", F.explode(F.concat(tags(LINK, "canonical"), tags(META, "refresh"))).alias("tag"))
+    tag, link = F.col("tag"), F.col("tag").rlike(r"(?i)^<link\b")
+    found = step(found, kind=F.when(link, attribute(tag, "rel")).otherwise(attribute(tag, "http-equiv")), value=F.when(link, attribute(tag, "href")).otherwise(attribute(tag, "content")))
+    found = step(found, role=unescaped(F.col("kind")), text=unescaped(F.col("value")), rest=F.when(link, old(tag, "href")).otherwise(old(tag, "url")))
+    found = found.where(F.when(link, F.col("role").rlike(r"(?i)(^|\s)canonical(\s|$)")).otherwise(F.col("role").rlike(r"(?i)^\s*refresh\s*$")))
+    found = step(found, content=F.when(link, F.col("text")).otherwise(_groups(F.col("text"), REFRESH)), plain=unescaped(F.col("rest")))
+    found = step(found, raw=F.regexp_replace(F.regexp_replace(F.when(F.col("content") != "", F.col("content")).otherwise(F.col("plain")), r"[\t\r\n\f]", ""), "^ +| +$", ""))
+    found = step(found, target=resolved(F.col("url"), F.col("raw")))
+    found = step(found, a=alias_key(F.col("url")), b=alias_key(F.col("target"))).select("a", "b")
     return found.where("a is not null and b is not null and a <> b").distinct()
 
 
