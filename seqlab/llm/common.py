@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; an own one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; an own one only where it is unset and Spark runs in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-seqlab-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -27,6 +31,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seqlab-{name}-{uuid.uuid4().hex}"
 
 
+def free_name(name: str, taken: list[str], mark: str = "_") -> str:
+    """name, with as many marks after it as it takes to clash with no column."""
+    have = {x.lower() for x in taken}
+    while name.lower() in have:
+        name += mark
+    return name
+
+
+def clear_scratch(spark: SparkSession, older_than_seconds: float = 0) -> int:
+    """Removes the tables that operators wrote to the shared folder (results that are still read depend on them). How many."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = (time.time() - older_than_seconds) * 1000
+    old = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("seqlab-") and x.getModificationTime() <= before]
+    for x in old:
+        fs.delete(x, True)
+    return len(old)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: later uses don't recompute, and a lost executor loses nothing."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)

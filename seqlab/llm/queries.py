@@ -39,11 +39,13 @@ def op4_bpe_round_trip(spark, sf_dir):
 
 
 def op5_sharding(spark, sf_dir):
-    """Documents arrive in eight batches, are compacted, and read back from the last version."""
-    store = ShardStore(spark, new_folder(spark, "store"))
-    store.append(_table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(8)))
+    """Documents arrive in eight batches, are compacted, and read back from the last version; arrived is the size of a row's batch in the first."""
+    store, batch = ShardStore(spark, new_folder(spark, "store")), F.pmod(F.col("doc_id"), F.lit(8))
+    store.append(_table(spark, sf_dir, "documents"), batch)
     store.compact()
-    return store.read().select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    runs = store.manifest(1).select(F.regexp_extract("run", "=(.*)$", 1).try_cast("long").alias("batch"), F.col("rows").alias("arrived"))
+    rows = store.read().select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    return rows.join(F.broadcast(runs), batch.eqNullSafe(F.col("batch"))).drop("batch")  # eight runs, and one of null ids
 
 
 def op6_chat_format(spark, sf_dir):
@@ -101,7 +103,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0
 FROM s JOIN c ON c.s = list_sort(s.s) JOIN comp ON comp.rep = c.rep
 """
 
-OP5 = "SELECT doc_id, lang, source, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+OP5 = "SELECT doc_id, lang, source, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, count(*) OVER (PARTITION BY doc_id % 8) AS arrived FROM documents"
 
 OP6 = r"""
 WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

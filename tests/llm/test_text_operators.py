@@ -108,7 +108,7 @@ def test_sharding(spark, tmp_path):
     store.append(docs, F.col("doc_id") % 4)
     store.append(docs.where("doc_id < 3"))
     with pytest.raises(RuntimeError):
-        store.commit(store.manifest(), 2)
+        store.commit(*store._load(2), 2)
     last = store.compact()
     assert last > 2 and store.read(1).count() == 202
     assert store.read().select(docs.columns).exceptAll(docs.union(docs.where("doc_id < 3"))).count() == 0 and store.read().count() == 205
