@@ -3,32 +3,37 @@
 Vectors are quantised to integers. A block of candidates is stored as slices: one bitmap per attribute and binary
 digit, over the block's rows. For a query, the slices are added up with bitmap arithmetic (carry-save adders), which
 gives the slices of all scores; the top k are then picked from the most significant slice downward, and the rows left
-at the boundary, all of one score, are resolved exactly by smaller id. Every block of queries meets every block of
-candidates in one task, and the best k of all blocks remain.
+at the boundary, all of one score, are resolved exactly by smaller id. The slices of a block are built once and written
+as a table; blocks of queries are sent to every block of the index, and the best k of all blocks remain.
 
 Edge cases: a vector that is null, or holds a null, NaN or infinite component, takes no part on either side; shorter
 vectors count as padded with zeros; equal vectors and repeated ids are separate rows, but a row never meets rows of
-its own id; fewer than k candidates are all returned; quantised components must be below 2^26 in size.
+its own id; fewer than k candidates are all returned, and no candidates or queries give no rows. Components of any
+finite size are exact, as integers beyond 64 bits take Python's; only a returned score outside the range of a long is
+given as the nearest long, ranked by its true value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import pickle
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 class BitSlices:
     """The slices of a block: sign-offset binary digits of each attribute, and the ids, in ascending order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], vectors[order]
-        self.low = self.rows.min(0) if len(ids) else np.zeros(vectors.shape[1], np.int64)
-        shifted = self.rows - self.low
+        self.ids, rows = ids[order], vectors[order]
+        self.low = rows.min(0) if len(ids) else np.zeros(vectors.shape[1], np.int64)
+        shifted = rows - self.low
         self.n = len(ids)
         self.words = -(-max(1, self.n) // 64)
         self.slices = []
@@ -39,7 +44,7 @@ class BitSlices:
 
     def _pack(self, bits: np.ndarray) -> np.ndarray:
         padded = np.zeros(self.words * 64, np.uint8)
-        padded[: self.n] = bits
+        padded[: self.n] = bits.astype(np.uint8)
         return np.packbits(padded, bitorder="little").view(np.uint64)
 
     def unpack(self, bitmap: np.ndarray) -> np.ndarray:
@@ -55,7 +60,7 @@ class BitSlices:
             places[at].append(bitmap)
 
         base = 0
-        for d, q in enumerate(query.tolist()):
+        for d, q in enumerate(query.tolist()[: len(self.slices)]):  # further attributes are 0 in all rows
             base += q * int(self.low[d])
             if q > 0:
                 for b, slice_ in enumerate(self.slices[d]):
@@ -89,7 +94,7 @@ class BitSlices:
     def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best rows whose id is not own."""
         slices, base = self.scores(query)
-        mine = slice(*np.searchsorted(self.ids, [own, own], "left")) if self.n == 0 else slice(np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right"))
+        mine = slice(np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right"))
         allowed = self.all
         if mine.stop > mine.start:
             bits = np.zeros(self.n, np.int64)
@@ -111,20 +116,41 @@ class BitSlices:
         return sorted(found, key=lambda x: (-x[0], x[1]))
 
 
-def quantise(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component as a long; null if the vector takes no part."""
+def usable(vector: Column) -> Column:
+    """The components as doubles; null if the vector takes no part."""
     x = F.transform(vector, lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
-    return F.when(vector.isNotNull() & ~bad, F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")))
+    return F.when(vector.isNotNull() & ~bad, x)
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
+def quantise(vectors: list, scale: int) -> np.ndarray:
+    """floor(scale * x) of each component: 64-bit integers if all are far below 2^63, else Python's; padded with zeros."""
+    out = np.zeros((len(vectors), max(map(len, vectors), default=0)))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-    if out.size and np.abs(out).max() >= 1 << 26:
-        raise ValueError("a quantised component is 2^26 or more in size")
-    return out
+    if not out.size or np.abs(out).max() < 2**61 / scale:
+        return np.floor(out * scale).astype(np.int64)
+    exact = np.frompyfunc(lambda x: int(x) * scale if abs(x) >= 2**53 else math.floor(x * scale), 1, 1)
+    return exact(out)
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes in the order of the integers: sign, length and digits."""
+    raw = abs(score).to_bytes((score.bit_length() + 7) // 8 or 1, "big")
+    raw = len(raw).to_bytes(2, "big") + raw
+    return b"\1" + raw if score >= 0 else b"\0" + bytes(255 - x for x in raw)
+
+
+def build_index(candidates: DataFrame, scale: int, block: int) -> DataFrame:
+    """cb, slices of each block of about so many rows of candidates (vec_id, vector), written once."""
+    n = -(-max(1, candidates.count()) // block)
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        index = BitSlices(rows["vec_id"].to_numpy(), quantise(rows["vector"].tolist(), scale))
+        return pd.DataFrame({"cb": [key[0]], "slices": [pickle.dumps(index)]})
+
+    dealt = candidates.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    return materialize(dealt.groupBy("cb").applyInPandas(build, "cb int, slices binary"), "slices")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1024, block: int = 16_384, query_block: int = 128) -> DataFrame:
@@ -135,23 +161,22 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1
     """
 
     def ready(df: DataFrame) -> DataFrame:
-        return df.select("vec_id", quantise(F.col("embedding"), scale).alias("vector")).where("vec_id is not null and vector is not null")
+        return df.select("vec_id", usable(F.col("embedding")).alias("vector")).where("vec_id is not null and vector is not null")
 
-    queries, candidates = ready(queries), ready(candidates)
-    n_q, n_c = -(-max(1, queries.count()) // query_block), -(-max(1, candidates.count()) // block)
-    spread = F.xxhash64("vec_id", F.monotonically_increasing_id())
-    left = queries.withColumn("qb", F.pmod(spread, F.lit(n_q)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    right = candidates.withColumn("cb", F.pmod(spread, F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    queries, index = ready(queries), build_index(ready(candidates), scale, block)
+    n_q = -(-max(1, queries.count()) // query_block)
+    blocks = index.select("cb").distinct()
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_q)).cast("int")).join(F.broadcast(blocks.agg(F.collect_list("cb").alias("cbs")))).withColumn("cb", F.explode("cbs")).drop("cbs")
+    right = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple] = []
         if len(asked) and len(held):
-            width = max(map(len, [*asked["vector"], *held["vector"]]))
-            index = BitSlices(held["vec_id"].to_numpy(), _matrix(held["vector"], width))
-            for q, v in zip(asked["vec_id"].tolist(), _matrix(asked["vector"], width)):
-                out += [(q, i, s) for s, i in index.top(v, q, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    parts = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            found = pickle.loads(held["slices"].iloc[0])
+            for q, v in zip(asked["vec_id"].tolist(), quantise(asked["vector"].tolist(), scale)):
+                out += [(q, i, max(-(1 << 63), min((1 << 63) - 1, s)), sort_key(s)) for s, i in found.top(v, q, k)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "key"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+
+    parts = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, "query_id long, vec_id long, score long, key binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
