@@ -6,6 +6,26 @@ elements show where the article is and on generated pages with plainly named par
 being main text. The decoding then finds the best consistent labelling of the tree: what is outside may hold the
 article, the article may hold parts to leave out, and nothing under those comes back.
 
+Markup is read as browsers do: a quote inside a bare attribute value belongs to it, a quoted value ends at the next
+such quote, and a tag or comment that never ends takes the rest of the page. Reading, describing and writing out a page
+take time in proportion to its length, whatever its nesting.
+
+Markup is read as browsers do: a quote inside a bare attribute value belongs to it, a quoted value ends at the next
+such quote, and a tag or comment that never ends takes the rest of the page. Reading, describing and writing out a page
+take time in proportion to its length, whatever its nesting.
+
+Markup is read as browsers do: a quote inside a bare attribute value belongs to it, a quoted value ends at the next
+such quote, and a tag or comment that never ends takes the rest of the page. Reading, describing and writing out a page
+take time in proportion to its length, whatever its nesting.
+
+Markup is read as browsers do: a quote inside a bare attribute value belongs to it, a quoted value ends at the next
+such quote, and a tag or comment that never ends takes the rest of the page. Reading, describing and writing out a page
+take time in proportion to its length, whatever its nesting.
+
+Markup is read as browsers do: a quote inside a bare attribute value belongs to it, a quoted value ends at the next
+such quote, and a tag or comment that never ends takes the rest of the page. Reading, describing and writing out a page
+take time in proportion to its length, whatever its nesting.
+
 Edge cases: null or empty html, and pages without main text, give an empty text; broken or unclosed markup is read as
 far as it goes; texts of any length are kept whole; repeated rows are extracted row by row; columns beside page_id,
 url and html are ignored; without any page the trees are fitted on the generated pages alone.
@@ -26,12 +46,26 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed values of HTML: elements without content, with raw content, inside a line, and those that close an open p.
+from .common import bounded_batches, materialize
+
+#: Fixed values of HTML: elements without content, with raw content, never part of a text, inside a line, those that close
+#: an open p, those that a closing tag doesn't look behind, and those that an item doesn't.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select".split())
+RAW = frozenset("script style textarea iframe noembed noframes".split())
+NEVER = RAW | frozenset("template select button datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote body details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("article aside body div footer form header html li main nav ol section table td th ul blockquote button".split())
+ITEMS = frozenset("li tr td th dt dd option".split())
+HOLDERS = "ul ol table dl select div article body".split()
+ITEMS = frozenset("li tr td th dt dd option".split())
+HOLDERS = "ul ol table dl select div article body".split()
+ITEMS = frozenset("li tr td th dt dd option".split())
+HOLDERS = "ul ol table dl select div article body".split()
+ITEMS = frozenset("li tr td th dt dd option".split())
+HOLDERS = "ul ol table dl select div article body".split()
+ITEMS = frozenset("li tr td th dt dd option".split())
+HOLDERS = "ul ol table dl select div article body".split()
 #: Kinds of elements and attribute tokens that the features count.
 GROUPS = {
     "paragraph": "p blockquote pre".split(),
@@ -50,7 +84,16 @@ BAD = frozenset(
     "ad ads advert advertisement aside author banner breadcrumb byline comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header links login masthead menu meta modal nav navbar navigation newsletter notice notification pagination popup promo promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar widget".split()
 )
 TOKEN = re.compile(r"[a-z]+")
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a declaration or a tag; each ends with the page at the latest.
+#: A comment, a declaration or a tag; each ends with the page at the latest.
+#: A comment, a declaration or a tag; each ends with the page at the latest.
+#: A comment, a declaration or a tag; each ends with the page at the latest.
+#: A comment, a declaration or a tag; each ends with the page at the latest.
+PIECE = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</(?![A-Za-z])[^>]*+>?"""
+    r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)""",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SAMPLE_PAGES, GENERATED_PAGES = 300, 240
 
@@ -64,49 +107,175 @@ class Node:
     index: int = 0
 
 
+class _Open:
+    """The open elements of a page, with the places of each kind among them, so that no look-up walks the tree."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        place = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(place)
+        if node.tag in SCOPE:
+            self.scopes.append(place)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost element of this kind is; 0 if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, place: int) -> None:
+        """Ends the element at this place and all inside it; at 0, nothing."""
+        while place and len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+
+
+class _Open:
+    """The open elements of a page, with the places of each kind among them, so that no look-up walks the tree."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        place = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(place)
+        if node.tag in SCOPE:
+            self.scopes.append(place)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost element of this kind is; 0 if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, place: int) -> None:
+        """Ends the element at this place and all inside it; at 0, nothing."""
+        while place and len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+
+
+class _Open:
+    """The open elements of a page, with the places of each kind among them, so that no look-up walks the tree."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        place = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(place)
+        if node.tag in SCOPE:
+            self.scopes.append(place)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost element of this kind is; 0 if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, place: int) -> None:
+        """Ends the element at this place and all inside it; at 0, nothing."""
+        while place and len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+
+
+class _Open:
+    """The open elements of a page, with the places of each kind among them, so that no look-up walks the tree."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        place = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(place)
+        if node.tag in SCOPE:
+            self.scopes.append(place)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost element of this kind is; 0 if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, place: int) -> None:
+        """Ends the element at this place and all inside it; at 0, nothing."""
+        while place and len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+
+
+class _Open:
+    """The open elements of a page, with the places of each kind among them, so that no look-up walks the tree."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        place = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(place)
+        if node.tag in SCOPE:
+            self.scopes.append(place)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost element of this kind is; 0 if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, place: int) -> None:
+        """Ends the element at this place and all inside it; at 0, nothing."""
+        while place and len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#page", None)
-    here, at, n = root, 0, len(page)
-    while at < n:
-        m = PIECE.search(page, at)
-        if m is None:
-            here.parts.append(page[at:])
-            break
+    opened, at = _Open(root), 0
+    for m in iter(lambda: PIECE.search(page, at), None):
+        here = opened.stack[-1]
         if m.start() > at:
             here.parts.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
+        inner = opened.scopes[-1] if opened.scopes else 0
         if m[1]:
-            x = here
-            while x is not root and x.tag != tag:
-                if x.tag in SCOPE and tag not in SCOPE:
-                    break
-                x = x.up
-            if x.tag == tag:
-                here = x.up
+            place = opened.last(tag)
+            if tag in SCOPE or place > inner:
+                opened.close(place)
             continue
         if tag in CLOSES_P:
-            x = here
-            while x is not root and x.tag != "p" and x.tag not in SCOPE:
-                x = x.up
-            if x.tag == "p":
-                here = x.up
-        elif tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
-            x = here
-            while x is not root and x.tag != tag and x.tag not in ("ul", "ol", "table", "dl", "select", "div", "article", "body"):
-                x = x.up
-            if x.tag == tag:
-                here = x.up
+            if opened.last("p") > inner:
+                opened.close(opened.last("p"))
+        elif tag in ITEMS and opened.last(tag) > max(map(opened.last, HOLDERS)):
+            opened.close(opened.last(tag))
+        here = opened.stack[-1]
         node = Node(tag, here, m[3])
         here.parts.append(node)
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            here = node
+        closed = m[3].rstrip().endswith("/")
+        if tag in RAW and not closed:
+            end = re.compile(rf"</{tag}(?![^\s/>])[^>]*+>?", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        elif tag not in VOID and not closed:
+            opened.push(node)
+    if at < len(page):
+        opened.stack[-1].parts.append(page[at:])
     return root
 
 
@@ -114,24 +283,40 @@ GROUP_OF = {tag: i for i, tags in enumerate(GROUPS.values()) for tag in tags}
 WIDTH = 2 * len(GROUPS) + 22
 
 
+def _tokens(node: Node) -> list[str]:
+    return TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(node.attributes)).lower()) if node.attributes else []
+
+
+def _tokens(node: Node) -> list[str]:
+    return TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(node.attributes)).lower()) if node.attributes else []
+
+
+def _tokens(node: Node) -> list[str]:
+    return TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(node.attributes)).lower()) if node.attributes else []
+
+
+def _tokens(node: Node) -> list[str]:
+    return TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(node.attributes)).lower()) if node.attributes else []
+
+
+def _tokens(node: Node) -> list[str]:
+    return TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(node.attributes)).lower()) if node.attributes else []
+
+
 def features(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
     """The elements in page order, their features, and how many characters of text each holds itself."""
-    nodes, matrix, own_chars = [], [], []
-    groups = len(GROUPS)
-
-    def down(node: Node, depth: int, good: int, bad: int, above: tuple, place: float, siblings: int, alike: int) -> tuple[int, int, int, int]:
-        """Text, link text, elements and full stops of the subtree."""
-        row = [0.0] * WIDTH
+    groups, nodes, matrix, sums = len(GROUPS), [], [], []
+    todo = [(root, 0, 0, 0, (0.0,) * groups, 0.0, 1, 1)]
+    while todo:
+        node, depth, good, bad, above, place, siblings, alike = todo.pop()
+        row = [0.0] * groups
         node.index = len(nodes)
-        nodes.append(node), matrix.append(row)
-        words = TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(node.attributes)).lower()) if node.attributes else ()
+        words = _tokens(node)
         here_good, here_bad = sum(w in GOOD for w in words), sum(w in BAD for w in words)
-        kind = GROUP_OF.get(node.tag)
-        here = list(above)
+        kind, here = GROUP_OF.get(node.tag), above
         if kind is not None:
             row[kind] = 1.0
-            here[kind] = 1.0
-        row[groups : 2 * groups] = above
+            here = (*above[:kind], 1.0, *above[kind + 1 :])
         children = [x for x in node.parts if x.__class__ is Node]
         tags: dict[str, int] = {}
         for x in children:
@@ -142,24 +327,27 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
                 text = x.strip()
                 own += len(text)
                 stops += text.count(".") + text.count(",")
-        text, links, elements = own, own if node.tag == "a" else 0, 1
-        for i, x in enumerate(children):
-            t, l, e, s = down(x, depth + 1, good + here_good, bad + here_bad, tuple(here), i / len(children), len(children), tags[x.tag])
-            text, links, elements, stops = text + t, links + l, elements + e, stops + s
-        base = 2 * groups
-        row[base:] = (
-            depth, own, text, elements, text / elements, links / text if text else 0.0, stops, stops / text if text else 0.0,
-            here_good, here_bad, min(good, 3), min(bad, 3), place, siblings, alike, alike / siblings if siblings else 0.0,
-            len(children), len(words), float(node.tag in RAW), float(node.tag in INLINE), own / text if text else 0.0, 1.0,
-        )
-        own_chars.append((node.index, own))
-        return text, links if node.tag != "a" else text, elements, stops
-
-    down(root, 0, 0, 0, (0.0,) * groups, 0.0, 1, 1)
-    mine = np.zeros(len(nodes))
-    for i, n in own_chars:
-        mine[i] = n
-    return nodes, np.array(matrix), mine
+        for i in range(len(children) - 1, -1, -1):
+            x = children[i]
+            todo.append((x, depth + 1, good + here_good, bad + here_bad, here, i / len(children), len(children), tags[x.tag]))
+        nodes.append(node)
+        sums.append([own, own if node.tag == "a" else 0, 1, stops, own])
+        matrix.append((row, above, depth, here_good, here_bad, min(good, 3), min(bad, 3), place, siblings, alike, len(children), len(words)))
+    for i in range(len(nodes) - 1, 0, -1):  # text, link text, elements and full stops of each subtree
+        x, up = sums[i], sums[nodes[i].up.index]
+        if nodes[i].tag == "a":
+            x[1] = x[0]
+        for j in range(4):
+            up[j] += x[j]
+    out = np.array([
+        (
+            *row, *above, depth, own, text, elements, text / elements, links / text if text else 0.0, stops, stops / text if text else 0.0,
+            good, bad, more_good, more_bad, place, siblings, alike, alike / siblings if siblings else 0.0,
+            children, words, float(node.tag in RAW), float(node.tag in INLINE), own / text if text else 0.0, 1.0,
+        )
+        for node, (text, links, elements, stops, own), (row, above, depth, good, bad, more_good, more_bad, place, siblings, alike, children, words) in zip(nodes, sums, matrix)
+    ])
+    return nodes, out, np.array([x[4] for x in sums], float)
 
 
 def decode(nodes: list[Node], odds: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -168,6 +356,11 @@ def decode(nodes: list[Node], odds: np.ndarray, weight: np.ndarray) -> np.ndarra
     gain = weight * odds
     score = np.zeros((len(nodes), 3))
     score[:, 1] = gain
+    score[[i for i, x in enumerate(nodes) if x.tag in NEVER], 1] = -np.inf
+    score[[i for i, x in enumerate(nodes) if x.tag in NEVER], 1] = -np.inf
+    score[[i for i, x in enumerate(nodes) if x.tag in NEVER], 1] = -np.inf
+    score[[i for i, x in enumerate(nodes) if x.tag in NEVER], 1] = -np.inf
+    score[[i for i, x in enumerate(nodes) if x.tag in NEVER], 1] = -np.inf
     best = np.zeros((len(nodes), 3), np.int8)
     for i in range(len(nodes) - 1, -1, -1):
         best[i] = (1 if score[i, 1] > score[i, 0] else 0, 1 if score[i, 1] >= score[i, 2] else 2, 2)
@@ -183,52 +376,25 @@ def decode(nodes: list[Node], odds: np.ndarray, weight: np.ndarray) -> np.ndarra
 def text_of(root: Node, keep: np.ndarray) -> str:
     """The kept text: each block's white space as one space, blocks joined by one space."""
     out: list[str] = []
-
-    def down(node: Node) -> None:
-        if node.tag in RAW:
-            return
-        inline = node.tag in INLINE
-        if not inline or node.tag == "br":
-            out.append(" ")
-        kept = keep[node.index]
-        for x in node.parts:
-            if x.__class__ is Node:
-                down(x)
-            elif kept:
+    todo: list = [(root, None)]  # parts still to write, the last first, with whether their element is kept
+    while todo:
+        x, kept = todo.pop()
+        if x.__class__ is not Node:
+            if kept:
                 out.append(html.unescape(x) if "&" in x else x)
-        if not inline:
+            continue
+        if x.tag in RAW:
+            continue
+        block = x.tag not in INLINE
+        if block or x.tag == "br":
             out.append(" ")
-
-    down(root)
+        if block:
+            todo.append((" ", True))
+        mine = keep[x.index]
+        todo += [(y, mine) for y in reversed(x.parts)]
     return " ".join("".join(out).split())
 
 
-def shallow(root: Node, most: int = 400) -> Node:
-    """Elements nested deeper than most become siblings, so that recursion stays bounded; no text is lost."""
-    stack = [(root, 0)]
-    while stack:
-        node, depth = stack.pop()
-        parts, changed = [], False
-        if depth >= most:
-            todo = list(node.parts)[::-1]
-            while todo:
-                x = todo.pop()
-                if x.__class__ is Node and x.parts:
-                    flat = Node(x.tag, node, x.attributes, [y for y in x.parts if y.__class__ is str])
-                    parts.append(flat)
-                    todo += [y for y in x.parts if y.__class__ is Node][::-1]
-                    changed = True
-                else:
-                    parts.append(x)
-                    if x.__class__ is Node:
-                        x.up = node
-            if changed:
-                node.parts = parts
-            continue
-        stack += [(x, depth + 1) for x in node.parts if x.__class__ is Node]
-    return root
-
-
 def weak_labels(nodes: list[Node]) -> list[int]:
     """1 inside article or main, 0 outside or in a part whose element or tokens say that it is none of it; -1 if a page has neither."""
     if not any(x.tag in ("article", "main") for x in nodes):
@@ -236,8 +402,8 @@ def weak_labels(nodes: list[Node]) -> list[int]:
     state: list[int] = []
     for x in nodes:
         inside = state[x.up.index] if x.up is not None else 0
-        words = set(TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(x.attributes)).lower()))
-        if x.tag in ("nav", "header", "footer", "aside", "form", "head") or x.tag in RAW or words & BAD and not words & GOOD:
+        words = set(_tokens(x))
+        if x.tag in ("nav", "header", "footer", "aside", "form", "head") or x.tag in NEVER or words & BAD and not words & GOOD:
             inside = 2
         elif x.tag in ("article", "main") and inside == 0:
             inside = 1
@@ -256,27 +422,41 @@ def generated_pages(n: int, seed: int = 7) -> list[str]:
     def sentence():
         return words(rng.randint(4, 18)).capitalize() + rng.choice(".,.!") + " "
 
+    def prose():
+        text = sentence()
+        if rng.random() < 0.15:  # a few words of it in an inline element
+            before, _, after = text.partition(" ")
+            tag = rng.choice(["b", "em", "i", "code", f'a href="/{words(1)}"'])
+            text = f"{before} <{tag}>{words(rng.randint(1, 3))}</{tag.split()[0]}> {after}"
+        return text
+
     def paragraphs(k):
-        return "".join(f"<p>{''.join(sentence() for _ in range(rng.randint(1, 8)))}</p>" for _ in range(k))
+        return "".join(f"<p>{''.join(prose() for _ in range(rng.randint(1, 8)))}</p>" for _ in range(k))
 
     def links(k):
-        return "<ul>" + "".join(f'<li><a href="/{words(1)}">{words(rng.randint(1, 3))}</a></li>' for _ in range(k)) + "</ul>"
+        one = [f'<a href="/{words(1)}">{words(rng.randint(1, 3))}</a>' for _ in range(k)]
+        if rng.random() < 0.35:
+            return rng.choice([" ", " | ", ""]).join(one)
+        return "<ul>" + "".join(f"<li>{x}</li>" for x in one) + "</ul>"
 
     def boiler():
         name = rng.choice(["sidebar", "menu", "cookie-notice", "ad", "advert banner", "related", "comments", "footer", "share", "newsletter", "login", "header", "promo", "widget"])
         tag = {"footer": "footer", "menu": "nav", "sidebar": "aside", "header": "header", "login": "form"}.get(name, "div")
-        if rng.random() < 0.3:
+        plain = tag != "div" and rng.random() < 0.4  # the element alone says what it is
+        if not plain and rng.random() < 0.3:
             tag = "div" if tag != "div" else "section"
-        attribute = rng.choice(["class", "id"])
+        attribute = "" if plain else f' {rng.choice(["class", "id"])}="{name}"'
         if name == "comments":
             inner = "".join(f'<div class="comment"><b>{words(1)}</b>{paragraphs(1)}</div>' for _ in range(rng.randint(1, 5)))
         elif rng.random() < 0.5:
-            inner = links(rng.randint(2, 8))
+            inner = links(rng.randint(1, 8))
         else:
             inner = f"<p>{sentence()}</p>" if rng.random() < 0.5 else sentence()
+            if rng.random() < 0.3:
+                inner += links(rng.randint(1, 3))
         if name == "login":
             inner += '<input name="q"><button>' + words(1) + "</button>"
-        return f'<{tag} data-part="0" {attribute}="{name}">{inner}</{tag}>'
+        return f'<{tag} data-part="0"{attribute}>{inner}</{tag}>'
 
     def article():
         tag, name = rng.choice([("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("div", ' class="article-body"'), ("section", ' class="story"')])
@@ -302,7 +482,7 @@ def _generated_labels(nodes: list[Node]) -> list[int]:
     state: list[int] = []
     for x in nodes:
         mark = re.search(r'data-part="(\d)"', x.attributes)
-        state.append(int(mark[1]) if mark else 0 if x.tag in RAW else state[x.up.index] if x.up is not None else 0)
+        state.append(int(mark[1]) if mark else 0 if x.tag in NEVER else state[x.up.index] if x.up is not None else 0)
     return state
 
 
@@ -338,10 +518,6 @@ class Trees:
         return 2 * total
 
 
-def _read(page: str | None) -> Node:
-    return shallow(parse(page or ""))
-
-
 def training_nodes(spark: SparkSession, pages: DataFrame, sample_pages: int = SAMPLE_PAGES, generated: int = GENERATED_PAGES) -> DataFrame:
     """features, label of the elements of about sample_pages pages of the table, and of generated ones."""
     share = min(1.0, sample_pages / max(1, pages.count()))
@@ -352,7 +528,7 @@ def training_nodes(spark: SparkSession, pages: DataFrame, sample_pages: int = SA
         for batch in batches:
             rows, labels = [], []
             for page, own in zip(batch.column("html").to_pylist(), batch.column("made").to_pylist()):
-                nodes, matrix, _ = features(_read(page))
+                nodes, matrix, _ = features(parse(page or ""))
                 mine = _generated_labels(nodes) if own else weak_labels(nodes)
                 keep = [i for i, l in enumerate(mine) if l >= 0]
                 rows += matrix[keep].tolist()
@@ -363,16 +539,15 @@ def training_nodes(spark: SparkSession, pages: DataFrame, sample_pages: int = SA
 
 
 def fit(spark: SparkSession, pages: DataFrame, **sizes) -> Trees:
-    nodes = training_nodes(spark, pages, **sizes).select(array_to_vector("features").alias("features"), "label").coalesce(2).cache()
-    try:
-        return Trees(GBTClassifier(maxIter=10, maxDepth=4, stepSize=0.3, maxBins=32, seed=1).fit(nodes))
-    finally:
-        nodes.unpersist()
+    """Trees on the bounded sample, which all tasks of the scan write and a few read again for the fit."""
+    nodes = materialize(training_nodes(spark, pages, **sizes), "nodes")
+    return Trees(GBTClassifier(maxIter=10, maxDepth=4, stepSize=0.3, maxBins=32, seed=1).fit(nodes.select(array_to_vector("features").alias("features"), "label").coalesce(2)))
 
 
 def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(trees or fit(spark, pages))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +563,7 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
 
 
 def extract_texts(pages: list[str | None], trees: Trees) -> list[str]:
-    roots = [_read(p) for p in pages]
+    roots = [parse(p or "") for p in pages]
     described = [features(r) for r in roots]
     odds = trees.odds(np.concatenate([m for _, m, _ in described])) if described else np.empty(0)
     out, at = [], 0
