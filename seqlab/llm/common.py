@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +58,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(counts: DataFrame, keys: list[str], total: int, most: int = 20_000, least: int = 1000) -> DataFrame:
+    """keys, _salts of the keys of counts (keys, n) that have too many of all rows for one task, and into how many parts they go.
+
+    A hot key has over total / most rows, so there are fewer than most of them, and the table may be broadcast.
+    """
+    limit = max(least, -(-total // most))
+    return counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
+
+
+def dealt(rows: DataFrame, hot: DataFrame, keys: list[str], by: str | Column) -> DataFrame:
+    """rows with _salt: the part of its key that a row belongs to, by the hash of a column; 0 for keys that are not hot."""
+    held = rows.join(F.broadcast(hot), keys, "left")
+    return held.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+
+
+def repeated(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """rows once for each part of their key, to be joined on keys and _salt to what dealt() gives."""
+    held = rows.join(F.broadcast(hot), keys, "left")
+    return held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
+
+
+def thinned(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, of those with a hot key one of each: repeats are dropped in the task that reads them, before they move."""
+    if hot.isEmpty():
+        return rows
+    rest = [c for c in rows.columns if c not in keys]
+    held = rows.join(F.broadcast(hot), keys, "left")
+    one = held.where("_salts is not null").groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
+    return held.where("_salts is null").drop("_salts").unionByName(one)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hands texts to Python in batches of at most so many rows, so that a batch of long texts stays small."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
