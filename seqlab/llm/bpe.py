@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Pieces, and pairs of tokens, remembered by a Python worker; beyond it the memory starts anew.
+#: Pieces, and pairs of tokens, of a generation of a Python worker's memory; the one before is kept as well.
 MEMORY = 150_000
+_NOTHING = (-1, (0, None))
 
 
 class Bpe:
@@ -35,11 +36,13 @@ class Bpe:
         self.automaton = ahocorasick.Automaton()
         for token in ranks:
             text = token.decode("latin-1")
-            self.automaton.add_word(text, len(text))
+            self.automaton.add_word(text, (len(text), ranks[token]))
         self.automaton.make_automaton()
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.old_fits: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.old_pieces: dict[str, tuple[int, ...]] = {}
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a token that no merge makes."""
@@ -56,8 +59,13 @@ class Bpe:
     def compatible(self, left: int, right: int, limit: int | None = None) -> bool:
         """Whether left and right stay as they are side by side. limit: only merges of lower rank count."""
         key = (left, right)
-        if limit is None and key in self.fits:
-            return self.fits[key]
+        if limit is None:
+            known = self.fits.get(key)
+            if known is not None:
+                return known
+            known = self.old_fits.get(key)
+            if known is not None:
+                return self.remember(key, known)
         a, b, bound, good = left, right, limit if limit is not None else 1 << 62, True
         while True:
             joint = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
@@ -74,10 +82,12 @@ class Bpe:
             else:
                 bound = min(bound, b + 1)
                 b = of_b[0]
-        if limit is None:
-            if len(self.fits) >= MEMORY:
-                self.fits.clear()
-            self.fits[key] = good
+        return self.remember(key, good) if limit is None else good
+
+    def remember(self, key: tuple[int, int], good: bool) -> bool:
+        if len(self.fits) >= MEMORY:
+            self.fits, self.old_fits = {}, self.fits
+        self.fits[key] = good
         return good
 
     def piece(self, text: str) -> tuple[int, ...]:
@@ -89,48 +99,40 @@ class Bpe:
         return tuple(self.backtrack(raw))
 
     def backtrack(self, raw: bytes) -> list[int]:
-        n = len(raw)
-        longest = [0] * n  # the longest token that begins at each place
-        for end, size in self.ends(raw):
-            at = end - size + 1
-            if size > longest[at]:
-                longest[at] = size
+        n, text, matches = len(raw), raw.decode("latin-1"), self.automaton.iter_long
         ids: list[int] = []
-        at, dead = 0, bytearray(n + 1)
-        size = longest[0] if n else 0
+        dead: set[int] = set()  # places from which nothing leads to the end
+        at, (end, (size, token)) = 0, next(matches(text, 0), _NOTHING)
         while at < n:
-            while True:
-                token = self.shorter(raw, at, size)
-                if token is None:
-                    break
-                size = len(self.bytes_of[token])
-                if not dead[at + size] and (not ids or self.compatible(ids[-1], token)):
-                    break
-                size -= 1
+            if end != at + size - 1:
+                token = None
+            while token is not None and (at + size in dead or (ids and not self.compatible(ids[-1], token))):
+                size, token = self.shorter(raw, at, size - 1)
             if token is not None:
                 ids.append(token)
                 at += size
-                size = longest[at] if at < n else 0
-            elif ids:  # no token fits here: this place is dead, try a shorter one before it
-                dead[at] = 1
+                if at < n:
+                    end, (size, token) = next(matches(text, at), _NOTHING)
+            elif ids:
+                dead.add(at)
                 last = len(self.bytes_of[ids.pop()])
                 at -= last
-                size = last - 1
+                size, token = self.shorter(raw, at, last - 1)
+                end = at + size - 1
             else:
                 raise ValueError("the vocabulary cannot encode these bytes")
         return ids
 
-    def ends(self, raw: bytes) -> Iterator[tuple[int, int]]:
-        return self.automaton.iter(raw.decode("latin-1"))
-
-    def shorter(self, raw: bytes, at: int, size: int) -> int | None:
-        """The longest token of at most size bytes that begins at this place."""
+    def shorter(self, raw: bytes, at: int, size: int) -> tuple[int, int | None]:
+        """The size and the longest token of at most size bytes that begins at this place."""
         while size > 0:
             token = self.ranks.get(raw[at : at + size])
             if token is not None:
-                return token
+                break
             size -= 1
-        return None
+        else:
+            token = None
+        return size, token
 
     def encode(self, text: str) -> list[int]:
         """As the rank merges give, piece by piece."""
@@ -138,10 +140,11 @@ class Bpe:
         for piece in self.findall(text):
             ids = known.get(piece)
             if ids is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                ids = self.piece(piece)
+                ids = self.old_pieces.get(piece) or self.piece(piece)
                 if len(piece) < 64:
+                    if len(known) >= MEMORY:
+                        self.old_pieces, known = known, {}
+                        self.pieces = known
                     known[piece] = ids
             out.extend(ids)
         return out
