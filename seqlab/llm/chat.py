@@ -7,7 +7,8 @@ conversation, and the intervals of the stream that its tokens attend to besides
 Tokens are code points here, so a tokenizer that works turn by turn can be put in their place.
 
 Depth-first order is the order of the paths of turn hashes, so a sort by ranges makes it; offsets come from the sums
-of the ranges. No tree, however many conversations share its first turn, has to be in one task.
+of the ranges. No tree, however many conversations share its first turn, has to be in one task: turns that very many
+share are joined to their owner by parts. Only the turns of one conversation are gathered in one row.
 
 Edge cases: a null role or text is empty; null turns come first, equal turns are ordered by role and text; repeated
 rows are turns of their own; rows with a null conv_id form one conversation; equal conversations share one segment;
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import dealt, hot_keys, materialize, repeated
 
 #: The marks of the template.
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -91,10 +92,13 @@ def pack(chats: DataFrame, partitions: int | None = None) -> DataFrame:
     ranged = materialize(ranged, "leaves")
     ranked = ranged.select("leaf", "part", "keys", "starts", F.row_number().over(Window.partitionBy("part").orderBy("path")).alias("place"))
     ranked = materialize(ranked, "ranked")
-    nodes = ranked.select("leaf", "part", "place", F.posexplode("keys").alias("depth", "key"), "starts")
-    nodes = nodes.select("leaf", "part", "place", "depth", "key", F.element_at("starts", F.col("depth") + 1).alias("lo"), F.element_at("starts", F.col("depth") + 2).alias("hi"))
-    owners = nodes.groupBy("key").agg(F.min(F.struct("part", "place", "leaf")).alias("owner"))
-    owned = materialize(nodes.join(owners, "key").withColumn("mine", F.col("owner.leaf") == F.col("leaf")), "nodes")
+    turns = F.arrays_zip("keys", F.col("starts").alias("lo"), F.slice("starts", 2, F.size("keys")).alias("hi"))
+    nodes = ranked.select("leaf", "part", "place", F.posexplode(F.slice(turns, 1, F.size("keys"))).alias("depth", "turn"))
+    nodes = nodes.select("leaf", "part", "place", "depth", F.col("turn.keys").alias("key"), F.col("turn.lo").alias("lo"), F.col("turn.hi").alias("hi"))
+    owners = materialize(nodes.groupBy("key").agg(F.min(F.struct("part", "place", "leaf")).alias("owner"), F.count("*").alias("n")), "owners")
+    hot = hot_keys(owners, ["key"], _sum(owners))
+    owned = dealt(nodes, hot, ["key"], "leaf").join(repeated(owners.drop("n"), hot, ["key"]), ["key", "_salt"])
+    owned = materialize(owned.withColumn("mine", F.col("owner.leaf") == F.col("leaf")), "nodes")
     segments = owned.groupBy("leaf", "part", "place").agg(
         F.coalesce(F.min(F.when(F.col("mine"), F.col("lo"))), F.max("hi")).alias("position"), F.max("hi").alias("end"), F.coalesce(F.min(F.when(F.col("mine"), F.col("depth"))), F.max("depth") + 1).alias("skip")
     )
@@ -106,7 +110,10 @@ def pack(chats: DataFrame, partitions: int | None = None) -> DataFrame:
     placed = materialize(placed.select("leaf", "offset", "position", "length", "skip"), "segments")
     source = placed.select(F.col("leaf").alias("from"), (F.col("offset") - F.col("position")).alias("shift"))
     shared = owned.where("not mine").select("leaf", "depth", "lo", "hi", F.col("owner.leaf").alias("from")).groupBy("leaf", "from").agg(F.min("depth").alias("depth"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    ancestors = shared.join(source, "from").select("leaf", F.struct("depth", "from", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi")).alias("x"))
+    shared = materialize(shared, "shared")
+    descendants = materialize(shared.groupBy("from").agg(F.count("*").alias("n")), "descendants")
+    hot = hot_keys(descendants, ["from"], _sum(descendants))
+    ancestors = dealt(shared, hot, ["from"], "leaf").join(repeated(source, hot, ["from"]), ["from", "_salt"]).select("leaf", F.struct("depth", "from", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi")).alias("x"))
     ancestors = ancestors.groupBy("leaf").agg(F.sort_array(F.collect_list("x")).alias("attends"))
     own = F.slice("turns", F.col("skip") + 1, F.greatest(F.size("turns") - F.col("skip"), F.lit(0)))
     lows = F.slice("starts", F.col("skip") + 1, F.greatest(F.size("turns") - F.col("skip"), F.lit(0)))
@@ -124,11 +131,18 @@ def pack(chats: DataFrame, partitions: int | None = None) -> DataFrame:
     )
 
 
+def _sum(counts: DataFrame) -> int:
+    return counts.agg(F.sum("n")).first()[0] or 0
+
+
 def unpack(stream: DataFrame) -> DataFrame:
     """leaf, formatted and learnt (the texts under the mask) of each segment's whole conversation, read from the stream alone."""
     pieces = stream.select("leaf", F.explode(F.concat("attends", F.array(F.struct(F.lit(1 << 30).alias("depth"), F.col("leaf").alias("from"), F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"))))).alias("x"))
     pieces = pieces.select("leaf", F.col("x.depth").alias("depth"), F.col("x.from").alias("from"), F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
-    held = pieces.join(stream.select(F.col("leaf").alias("from"), "offset", "text", F.col("learnt").alias("spans")), "from")
+    counts = materialize(pieces.groupBy("from").agg(F.count("*").alias("n")), "readers")
+    hot = hot_keys(counts, ["from"], _sum(counts))
+    emitted = stream.select(F.col("leaf").alias("from"), "offset", "text", F.col("learnt").alias("spans"))
+    held = dealt(pieces, hot, ["from"], "leaf").join(repeated(emitted, hot, ["from"]), ["from", "_salt"])
 
     def cut(lo, hi):
         return F.substring(F.col("text"), (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int"))
@@ -165,4 +179,6 @@ def digest_read_back(rows: DataFrame) -> DataFrame:
         F.sha2(learnt, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
-    return chats.select("conv_id", "leaf").join(digests, "leaf").drop("leaf")
+    counts = materialize(chats.groupBy("leaf").agg(F.count("*").alias("n")), "equals")
+    hot = hot_keys(counts, ["leaf"], _sum(counts))
+    return dealt(chats.select("conv_id", "leaf"), hot, ["leaf"], "conv_id").join(repeated(digests, hot, ["leaf"]), ["leaf", "_salt"]).drop("leaf", "_salt")
