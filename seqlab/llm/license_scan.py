@@ -2,11 +2,15 @@
 
 Every rolling gram of k words of every text is hashed and looked up among the grams of the templates; the hits are
 joined to the template positions, and each hit votes for the diagonal (word in the text minus word in the template)
-it lies on. Neighbouring diagonals of one template are merged, and a span counts if the template words it covers,
-compared as words and not only as hashes, reach the template's threshold.
+it lies on. Neighbouring diagonals of one template are merged. A merged span is verified by aligning its words with the
+template in order: its score is the template words that match, as words and not only as hashes, over the template's
+words and those put in between, and it counts from the coverage on. Where spans of several notices overlap, only those
+that no other beats by score, or by length at equal scores, keep their label; so a licence isn't taken for another one
+of which it has most words.
 
 Edge cases: a null or empty text has no words and no spans; repeated rows are judged row by row; rows with a null id
-keep it; other columns, whatever their names, are neither read nor returned. Texts of any length are read whole.
+keep it; other columns, whatever their names, are neither read nor returned; no rows give no rows. Texts of any length
+are read whole. Of two notices of one score and length at one place both labels stay.
 """
 
 from __future__ import annotations
@@ -14,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Lookup, gram_hash, words_of
+from .common import ALNUM, Lookup, bounded_batches, gram_hash, words_of
 
 #: The phrases whose exact places are counted, with their labels.
 PHRASES = [
@@ -29,14 +34,35 @@ PHRASES = [
 #: Notices that may be worn or edited, with their labels.
 NOTICES = [
     ("released under the mit license", "mit"),
+    ("licensed under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("licensed under the apache license version 2 0", "apache-2.0"),
     ("you may obtain a copy of the license at http www apache org licenses license 2 0", "apache-2.0"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("this work is licensed under the gnu lesser general public license version 3", "lgpl-3.0"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "agpl"),
+    ("licensed under cc by 4 0", "cc-by"),
+    ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
+    ("licensed under cc by nd 4 0", "cc-by-nd"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("this work is licensed under a creative commons attribution share alike 4 0 international license", "cc-by-sa"),
+    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
+    ("this work is licensed under a creative commons attribution non commercial 4 0 international license", "cc-by-nc"),
+    ("this work is licensed under a creative commons attribution noderivatives 4 0 international license", "cc-by-nd"),
+    ("this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "cc-by-nc-sa"),
+    ("this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", "cc-by-nc-nd"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("this work has been identified as being free of known restrictions under copyright law", "public-domain"),
 ]
 
@@ -76,11 +102,12 @@ def _hits(keys: dict[int, Lookup]):
 
 
 def license_spans(docs: DataFrame, grams: DataFrame | None = None, slack: int = 2, coverage: float = 0.8) -> DataFrame:
-    """Per row of docs (doc_id, text) and verified span: row, doc_id, n_words, template, label, exact, first_word, last_word, covered.
+    """Per row of docs (doc_id, text) and verified span: row, doc_id, n_words, template, label, exact, first_word, last_word, matched, score.
 
     A row without spans comes once, with nulls from template on. grams: see templates(); it is small and broadcast.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     grams = grams if grams is not None else templates(spark)
     keys = {k: Lookup(np.array(v, np.int64).view(np.uint64)) for k, v in _by_k(grams).items()}
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -95,26 +122,70 @@ def license_spans(docs: DataFrame, grams: DataFrame | None = None, slack: int =
         .withColumn("diagonal", F.col("pos") - F.col("tpos"))
     )
     keep = ["row", "doc_id", "n_words", "template", "label", "exact", "length", "k"]
-    diagonals = votes.groupBy(*keep, "diagonal").agg(F.collect_set("tpos").alias("at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    along = Window.partitionBy("row", "template").orderBy("diagonal", "lo")
+    diagonals = votes.groupBy(*keep, "diagonal").agg(F.collect_set(F.struct("pos", "tpos")).alias("at"))
+    along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.when(F.col("exact"), F.lit(0)).otherwise(F.lit(slack))
     merged = (
         diagonals.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(along) > apart).cast("int"))
         .withColumn("span", F.sum(F.coalesce("new", F.lit(1))).over(along))
         .groupBy(*keep, "span")
-        .agg(F.min("diagonal").alias("diagonal"), F.flatten(F.collect_list("at")).alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .agg(F.flatten(F.collect_list("at")).alias("at"))
     )
-    words = F.size(F.array_distinct(F.flatten(F.transform("at", lambda t: F.sequence(t, t + F.col("k") - 1)))))
-    spans = merged.withColumn("covered", F.when(F.col("template").isNotNull(), words / F.col("length")))
-    whole = F.when(F.col("exact"), F.col("covered") == 1).otherwise(F.col("covered") >= coverage)
-    none = F.lit(None)
-    return spans.select(
-        "row", "doc_id", "n_words",
-        *(F.when(whole, F.col(c)).otherwise(none).alias(c) for c in ("template", "label", "exact")),
-        F.when(whole, F.when(F.col("exact"), F.col("diagonal")).otherwise(F.col("lo"))).alias("first_word"),
-        F.when(whole, F.col("hi") + F.col("k") - 1).alias("last_word"),
-        F.when(whole, F.col("covered")).alias("covered"),
-    )
+    merged = merged.withColumn("found", _aligned(coverage)("at", "length", "k", "exact"))
+    named = F.transform("found", lambda x: F.struct("template", "label", "exact", *(x[c].alias(c) for c in SPAN)))
+    rows = merged.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list(named)).alias("spans"))
+
+    def beaten(x):
+        better = lambda y: (y["score"] > x["score"]) | ((y["score"] == x["score"]) & (y["matched"] > x["matched"]))
+        return F.exists("spans", lambda y: ~y["exact"] & (y["first_word"] <= x["last_word"]) & (x["first_word"] <= y["last_word"]) & better(y))
+
+    left = F.filter("spans", lambda x: x["exact"] | ~beaten(x))
+    return rows.select("row", "doc_id", "n_words", F.explode_outer(left).alias("x")).select("row", "doc_id", "n_words", "x.*")
+
+
+def align(hits: list[tuple[int, int]], length: int, k: int, coverage: float) -> list[tuple[int, int, int, float]]:
+    """(first word, last word, matched, score) of disjoint spans in which hits (pos, tpos) of k words follow the template in order.
+
+    The score is matched / (length + inserted). A span that reaches the coverage has at most length / coverage words, so
+    hits farther apart than that are never of one span.
+    """
+    hits, far = sorted(hits), length / coverage
+    best: list[tuple[float, int, int, int]] = []  # per hit: score, matched, inserted, first word of the best chain that ends in it
+    lo = 0
+    for i, (pos, tpos) in enumerate(hits):
+        while hits[lo][0] < pos - far:
+            lo += 1
+        chain = (k / length, k, 0, pos)
+        for j in range(lo, i):
+            apos, atpos = hits[j]
+            step, tstep = pos - apos, tpos - atpos
+            if step > 0 and tstep > 0 and not (step < k and step != tstep):
+                _, matched, inserted, first = best[j]
+                matched, inserted = matched + min(k, step, tstep), inserted + max(0, step - tstep)
+                chain = max(chain, (matched / (length + inserted), matched, inserted, first), key=lambda x: (x[0], x[1], x[3]))
+        best.append(chain)
+    out: list[tuple[int, int, int, float]] = []
+    for score, i in sorted(((b[0], i) for i, b in enumerate(best) if b[0] >= coverage), key=lambda x: (-x[0], x[1])):
+        first, last = best[i][3], hits[i][0] + k - 1
+        if all(last < f or l < first for f, l, _, _ in out):
+            out.append((first, last, best[i][1], score))
+    return out
+
+
+#: What a verified span is told by.
+SPAN = ["first_word", "last_word", "matched", "score"]
+
+
+def _aligned(coverage: float):
+    @F.pandas_udf("array<struct<first_word:bigint,last_word:bigint,matched:bigint,score:double>>")
+    def spans(at: pd.Series, length: pd.Series, k: pd.Series, exact: pd.Series) -> pd.Series:
+        out = []
+        for hits, n, words, whole in zip(at, length, k, exact):  # no length: a row without hits
+            found = [] if pd.isna(n) else align([(x["pos"], x["tpos"]) for x in hits], int(n), int(words), 1.0 if whole else coverage)
+            out.append([dict(zip(SPAN, x)) for x in found])
+        return pd.Series(out)
+
+    return spans
 
 
 def _by_k(grams: DataFrame) -> dict[int, list[int]]:
@@ -129,7 +200,7 @@ def scan_licenses(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the exact phrases' places; first_word and last_word are the smallest and largest start among them
-    (null if none); labels also has those of the notices; score is the best coverage (0 if nothing was found).
+    (null if none); labels also has those of the notices; score is the best span's (0 if nothing was found).
     """
     exact = F.col("exact")
 
@@ -145,7 +216,7 @@ def scan_licenses(docs: DataFrame, **options) -> DataFrame:
             F.max(F.when(exact, F.col("first_word"))).alias("last_word"),
             labels(F.when(exact, F.col("label"))).alias("base_labels"),
             labels(F.col("label")).alias("labels"),
-            F.coalesce(F.max("covered"), F.lit(0.0)).alias("score"),
+            F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
         )
         .drop("row")
     )
