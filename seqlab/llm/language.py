@@ -10,7 +10,8 @@ cross-entropy is far above what its language showed on those rows.
 Fitting takes about train_docs distinct texts of each language, chosen by a hash, and the whole texts of these;
 predictions read whole texts and nothing but texts. Edge cases: null, empty and letterless texts get `und`, score 0
 and are rejected; equal cross-entropies go to the language first in order; repeated rows are judged row by row; rows
-with a null id keep it; with no labelled row at all every text gets `und`.
+with a null id keep it; with no labelled row at all every text gets `und`; columns of docs that are named as a result
+give way to it, all other names are free; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, bounded_batches, fmix64, materialize, words_of
+from .common import LETTERS, bounded_batches, fmix64, free_name, materialize, words_of
 
 ORDER = 5
 #: Words that a Python worker remembers; beyond it the memory starts anew.
@@ -346,13 +347,22 @@ def identify(docs: DataFrame, learned: Languages, tolerance: float = 12.0) -> Da
         far = least > mean[best] + 1.0 + tolerance * spread[best] / np.sqrt(np.maximum(words, 1))
         return pd.DataFrame({"language": names[best], "confidence": confidence, "rejected": far})
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rest = [c for c in docs.columns if c.lower() not in ("language", "confidence", "rejected")]
     if not learned.languages:
-        return docs.select("*", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"))
-    judged = docs.select("*", judge("text").alias("judged"), letters.alias("lettered"))
-    return judged.select(
-        *docs.columns,
-        F.when(F.col("lettered"), F.col("judged.language")).otherwise("und").alias("language"),
-        F.when(F.col("lettered"), F.col("judged.confidence")).otherwise(0.0).alias("confidence"),
-        (~F.col("lettered") | F.col("judged.rejected")).alias("rejected"),
+        return docs.select(*rest, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"))
+    judged = free_name("judged", docs.columns)
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    found = docs.select(*rest, F.struct(judge("text").alias("x"), lettered.alias("lettered")).alias(judged))
+    x, lettered = F.col(judged)["x"], F.col(judged)["lettered"]
+    return found.select(
+        *rest,
+        F.when(lettered, x["language"]).otherwise("und").alias("language"),
+        F.when(lettered, x["confidence"]).otherwise(0.0).alias("confidence"),
+        (~lettered | x["rejected"]).alias("rejected"),
     )
+
+
+def keep_known(docs: DataFrame, learned: Languages, **options) -> DataFrame:
+    """The rows of docs, with all their columns, that identify() does not reject."""
+    row = docs.select("text", F.struct("*").alias("row"))
+    return identify(row, learned, **options).where("not rejected").select("row.*")

@@ -7,7 +7,8 @@ only in scheme or fragment are one.
 
 Edge cases: a null url, or one without `://`, has an empty host and path, no rule and no aliases, and is allowed; null
 html has no edges; all canonical links and refreshes of a page count; their character references are decoded (numeric
-ones, and amp, lt, gt, quot, apos) and relative targets are resolved against the page's url (a base element is ignored);
+ones, and amp, lt, gt, quot, apos) and relative targets are resolved against the page's url, or its first base element's
+if that has an http address; links inside comments, scripts and styles don't count;
 repeated rows are judged row by row; no rows give no rows; columns beside page_id, url and html are ignored.
 """
 
@@ -22,7 +23,9 @@ from .components import connected_components
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST, PATH, REST = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)", r"(?s)^.*?://[^/?#]*([^#]*)"
-LINK, META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+LINK, META, BASE = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>", r"(?is)<base\b[^>]*>"
+#: What a browser doesn't read as markup.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|template)\b.*?(?:</\1\b|\z)"
 #: What follows the wait in a refresh, with or without url= and quotes.
 REFRESH = r"""(?is)^\s*+(?:[\d.]++(?:\s*+[;,]|\s++)\s*+(?:url\s*+=\s*+)?+|url\s*+=\s*+)(?:"([^"]*)|'([^']*)|([^"'].*))"""
 NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
@@ -125,14 +128,18 @@ def alias_edges(pages: DataFrame) -> DataFrame:
             rows = rows.select("*", F.explode(F.array(value)).alias(name))
         return rows
 
-    found = pages.where(F.col("html").isNotNull()).select("url", F.explode(F.concat(tags(LINK, "canonical"), tags(META, "refresh"))).alias("tag"))
+    # the few pages with such a word, and of these what a browser reads
+    some = pages.where(F.col("html").rlike(r"(?i)canonical|refresh|&#")).select("url", F.explode(F.array(F.regexp_replace("html", UNREAD, " "))).alias("html"))
+    base = unescaped(attribute(F.regexp_extract("html", BASE, 0), "href"))
+    some = step(some, base=F.when(base.rlike(r"(?i)^https?://"), base).otherwise(F.col("url")))
+    found = some.select("url", "base", F.explode(F.concat(tags(LINK, r"canonical|&#"), tags(META, r"refresh|&#"))).alias("tag"))
     tag, link = F.col("tag"), F.col("tag").rlike(r"(?i)^<link\b")
     found = step(found, kind=F.when(link, attribute(tag, "rel")).otherwise(attribute(tag, "http-equiv")), value=F.when(link, attribute(tag, "href")).otherwise(attribute(tag, "content")))
     found = step(found, role=unescaped(F.col("kind")), text=unescaped(F.col("value")), rest=F.when(link, old(tag, "href")).otherwise(old(tag, "url")))
     found = found.where(F.when(link, F.col("role").rlike(r"(?i)(^|\s)canonical(\s|$)")).otherwise(F.col("role").rlike(r"(?i)^\s*refresh\s*$")))
     found = step(found, content=F.when(link, F.col("text")).otherwise(_groups(F.col("text"), REFRESH)), plain=unescaped(F.col("rest")))
     found = step(found, raw=F.regexp_replace(F.regexp_replace(F.when(F.col("content") != "", F.col("content")).otherwise(F.col("plain")), r"[\t\r\n\f]", ""), "^ +| +$", ""))
-    found = step(found, target=resolved(F.col("url"), F.col("raw")))
+    found = step(found, target=resolved(F.col("base"), F.col("raw")))
     found = step(found, a=alias_key(F.col("url")), b=alias_key(F.col("target"))).select("a", "b")
     return found.where("a is not null and b is not null and a <> b").distinct()
 

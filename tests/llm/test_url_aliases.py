@@ -46,3 +46,20 @@ def test_escaped_query_joins_its_page(spark):
     rows = [(1, "http://h.example.org/q", '<link rel="canonical" href="http://h.example.com/de/?a=1&amp;b=2">')]
     edges = alias_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [(e.a, e.b) for e in edges] == [("h.example.org/q", "h.example.com/de/?a=1&b=2")]
+
+
+def test_base_comments_and_scripts(spark):
+    def page(i, html):
+        return (i, f"http://a.org/p{i}", html)
+
+    rows = [
+        page(1, '<base href="http://example.com/de/x/"><link rel=canonical href="../1">'),
+        page(2, '<!-- <link rel=canonical href="http://example.com/de/2"> -->'),
+        page(3, """<script>var t = '<link rel="canonical" href="http://example.com/de/3">'</script>"""),
+        page(4, '<!-- a --><link rel="alternate canonical" href="http://example.com/de/4"><!-- b'),
+        page(5, '<base target=x><link rel=canonical href="//example.com/de/5">'),
+        page(6, '<link rel="&#99;anonical" href="http://example.com/de/6">'),
+    ]
+    got = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(rows * 2, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "block"}
+    assert filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
