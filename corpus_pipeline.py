@@ -19,8 +19,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language ID rejects: texts without a letter, or unlike every learned language."""
-    model = language.train(docs)
-    return language.identify(docs, model).where("not rejected").select(*docs.columns)
+    return language.keep_known(docs, language.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +44,7 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-#: No SQL expresses the models and tokenizers; tests/llm holds each stage against a brute-force version.
+#: No SQL expresses the models and tokenizers; tests/llm/test_pipeline.py holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
