@@ -103,11 +103,12 @@ def _sketches(k: int, bands: int, rows: int, alphabet: str):
 def _shingle_arrays(k: int, alphabet: str):
     def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for w in words_of(batch.column("text"), ALPHABETS[alphabet]) for s in _sets(w, k)]
-            wanted = zip(batch.column("print_a").to_pylist(), batch.column("print_b").to_pylist())
-            right = pa.array([_prints(s) == x for s, x in zip(sets, wanted)], pa.bool_())  # hashes of texts may clash
-            out = [batch.column("cid"), batch.column("n_shingles"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["cid", "n_shingles", "shingles"]).filter(right)
+            for w in words_of(batch.column("text"), ALPHABETS[alphabet]):  # a bounded run of texts at a time
+                part, sets = batch.slice(w.lo, w.hi - w.lo), list(_sets(w, k))
+                wanted = zip(part.column("print_a").to_pylist(), part.column("print_b").to_pylist())
+                right = np.flatnonzero([_prints(s) == x for s, x in zip(sets, wanted)])  # hashes of texts may clash
+                kept = pa.array([sets[i].view(np.int64) for i in right], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("cid").take(pa.array(right)), part.column("n_shingles").take(pa.array(right)), kept], ["cid", "n_shingles", "shingles"])
 
     return arrays
 
