@@ -6,32 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.series import with_ordinal
+from .storage import pinned
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as three-digit draws in the order of date and key: t, day, slot, machine, c, d1..d3."""
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as three-digit draws in no order: day, o_orderkey, slot, machine, ball1..ball3, c, d1..d3."""
     c = F.floor("o_totalprice").cast("long") % 1000
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_orderkey", (F.col("o_orderkey") % 4).alias("slot"), F.col("o_orderpriority").alias("machine"), c.alias("c"))
-    rows = rows.withColumns({"d1": F.floor(F.col("c") / 100).cast("int"), "d2": F.floor(F.col("c") / 10 % 10).cast("int"), "d3": (F.col("c") % 10).cast("int")})
-    return with_ordinal(rows, ["day", "o_orderkey"])
+    balls = [F.col("o_orderstatus").alias("ball1"), F.when(F.col("o_custkey") % 11 > 0, F.col("o_custkey") % 5).alias("ball2"), (F.col("o_custkey") % 7).alias("ball3")]
+    out = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_orderkey", (F.col("o_orderkey") % 4).alias("slot"), F.col("o_orderpriority").alias("machine"), *balls, c.alias("c"))
+    return out.withColumns({"d1": F.floor(F.col("c") / 100).cast("int"), "d2": F.floor(F.col("c") / 10 % 10).cast("int"), "d3": (F.col("c") % 10).cast("int")})
+
+
+def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows() with t, their place in the order of date and key; numbering them takes a shuffle and a checkpoint."""
+    return with_ordinal(rows(spark, sf_dir), ["day", "o_orderkey"])
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The brands of an order's parts as its basket: t, item."""
+    """The brands of an order's parts as its basket: t, item. Written once, as most operators read it more than once."""
     lines, parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 9).cast("int").alias("item"))
     held = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("o_orderkey"), "item").distinct()
-    return held.join(draws(spark, sf_dir).select("o_orderkey", "t"), "o_orderkey").select("t", "item")
+    return pinned(held.join(draws(spark, sf_dir).select("o_orderkey", "t"), "o_orderkey").select("t", "item"))
 
 
 def steps(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "orders").count()
 
 
-DRAWS = """d0 AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey, o_orderkey % 4 AS slot, o_orderpriority AS machine, CAST(floor(o_totalprice) AS BIGINT) % 1000 AS c FROM orders),
+DRAWS = """d0 AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey, o_orderkey % 4 AS slot, o_orderpriority AS machine, o_orderstatus AS ball1, CASE WHEN o_custkey % 11 > 0 THEN o_custkey % 5 END AS ball2, o_custkey % 7 AS ball3, CAST(floor(o_totalprice) AS BIGINT) % 1000 AS c FROM orders),
 draws AS (SELECT row_number() OVER (ORDER BY day, o_orderkey) - 1 AS t, *, CAST(c // 100 AS INTEGER) AS d1, CAST(c // 10 % 10 AS INTEGER) AS d2, CAST(c % 10 AS INTEGER) AS d3 FROM d0)"""
 ITEMS = DRAWS + """,
 items AS (SELECT DISTINCT t, CAST(substr(p_brand, 7) AS INTEGER) AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN draws ON l_orderkey = o_orderkey),
@@ -44,9 +50,10 @@ def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_extendedprice").alias("price"), F.count("*").alias("n_lines"))
 
 
-def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def joined(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     """Draws with the covariates of their day, null where there are none."""
-    return draws(spark, sf_dir).join(covariates(spark, sf_dir), "day", "left")
+    base = draws(spark, sf_dir) if ordered else rows(spark, sf_dir)
+    return base.join(covariates(spark, sf_dir), "day", "left")
 
 
 COVARIATES = DRAWS + """,

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import catalog_features, catalog_io, catalog_models, catalog_patterns, catalog_relations, catalog_scores
-from .bindings import DRAWS, ITEMS, draws, items, steps, table
+from .bindings import DRAWS, ITEMS, draws, items, rows, steps, table
 from .operators import items as I
 from .operators import resampling as N
 from .operators import series as S
@@ -76,7 +76,7 @@ _register("r15_intersect_sets", lambda s, d: table(s, d, "customer").select(F.co
 _register("r17_sort_limit", lambda s, d: table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 _register("r18_top_k_per_group", lambda s, d: table(s, d, "orders").withColumn("r", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("r <= 5").select("o_orderpriority", "r", "o_orderkey"),
           "SELECT o_orderpriority, CAST(r AS INTEGER) AS r, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 5")
-_register("r19_hash_aggregate", lambda s, d: _rounded(draws(s, d).groupBy(F.year("day").alias("y"), F.month("day").alias("m")).agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.stddev_samp("c").alias("sd"), F.min("c").alias("lo"), F.max("c").alias("hi")), "mean", "sd"),
+_register("r19_hash_aggregate", lambda s, d: _rounded(rows(s, d).groupBy(F.year("day").alias("y"), F.month("day").alias("m")).agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.stddev_samp("c").alias("sd"), F.min("c").alias("lo"), F.max("c").alias("hi")), "mean", "sd"),
           _with(DRAWS, "SELECT CAST(year(day) AS INTEGER) AS y, CAST(month(day) AS INTEGER) AS m, count(*) AS n, round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS sd, min(c) AS lo, max(c) AS hi FROM draws GROUP BY 1, 2"))
 _register("r20_distinct_count", lambda s, d: table(s, d, "lineitem").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("supps")), "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM lineitem")
 _register("r21_value_counts", lambda s, d: table(s, d, "lineitem").groupBy(F.concat_ws("|", "l_returnflag", "l_linestatus").alias("key")).agg(F.count("*").alias("n")), "SELECT l_returnflag || '|' || l_linestatus AS key, count(*) AS n FROM lineitem GROUP BY 1")
@@ -89,12 +89,12 @@ _register("r25_percentile_stats", lambda s, d: _rounded(table(s, d, "orders").gr
 _register("r26_seeded_subset", lambda s, d: table(s, d, "orders").select("o_orderkey").orderBy(F.md5(F.concat(F.lit("7:"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(100), "SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100")
 
 # scalar functions
-_register("c2_digit_shape", lambda s, d: draws(s, d).groupBy((F.col("d1") + F.col("d2") + F.col("d3")).alias("total"), F.size(F.array_distinct(F.array(*DIGITS))).alias("kinds")).agg(F.count("*").alias("n")),
+_register("c2_digit_shape", lambda s, d: rows(s, d).groupBy((F.col("d1") + F.col("d2") + F.col("d3")).alias("total"), F.size(F.array_distinct(F.array(*DIGITS))).alias("kinds")).agg(F.count("*").alias("n")),
           _with(DRAWS, "SELECT d1 + d2 + d3 AS total, CAST(len(list_distinct([d1, d2, d3])) AS INTEGER) AS kinds, count(*) AS n FROM draws GROUP BY 1, 2"))
-_register("c4_calendar", lambda s, d: draws(s, d).groupBy(F.weekday("day").alias("dow"), F.month("day").alias("month")).agg(F.count("*").alias("n")), _with(DRAWS, "SELECT CAST(isodow(day) - 1 AS INTEGER) AS dow, CAST(month(day) AS INTEGER) AS month, count(*) AS n FROM draws GROUP BY 1, 2"))
+_register("c4_calendar", lambda s, d: rows(s, d).groupBy(F.weekday("day").alias("dow"), F.month("day").alias("month")).agg(F.count("*").alias("n")), _with(DRAWS, "SELECT CAST(isodow(day) - 1 AS INTEGER) AS dow, CAST(month(day) AS INTEGER) AS month, count(*) AS n FROM draws GROUP BY 1, 2"))
 _register("c5_cyclic_encoding", lambda s, d: draws(s, d).select("t", F.round(F.sin(2 * 3.141592653589793 * F.dayofyear("day") / 365.25), 6).alias("sin_doy"), F.round(F.cos(2 * 3.141592653589793 * F.dayofyear("day") / 365.25), 6).alias("cos_doy")),
           _with(DRAWS, "SELECT t, round(sin(2 * 3.141592653589793 * dayofyear(day) / 365.25), 6) AS sin_doy, round(cos(2 * 3.141592653589793 * dayofyear(day) / 365.25), 6) AS cos_doy FROM draws"))
-_register("c10_box_key", lambda s, d: draws(s, d).select(F.concat_ws("", F.array_sort(F.array(*DIGITS)).cast("array<string>")).alias("box"), F.size(F.array_distinct(F.array(*DIGITS))).alias("k")).groupBy("box").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 3, 6).when(F.col("k") == 2, 3).otherwise(1)).alias("orbit")),
+_register("c10_box_key", lambda s, d: rows(s, d).select(F.concat_ws("", F.array_sort(F.array(*DIGITS)).cast("array<string>")).alias("box"), F.size(F.array_distinct(F.array(*DIGITS))).alias("k")).groupBy("box").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 3, 6).when(F.col("k") == 2, 3).otherwise(1)).alias("orbit")),
           _with(DRAWS, "SELECT array_to_string(list_sort([d1, d2, d3]), '') AS box, count(*) AS n, max(CASE len(list_distinct([d1, d2, d3])) WHEN 3 THEN 6 WHEN 2 THEN 3 ELSE 1 END) AS orbit FROM draws GROUP BY 1"))
 
 # causal windows
@@ -165,7 +165,7 @@ _register("w29_seasonal_naive", lambda s, d: S.over_chunks(draws(s, d), lambda w
 # items: tests, dependence, patterns, spells
 _register("f1_item_frequency", lambda s, d: _rounded(I.item_frequency(items(s, d), steps(s, d), 25), "z", "chi2_part"),
           _with(ITEMS, ", a AS (SELECT count(*) / 25 AS e FROM items) SELECT item, count(*) AS n, round((count(*) - any_value(e)) / sqrt(any_value(e) * (1 - any_value(e) / any_value(steps))), 6) AS z, round((count(*) - any_value(e)) ** 2 / any_value(e), 6) AS chi2_part FROM items, a, st GROUP BY item"))
-_register("f2_position_bias", lambda s, d: draws(s, d).select(F.explode(F.array(*(F.struct(F.lit(p).alias("pos"), F.col(p).alias("digit")) for p in DIGITS))).alias("x")).groupBy("x.pos", "x.digit").agg(F.count("*").alias("n")),
+_register("f2_position_bias", lambda s, d: rows(s, d).select(F.explode(F.array(*(F.struct(F.lit(p).alias("pos"), F.col(p).alias("digit")) for p in DIGITS))).alias("x")).groupBy("x.pos", "x.digit").agg(F.count("*").alias("n")),
           _with(DRAWS, "SELECT pos, digit, count(*) AS n FROM (SELECT 'd1' AS pos, d1 AS digit FROM draws UNION ALL SELECT 'd2', d2 FROM draws UNION ALL SELECT 'd3', d3 FROM draws) GROUP BY 1, 2"))
 _register("w16_item_gaps", lambda s, d: _rounded(I.item_gaps(items(s, d)), "mean_gap"),
           _with(ITEMS, ", g AS (SELECT item, t, t - lag(t) OVER (PARTITION BY item ORDER BY t) AS gap FROM items) SELECT item, count(gap) AS gaps, round(avg(gap), 6) AS mean_gap, max(gap) AS longest, max(t) AS last_t FROM g GROUP BY item"))
@@ -204,12 +204,12 @@ def _markov(s, d):
 
 
 _register("p2_markov_scores", _markov, _with(DRAWS, ", l AS (SELECT t, lag(d1) OVER (ORDER BY t) AS was, d1 AS next FROM draws), n AS (SELECT was, next, count(*) AS n FROM l WHERE was IS NOT NULL AND t < CAST(floor(0.7 * (SELECT count(*) FROM orders)) AS BIGINT) GROUP BY 1, 2) SELECT was, next, round((n + 1) / (sum(n) OVER (PARTITION BY was) + 10), 6) AS p FROM n"))
-_register("n2_permutation_null", lambda s, d: _rounded(N.permutation_match(S.over_chunks(draws(s, d), lambda w: {"guess": F.lag("d1", 1).over(w)}, 1).where("t > 0 and t % 10 = 0"), "guess", "d1", "t", 100), "observed", "null_mean", "p"),
-          _with(DRAWS, """, g AS (SELECT t, lag(d1) OVER (ORDER BY t) AS guess, d1 FROM draws), x AS (SELECT * FROM g WHERE t > 0 AND t % 10 = 0), r AS (SELECT *, rep FROM x, range(1, 101) q(rep)),
+_register("n2_permutation_null", lambda s, d: _rounded(N.permutation_match(S.over_chunks(draws(s, d), lambda w: {"guess": F.lag("d1", 1).over(w)}, 1).where("t > 0"), "guess", "d1", "t", 100), "observed", "null_mean", "null_p95", "p"),
+          _with(DRAWS, """, g AS (SELECT t, lag(d1) OVER (ORDER BY t) AS guess, d1 FROM draws), x AS (SELECT * FROM g WHERE t > 0), r AS (SELECT *, rep FROM x, range(1, 101) q(rep)),
 o AS (SELECT rep, t, guess, d1, row_number() OVER (PARTITION BY rep ORDER BY t) AS slot, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('42:' || rep || ':' || t), 1, 12))::BIGINT, t) AS source FROM r),
 e AS (SELECT a.rep, avg(CAST(a.guess = b.d1 AS DOUBLE)) AS stat FROM o a JOIN o b ON a.rep = b.rep AND a.slot = b.source GROUP BY 1), s AS (SELECT avg(CAST(guess = d1 AS DOUBLE)) AS observed FROM x)
-SELECT round(observed, 6) AS observed, round(avg(stat), 6) AS null_mean, round((1 + count(*) FILTER (stat >= observed)) / 101, 6) AS p FROM e, s GROUP BY observed"""))
-_register("n2_permutation_null_all", lambda s, d: _rounded(N.permutation_match(S.over_chunks(draws(s, d), lambda w: {"guess": F.lag("d1", 1).over(w)}, 1).where("t > 0"), "guess", "d1", "t", 100), "observed", "null_mean", "p"))
+SELECT round(observed, 6) AS observed, round(avg(stat), 6) AS null_mean, round(quantile_cont(stat, 0.95), 6) AS null_p95, round((1 + count(*) FILTER (stat >= observed)) / 101, 6) AS p FROM e, s GROUP BY observed"""))
+_register("n2_permutation_null_all", _QUERIES["n2_permutation_null"], _SQL["n2_permutation_null"])  # its name when the other one read a part
 _register("n7_sign_flip", lambda s, d: _rounded(N.sign_flip(draws(s, d).select("t", (F.col("d1") - F.col("d2")).cast("double").alias("x")), "x", "t", 50), "observed", "p"),
           _with(DRAWS, """, f AS (SELECT rep, round(avg(CASE WHEN ('0x' || substr(md5('42:' || rep || ':' || t), 1, 12))::BIGINT % 2 = 0 THEN d1 - d2 ELSE d2 - d1 END), 9) AS m FROM draws, range(1, 51) q(rep) GROUP BY 1), s AS (SELECT round(avg(d1 - d2), 9) AS observed, count(*) AS n FROM draws)
 SELECT round(observed, 6) AS observed, n, round((1 + count(*) FILTER (abs(m) >= abs(observed))) / 51, 6) AS p FROM f, s GROUP BY 1, 2, observed"""))

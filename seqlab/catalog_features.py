@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .bindings import COVARIATES, DRAWS, ITEMS, draws, items, joined, steps
+from .bindings import COVARIATES, DRAWS, ITEMS, draws, items, joined, rows, steps
 from .catalog_relations import _r
 from .catalog_scores import BASE, DIGITS, marginals
 from .operators import features as E
@@ -27,7 +27,7 @@ def _register(name, query, sql=None):
 # scalar functions of a row
 _register("c3_basket_shape", lambda s, d: _r(items(s, d).groupBy("t").agg(F.sum("item").alias("total"), F.avg("item").alias("mean"), F.stddev_samp("item").alias("sd"), (F.max("item") - F.min("item")).alias("range"), F.sum(F.col("item") % 2).alias("odd")), "mean", "sd"),
           _I + " SELECT t, CAST(sum(item) AS BIGINT) AS total, round(avg(item), 6) AS mean, round(stddev_samp(item), 6) AS sd, max(item) - min(item) AS range, CAST(sum(item % 2) AS BIGINT) AS odd FROM items GROUP BY t")
-_register("c7_bins", lambda s, d: draws(s, d).select(F.when(F.col("d1") + F.col("d2") + F.col("d3") < 10, 0).when(F.col("d1") + F.col("d2") + F.col("d3") < 18, 1).otherwise(2).alias("third"), ((F.col("d1") == F.col("d2")) | (F.col("d2") == F.col("d3")) | (F.col("d1") == F.col("d3"))).alias("repeat")).groupBy("third", "repeat").agg(F.count("*").alias("n")),
+_register("c7_bins", lambda s, d: rows(s, d).select(F.when(F.col("d1") + F.col("d2") + F.col("d3") < 10, 0).when(F.col("d1") + F.col("d2") + F.col("d3") < 18, 1).otherwise(2).alias("third"), ((F.col("d1") == F.col("d2")) | (F.col("d2") == F.col("d3")) | (F.col("d1") == F.col("d3"))).alias("repeat")).groupBy("third", "repeat").agg(F.count("*").alias("n")),
           _D + " SELECT CASE WHEN d1 + d2 + d3 < 10 THEN 0 WHEN d1 + d2 + d3 < 18 THEN 1 ELSE 2 END AS third, d1 = d2 OR d2 = d3 OR d1 = d3 AS repeat, count(*) AS n FROM draws GROUP BY 1, 2")
 _register("w8_calendar_onehot", lambda s, d: draws(s, d).select("t", *((F.weekday("day") == k).cast("int").alias(f"dow_{k}") for k in range(7)), *((F.month("day") == k).cast("int").alias(f"month_{k}") for k in range(1, 13))),
           _D + " SELECT t, " + ", ".join(f"CAST(isodow(day) = {k + 1} AS INTEGER) AS dow_{k}" for k in range(7)) + ", " + ", ".join(f"CAST(month(day) = {k} AS INTEGER) AS month_{k}" for k in range(1, 13)) + " FROM draws")
@@ -45,8 +45,8 @@ def _w20(s, d):
 
 _register("w20_partner_presence", _w20, _I + """, p AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM items x JOIN items y ON x.t = y.t AND x.item <> y.item GROUP BY 1, 2), k AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM p) WHERE r <= 5)
 SELECT i.t + 1 AS t, k.a AS item, count(*) AS partners FROM items i JOIN k ON k.b = i.item GROUP BY 1, 2""")
-_register("w23_decayed_symbol_freq", lambda s, d: E.decayed_frequency(draws(s, d), "d1", 10, 0.05, 60).select("t", *(F.round(F.col("p_d1")[k], 6).alias(f"p{k}") for k in range(10))),
-          _D + ", x AS (SELECT a.t, " + ", ".join(f"sum(CASE WHEN b.d1 = {k} THEN exp(-0.05 * (a.t - b.t)) ELSE 0 END) / sum(exp(-0.05 * (a.t - b.t))) AS p{k}" for k in range(10)) + " FROM draws a JOIN range(1, 61) q(j) ON TRUE JOIN draws b ON b.t = a.t - j GROUP BY a.t) SELECT t, " + ", ".join(f"round(coalesce(p{k}, 0.1), 6) AS p{k}" for k in range(10)) + " FROM draws LEFT JOIN x USING (t)")
+_register("w23_decayed_symbol_freq", lambda s, d: E.decayed_history(draws(s, d), "d1", 10, 0.005).select("t", *(F.round(F.col("p_d1")[k], 6).alias(f"p{k}") for k in range(10))),
+          _D + ", n AS (SELECT *, " + ", ".join(f"sum(CASE WHEN d1 = {k} THEN exp(0.005 * (t - (SELECT count(*) FROM orders))) ELSE 0 END) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s{k}" for k in range(10)) + " FROM draws) SELECT t, " + ", ".join(f"round(coalesce(s{k} / nullif(" + " + ".join(f"s{j}" for j in range(10)) + f", 0), 0.1), 6) AS p{k}" for k in range(10)) + " FROM n")
 _register("w30_expanding_mean", lambda s, d: S.prefix_sum(draws(s, d), ["t"], "c", "before").select("t", F.round(F.try_divide("before", "t"), 6).alias("mean")), _D + " SELECT t, round(avg(c) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS mean FROM draws")
 
 # fitted features
@@ -98,15 +98,18 @@ _register("n9_chance_baselines", lambda s, d: I.baskets(items(s, d)).agg(F.min(F
 
 # predictors that need no model, and sets made of them
 _register("p1_uniform_scores", lambda s, d: draws(s, d).select("t", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("symbol"), F.lit(0.1).alias("p")), _D + " SELECT t, CAST(k AS INTEGER) AS symbol, CAST(0.1 AS DOUBLE) AS p FROM draws, range(10) q(k)")
-_GAP = ", ".join(f"exp(least(coalesce(t - max(CASE WHEN d1 = {v} THEN t END) OVER w, t), 1000) / 10.0) AS g{v}" for v in range(10))
+_GAPS = [(p, v) for p in DIGITS for v in range(10)]
 
 
 def _p5(s, d):
-    rows = S.symbol_gap(draws(s, d), {f"g{v}": F.col("d1") == v for v in range(10)}).withColumn("p", L.normalised(F.array(*(F.exp(F.col(f"g{v}") / 10.0) for v in range(10)))))
-    return rows.select("t", F.posexplode("p").alias("symbol", "p")).withColumn("p", F.round("p", 6))
+    gaps = S.symbol_gap_uncapped(draws(s, d), {f"{p}_{v}": F.col(p) == v for p, v in _GAPS})
+    most = {p: F.greatest(*(F.col(f"{p}_{v}") for v in range(10))) for p in DIGITS}
+    sets = F.explode(F.array(*(F.struct(F.lit(p).alias("position"), L.normalised(F.array(*(F.exp((F.col(f"{p}_{v}") - most[p]) / 10.0) for v in range(10)))).alias("p")) for p in DIGITS))).alias("x")
+    return gaps.select("t", sets).select("t", "x.position", F.posexplode("x.p").alias("symbol", "p")).withColumn("p", F.round("p", 6))
 
 
-_register("p5_overdue_scores", _p5, _D + f", x AS (SELECT t, {_GAP} FROM draws WINDOW w AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT t, CAST(k AS INTEGER) AS symbol, round([{', '.join(f'g{v}' for v in range(10))}][k + 1] / ({' + '.join(f'g{v}' for v in range(10))}), 6) AS p FROM x, range(10) q(k)")
+_register("p5_overdue_scores", _p5, _D + ", g AS (SELECT t, " + ", ".join(f"coalesce(t - max(CASE WHEN {p} = {v} THEN t END) OVER w, t) AS {p}_{v}" for p, v in _GAPS) + " FROM draws WINDOW w AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), x AS (" + " UNION ALL ".join(f"SELECT t, '{p}' AS position, [" + ", ".join(f"{p}_{v}" for v in range(10)) + "] AS g FROM g" for p in DIGITS)
+          + "), e AS (SELECT t, position, list_transform(g, lambda y: exp((y - list_max(g)) / 10.0)) AS e FROM x) SELECT t, position, CAST(k AS INTEGER) AS symbol, round(e[k + 1] / list_sum(e), 6) AS p FROM e, range(10) q(k)")
 
 
 def _p4(s, d):

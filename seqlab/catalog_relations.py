@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .bindings import COVARIATES, DRAWS, ITEMS, draws, items, joined, steps, table
+from .bindings import COVARIATES, DRAWS, ITEMS, draws, items, joined, rows, steps, table
 from .functions import tails
 from .operators import items as I
 from .operators import relations as G
@@ -41,7 +41,7 @@ def _chi_sql(x, df):
 # covariates
 _W = "WITH " + COVARIATES + "\n"
 _register("r6_inner_equi_join", lambda s, d: _r(joined(s, d).where("quantity is not null").select("t", "quantity", "n_lines"), "quantity"), _W + "SELECT t, round(quantity, 6) AS quantity, n_lines FROM w WHERE quantity IS NOT NULL")
-_register("r7_left_join_covariates", lambda s, d: joined(s, d).agg(F.count("*").alias("n"), F.count_if(F.col("quantity").isNull()).alias("missing")), _W + "SELECT count(*) AS n, count(*) FILTER (quantity IS NULL) AS missing FROM w")
+_register("r7_left_join_covariates", lambda s, d: joined(s, d, False).agg(F.count("*").alias("n"), F.count_if(F.col("quantity").isNull()).alias("missing")), _W + "SELECT count(*) AS n, count(*) FILTER (quantity IS NULL) AS missing FROM w")
 _register("r8_lookup_result", lambda s, d: (lambda x: x.select("day", "slot", "t").join(x.select((F.date_sub("day", 1)).alias("day"), "slot", F.col("c").alias("outcome")), ["day", "slot"], "left").groupBy("t").agg(F.min("outcome").alias("outcome")))(draws(s, d)),
           "WITH " + DRAWS + " SELECT a.t, min(b.c) AS outcome FROM draws a LEFT JOIN draws b ON b.day - 1 = a.day AND b.slot = a.slot GROUP BY a.t")
 _register("r14_duplicate_keys", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1"), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -49,7 +49,7 @@ _register("r24_quantile_bins", lambda s, d: G.quantile_bins(table(s, d, "orders"
           "WITH e AS (SELECT list_distinct(quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edges FROM orders) SELECT CAST(len(list_filter(edges, lambda x: x < o_totalprice)) AS INTEGER) AS bin, count(*) AS n, min(o_totalprice) AS lo FROM orders, e GROUP BY 1")
 
 # tests
-_register("f3_kruskal_wallis", lambda s, d: _r(G.kruskal_wallis(draws(s, d), "slot", "c").withColumn("p", tails.chi_square(F.col("h"), 3)), "h", "p"),
+_register("f3_kruskal_wallis", lambda s, d: _r(G.kruskal_wallis(rows(s, d), "slot", "c").withColumn("p", tails.chi_square(F.col("h"), 3)), "h", "p"),
           "WITH " + DRAWS + f""", r AS (SELECT slot, c, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2 AS r FROM draws), g AS (SELECT slot, sum(r) AS s, count(*) AS n FROM r GROUP BY slot),
 k AS (SELECT sum(m ** 3 - m) AS ties FROM (SELECT count(*) AS m FROM draws GROUP BY c)), h AS (SELECT CAST(sum(n) AS DOUBLE) AS n, count(*) AS groups, (12 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) / (1 - any_value(ties) / (sum(n) ** 3 - sum(n))) AS h FROM g, k)
 SELECT CAST(n AS BIGINT) AS n, groups, round(h, 6) AS h, round({_chi_sql('h', 3)}, 6) AS p FROM h""")
@@ -72,16 +72,16 @@ def _sum():
 def _f5(s, d):
     code = F.col("id")
     known = s.range(1000).select((F.floor(code / 100) + F.floor(code / 10) % 10 + code % 10).alias("v")).groupBy("v").agg(F.count("*").alias("m"))
-    return _r(I.ks_two_sample(draws(s, d).groupBy(_sum().cast("long").alias("v")).agg(F.count("*").alias("n")), known, "v", "n", "m"), "d")
+    return _r(I.ks_two_sample(rows(s, d).groupBy(_sum().cast("long").alias("v")).agg(F.count("*").alias("n")), known, "v", "n", "m"), "d")
 
 
 _register("f5_sum_distribution", _f5, "WITH " + DRAWS + """, a AS (SELECT v, coalesce(n, 0) AS n, m FROM (SELECT x // 100 + x // 10 % 10 + x % 10 AS v, count(*) AS m FROM range(1000) r(x) GROUP BY 1) LEFT JOIN (SELECT d1 + d2 + d3 AS v, count(*) AS n FROM draws GROUP BY 1) USING (v))
 SELECT CAST(any_value(tn) AS BIGINT) AS n, CAST(any_value(tm) AS BIGINT) AS m, round(max(abs(cn / tn - cm / tm)), 6) AS d FROM (SELECT sum(n) OVER (ORDER BY v) AS cn, sum(m) OVER (ORDER BY v) AS cm, sum(n) OVER () AS tn, sum(m) OVER () AS tm FROM a)""")
-_register("f6_parity_test", lambda s, d: _r((lambda x, n: x.withColumn("expected", F.element_at(F.array(*(F.lit(k / 8) for k in (1, 3, 3, 1))), F.col("odd") + 1) * n).withColumn("part", (F.col("n") - F.col("expected")) ** 2 / F.col("expected")))(draws(s, d).groupBy(sum((F.col(x) % 2 for x in DIGITS[1:]), F.col("d1") % 2).alias("odd")).agg(F.count("*").alias("n")), steps(s, d)), "expected", "part"),
+_register("f6_parity_test", lambda s, d: _r((lambda x, n: x.withColumn("expected", F.element_at(F.array(*(F.lit(k / 8) for k in (1, 3, 3, 1))), F.col("odd") + 1) * n).withColumn("part", (F.col("n") - F.col("expected")) ** 2 / F.col("expected")))(rows(s, d).groupBy(sum((F.col(x) % 2 for x in DIGITS[1:]), F.col("d1") % 2).alias("odd")).agg(F.count("*").alias("n")), steps(s, d)), "expected", "part"),
           "WITH " + DRAWS + ", x AS (SELECT d1 % 2 + d2 % 2 + d3 % 2 AS odd, count(*) AS n FROM draws GROUP BY 1), e AS (SELECT *, [1, 3, 3, 1][odd + 1] / 8 * (SELECT count(*) FROM orders) AS expected FROM x) SELECT odd, n, round(expected, 6) AS expected, round((n - expected) ** 2 / expected, 6) AS part FROM e")
 _register("f7_consecutive_pairs", lambda s, d: I.baskets(items(s, d)).select(F.size(F.filter("xs", lambda x: F.array_contains("xs", x + 1))).alias("pairs")).groupBy("pairs").agg(F.count("*").alias("n")),
           "WITH " + ITEMS + ", p AS (SELECT a.t, count(b.t) AS pairs FROM items a LEFT JOIN items b ON b.t = a.t AND b.item = a.item + 1 GROUP BY a.t) SELECT CAST(pairs AS INTEGER) AS pairs, count(*) AS n FROM p GROUP BY 1")
-_register("f8_calendar_effects", lambda s, d: _r(draws(s, d).groupBy(F.weekday("day").alias("dow")).agg(F.count("*").alias("n"), F.avg(_sum()).alias("mean_sum"), *(F.count_if(F.col("d1") == v).alias(f"n{v}") for v in range(10))).select("dow", "n", "mean_sum", (sum((F.col(f"n{v}") * F.col(f"n{v}") for v in range(1, 10)), F.col("n0") * F.col("n0")) * 10 / F.col("n") - F.col("n")).alias("chi2")), "mean_sum", "chi2"),
+_register("f8_calendar_effects", lambda s, d: _r(rows(s, d).groupBy(F.weekday("day").alias("dow")).agg(F.count("*").alias("n"), F.avg(_sum()).alias("mean_sum"), *(F.count_if(F.col("d1") == v).alias(f"n{v}") for v in range(10))).select("dow", "n", "mean_sum", (sum((F.col(f"n{v}") * F.col(f"n{v}") for v in range(1, 10)), F.col("n0") * F.col("n0")) * 10 / F.col("n") - F.col("n")).alias("chi2")), "mean_sum", "chi2"),
           "WITH " + DRAWS + ", x AS (SELECT isodow(day) - 1 AS dow, d1, count(*) AS n, sum(d1 + d2 + d3) AS s FROM draws GROUP BY 1, 2) SELECT CAST(dow AS INTEGER) AS dow, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 6) AS mean_sum, round(sum(n * n) * 10 / sum(n) - sum(n), 6) AS chi2 FROM x GROUP BY dow")
 _register("f9_drift_scan", lambda s, d: _r(S.hopping_chi2(draws(s, d), "d1", 200, 50, 10).withColumn("p", tails.chi_square(F.col("chi2"), 9)).where("p < 0.05"), "chi2", "p"),
           "WITH " + DRAWS + f""", x AS (SELECT d1, unnest(range(CAST(greatest(0, floor((t - 200) / 50) + 1) AS BIGINT), CAST(t // 50 + 1 AS BIGINT))) * 50 AS start FROM draws), n AS (SELECT start, d1, count(*) AS n FROM x GROUP BY 1, 2),
@@ -110,9 +110,9 @@ _register("f16_jaccard_consecutive", lambda s, d: _next(s, d).agg(F.count("*").a
 # dependence
 _X, _Y = ["d1", "d2", "d3", "c"], ["quantity", "discount", "price", "n_lines"]
 _PEARSON = " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, count(*) FILTER ({y} IS NOT NULL) AS n, corr({x}, {y}) AS r FROM w" for x in _X for y in _Y)
-_register("g1_pearson_matrix", lambda s, d: _r(G.pearson(joined(s, d), _X, _Y), "r", "t").select("x", "y", "n", "r", "t"), _W + f"SELECT x, y, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t FROM ({_PEARSON})")
-_register("g1_pearson_p_values", lambda s, d: _r(I.adjust_p_values(G.with_p(G.pearson(joined(s, d), _X, _Y)).withColumn("family", F.lit("all")), "p", "family"), "r", "p", "p_bh", "p_bonferroni").select("x", "y", "r", "p", "p_bh", "p_bonferroni"))
-_register("g2_spearman", lambda s, d: _r(G.spearman(joined(s, d), "c", "quantity").select("x", "y", "n", "r"), "r"),
+_register("g1_pearson_matrix", lambda s, d: _r(G.pearson(joined(s, d, False), _X, _Y), "r", "t").select("x", "y", "n", "r", "t"), _W + f"SELECT x, y, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t FROM ({_PEARSON})")
+_register("g1_pearson_p_values", lambda s, d: _r(I.adjust_p_values(G.with_p(G.pearson(joined(s, d, False), _X, _Y)).withColumn("family", F.lit("all")), "p", "family"), "r", "p", "p_bh", "p_bonferroni").select("x", "y", "r", "p", "p_bh", "p_bonferroni"))
+_register("g2_spearman", lambda s, d: _r(G.spearman(joined(s, d, False), "c", "quantity").select("x", "y", "n", "r"), "r"),
           _W + ", r AS (SELECT rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2 AS a, rank() OVER (ORDER BY quantity) + (count(*) OVER (PARTITION BY quantity) - 1) / 2 AS b FROM w WHERE quantity IS NOT NULL) SELECT 'c' AS x, 'quantity' AS y, count(*) AS n, round(corr(a, b), 6) AS r FROM r")
 _register("g3_point_biserial", lambda s, d: _r(G.point_biserial(items(s, d), joined(s, d), _Y), "r"), "WITH " + ITEMS + ", " + COVARIATES.replace(DRAWS + ",\n", "") + ", i AS (SELECT DISTINCT item FROM items)\n" + " UNION ALL ".join(
     f"SELECT i.item, '{y}' AS x, count(*) AS n, round(corr(CAST(h.t IS NOT NULL AS INTEGER), {y}), 6) AS r FROM i CROSS JOIN w LEFT JOIN items h ON h.item = i.item AND h.t = w.t WHERE {y} IS NOT NULL GROUP BY i.item" for y in _Y))
@@ -120,12 +120,12 @@ _register("g9_cross_correlation", lambda s, d: _r(G.cross_correlation(draws(s, d
           "WITH " + DRAWS + ", z AS (SELECT t, (d1 - (SELECT avg(d1) FROM draws)) / ((SELECT stddev_pop(d1) FROM draws) + 1e-10) AS a, (d2 - (SELECT avg(d2) FROM draws)) / ((SELECT stddev_pop(d2) FROM draws) + 1e-10) AS b FROM draws) SELECT CAST(k AS INTEGER) AS lag, count(*) AS n, round(avg(x.a * y.b), 6) AS r FROM z x, range(-5, 6) q(k), z y WHERE y.t = x.t + k GROUP BY k")
 _SPLITS = {"weekend": ("weekday(day) >= 5", "isodow(day) >= 6"), "summer": ("month(day) between 4 and 9", "month(day) BETWEEN 4 AND 9")}
 _D = " UNION ALL ".join(f"SELECT '{k}' AS split, '{v}' AS value, {q} AS high, CAST({v} AS DOUBLE) AS v FROM draws" for k, (_, q) in _SPLITS.items() for v in ("d1", "c"))
-_register("g13_cohens_d", lambda s, d: _r(G.effect_sizes(draws(s, d), {k: F.expr(x) for k, (x, _) in _SPLITS.items()}, ["d1", "c"]), "d"),
+_register("g13_cohens_d", lambda s, d: _r(G.effect_sizes(rows(s, d), {k: F.expr(x) for k, (x, _) in _SPLITS.items()}, ["d1", "c"]), "d"),
           "WITH " + DRAWS + f""", x AS ({_D}), g AS (SELECT split, value, count(*) FILTER (high) AS n1, count(*) FILTER (NOT high) AS n0, avg(v) FILTER (high) AS m1, avg(v) FILTER (NOT high) AS m0, var_samp(v) FILTER (high) AS v1, var_samp(v) FILTER (NOT high) AS v0 FROM x GROUP BY 1, 2),
 e AS (SELECT *, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d FROM g) SELECT split, value, n1, n0, round(d, 6) AS d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS size FROM e""")
 _register("g14_conditional_rates", lambda s, d: _r(G.conditional_rates(items(s, d), draws(s, d).select("t", (F.col("d1") >= 5).alias("high")), "high"), "rate_high", "rate_low", "distance"),
           "WITH " + ITEMS + ", s AS (SELECT count(*) FILTER (d1 >= 5) AS s1, count(*) FILTER (d1 < 5) AS s0 FROM draws), r AS (SELECT item, count(*) FILTER (d1 >= 5) / any_value(s1) AS a, count(*) FILTER (d1 < 5) / any_value(s0) AS b FROM items JOIN draws USING (t), s GROUP BY item) SELECT item, round(a, 6) AS rate_high, round(b, 6) AS rate_low, round(abs(a - b), 6) AS distance FROM r")
-_register("g15_corr_summary", lambda s, d: G.summary(I.adjust_p_values(G.with_p(G.pearson(joined(s, d), _X, _Y)).withColumn("family", F.lit("all")), "p", "family")))
+_register("g15_corr_summary", lambda s, d: G.summary(I.adjust_p_values(G.with_p(G.pearson(joined(s, d, False), _X, _Y)).withColumn("family", F.lit("all")), "p", "family")))
 
 
 def _g6(s, d):
@@ -136,7 +136,7 @@ def _g6(s, d):
 _register("g6_transfer_entropy", _g6)
 _register("g8_granger", lambda s, d: _r(G.granger(draws(s, d), "d1", "d2", 3), "f", "p"))
 _register("g10_ols_hac", lambda s, d: _r(G.hac_errors(joined(s, d).where("quantity is not null"), "c", ["quantity", "discount"], 5), "beta", "se", "z", "p"))
-_register("g10_ols", lambda s, d: G.ols(joined(s, d), "c", ["quantity"], ["slot"]).select("slot", "n", F.round(F.element_at("beta", 1), 4).alias("intercept"), F.round(F.element_at("beta", 2), 6).alias("slope"), F.round("r2", 6).alias("r2")),
+_register("g10_ols", lambda s, d: G.ols(joined(s, d, False), "c", ["quantity"], ["slot"]).select("slot", "n", F.round(F.element_at("beta", 1), 4).alias("intercept"), F.round(F.element_at("beta", 2), 6).alias("slope"), F.round("r2", 6).alias("r2")),
           _W + "SELECT slot, count(*) AS n, round(regr_intercept(c, quantity), 4) AS intercept, round(regr_slope(c, quantity), 6) AS slope, round(regr_r2(c, quantity), 6) AS r2 FROM w WHERE quantity IS NOT NULL GROUP BY slot")
 _register("k16_split_report", lambda s, d: (lambda n: draws(s, d).groupBy(F.when(F.col("t") < 0.7 * n, "train").when(F.col("t") < 0.85 * n, "val").otherwise("test").alias("split")).agg(F.count("*").alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi"), F.countDistinct("c").alias("combos"), F.countDistinct("machine").alias("machines")))(steps(s, d)),
           "WITH " + DRAWS + " SELECT CASE WHEN t < 0.7 * (SELECT count(*) FROM orders) THEN 'train' WHEN t < 0.85 * (SELECT count(*) FROM orders) THEN 'val' ELSE 'test' END AS split, count(*) AS n, min(day) AS lo, max(day) AS hi, count(DISTINCT c) AS combos, count(DISTINCT machine) AS machines FROM draws GROUP BY 1")

@@ -7,7 +7,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import over_chunks
+from ..storage import pinned
+from .series import earlier, neighbours, over_chunks
 
 
 def interactions(head: list[str], tail: list[str], ratios: bool = False, bound: float = 1e6) -> dict[str, Column]:
@@ -85,21 +86,56 @@ def decayed_frequency(df: DataFrame, column: str, symbols: int, rate: float, rea
     return over_chunks(df, make, reach, size)
 
 
+def decayed_history(df: DataFrame, column: str, symbols: int, rate: float, chunk: int = 4096) -> DataFrame:
+    """As decayed_frequency(), over all rows before this one.
+
+    Each chunk sums its rows, weighted as seen from its end; a later chunk takes the sums of all before it, each scaled
+    down by its distance. Chunks are few, and their sums are all that meets in one place.
+    """
+    rows = df.withColumn("_chunk", F.floor(F.col("t") / chunk))
+    place = F.col("t") - F.col("_chunk") * chunk
+    own = [F.when(F.col(column) == s, F.exp(rate * (place - chunk))).otherwise(0.0) for s in range(symbols)]
+    ends = rows.groupBy("_chunk").agg(F.array(*map(F.sum, own)).alias("_sums"))
+    along = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.array(*[F.lit(0.0)] * symbols)
+    past = F.collect_list(F.struct("_chunk", "_sums")).over(along)
+
+    def add(acc, x):  # sums seen from the end of the chunk before this one
+        scale = F.exp(-rate * chunk * (F.col("_chunk") - 1 - x["_chunk"]))
+        return F.zip_with(acc, x["_sums"], lambda a, b: a + b * scale)
+
+    carried = ends.select("_chunk", F.aggregate(past, zero, add).alias("_past"))
+    inside = Window.partitionBy("_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    here = [F.coalesce(F.sum(x).over(inside), F.lit(0.0)) for x in own]
+    # weights of this chunk are seen from its end, the past from its beginning
+    both = F.array(*(h + F.element_at("_past", i + 1) * F.exp(F.lit(-rate * chunk)) for i, h in enumerate(here)))
+    total = F.aggregate("_both", F.lit(0.0), lambda a, x: a + x)
+    held = rows.join(F.broadcast(carried), "_chunk").withColumn("_both", both).withColumn("_total", total)
+    shares = F.when(F.col("_total") > 0, F.transform("_both", lambda x: x / F.col("_total"))).otherwise(F.array(*[F.lit(1.0 / symbols)] * symbols))
+    return held.withColumn(f"p_{column}", shares).drop("_chunk", "_past", "_both", "_total")
+
+
 def rolling_gap_stats(items: DataFrame, sizes: list[int]) -> DataFrame:
-    """At each hit, statistics of the item's last n completed gaps, this one included: mean, spread, least and most."""
-    w = Window.partitionBy("item").orderBy("t")
-    gaps = items.withColumn("gap", F.col("t") - F.lag("t").over(w)).where("gap is not null")
-    made = {}
-    for n in sizes:
-        last = w.rowsBetween(-n + 1, 0)
-        made |= {f"mean_{n}": F.avg("gap").over(last), f"sd_{n}": F.stddev_pop("gap").over(last), f"least_{n}": F.min("gap").over(last), f"most_{n}": F.max("gap").over(last)}
-    return gaps.select("item", "t", *(c.alias(n) for n, c in made.items()))
+    """At each hit, statistics of the item's last n completed gaps, this one included: mean, spread, least and most.
+
+    Hits of an item are numbered, and runs of numbers are windows of their own, so no item is one task.
+    """
+    near = neighbours(items, ["item"]).where("was is not null").select("item", "t", (F.col("t") - F.col("was")).alias("gap"))
+    gaps = earlier(pinned(near), ["item"]).withColumnRenamed("uses", "hit")
+
+    def make(w):
+        made = {}
+        for n in sizes:
+            last = w.rowsBetween(-n + 1, 0)
+            made |= {f"mean_{n}": F.avg("gap").over(last), f"sd_{n}": F.stddev_pop("gap").over(last), f"least_{n}": F.min("gap").over(last), f"most_{n}": F.max("gap").over(last)}
+        return made
+
+    return over_chunks(gaps, make, max(sizes), t="hit", keys=("item",)).drop("hit", "gap")
 
 
 def recent_uses(items: DataFrame, sizes: list[int]) -> DataFrame:
     """At each hit, in how many of the n steps before it the item came: f_<n>."""
-    w = Window.partitionBy("item").orderBy("t")
-    return items.select("item", "t", *(F.count("*").over(w.rangeBetween(-n, -1)).alias(f"f_{n}") for n in sizes))
+    return over_chunks(items.select("item", "t"), lambda w: {f"f_{n}": F.count("*").over(w.rangeBetween(-n, -1)) for n in sizes}, max(sizes), chunk=1 << 16, keys=("item",))
 
 
 def partner_presence(items: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -111,8 +147,11 @@ def partner_presence(items: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
 
 def run_state(items: DataFrame) -> DataFrame:
-    """Islands of consecutive steps in which an item came: item, start, length and the absence before it."""
-    w = Window.partitionBy("item").orderBy("t")
-    opens = F.coalesce((F.lag("t").over(w) < F.col("t") - 1), F.lit(True)).cast("int")
-    marked = items.withColumns({"_o": opens, "_gap": F.col("t") - F.lag("t").over(w) - 1}).withColumn("_island", F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("item", "_island").agg(F.min("t").alias("start"), F.count("*").alias("length"), F.min_by("_gap", "t").alias("absence")).drop("_island")
+    """Islands of consecutive steps in which an item came: item, start, length and the absence before it.
+
+    The k-th start of an item belongs to its k-th end; both are numbered by ranges.
+    """
+    near = pinned(neighbours(items, ["item"]))
+    starts = earlier(near.where("was is null or was < t - 1"), ["item"]).select("item", "uses", F.col("t").alias("start"), (F.col("t") - F.col("was") - 1).alias("absence"))
+    ends = earlier(near.where("next is null or next > t + 1"), ["item"]).select("item", "uses", F.col("t").alias("end"))
+    return starts.join(ends, ["item", "uses"]).select("item", "start", (F.col("end") - F.col("start") + 1).alias("length"), "absence")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import neighbours
+
 
 def item_frequency(items: DataFrame, steps: int, domain: int) -> DataFrame:
     """Per item its count, z against equal chances and its part of chi-square. steps and domain are known sizes."""
@@ -16,14 +18,13 @@ def item_frequency(items: DataFrame, steps: int, domain: int) -> DataFrame:
 
 def item_gaps(items: DataFrame) -> DataFrame:
     """Per item its completed gaps (count, mean, longest) and the last step it came in."""
-    gaps = items.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("item").orderBy("t")))
+    gaps = neighbours(items, ["item"]).withColumn("gap", F.col("t") - F.col("was"))
     return gaps.groupBy("item").agg(F.count("gap").alias("gaps"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("longest"), F.max("t").alias("last_t"))
 
 
 def runs_test(items: DataFrame, steps: int) -> DataFrame:
     """Wald-Wolfowitz runs of presence and absence per item, from the islands of its hits: runs, z (0 if degenerate)."""
-    w = Window.partitionBy("item").orderBy("t")
-    marked = items.withColumn("opens", (F.coalesce(F.lag("t").over(w), F.lit(-9)) < F.col("t") - 1).cast("int"))
+    marked = neighbours(items, ["item"]).withColumn("opens", (F.coalesce("was", F.lit(-9)) < F.col("t") - 1).cast("int"))
     each = marked.groupBy("item").agg(F.count("*").alias("n1"), F.sum("opens").alias("islands"), F.min("t").alias("lo"), F.max("t").alias("hi"))
     runs = 2 * F.col("islands") + 1 - (F.col("lo") == 0).cast("int") - (F.col("hi") == steps - 1).cast("int")
     n1, n2 = F.col("n1").cast("double"), (F.lit(steps) - F.col("n1")).cast("double")
@@ -34,8 +35,7 @@ def runs_test(items: DataFrame, steps: int) -> DataFrame:
 
 def autocorrelation(items: DataFrame, steps: int) -> DataFrame:
     """Lag-1 autocorrelation of presence per item, from counts of hits and of hits that follow a hit."""
-    w = Window.partitionBy("item").orderBy("t")
-    each = items.withColumn("again", (F.lag("t").over(w) == F.col("t") - 1).cast("int")).groupBy("item").agg(
+    each = neighbours(items, ["item"]).withColumn("again", (F.col("was") == F.col("t") - 1).cast("int")).groupBy("item").agg(
         F.count("*").alias("n"), F.coalesce(F.sum("again"), F.lit(0)).alias("n11"), F.max((F.col("t") == 0).cast("int")).alias("first"), F.max((F.col("t") == steps - 1).cast("int")).alias("last")
     )
     p = F.col("n") / steps
@@ -79,8 +79,8 @@ def decayed_presence(items: DataFrame, beta: float = 1.0, lookback: int = 10) ->
 
 def spells(items: DataFrame, steps: int) -> DataFrame:
     """Waiting times: from each hit to the next (event 1) or to the end of the series (event 0)."""
-    nxt = F.lead("t").over(Window.partitionBy("item").orderBy("t"))
-    rows = items.select("item", F.col("t").alias("start"), (F.coalesce(nxt, F.lit(steps)) - F.col("t")).alias("duration"), nxt.isNotNull().cast("int").alias("event"))
+    nxt = F.col("next")
+    rows = neighbours(items, ["item"]).select("item", F.col("t").alias("start"), (F.coalesce(nxt, F.lit(steps)) - F.col("t")).alias("duration"), nxt.isNotNull().cast("int").alias("event"))
     return rows.where("duration > 0")
 
 

@@ -29,19 +29,63 @@ def with_ordinal(df: DataFrame, order: list[str], name: str = "t", partitions: i
     return prefix_sum(df.withColumn("_one", F.lit(1)), order, "_one", name, partitions).withColumn(name, F.col(name).cast("long")).drop("_one")
 
 
-def over_chunks(df: DataFrame, make: Callable[[object], dict[str, Column]], halo: int, chunk: int = 4096, t: str = "t") -> DataFrame:
-    """Adds make(window) computed over runs of chunk rows, each seeing the halo rows before it; rows are ordered by t.
+def over_chunks(df: DataFrame, make: Callable[[object], dict[str, Column]], halo: int, chunk: int = 4096, t: str = "t", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds make(window) computed over runs of chunk steps, each seeing the halo steps before it; rows are ordered by t.
 
-    Columns that look back at most halo rows come out as over the whole series. A halo beyond chunk raises the chunk.
+    Columns that look back at most halo steps come out as over the whole series, or as over that of each key. A halo
+    beyond chunk raises the chunk.
     """
     chunk = max(chunk, halo)
     own = F.floor(F.col(t) / chunk)
     copies = F.when(F.col(t) % chunk >= chunk - halo, F.array(own, own + 1)).otherwise(F.array(own))
     spread = df.withColumn("_own", own).withColumn("_chunk", F.explode(copies))
-    window = Window.partitionBy("_chunk").orderBy(t)
+    window = Window.partitionBy(*keys, "_chunk").orderBy(t)
     return spread.select("*", *(c.alias(n) for n, c in make(window).items())).where("_own = _chunk").drop("_own", "_chunk")
 
 
+def _ranged(df: DataFrame, keys: list[str], t: str, chunk: int):
+    """df with _part, the range of t a row is in, and the window of its key inside that range."""
+    part = F.floor(F.col(t) / chunk)
+    return df.withColumn("_part", part), Window.partitionBy(*keys, "_part").orderBy(t), Window.partitionBy(*keys).orderBy("_part")
+
+
+def neighbours(df: DataFrame, keys: list[str], t: str = "t", chunk: int = 1 << 16) -> DataFrame:
+    """Adds was and next: the t of the row before and after of the same key (null where there is none).
+
+    A key's rows are dealt out by ranges of t, and only the ends of the ranges meet, so a key that has most rows is not
+    one task. df is read twice, so it should be cheap to read.
+    """
+    rows, inside, along = _ranged(df, keys, t, chunk)
+    ends = rows.groupBy(*keys, "_part").agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    carried = ends.select(*keys, "_part", F.lag("_hi").over(along).alias("_was"), F.lead("_lo").over(along).alias("_next"))
+    near = rows.withColumns({"was": F.lag(t).over(inside), "next": F.lead(t).over(inside)})
+    joined = near.join(carried, [*keys, "_part"], "left")
+    return joined.withColumns({"was": F.coalesce("was", "_was"), "next": F.coalesce("next", "_next")}).drop("_part", "_was", "_next")
+
+
+def earlier(df: DataFrame, keys: list[str], t: str = "t", first: str | None = None, chunk: int = 1 << 16) -> DataFrame:
+    """Adds uses, how many rows of the same key come before, and first_<first>, the least value of that column in the key so far.
+
+    Null keys count as a key; ranges as in neighbours().
+    """
+    rows, inside, along = _ranged(df, keys, t, chunk)
+    firsts = [F.min(first).alias("_first")] if first else []
+    sums = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), *firsts)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    least = [F.min("_first").over(before).alias("_first")] if first else []
+    carried = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), *least)
+    here = rows.withColumn("_here", F.row_number().over(inside) - 1)
+    if first:
+        here = here.withColumn("_lo", F.min(first).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = here.join(carried, same).withColumn("uses", (F.col("_n") + F.col("_here")).cast("long"))
+    if first:
+        out = out.withColumn(f"first_{first}", F.least("_first", "_lo")).drop("_first", "_lo")
+    return out.drop("_part", "_p", "_n", "_here", *(f"_k_{k}" for k in keys))
+
+
 def last_n(value: Column, window, n: int) -> Column:
     """Sum of value over the n rows before this one, as a difference of two running sums."""
     upto = F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -107,18 +151,29 @@ def symbol_gap(df: DataFrame, hits: dict[str, Column], cap: int = 1000) -> DataF
     )
 
 
+def symbol_gap_uncapped(df: DataFrame, hits: dict[str, Column], chunk: int = 4096) -> DataFrame:
+    """As symbol_gap(), without a cap: the last hit before each chunk is carried into it. Chunks are few."""
+    rows = df.withColumn("_chunk", F.floor(F.col("t") / chunk))
+    last = rows.groupBy("_chunk").agg(*(F.max(F.when(hit, F.col("t"))).alias(f"_{n}") for n, hit in hits.items()))
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_chunk", *(F.max(f"_{n}").over(before).alias(f"_{n}") for n in hits))
+    inside = Window.partitionBy("_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.join(F.broadcast(carried), "_chunk").select(*df.columns, *(F.coalesce(F.max(F.when(hit, F.col("t"))).over(inside), F.col(f"_{n}")).alias(n) for n, hit in hits.items()))
+    return near.withColumns({n: F.coalesce(F.col("t") - F.col(n), F.col("t")) for n in hits})
+
+
 def key_gap(df: DataFrame, key: str, cap: int = 1000) -> DataFrame:
     """Steps since the same key, cap if never; a label-side statistic, as it reads this row's key."""
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy(key).orderBy("t"))
-    return df.withColumn("gap", F.least(F.coalesce(gap, F.lit(cap)), F.lit(cap)))
+    near = neighbours(df, [key])
+    return near.withColumn("gap", F.least(F.coalesce(F.col("t") - F.col("was"), F.lit(cap)), F.lit(cap))).drop("was", "next")
 
 
 def key_usage(df: DataFrame, key: str, day: str) -> DataFrame:
     """Earlier uses of this row's key, and days since its first use; 0 for a null key."""
-    w = Window.partitionBy(key).orderBy("t")
-    uses = F.row_number().over(w) - 1
-    age = F.datediff(F.col(day), F.min(day).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.withColumn("uses", F.when(F.col(key).isNull(), 0).otherwise(uses)).withColumn("age", F.when(F.col(key).isNull(), 0).otherwise(age))
+    held = earlier(df, [key], first=day)
+    unset = F.col(key).isNull()
+    age = F.datediff(F.col(day), F.col(f"first_{day}"))
+    return held.withColumns({"uses": F.when(unset, 0).otherwise(F.col("uses")).cast("int"), "age": F.when(unset, 0).otherwise(age)}).drop(f"first_{day}")
 
 
 def step_overlap(df: DataFrame, symbols: str) -> DataFrame:
