@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import catalog_features, catalog_io, catalog_models, catalog_patterns, catalog_relations, catalog_scores
+from . import catalog_features, catalog_io, catalog_models, catalog_patterns, catalog_relations, catalog_scores, catalog_tests
 from .bindings import DRAWS, ITEMS, draws, items, rows, steps, table
+from .operators import feature_sets as B
 from .operators import items as I
 from .operators import resampling as N
 from .operators import series as S
@@ -98,13 +99,48 @@ _register("c10_box_key", lambda s, d: rows(s, d).select(F.concat_ws("", F.array_
           _with(DRAWS, "SELECT array_to_string(list_sort([d1, d2, d3]), '') AS box, count(*) AS n, max(CASE len(list_distinct([d1, d2, d3])) WHEN 3 THEN 6 WHEN 2 THEN 3 ELSE 1 END) AS orbit FROM draws GROUP BY 1"))
 
 # causal windows
-_register("w1_previous_shape", lambda s, d: S.previous_shape(draws(s, d), DIGITS).select("t", "prev_sum", "prev_distinct", "prev_odd", "prev_high"),
-          _with(DRAWS, """, p AS (SELECT t, lag(d1) OVER w AS a, lag(d2) OVER w AS b, lag(d3) OVER w AS c FROM draws WINDOW w AS (ORDER BY t))
-SELECT t, coalesce(a + b + c, 0) AS prev_sum, CAST(CASE WHEN a IS NULL THEN 0 ELSE len(list_distinct([a, b, c])) END AS INTEGER) AS prev_distinct, coalesce(a % 2 + b % 2 + c % 2, 0) AS prev_odd,
-coalesce(CAST(a >= 5 AS INTEGER) + CAST(b >= 5 AS INTEGER) + CAST(c >= 5 AS INTEGER), 0) AS prev_high FROM p""".lstrip()))
-_FREQ = ", ".join(f"round(coalesce(count(*) FILTER (d{p} = {v}) OVER w / nullif(count(*) OVER w, 0), 0), 6) AS d{p}_{v}" for p in (1, 2, 3) for v in range(10))
-_register("w2_rolling_symbol_freq", lambda s, d: _rounded(S.rolling_frequency(draws(s, d), DIGITS, range(10), 50), *(f"{p}_{v}" for p in DIGITS for v in range(10))).select("t", *(f"{p}_{v}" for p in DIGITS for v in range(10))),
-          _with(DRAWS, f"SELECT t, {_FREQ} FROM draws WINDOW w AS (ORDER BY t ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)"))
+def _built(*sets):
+    """The columns of these sets, rounded."""
+
+    def query(s, d):
+        out = B.build_features(draws(s, d), list(sets) or None)
+        return out.select("t", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in out.columns if c != "t"))
+
+    return query
+
+
+def _wide(exprs: dict[str, str]) -> str:
+    return ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in exprs.items())
+
+
+_SHAPE = {"digit_1": "a", "digit_2": "b", "digit_3": "c", "sum": "a + b + c", "repeating": "CAST(len(list_distinct([a, b, c])) < 3 AS INTEGER)", "triple": "CAST(a = b AND b = c AS INTEGER)",
+          "sequential": "CAST(list_sort([a, b, c])[2] - list_sort([a, b, c])[1] = 1 AND list_sort([a, b, c])[3] - list_sort([a, b, c])[2] = 1 AS INTEGER)",
+          "odd": "a % 2 + b % 2 + c % 2", "even": "3 - (a % 2 + b % 2 + c % 2)", "high": "CAST(a >= 5 AS INTEGER) + CAST(b >= 5 AS INTEGER) + CAST(c >= 5 AS INTEGER)",
+          "low": "3 - (CAST(a >= 5 AS INTEGER) + CAST(b >= 5 AS INTEGER) + CAST(c >= 5 AS INTEGER))"}
+_PRE = DRAWS + ", prev AS (SELECT t, lag(d1) OVER w AS a, lag(d2) OVER w AS b, lag(d3) OVER w AS c FROM draws WINDOW w AS (ORDER BY t))"
+#: SQL of each feature set by name; w<n> are windows of n rows before.
+FEATURE_SQL: dict[str, dict[str, str]] = {
+    "basic": {f"prev_{k}": f"CASE WHEN t = 0 THEN 0 ELSE {v} END" for k, v in _SHAPE.items()},
+    "recency": {f"f{n}_d{p}_{v}": f"coalesce(count(*) FILTER (d{p} = {v}) OVER w{n} / nullif(count(*) OVER w{n}, 0), 0)" for n in (10, 25, 50, 100) for p in (1, 2, 3) for v in range(10)} | {"combo_gap": "coalesce(lag(own_gap) OVER wt, 1000)"},
+    "gaps": {f"gap_{v}": f"least(coalesce(t - max(CASE WHEN {v} IN (d1, d2, d3) THEN t END) OVER wa, t), 1000)" for v in range(10)} | {f"d{p}_gap_{v}": f"least(coalesce(t - max(CASE WHEN d{p} = {v} THEN t END) OVER wa, t), 1000)" for p in (1, 2, 3) for v in range(10)},
+    "temporal": {f"dow_{k}": f"CAST(isodow(day) = {k + 1} AS INTEGER)" for k in range(7)} | {f"month_{k}": f"CAST(month(day) = {k} AS INTEGER)" for k in range(1, 13)}
+    | {"year_share": "(year(day) - min(year(day)) OVER ()) / greatest(max(year(day)) OVER () - min(year(day)) OVER (), 1)"},
+    "draw_time": {f"slot_{k}": f"CAST(slot = {k} AS INTEGER)" for k in range(4)},
+    "equipment": {n: e for k in ("machine", "ball1", "ball2", "ball3") for n, e in ((f"{k}_uses", f"CASE WHEN {k} IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY {k} ORDER BY t) - 1 END"), (f"{k}_age", f"CASE WHEN {k} IS NULL THEN 0 ELSE day - min(day) OVER (PARTITION BY {k} ORDER BY t) END"))},
+}
+_WINDOWS = "WINDOW wt AS (ORDER BY t), wa AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), " + ", ".join(f"w{n} AS (ORDER BY t ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (10, 25, 50, 100))
+
+
+def _feature_sql(*sets: str) -> str:
+    exprs: dict[str, str] = {}
+    for x in sets:
+        exprs |= FEATURE_SQL[x]
+    gap = ", g AS (SELECT *, least(coalesce(t - lag(t) OVER (PARTITION BY draws.c ORDER BY t), 1000), 1000) AS own_gap FROM draws)"
+    return _with(_PRE + gap, f"SELECT t, {_wide(exprs)} FROM (SELECT g.* EXCLUDE (c), a, b, prev.c AS c FROM g JOIN prev USING (t)) {_WINDOWS}")
+
+
+_register("w1_previous_shape", _built("basic"), _feature_sql("basic"))
+_register("w2_rolling_symbol_freq", _built("recency"), _feature_sql("recency"))
 _register("w3_combo_gap", lambda s, d: S.key_gap(draws(s, d), "c").select("t", "gap"), _with(DRAWS, "SELECT t, least(coalesce(t - lag(t) OVER (PARTITION BY c ORDER BY t), 1000), 1000) AS gap FROM draws"))
 _ANY = ", ".join(f"least(coalesce(t - max(CASE WHEN {v} IN (d1, d2, d3) THEN t END) OVER w, t), 1000) AS gap_{v}" for v in range(10))
 _register("w4_symbol_gap_any", lambda s, d: S.symbol_gap(draws(s, d), {f"gap_{v}": (F.col("d1") == v) | (F.col("d2") == v) | (F.col("d3") == v) for v in range(10)}).select("t", *(f"gap_{v}" for v in range(10))),
@@ -138,20 +174,13 @@ _register("w9_w10_rolling_uniformity", lambda s, d: _rounded(S.rolling_uniformit
           _with(DRAWS, f"SELECT t, {', '.join(map(_uniform_sql, DIGITS))} FROM draws WINDOW w AS (ORDER BY t ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)"))
 _register("w11_step_overlap", lambda s, d: S.step_overlap(draws(s, d).withColumn("ds", F.array(*DIGITS)), "ds").select("t", "overlap"),
           _with(DRAWS, ", x AS (SELECT t, lag([d1, d2, d3], 1) OVER (ORDER BY t) AS a, lag([d1, d2, d3], 2) OVER (ORDER BY t) AS b FROM draws) SELECT t, CAST(coalesce(len(list_distinct(list_intersect(a, b))), 0) AS INTEGER) AS overlap FROM x"))
-_register("w12_key_usage", lambda s, d: S.key_usage(draws(s, d), "machine", "day").select("t", "machine", "uses", "age"),
-          _with(DRAWS, "SELECT t, machine, CAST(row_number() OVER w - 1 AS INTEGER) AS uses, CAST(day - min(day) OVER w AS INTEGER) AS age FROM draws WINDOW w AS (PARTITION BY machine ORDER BY t)"))
-
-
-def build_features(s, d):
-    """Causal sets of one draw side by side: shape of the last step, frequencies, correlation, uniformity."""
-    rows = draws(s, d)
-    out = S.previous_shape(rows, DIGITS)
-    for step in (lambda x: S.rolling_frequency(x, DIGITS, range(10), 50), lambda x: S.rolling_correlation(x, _PAIRS, 50), lambda x: S.rolling_uniformity(x, DIGITS, range(10), 50)):
-        out = step(out)
-    return out.drop("o_orderkey", "day")
-
-
-_register("w13_build_features", build_features)
+_register("w8_calendar_onehot", _built("temporal"), _feature_sql("temporal"))
+_register("w12_key_usage", _built("equipment"), _feature_sql("equipment"))
+FEATURE_SQL["position"] = {f"p_d{p}_{v}": f"coalesce(count(*) FILTER (d{p} = {v}) OVER w50 / nullif(count(*) OVER w50, 0), 0)" for p in (1, 2, 3) for v in range(10)} | {f"corr_{a}_{b}": _corr_sql(a, b).rsplit(" AS ", 1)[0].replace("OVER w", "OVER w50") for a, b in _PAIRS}
+FEATURE_SQL["momentum"] = {f"{c}_{k}": e.rsplit(f" AS {c}_entropy", 1)[0] for c in DIGITS for k, e in zip(("chi2", "entropy"), _uniform_sql(c).replace("OVER w", "OVER w50").split(f" AS {c}_chi2, "))} | {
+    "overlap": "CASE WHEN t < 2 THEN 0 ELSE len(list_distinct(list_intersect([lag(d1, 1) OVER wt, lag(d2, 1) OVER wt, lag(d3, 1) OVER wt], [lag(d1, 2) OVER wt, lag(d2, 2) OVER wt, lag(d3, 2) OVER wt]))) END"}
+build_features = _built()
+_register("w13_build_features", build_features, _feature_sql(*B.SETS))
 _register("w15_drift_windows", lambda s, d: _rounded(S.hopping_chi2(draws(s, d), "d1", 200, 50, 10), "chi2"),
           _with(DRAWS, """, x AS (SELECT d1, unnest(range(CAST(greatest(0, floor((t - 200) / 50) + 1) AS BIGINT), CAST(t // 50 + 1 AS BIGINT))) * 50 AS start FROM draws), n AS (SELECT start, d1, count(*) AS n FROM x GROUP BY 1, 2)
 SELECT start, round(sum(n * n) * 10 / 200 - 200, 6) AS chi2 FROM n WHERE start < (SELECT count(*) - 200 FROM orders) GROUP BY start"""))
@@ -163,20 +192,9 @@ _register("w26_lag_targets", lambda s, d: S.lag_targets(draws(s, d), "d1", 3), _
 _register("w29_seasonal_naive", lambda s, d: S.over_chunks(draws(s, d), lambda w: {"naive": F.lag("c", 4).over(w)}, 4).select("t", "c", "naive"), _with(DRAWS, "SELECT t, c, lag(c, 4) OVER (ORDER BY t) AS naive FROM draws"))
 
 # items: tests, dependence, patterns, spells
-_register("f1_item_frequency", lambda s, d: _rounded(I.item_frequency(items(s, d), steps(s, d), 25), "z", "chi2_part"),
-          _with(ITEMS, ", a AS (SELECT count(*) / 25 AS e FROM items) SELECT item, count(*) AS n, round((count(*) - any_value(e)) / sqrt(any_value(e) * (1 - any_value(e) / any_value(steps))), 6) AS z, round((count(*) - any_value(e)) ** 2 / any_value(e), 6) AS chi2_part FROM items, a, st GROUP BY item"))
-_register("f2_position_bias", lambda s, d: rows(s, d).select(F.explode(F.array(*(F.struct(F.lit(p).alias("pos"), F.col(p).alias("digit")) for p in DIGITS))).alias("x")).groupBy("x.pos", "x.digit").agg(F.count("*").alias("n")),
-          _with(DRAWS, "SELECT pos, digit, count(*) AS n FROM (SELECT 'd1' AS pos, d1 AS digit FROM draws UNION ALL SELECT 'd2', d2 FROM draws UNION ALL SELECT 'd3', d3 FROM draws) GROUP BY 1, 2"))
 _register("w16_item_gaps", lambda s, d: _rounded(I.item_gaps(items(s, d)), "mean_gap"),
           _with(ITEMS, ", g AS (SELECT item, t, t - lag(t) OVER (PARTITION BY item ORDER BY t) AS gap FROM items) SELECT item, count(gap) AS gaps, round(avg(gap), 6) AS mean_gap, max(gap) AS longest, max(t) AS last_t FROM g GROUP BY item"))
 _DENSE = ", x AS (SELECT i.item, g.t, CAST(h.t IS NOT NULL AS INTEGER) AS x, steps FROM (SELECT DISTINCT item FROM items) i, (SELECT t FROM draws) g, st LEFT JOIN items h ON h.item = i.item AND h.t = g.t)"
-_register("f10_runs_test", lambda s, d: _rounded(I.runs_test(items(s, d), steps(s, d)), "z"),
-          _with(ITEMS + _DENSE, """, y AS (SELECT item, x, steps, lag(x) OVER (PARTITION BY item ORDER BY t) AS b FROM x), r AS (SELECT item, any_value(steps) AS n, sum(x) AS n1, 1 + sum(CAST(x <> b AS INTEGER)) AS runs FROM y GROUP BY item),
-m AS (SELECT *, 2.0 * n1 * (n - n1) / n + 1 AS mu FROM r) SELECT item, CAST(runs AS BIGINT) AS runs, round(CAST((runs - mu) / sqrt((mu - 1) * (mu - 2) / (n - 1)) AS DOUBLE), 6) AS z FROM m"""))
-_register("f11_autocorrelation", lambda s, d: _rounded(I.autocorrelation(items(s, d), steps(s, d)), "r"),
-          _with(ITEMS + _DENSE, """, p AS (SELECT *, avg(x) OVER (PARTITION BY item) AS p FROM x), y AS (SELECT item, p, x, lead(x) OVER (PARTITION BY item ORDER BY t) AS nx FROM p)
-SELECT item, round(sum((x - p) * (nx - p)) / sum((x - p) ** 2), 6) AS r FROM y GROUP BY item"""))
-_register("f12_last_digit", lambda s, d: items(s, d).groupBy((F.col("item") % 10).alias("digit")).agg(F.count("*").alias("n")), _with(ITEMS, "SELECT item % 10 AS digit, count(*) AS n FROM items GROUP BY 1"))
 _register("f18_adjust_pvalues", lambda s, d: _rounded(I.adjust_p_values(table(s, d, "part").select("p_partkey", F.col("p_brand").alias("family"), ((F.col("p_partkey") * 37 % 1009 + 1) / 1010).alias("p")), "p", "family"), "p", "p_bh", "p_bonferroni"),
           """WITH x AS (SELECT p_partkey, p_brand AS family, (p_partkey * 37 % 1009 + 1) / 1010 AS p FROM part), r AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, rank() OVER (PARTITION BY family ORDER BY p) AS r FROM x)
 SELECT p_partkey, family, round(p, 6) AS p, round(least(1, min(p * m / r) OVER (PARTITION BY family ORDER BY r DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS p_bh, round(least(1, p * m), 6) AS p_bonferroni FROM r""")
@@ -222,8 +240,8 @@ _register("k11_mode_mix", lambda s, d: _rounded(table(s, d, "events").groupBy("e
 
 
 def queries() -> dict[str, Callable]:
-    return _QUERIES | catalog_scores.QUERIES | catalog_io.QUERIES | catalog_relations.QUERIES | catalog_patterns.QUERIES | catalog_features.QUERIES | catalog_models.QUERIES
+    return _QUERIES | catalog_scores.QUERIES | catalog_io.QUERIES | catalog_relations.QUERIES | catalog_patterns.QUERIES | catalog_features.QUERIES | catalog_models.QUERIES | catalog_tests.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalog_scores.SQL | catalog_io.SQL | catalog_relations.SQL | catalog_patterns.SQL | catalog_features.SQL | catalog_models.SQL
+    return _SQL | catalog_scores.SQL | catalog_io.SQL | catalog_relations.SQL | catalog_patterns.SQL | catalog_features.SQL | catalog_models.SQL | catalog_tests.SQL

@@ -29,8 +29,6 @@ _register("c3_basket_shape", lambda s, d: _r(items(s, d).groupBy("t").agg(F.sum(
           _I + " SELECT t, CAST(sum(item) AS BIGINT) AS total, round(avg(item), 6) AS mean, round(stddev_samp(item), 6) AS sd, max(item) - min(item) AS range, CAST(sum(item % 2) AS BIGINT) AS odd FROM items GROUP BY t")
 _register("c7_bins", lambda s, d: rows(s, d).select(F.when(F.col("d1") + F.col("d2") + F.col("d3") < 10, 0).when(F.col("d1") + F.col("d2") + F.col("d3") < 18, 1).otherwise(2).alias("third"), ((F.col("d1") == F.col("d2")) | (F.col("d2") == F.col("d3")) | (F.col("d1") == F.col("d3"))).alias("repeat")).groupBy("third", "repeat").agg(F.count("*").alias("n")),
           _D + " SELECT CASE WHEN d1 + d2 + d3 < 10 THEN 0 WHEN d1 + d2 + d3 < 18 THEN 1 ELSE 2 END AS third, d1 = d2 OR d2 = d3 OR d1 = d3 AS repeat, count(*) AS n FROM draws GROUP BY 1, 2")
-_register("w8_calendar_onehot", lambda s, d: draws(s, d).select("t", *((F.weekday("day") == k).cast("int").alias(f"dow_{k}") for k in range(7)), *((F.month("day") == k).cast("int").alias(f"month_{k}") for k in range(1, 13))),
-          _D + " SELECT t, " + ", ".join(f"CAST(isodow(day) = {k + 1} AS INTEGER) AS dow_{k}" for k in range(7)) + ", " + ", ".join(f"CAST(month(day) = {k} AS INTEGER) AS month_{k}" for k in range(1, 13)) + " FROM draws")
 _register("w17_gap_roll_stats", lambda s, d: _r(E.rolling_gap_stats(items(s, d), [5, 10]), "mean_5", "sd_5", "mean_10", "sd_10"),
           _I + ", g AS (SELECT item, t, t - lag(t) OVER (PARTITION BY item ORDER BY t) AS gap FROM items) SELECT item, t, " + ", ".join(f"round(avg(gap) OVER w{n}, 6) AS mean_{n}, round(stddev_pop(gap) OVER w{n}, 6) AS sd_{n}, min(gap) OVER w{n} AS least_{n}, max(gap) OVER w{n} AS most_{n}" for n in (5, 10)) + " FROM g WHERE gap IS NOT NULL WINDOW " + ", ".join(f"w{n} AS (PARTITION BY item ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 10)))
 _register("w18_item_freq", lambda s, d: E.recent_uses(items(s, d), [20, 50, 100]), _I + " SELECT item, t, " + ", ".join(f"count(*) OVER (PARTITION BY item ORDER BY t RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING) AS f_{n}" for n in (20, 50, 100)) + " FROM items")

@@ -25,7 +25,6 @@ _PAIRS = _I + """, r AS (SELECT item, count(*) / any_value(steps) AS r, any_valu
 g AS (SELECT a.item AS a, b.item AS b, coalesce(n, 0) AS n, a.steps AS m, a.r * b.r AS p FROM r a JOIN r b ON a.item < b.item LEFT JOIN n ON n.a = a.item AND n.b = b.item),
 z AS (SELECT a, b, n, (n - m * p) / sqrt(m * p * (1 - p)) AS z FROM g)
 """
-_register("o2_pair_significance", lambda s, d: _r(P.pair_significance(items(s, d), steps(s, d), 25), "z", "p", "p_bonferroni"), _PAIRS + f"SELECT a, b, n, round(z, 6) AS z, round({_normal_sql('z')}, 6) AS p, round(least({_normal_sql('z')} * 300, 1), 6) AS p_bonferroni FROM z")
 _register("o4_cross_step_triples", lambda s, d: P.cross_step_triples(items(s, d), 10), _I + ", p AS (SELECT x.item AS a, y.item AS b FROM items x JOIN items y ON y.t = x.t + 1 GROUP BY 1, 2 HAVING count(*) >= 10) SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS n FROM items x JOIN items y ON y.t = x.t + 1 JOIN p ON p.a = x.item AND p.b = y.item JOIN items z ON z.t = x.t + 2 JOIN p q ON q.a = y.item AND q.b = z.item GROUP BY 1, 2, 3 HAVING count(*) >= 10")
 
 

@@ -55,32 +55,12 @@ k AS (SELECT sum(m ** 3 - m) AS ties FROM (SELECT count(*) AS m FROM draws GROUP
 SELECT CAST(n AS BIGINT) AS n, groups, round(h, 6) AS h, round({_chi_sql('h', 3)}, 6) AS p FROM h""")
 
 
-def _f4(s, d):
-    gaps = S.key_gap(items(s, d), "item", cap=2**31).where(f"gap < {2**31}")
-    return _r(I.ks_exponential(gaps, "item", "gap", 9.0), "d")
-
-
-_register("f4_gap_distribution", _f4, "WITH " + ITEMS + """, g AS (SELECT item, t - lag(t) OVER (PARTITION BY item ORDER BY t) AS gap FROM items), c AS (SELECT item, gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1, 2),
-k AS (SELECT item, 1 - exp(-gap / 9.0) AS f, sum(n) OVER (PARTITION BY item ORDER BY gap) / sum(n) OVER (PARTITION BY item) AS hi, (sum(n) OVER (PARTITION BY item ORDER BY gap) - n) / sum(n) OVER (PARTITION BY item) AS lo, sum(n) OVER (PARTITION BY item) AS m FROM c)
-SELECT item, CAST(any_value(m) AS BIGINT) AS n, round(CAST(max(greatest(abs(hi - f), abs(lo - f))) AS DOUBLE), 6) AS d FROM k GROUP BY item""")
 
 
 def _sum():
     return F.col("d1") + F.col("d2") + F.col("d3")
 
 
-def _f5(s, d):
-    code = F.col("id")
-    known = s.range(1000).select((F.floor(code / 100) + F.floor(code / 10) % 10 + code % 10).alias("v")).groupBy("v").agg(F.count("*").alias("m"))
-    return _r(I.ks_two_sample(rows(s, d).groupBy(_sum().cast("long").alias("v")).agg(F.count("*").alias("n")), known, "v", "n", "m"), "d")
-
-
-_register("f5_sum_distribution", _f5, "WITH " + DRAWS + """, a AS (SELECT v, coalesce(n, 0) AS n, m FROM (SELECT x // 100 + x // 10 % 10 + x % 10 AS v, count(*) AS m FROM range(1000) r(x) GROUP BY 1) LEFT JOIN (SELECT d1 + d2 + d3 AS v, count(*) AS n FROM draws GROUP BY 1) USING (v))
-SELECT CAST(any_value(tn) AS BIGINT) AS n, CAST(any_value(tm) AS BIGINT) AS m, round(max(abs(cn / tn - cm / tm)), 6) AS d FROM (SELECT sum(n) OVER (ORDER BY v) AS cn, sum(m) OVER (ORDER BY v) AS cm, sum(n) OVER () AS tn, sum(m) OVER () AS tm FROM a)""")
-_register("f6_parity_test", lambda s, d: _r((lambda x, n: x.withColumn("expected", F.element_at(F.array(*(F.lit(k / 8) for k in (1, 3, 3, 1))), F.col("odd") + 1) * n).withColumn("part", (F.col("n") - F.col("expected")) ** 2 / F.col("expected")))(rows(s, d).groupBy(sum((F.col(x) % 2 for x in DIGITS[1:]), F.col("d1") % 2).alias("odd")).agg(F.count("*").alias("n")), steps(s, d)), "expected", "part"),
-          "WITH " + DRAWS + ", x AS (SELECT d1 % 2 + d2 % 2 + d3 % 2 AS odd, count(*) AS n FROM draws GROUP BY 1), e AS (SELECT *, [1, 3, 3, 1][odd + 1] / 8 * (SELECT count(*) FROM orders) AS expected FROM x) SELECT odd, n, round(expected, 6) AS expected, round((n - expected) ** 2 / expected, 6) AS part FROM e")
-_register("f7_consecutive_pairs", lambda s, d: I.baskets(items(s, d)).select(F.size(F.filter("xs", lambda x: F.array_contains("xs", x + 1))).alias("pairs")).groupBy("pairs").agg(F.count("*").alias("n")),
-          "WITH " + ITEMS + ", p AS (SELECT a.t, count(b.t) AS pairs FROM items a LEFT JOIN items b ON b.t = a.t AND b.item = a.item + 1 GROUP BY a.t) SELECT CAST(pairs AS INTEGER) AS pairs, count(*) AS n FROM p GROUP BY 1")
 _register("f8_calendar_effects", lambda s, d: _r(rows(s, d).groupBy(F.weekday("day").alias("dow")).agg(F.count("*").alias("n"), F.avg(_sum()).alias("mean_sum"), *(F.count_if(F.col("d1") == v).alias(f"n{v}") for v in range(10))).select("dow", "n", "mean_sum", (sum((F.col(f"n{v}") * F.col(f"n{v}") for v in range(1, 10)), F.col("n0") * F.col("n0")) * 10 / F.col("n") - F.col("n")).alias("chi2")), "mean_sum", "chi2"),
           "WITH " + DRAWS + ", x AS (SELECT isodow(day) - 1 AS dow, d1, count(*) AS n, sum(d1 + d2 + d3) AS s FROM draws GROUP BY 1, 2) SELECT CAST(dow AS INTEGER) AS dow, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 6) AS mean_sum, round(sum(n * n) * 10 / sum(n) - sum(n), 6) AS chi2 FROM x GROUP BY dow")
 _register("f9_drift_scan", lambda s, d: _r(S.hopping_chi2(draws(s, d), "d1", 200, 50, 10).withColumn("p", tails.chi_square(F.col("chi2"), 9)).where("p < 0.05"), "chi2", "p"),
@@ -93,19 +73,8 @@ def _bits():
     return F.aggregate(shares, F.lit(0.0), lambda a, p: a + F.when(p > 0, -p * F.log2(p)).otherwise(0.0))
 
 
-_register("f14_entropy_trend", lambda s, d: draws(s, d).select("t", _bits().alias("h")).agg(F.round(F.regr_slope("h", "t"), 10).alias("slope"), F.round(F.regr_intercept("h", "t"), 6).alias("intercept"), F.round(F.corr("h", "t"), 6).alias("r")),
-          "WITH " + DRAWS + ", x AS (SELECT t, coalesce(list_sum(list_transform([d1, d2, d3], lambda v: CASE WHEN v > 0 THEN -(v / (d1 + d2 + d3)) * log2(v / (d1 + d2 + d3)) ELSE 0 END)), 0) AS h FROM draws) SELECT round(regr_slope(h, t), 10) AS slope, round(regr_intercept(h, t), 6) AS intercept, round(corr(h, t), 6) AS r FROM x")
-
-
-def _next(s, d):
-    """Baskets with the one of the step after, on consecutive steps."""
-    rows = I.baskets(items(s, d))
-    return rows.join(rows.select((F.col("t") - 1).alias("t"), F.col("xs").alias("ys")), "t").withColumn("shared", F.size(F.array_intersect("xs", "ys")))
 
 
-_PAIRED = "WITH " + ITEMS + ", b AS (SELECT t, list(item) AS xs FROM items GROUP BY t), n AS (SELECT a.t, len(list_intersect(a.xs, b.xs)) AS shared, len(a.xs) AS nx, len(b.xs) AS ny FROM b a JOIN b ON b.t = a.t + 1)\n"
-_register("f15_repeat_count", lambda s, d: _next(s, d).groupBy("shared").agg(F.count("*").alias("n")), _PAIRED + "SELECT CAST(shared AS INTEGER) AS shared, count(*) AS n FROM n GROUP BY 1")
-_register("f16_jaccard_consecutive", lambda s, d: _next(s, d).agg(F.count("*").alias("n"), F.round(F.avg(F.col("shared") / (F.size("xs") + F.size("ys") - F.col("shared"))), 6).alias("jaccard")), _PAIRED + "SELECT count(*) AS n, round(avg(shared / (nx + ny - shared)), 6) AS jaccard FROM n")
 
 # dependence
 _X, _Y = ["d1", "d2", "d3", "c"], ["quantity", "discount", "price", "n_lines"]

@@ -27,6 +27,17 @@ def chi_square(x: Column, df: int) -> Column:
     return normal_two_sided(F.sqrt(x)) + F.exp(-half) * sum(terms, F.lit(0.0))
 
 
+def kolmogorov(d: Column, n: Column, terms: int = 40) -> Column:
+    """Tail of the Kolmogorov distribution for distance d and effective size n, by its series with Stephens' correction.
+
+    The series is summed only where it converges fast; below, the tail is 1.
+    """
+    root = F.sqrt(n)
+    x = (root + 0.12 + 0.11 / root) * d
+    series = sum((F.exp(-2.0 * k * k * x * x) * (2.0 if k % 2 else -2.0) for k in range(2, terms + 1)), 2.0 * F.exp(-2.0 * x * x))
+    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0)))
+
+
 def log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series at n + 8 (error below 1e-10)."""
     x = n + 8.0
@@ -86,5 +97,17 @@ def f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([one(*row) for row in zip(f, df1, df2)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def binomial_two_sided(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+    """Exact two-sided binomial p: twice the smaller tail, at most 1; for the few rows of a table of tests."""
+
+    def one(k, n, p):
+        upper = 1.0 if k <= 0 else _beta_tail(k, n - k + 1, p)
+        lower = 1.0 if k >= n else 1 - _beta_tail(k + 1, n - k, p)
+        return min(1.0, 2 * min(upper, lower))
+
+    return pd.Series([one(*row) for row in zip(k, n, p)], dtype="float64")
+
+
 def t_two_sided(t: Column, df: Column) -> Column:
     return f_tail(t * t, F.lit(1.0), df.cast("double"))

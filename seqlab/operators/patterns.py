@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import fisher_greater, normal_two_sided
+from ..functions.tails import binomial_two_sided, fisher_greater
 from ..storage import pinned
 from .items import cross_step_pairs, pair_counts
 from .series import prefix_sum
 
 
 def pair_significance(items: DataFrame, steps: int, domain: int) -> DataFrame:
-    """z of each pair's count in a step against independent items, two-sided p and its Bonferroni value over all pairs.
+    """z of each pair's count in a step against independent items, exact two-sided p and its Bonferroni value over all pairs.
 
     Pairs that never met count as zero. Items are a bounded domain: their rates are joined to themselves.
     """
@@ -21,7 +21,7 @@ def pair_significance(items: DataFrame, steps: int, domain: int) -> DataFrame:
     grid = left.join(F.broadcast(right), F.col("a") < F.col("b")).join(pair_counts(items), ["a", "b"], "left").na.fill(0, ["n"])
     p = F.col("ra") * F.col("rb")
     z = (F.col("n") - steps * p) / F.sqrt(steps * p * (1 - p))
-    tested = grid.select("a", "b", "n", z.alias("z")).withColumn("p", normal_two_sided(F.col("z")))
+    tested = grid.select("a", "b", "n", z.alias("z"), binomial_two_sided(F.col("n"), F.lit(steps), p).alias("p"))
     return tested.withColumn("p_bonferroni", F.least(F.col("p") * (domain * (domain - 1) // 2), F.lit(1.0)))
 
 
