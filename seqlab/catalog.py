@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import catalog_features, catalog_io, catalog_models, catalog_patterns, catalog_relations, catalog_scores, catalog_tests
+from . import catalog_features, catalog_io, catalog_models, catalog_patterns, catalog_relations, catalog_scalars, catalog_scores, catalog_tests
 from .bindings import DRAWS, ITEMS, draws, items, rows, steps, table
 from .operators import feature_sets as B
 from .operators import items as I
@@ -90,9 +90,6 @@ _register("r25_percentile_stats", lambda s, d: _rounded(table(s, d, "orders").gr
 _register("r26_seeded_subset", lambda s, d: table(s, d, "orders").select("o_orderkey").orderBy(F.md5(F.concat(F.lit("7:"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(100), "SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100")
 
 # scalar functions
-_register("c2_digit_shape", lambda s, d: rows(s, d).groupBy((F.col("d1") + F.col("d2") + F.col("d3")).alias("total"), F.size(F.array_distinct(F.array(*DIGITS))).alias("kinds")).agg(F.count("*").alias("n")),
-          _with(DRAWS, "SELECT d1 + d2 + d3 AS total, CAST(len(list_distinct([d1, d2, d3])) AS INTEGER) AS kinds, count(*) AS n FROM draws GROUP BY 1, 2"))
-_register("c4_calendar", lambda s, d: rows(s, d).groupBy(F.weekday("day").alias("dow"), F.month("day").alias("month")).agg(F.count("*").alias("n")), _with(DRAWS, "SELECT CAST(isodow(day) - 1 AS INTEGER) AS dow, CAST(month(day) AS INTEGER) AS month, count(*) AS n FROM draws GROUP BY 1, 2"))
 _register("c5_cyclic_encoding", lambda s, d: draws(s, d).select("t", F.round(F.sin(2 * 3.141592653589793 * F.dayofyear("day") / 365.25), 6).alias("sin_doy"), F.round(F.cos(2 * 3.141592653589793 * F.dayofyear("day") / 365.25), 6).alias("cos_doy")),
           _with(DRAWS, "SELECT t, round(sin(2 * 3.141592653589793 * dayofyear(day) / 365.25), 6) AS sin_doy, round(cos(2 * 3.141592653589793 * dayofyear(day) / 365.25), 6) AS cos_doy FROM draws"))
 _register("c10_box_key", lambda s, d: rows(s, d).select(F.concat_ws("", F.array_sort(F.array(*DIGITS)).cast("array<string>")).alias("box"), F.size(F.array_distinct(F.array(*DIGITS))).alias("k")).groupBy("box").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 3, 6).when(F.col("k") == 2, 3).otherwise(1)).alias("orbit")),
@@ -240,8 +237,8 @@ _register("k11_mode_mix", lambda s, d: _rounded(table(s, d, "events").groupBy("e
 
 
 def queries() -> dict[str, Callable]:
-    return _QUERIES | catalog_scores.QUERIES | catalog_io.QUERIES | catalog_relations.QUERIES | catalog_patterns.QUERIES | catalog_features.QUERIES | catalog_models.QUERIES | catalog_tests.QUERIES
+    return _QUERIES | catalog_scores.QUERIES | catalog_io.QUERIES | catalog_relations.QUERIES | catalog_patterns.QUERIES | catalog_features.QUERIES | catalog_models.QUERIES | catalog_tests.QUERIES | catalog_scalars.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalog_scores.SQL | catalog_io.SQL | catalog_relations.SQL | catalog_patterns.SQL | catalog_features.SQL | catalog_models.SQL | catalog_tests.SQL
+    return _SQL | catalog_scores.SQL | catalog_io.SQL | catalog_relations.SQL | catalog_patterns.SQL | catalog_features.SQL | catalog_models.SQL | catalog_tests.SQL | catalog_scalars.SQL

@@ -25,8 +25,6 @@ def _register(name, query, sql=None):
 
 
 # scalar functions of a row
-_register("c3_basket_shape", lambda s, d: _r(items(s, d).groupBy("t").agg(F.sum("item").alias("total"), F.avg("item").alias("mean"), F.stddev_samp("item").alias("sd"), (F.max("item") - F.min("item")).alias("range"), F.sum(F.col("item") % 2).alias("odd")), "mean", "sd"),
-          _I + " SELECT t, CAST(sum(item) AS BIGINT) AS total, round(avg(item), 6) AS mean, round(stddev_samp(item), 6) AS sd, max(item) - min(item) AS range, CAST(sum(item % 2) AS BIGINT) AS odd FROM items GROUP BY t")
 _register("c7_bins", lambda s, d: rows(s, d).select(F.when(F.col("d1") + F.col("d2") + F.col("d3") < 10, 0).when(F.col("d1") + F.col("d2") + F.col("d3") < 18, 1).otherwise(2).alias("third"), ((F.col("d1") == F.col("d2")) | (F.col("d2") == F.col("d3")) | (F.col("d1") == F.col("d3"))).alias("repeat")).groupBy("third", "repeat").agg(F.count("*").alias("n")),
           _D + " SELECT CASE WHEN d1 + d2 + d3 < 10 THEN 0 WHEN d1 + d2 + d3 < 18 THEN 1 ELSE 2 END AS third, d1 = d2 OR d2 = d3 OR d1 = d3 AS repeat, count(*) AS n FROM draws GROUP BY 1, 2")
 _register("w17_gap_roll_stats", lambda s, d: _r(E.rolling_gap_stats(items(s, d), [5, 10]), "mean_5", "sd_5", "mean_10", "sd_10"),
