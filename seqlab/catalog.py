@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import catalog_features, catalog_io, catalog_models, catalog_patterns, catalog_relations, catalog_scalars, catalog_scores, catalog_tests
+from . import catalog_features, catalog_io, catalog_models, catalog_patterns, catalog_predictors, catalog_relations, catalog_scalars, catalog_scores, catalog_structure, catalog_tests
 from .bindings import DRAWS, ITEMS, draws, items, rows, steps, table
 from .operators import feature_sets as B
 from .operators import items as I
@@ -210,15 +210,6 @@ _register("v3_exponential_hazard", lambda s, d: _rounded(I.exponential_hazard(I.
 
 
 # predictors, nulls, ledgers
-def _markov(s, d):
-    n = steps(s, d)
-    moves = S.over_chunks(draws(s, d), lambda w: {"was": F.lag("d1", 1).over(w)}, 1).where((F.col("t") < int(0.7 * n)) & F.col("was").isNotNull())
-    counts = moves.groupBy("was", F.col("d1").alias("next")).agg(F.count("*").alias("n"))
-    totals = counts.groupBy("was").agg(F.sum("n").alias("m"))
-    return counts.join(totals, "was").select("was", "next", F.round((F.col("n") + 1) / (F.col("m") + 10), 6).alias("p"))
-
-
-_register("p2_markov_scores", _markov, _with(DRAWS, ", l AS (SELECT t, lag(d1) OVER (ORDER BY t) AS was, d1 AS next FROM draws), n AS (SELECT was, next, count(*) AS n FROM l WHERE was IS NOT NULL AND t < CAST(floor(0.7 * (SELECT count(*) FROM orders)) AS BIGINT) GROUP BY 1, 2) SELECT was, next, round((n + 1) / (sum(n) OVER (PARTITION BY was) + 10), 6) AS p FROM n"))
 _register("n2_permutation_null", lambda s, d: _rounded(N.permutation_match(S.over_chunks(draws(s, d), lambda w: {"guess": F.lag("d1", 1).over(w)}, 1).where("t > 0"), "guess", "d1", "t", 100), "observed", "null_mean", "null_p95", "p"),
           _with(DRAWS, """, g AS (SELECT t, lag(d1) OVER (ORDER BY t) AS guess, d1 FROM draws), x AS (SELECT * FROM g WHERE t > 0), r AS (SELECT *, rep FROM x, range(1, 101) q(rep)),
 o AS (SELECT rep, t, guess, d1, row_number() OVER (PARTITION BY rep ORDER BY t) AS slot, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('42:' || rep || ':' || t), 1, 12))::BIGINT, t) AS source FROM r),
@@ -237,8 +228,8 @@ _register("k11_mode_mix", lambda s, d: _rounded(table(s, d, "events").groupBy("e
 
 
 def queries() -> dict[str, Callable]:
-    return _QUERIES | catalog_scores.QUERIES | catalog_io.QUERIES | catalog_relations.QUERIES | catalog_patterns.QUERIES | catalog_features.QUERIES | catalog_models.QUERIES | catalog_tests.QUERIES | catalog_scalars.QUERIES
+    return _QUERIES | catalog_scores.QUERIES | catalog_io.QUERIES | catalog_relations.QUERIES | catalog_patterns.QUERIES | catalog_features.QUERIES | catalog_models.QUERIES | catalog_tests.QUERIES | catalog_structure.QUERIES | catalog_predictors.QUERIES | catalog_scalars.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalog_scores.SQL | catalog_io.SQL | catalog_relations.SQL | catalog_patterns.SQL | catalog_features.SQL | catalog_models.SQL | catalog_tests.SQL | catalog_scalars.SQL
+    return _SQL | catalog_scores.SQL | catalog_io.SQL | catalog_relations.SQL | catalog_patterns.SQL | catalog_features.SQL | catalog_models.SQL | catalog_tests.SQL | catalog_structure.SQL | catalog_predictors.SQL | catalog_scalars.SQL

@@ -108,14 +108,6 @@ _register("p5_overdue_scores", _p5, _D + ", g AS (SELECT t, " + ", ".join(f"coal
           + "), e AS (SELECT t, position, list_transform(g, lambda y: exp((y - list_max(g)) / 10.0)) AS e FROM x) SELECT t, position, CAST(k AS INTEGER) AS symbol, round(e[k + 1] / list_sum(e), 6) AS p FROM e, range(10) q(k)")
 
 
-def _p4(s, d):
-    n = steps(s, d)
-    rows = S.over_chunks(draws(s, d), lambda w: {"bin": F.floor(F.lag(F.col("d1") + F.col("d2") + F.col("d3"), 1).over(w) / 5)}, 1).where((F.col("t") < int(0.7 * n)) & F.col("bin").isNotNull())
-    counts = rows.groupBy("bin", F.col("d1").alias("next")).agg(F.count("*").alias("n"))
-    return counts.join(counts.groupBy("bin").agg(F.sum("n").alias("m")), "bin").select("bin", "next", F.round((F.col("n") + 1) / (F.col("m") + 10), 6).alias("p"))
-
-
-_register("p4_conditional_freq", _p4, _D + ", l AS (SELECT t, lag(d1 + d2 + d3) OVER (ORDER BY t) // 5 AS bin, d1 AS next FROM draws), n AS (SELECT bin, next, count(*) AS n FROM l WHERE bin IS NOT NULL AND t < CAST(floor(0.7 * (SELECT count(*) FROM orders)) AS BIGINT) GROUP BY 1, 2) SELECT CAST(bin AS BIGINT) AS bin, next, round((n + 1) / (sum(n) OVER (PARTITION BY bin) + 10), 6) AS p FROM n")
 _register("p15_delta_distribution", lambda s, d: draws(s, d).select("t", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col("d1"), 0.91).otherwise(0.01))).alias("symbol", "p")), _D + " SELECT t, CAST(k AS INTEGER) AS symbol, CAST(CASE WHEN k = d1 THEN 0.91 ELSE 0.01 END AS DOUBLE) AS p FROM draws, range(10) q(k)")
 _register("l20_cumulative_topk", lambda s, d: marginals(s, d).select("t", *(F.round(F.aggregate(F.slice(F.sort_array("p_d1", asc=False), 1, k), F.lit(0.0), lambda a, x: a + x), 6).alias(f"top{k}") for k in (1, 3, 5))),
           BASE + " SELECT t, " + ", ".join(f"round(list_sum(list_reverse_sort(p_d1)[1:{k}]), 6) AS top{k}" for k in (1, 3, 5)) + " FROM m")

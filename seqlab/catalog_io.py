@@ -85,6 +85,12 @@ _register("x5_stream_running_stats", _streamed(lambda e: streams.running_stats(e
 _register("x8_stream_dedupe", _streamed(lambda e: streams.without_repeats(e.unionByName(e).select("event_id", "ts", "user_id"), ["event_id"], LATE), ["event_id"], "append"), "SELECT DISTINCT event_id, ts, user_id FROM events")
 
 
+_register("x1_stream_draws", _streamed(lambda e: streams.new_rows(e.unionByName(e).select("event_id", "ts", "user_id"), ["event_id"], "2024-01-03", LATE), ["event_id"], "append"), "SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-03'")
+_hops = _streamed(lambda e: streams.hopping_counts(e, "event_type", "1 day", "6 hours", LATE), ["start", "event_type"])
+_register("x3_stream_hopping_drift", lambda s, d: streams.drift(_hops(s, d), "event_type", 5).withColumn("chi2", F.round("chi2", 6)),
+          "WITH h AS (SELECT date_trunc('day', ts) + to_hours(CAST(6 * (hour(ts) // 6 - k) AS BIGINT)) AS start, event_type FROM events, range(4) q(k)), n AS (SELECT start, event_type, count(*) AS n FROM h GROUP BY 1, 2) SELECT start, CAST(sum(n) AS BIGINT) AS n, round(sum(n * n) * 5 / sum(n) - sum(n), 6) AS chi2 FROM n GROUP BY start")
+
+
 def _events(s, d, name):
     """A folder of events and a stream of it."""
     base, rows = _new(s, name), table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")

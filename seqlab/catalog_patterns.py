@@ -123,8 +123,6 @@ def _rated(s, d):
     return rows.join(F.broadcast(I.exponential_hazard(rows)), "item")
 
 
-_register("v6_concordance_index", lambda s, d: _r(P.concordance(_rated(s, d).withColumn("risk", F.col("item") % 5), "duration", "event", "risk"), "c_index"),
-          _I + _SP + ", h AS (SELECT duration AS d, item % 5 AS r, count(*) AS n, sum(event) AS e FROM sp GROUP BY 1, 2) SELECT CAST(sum(a.e * b.n) AS BIGINT) AS pairs, round(sum(a.e * b.n * CASE WHEN a.r > b.r THEN 1 WHEN a.r = b.r THEN 0.5 ELSE 0 END) / sum(a.e * b.n), 6) AS c_index FROM h a JOIN h b ON b.d > a.d AND a.e > 0")
 _register("v7_brier_at_horizons", lambda s, d: _r(P.brier_at(_rated(s, d), "rate", [1, 3, 5]), "brier"), _I + _SP + "SELECT h, count(*) AS n, round(avg((exp(-rate * h) - CAST(duration > h AS INTEGER)) ** 2), 6) AS brier FROM sp JOIN rt USING (item), (SELECT unnest([1, 3, 5]) AS h) WHERE event = 1 OR duration > h GROUP BY h")
 _register("v8_calibration_table", lambda s, d: _r(P.calibration(_rated(s, d).withColumn("p", F.round("p1", 9)).withColumn("y", (F.col("duration") == 1).cast("int")), "p", "y", 100), "score", "rate"),
           _I + _SP + "SELECT CAST(least(floor(p * 100), 99) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS score, round(avg(CAST(duration = 1 AS INTEGER)), 6) AS rate FROM (SELECT duration, round(1 - exp(-rate), 9) AS p FROM sp JOIN rt USING (item)) GROUP BY 1")

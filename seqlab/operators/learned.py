@@ -7,11 +7,13 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import AFTSurvivalRegression, IsotonicRegression, RandomForestRegressor
+from pyspark.ml.regression import AFTSurvivalRegression, GeneralizedLinearRegression, IsotonicRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tails import chi_square
+from ..storage import pinned
 from .scores import normalised
 
 
@@ -124,3 +126,30 @@ def periodogram(items: DataFrame, steps: int, most: int) -> DataFrame:
     angle = 2 * 3.141592653589793 * F.col("k") * F.col("t") / steps
     waves = items.select("item", "t", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).groupBy("item", "k").agg(F.sum(F.cos(angle)).alias("re"), F.sum(F.sin(angle)).alias("im"))
     return waves.select("item", "k", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("power"))
+
+
+def logit_lr(df: DataFrame, targets: list[str], columns: list[str], controls: list[str]) -> DataFrame:
+    """Per 0/1 target a logistic regression on columns and controls against one on controls alone: lr, p, aic, r2 (McFadden's).
+
+    Targets are few, each is two fits over the pinned rows.
+    """
+    rows, out = pinned(df), []
+    for y in targets:
+        fits = []
+        for xs in ([*columns, *controls], controls):
+            vectors_ = VectorAssembler(inputCols=xs, outputCol="x").transform(rows.withColumns({c: F.col(c).cast("double") for c in xs}).withColumn("y", F.col(y).cast("double"))).select("x", "y")
+            fits.append(GeneralizedLinearRegression(family="binomial", featuresCol="x", labelCol="y", maxIter=50, tol=1e-10).fit(vectors_).summary)
+        full, small = fits
+        out.append((y, float(small.deviance - full.deviance), float(full.aic), float(1 - full.deviance / full.nullDeviance)))
+    made = df.sparkSession.createDataFrame(out, "target string, lr double, aic double, r2 double")  # a row for each target
+    return made.select("target", "lr", chi_square(F.col("lr"), len(columns)).alias("p"), "aic", "r2")
+
+
+def l1_select(df: DataFrame, targets: list[str], columns: list[str], strength: float = 0.001) -> DataFrame:
+    """Per column and 0/1 target the coefficient of an L1 logistic regression of standardised columns: target, column, beta, kept."""
+    rows, out = pinned(df), []
+    for y in targets:
+        vectors_ = VectorAssembler(inputCols=columns, outputCol="x").transform(rows.withColumns({c: F.col(c).cast("double") for c in columns}).withColumn("y", F.col(y).cast("double"))).select("x", "y")
+        model = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=strength, standardization=True).fit(vectors_)
+        out += [(y, c, float(b), bool(b != 0)) for c, b in zip(columns, model.coefficients.toArray())]
+    return df.sparkSession.createDataFrame(out, "target string, column string, beta double, kept boolean")

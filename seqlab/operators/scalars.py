@@ -101,9 +101,9 @@ def next_slot(now: Column, slots: list[str], rest_days: tuple[int, ...] = (6,))
     """The first time of day in slots (HH:mm) after now on a day that is none of the rest days (Monday 0)."""
     day = F.to_date(now)
     minutes = [int(x[:2]) * 60 + int(x[3:]) for x in sorted(slots)]
-    first = F.date_trunc("day", now)
-    times = [(F.date_add(day, k), F.timestampadd("MINUTE", F.lit(k * 1440 + m), first)) for k in range(len(rest_days) + 2) for m in minutes]
-    return F.coalesce(*(F.when((t > now) & ~F.weekday(d).isin(*rest_days), t) for d, t in times))
+    at = now.cast("timestamp_ntz")
+    times = [(F.date_add(day, k), F.date_add(day, k).cast("timestamp_ntz") + F.expr(f"INTERVAL {m} MINUTES")) for k in range(len(rest_days) + 2) for m in minutes]
+    return F.coalesce(*(F.when((t > at) & ~F.weekday(d).isin(*rest_days), t) for d, t in times))
 
 
 def calendar_slots(spark, first: str, last: str, slots: list[str], rest_days: tuple[int, ...] = (6,)) -> DataFrame:

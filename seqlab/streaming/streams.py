@@ -30,6 +30,22 @@ def without_repeats(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicates([*keys, "ts"])
 
 
+def new_rows(events: DataFrame, keys: list[str], since: str, late: str) -> DataFrame:
+    """Rows from a time on, each key once, however often files bring it again within the watermark's delay."""
+    return events.where(F.col("ts") >= F.lit(since).cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def hopping_counts(events: DataFrame, key: str, size: str, slide: str, late: str) -> DataFrame:
+    """Counts of each key in windows of size every slide: start, key, n."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
+
+
+def drift(counts: DataFrame, key: str, symbols: int) -> DataFrame:
+    """Of windowed counts (start, key, n): rows and chi-square against equal shares of the symbols in each window."""
+    m = F.sum("n")
+    return counts.groupBy("start").agg(m.alias("n"), (F.sum(F.col("n") * F.col("n")) * symbols / m - m).alias("chi2"))
+
+
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "update", sink: Callable | None = None) -> None:
     """Runs the stream over all that is there and appends every batch with its number to Parquet; restarts go on from the checkpoint."""
 
