@@ -92,8 +92,8 @@ _register("r26_seeded_subset", lambda s, d: table(s, d, "orders").select("o_orde
 # scalar functions
 _register("c5_cyclic_encoding", lambda s, d: draws(s, d).select("t", F.round(F.sin(2 * 3.141592653589793 * F.dayofyear("day") / 365.25), 6).alias("sin_doy"), F.round(F.cos(2 * 3.141592653589793 * F.dayofyear("day") / 365.25), 6).alias("cos_doy")),
           _with(DRAWS, "SELECT t, round(sin(2 * 3.141592653589793 * dayofyear(day) / 365.25), 6) AS sin_doy, round(cos(2 * 3.141592653589793 * dayofyear(day) / 365.25), 6) AS cos_doy FROM draws"))
-_register("c10_box_key", lambda s, d: rows(s, d).select(F.concat_ws("", F.array_sort(F.array(*DIGITS)).cast("array<string>")).alias("box"), F.size(F.array_distinct(F.array(*DIGITS))).alias("k")).groupBy("box").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 3, 6).when(F.col("k") == 2, 3).otherwise(1)).alias("orbit")),
-          _with(DRAWS, "SELECT array_to_string(list_sort([d1, d2, d3]), '') AS box, count(*) AS n, max(CASE len(list_distinct([d1, d2, d3])) WHEN 3 THEN 6 WHEN 2 THEN 3 ELSE 1 END) AS orbit FROM draws GROUP BY 1"))
+_register("c10_box_key", lambda s, d: rows(s, d).select(F.concat_ws("", F.array_sort(F.array(*DIGITS)).cast("array<string>")).alias("box"), F.size(F.array_distinct(F.array(*DIGITS))).alias("k")).groupBy("box").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 3, 6).when(F.col("k") == 2, 3).otherwise(1)).alias("orbit"), F.max(F.when(F.col("k") == 3, 80).when(F.col("k") == 2, 160).otherwise(0)).alias("payout")),
+          _with(DRAWS, "SELECT array_to_string(list_sort([d1, d2, d3]), '') AS box, count(*) AS n, max(CASE len(list_distinct([d1, d2, d3])) WHEN 3 THEN 6 WHEN 2 THEN 3 ELSE 1 END) AS orbit, max(CASE len(list_distinct([d1, d2, d3])) WHEN 3 THEN 80 WHEN 2 THEN 160 ELSE 0 END) AS payout FROM draws GROUP BY 1"))
 
 # causal windows
 def _built(*sets):
@@ -183,8 +183,8 @@ _register("w15_drift_windows", lambda s, d: _rounded(S.hopping_chi2(draws(s, d),
 SELECT start, round(sum(n * n) * 10 / 200 - 200, 6) AS chi2 FROM n WHERE start < (SELECT count(*) - 200 FROM orders) GROUP BY start"""))
 _register("w22_decay_presence", lambda s, d: _rounded(I.decayed_presence(items(s, d)), "presence"),
           _with(ITEMS, "SELECT t + k AS t, item, round(sum(exp(-1.0 * k)), 6) AS presence FROM items, range(1, 11) r(k) GROUP BY 1, 2"))
-_register("w25_context_windows", lambda s, d: S.context_windows(draws(s, d), ["d1", "d2", "d3"], 8).select("t", F.concat_ws(",", F.transform("context", lambda x: F.concat(x["d1"].cast("string"), x["d2"].cast("string"), x["d3"].cast("string")))).alias("context")),
-          _with(DRAWS, ", x AS (SELECT t, string_agg(d1 || '' || d2 || '' || d3, ',') OVER (ORDER BY t ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS context FROM draws) SELECT t, context FROM x WHERE t >= 8"))
+_register("w25_context_windows", lambda s, d: S.context_windows(draws(s, d), DIGITS, 8).select("t", F.concat_ws(",", F.transform("context", lambda x: F.concat(x["d1"].cast("string"), x["d2"].cast("string"), x["d3"].cast("string")))).alias("context"), *(F.col("target")[c].alias(f"y_{c}") for c in DIGITS)),
+          _with(DRAWS, ", x AS (SELECT t, d1, d2, d3, string_agg(d1 || '' || d2 || '' || d3, ',') OVER (ORDER BY t ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS context FROM draws) SELECT t, context || ',111' AS context, d1 AS y_d1, d2 AS y_d2, d3 AS y_d3 FROM x WHERE t >= 8"))
 _register("w26_lag_targets", lambda s, d: S.lag_targets(draws(s, d), "d1", 3), _with(DRAWS, "SELECT a.t, a.d1 AS y0, b.d1 AS y1, c.d1 AS y2, e.d1 AS y3 FROM draws a JOIN draws b ON b.t = a.t + 1 JOIN draws c ON c.t = a.t + 2 JOIN draws e ON e.t = a.t + 3"))
 _register("w29_seasonal_naive", lambda s, d: S.over_chunks(draws(s, d), lambda w: {"naive": F.lag("c", 4).over(w)}, 4).select("t", "c", "naive"), _with(DRAWS, "SELECT t, c, lag(c, 4) OVER (ORDER BY t) AS naive FROM draws"))
 
@@ -219,12 +219,11 @@ _register("n2_permutation_null_all", _QUERIES["n2_permutation_null"], _SQL["n2_p
 _register("n7_sign_flip", lambda s, d: _rounded(N.sign_flip(draws(s, d).select("t", (F.col("d1") - F.col("d2")).cast("double").alias("x")), "x", "t", 50), "observed", "p"),
           _with(DRAWS, """, f AS (SELECT rep, round(avg(CASE WHEN ('0x' || substr(md5('42:' || rep || ':' || t), 1, 12))::BIGINT % 2 = 0 THEN d1 - d2 ELSE d2 - d1 END), 9) AS m FROM draws, range(1, 51) q(rep) GROUP BY 1), s AS (SELECT round(avg(d1 - d2), 9) AS observed, count(*) AS n FROM draws)
 SELECT round(observed, 6) AS observed, n, round((1 + count(*) FILTER (abs(m) >= abs(observed))) / 51, 6) AS p FROM f, s GROUP BY 1, 2, observed"""))
-_register("k4_running_stats", lambda s, d: _rounded(table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") > 0.5).cast("long")).alias("hits"), F.avg("value").alias("mean")), "mean"),
-          "SELECT event_type, count(*) AS n, CAST(count(*) FILTER (value > 0.5) AS BIGINT) AS hits, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+# running stats of ledgers are with the scores
 _register("k7_leaderboard", lambda s, d: _rounded(table(s, d, "events").groupBy("user_id").agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("val"), F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))).alias("live")), "val", "live").orderBy(F.desc_nulls_last("live"), "user_id").limit(20),
           "SELECT user_id, round(avg(value) FILTER (event_id % 2 = 0), 6) AS val, round(avg(value) FILTER (event_id % 2 = 1), 6) AS live FROM events GROUP BY 1 ORDER BY live DESC NULLS LAST, user_id LIMIT 20")
-_register("k11_mode_mix", lambda s, d: _rounded(table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).join(F.broadcast(table(s, d, "events").agg(F.count("*").alias("m")))).select("event_type", (F.col("n") / F.col("m")).alias("share")), "share"),
-          "SELECT event_type, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1")
+_register("k11_mode_mix", lambda s, d: _rounded(table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("event_id")).alias("repeats")).join(F.broadcast(table(s, d, "events").agg(F.count("*").alias("m")))).select("event_type", (F.col("n") / F.col("m")).alias("share"), "repeats"), "share"),
+          "SELECT event_type, round(count(*) / (SELECT count(*) FROM events), 6) AS share, count(*) - count(DISTINCT event_id) AS repeats FROM events GROUP BY 1")
 
 
 def queries() -> dict[str, Callable]:

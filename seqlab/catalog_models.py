@@ -98,5 +98,6 @@ def _v10(s, d):
 
 
 _register("v10_hawkes_discrete", _v10)
-_register("q1_periodogram", lambda s, d: _r(M.periodogram(items(s, d), steps(s, d), 20), "power"),
-          "WITH " + ITEMS + " SELECT item, CAST(k AS INTEGER) AS k, round(sqrt(sum(cos(2 * 3.141592653589793 * k * t / steps)) ** 2 + sum(sin(2 * 3.141592653589793 * k * t / steps)) ** 2), 6) AS power FROM items, st, range(1, 21) q(k) GROUP BY item, k")
+_register("q1_periodogram", lambda s, d: _r(M.periodogram(items(s, d), steps(s, d)), "power", digits=4),
+          "WITH " + ITEMS + """, p AS (SELECT item, k, round(sqrt(sum(cos(2 * 3.141592653589793 * ((k * t) % steps) / steps)) ** 2 + sum(sin(2 * 3.141592653589793 * ((k * t) % steps) / steps)) ** 2), 6) AS power FROM items, st, range(1, (SELECT (steps + 1) // 2 FROM st)) q(k) GROUP BY item, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY power DESC, k) AS place FROM p), y AS (SELECT r.*, CAST(round(steps / k) AS INTEGER) AS period, steps FROM r, st WHERE place <= 3) SELECT item, CAST(place AS INTEGER) AS place, CAST(k AS INTEGER) AS k, CASE WHEN period > 2 AND period < steps / 2 THEN period END AS period, round(power, 4) AS power FROM y""")

@@ -53,7 +53,17 @@ def _rule_scores(s, d):
 _register("o7_rule_scores", lambda s, d: _r(_rule_scores(s, d), "score"), _SCORE + "SELECT t, item, round(score, 6) AS score FROM s")
 _BACK = """, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(score, 9) DESC, item) AS r FROM s) WHERE r <= 6), h AS (SELECT b.t, count(i.item) AS hits, count(*) AS picked FROM b LEFT JOIN items i ON i.t = b.t AND i.item = b.item GROUP BY b.t), z AS (SELECT t, count(*) AS size FROM items GROUP BY t)
 SELECT count(*) AS steps, round(avg(hits), 6) AS hits, round(sum(hits) / sum(picked), 6) AS precision, round(sum(hits) / sum(size), 6) AS recall FROM h JOIN z USING (t)"""
-_register("o8_rule_backtest", lambda s, d: _r(P.top_n_backtest(_rule_scores(s, d), items(s, d), 6), "hits", "precision", "recall"), _SCORE + _BACK)
+
+
+def _o8(s, d):
+    scores, rows = _rule_scores(s, d), items(s, d)
+    best = [P.top_n_backtest(scores, rows, n).withColumn("n", F.lit(n)) for n in (1, 3, 6)]
+    base = rows.groupBy("t").agg(F.count("*").alias("size")).agg((F.avg("size") / 25).alias("base"))
+    return _r(best[0].unionByName(best[1]).unionByName(best[2]).join(F.broadcast(base)), "hits", "precision", "recall", "base")
+
+
+_register("o8_rule_backtest", _o8, _SCORE + ", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(score, 9) DESC, item) AS r FROM s) WHERE r <= 6), h AS (SELECT b.t, q.n, count(i.item) AS hits, count(*) AS picked FROM b JOIN (SELECT unnest([1, 3, 6]) AS n) q ON b.r <= q.n LEFT JOIN items i ON i.t = b.t AND i.item = b.item GROUP BY 1, 2), z AS (SELECT t, count(*) AS size FROM items GROUP BY t) SELECT n, count(*) AS steps, round(avg(hits), 6) AS hits, round(sum(hits) / sum(picked), 6) AS precision, round(sum(hits) / sum(size), 6) AS recall, round((SELECT avg(size) / 25 FROM z), 6) AS base FROM h JOIN z USING (t) GROUP BY n")
+
 _register("v15_topn_backtest", lambda s, d: _r(P.top_n_backtest(I.decayed_presence(items(s, d)).withColumnRenamed("presence", "score"), items(s, d), 6), "hits", "precision", "recall"),
           _I + ", s AS (SELECT t + k AS t, item, sum(exp(-1.0 * k)) AS score FROM items, range(1, 11) r(k) GROUP BY 1, 2)" + _BACK)
 
@@ -124,8 +134,8 @@ def _rated(s, d):
 
 
 _register("v7_brier_at_horizons", lambda s, d: _r(P.brier_at(_rated(s, d), "rate", [1, 3, 5]), "brier"), _I + _SP + "SELECT h, count(*) AS n, round(avg((exp(-rate * h) - CAST(duration > h AS INTEGER)) ** 2), 6) AS brier FROM sp JOIN rt USING (item), (SELECT unnest([1, 3, 5]) AS h) WHERE event = 1 OR duration > h GROUP BY h")
-_register("v8_calibration_table", lambda s, d: _r(P.calibration(_rated(s, d).withColumn("p", F.round("p1", 9)).withColumn("y", (F.col("duration") == 1).cast("int")), "p", "y", 100), "score", "rate"),
-          _I + _SP + "SELECT CAST(least(floor(p * 100), 99) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS score, round(avg(CAST(duration = 1 AS INTEGER)), 6) AS rate FROM (SELECT duration, round(1 - exp(-rate), 9) AS p FROM sp JOIN rt USING (item)) GROUP BY 1")
+_register("v8_calibration_table", lambda s, d: _r(P.calibration_by_quantiles(_rated(s, d).withColumn("p", F.round("p1", 9)).withColumn("y", (F.col("duration") == 1).cast("int")), "p", "y", 10), "score", "rate"),
+          _I + _SP + ", p AS (SELECT duration, round(1 - exp(-rate), 9) AS p FROM sp JOIN rt USING (item)), e AS (SELECT list_distinct(quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edges FROM p) SELECT CAST(len(list_filter(edges, lambda x: x < p)) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS score, round(avg(CAST(duration = 1 AS INTEGER)), 6) AS rate FROM p, e GROUP BY 1")
 _register("v9_logodds_delta", lambda s, d: (lambda rows, n: _r(I.exponential_hazard(I.spells(rows, n)).join(I.base_rates(rows, n).withColumnRenamed("rate", "base"), "item").select("item", (P.log_odds(F.col("p1")) - P.log_odds(F.col("base"))).alias("delta")), "delta"))(items(s, d), steps(s, d)),
           _I + _SP + ", p AS (SELECT item, 1 - exp(-rate) AS p, count(*) / any_value(steps) AS b FROM items JOIN rt USING (item), st GROUP BY item, rate) SELECT item, round(ln(p / (1 - p)) - ln(b / (1 - b)), 6) AS delta FROM p")
 

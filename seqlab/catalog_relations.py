@@ -61,8 +61,19 @@ def _sum():
     return F.col("d1") + F.col("d2") + F.col("d3")
 
 
-_register("f8_calendar_effects", lambda s, d: _r(rows(s, d).groupBy(F.weekday("day").alias("dow")).agg(F.count("*").alias("n"), F.avg(_sum()).alias("mean_sum"), *(F.count_if(F.col("d1") == v).alias(f"n{v}") for v in range(10))).select("dow", "n", "mean_sum", (sum((F.col(f"n{v}") * F.col(f"n{v}") for v in range(1, 10)), F.col("n0") * F.col("n0")) * 10 / F.col("n") - F.col("n")).alias("chi2")), "mean_sum", "chi2"),
-          "WITH " + DRAWS + ", x AS (SELECT isodow(day) - 1 AS dow, d1, count(*) AS n, sum(d1 + d2 + d3) AS s FROM draws GROUP BY 1, 2) SELECT CAST(dow AS INTEGER) AS dow, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 6) AS mean_sum, round(sum(n * n) * 10 / sum(n) - sum(n), 6) AS chi2 FROM x GROUP BY dow")
+
+
+def _f8(s, d):
+    parts = {"dow": F.weekday("day"), "month": F.month("day"), "year": F.year("day")}
+    each = rows(s, d).select(_sum().alias("total"), "d1", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in parts.items()))).alias("x"))
+    counts = each.groupBy("x.kind", "x.value").agg(F.count("*").alias("n"), F.avg("total").alias("mean_sum"), *(F.count_if(F.col("d1") == v).alias(f"n{v}") for v in range(10)))
+    chi = sum((F.col(f"n{v}") * F.col(f"n{v}") for v in range(1, 10)), F.col("n0") * F.col("n0")) * 10 / F.col("n") - F.col("n")
+    return _r(counts.select("kind", "value", "n", "mean_sum", chi.alias("chi2")).withColumn("p", tails.chi_square(F.col("chi2"), 9)), "mean_sum", "chi2", "p")
+
+
+_register("f8_calendar_effects", _f8, "WITH " + DRAWS + f""", k AS (SELECT 'dow' AS kind, isodow(day) - 1 AS value, d1, d1 + d2 + d3 AS s FROM draws UNION ALL SELECT 'month', month(day), d1, d1 + d2 + d3 FROM draws UNION ALL SELECT 'year', year(day), d1, d1 + d2 + d3 FROM draws), x AS (SELECT kind, value, d1, count(*) AS n, sum(s) AS s FROM k GROUP BY 1, 2, 3),
+y AS (SELECT kind, CAST(value AS INTEGER) AS value, CAST(sum(n) AS BIGINT) AS n, sum(s) / sum(n) AS mean_sum, sum(n * n) * 10 / sum(n) - sum(n) AS chi2 FROM x GROUP BY 1, 2) SELECT kind, value, n, round(mean_sum, 6) AS mean_sum, round(chi2, 6) AS chi2, round({_chi_sql('chi2', 9)}, 6) AS p FROM y""")
+
 _register("f9_drift_scan", lambda s, d: _r(S.hopping_chi2(draws(s, d), "d1", 200, 50, 10).withColumn("p", tails.chi_square(F.col("chi2"), 9)).where("p < 0.05"), "chi2", "p"),
           "WITH " + DRAWS + f""", x AS (SELECT d1, unnest(range(CAST(greatest(0, floor((t - 200) / 50) + 1) AS BIGINT), CAST(t // 50 + 1 AS BIGINT))) * 50 AS start FROM draws), n AS (SELECT start, d1, count(*) AS n FROM x GROUP BY 1, 2),
 c AS (SELECT start, sum(n * n) * 10 / 200 - 200 AS chi2 FROM n WHERE start < (SELECT count(*) - 200 FROM orders) GROUP BY start), p AS (SELECT start, chi2, {_chi_sql('chi2', 9)} AS p FROM c) SELECT start, round(chi2, 6) AS chi2, round(p, 6) AS p FROM p WHERE p < 0.05""")

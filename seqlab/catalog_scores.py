@@ -111,7 +111,7 @@ y AS (SELECT t, position, p[d + 1] AS own, 1 + len(list_filter(list_zip(p, range
 """
 _register("l13_digit_metrics", lambda s, d: _per_position(s, d).groupBy("position").agg(*(F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"top{k}") for k in (1, 3, 5)), F.round(F.avg("rank"), 6).alias("mean_rank")),
           _POS + "SELECT position, round(avg(CAST(rank <= 1 AS INTEGER)), 6) AS top1, round(avg(CAST(rank <= 3 AS INTEGER)), 6) AS top3, round(avg(CAST(rank <= 5 AS INTEGER)), 6) AS top5, round(avg(rank), 6) AS mean_rank FROM y GROUP BY 1")
-_register("l16_position_logloss", lambda s, d: _per_position(s, d).groupBy("position").agg(F.round(F.avg(-F.log(F.element_at("p", F.col("d") + 1))), 6).alias("log_loss")), _POS + "SELECT position, round(avg(-ln(own)), 6) AS log_loss FROM y GROUP BY 1")
+_register("l16_position_logloss", lambda s, d: _per_position(s, d).groupBy("position").agg(F.round(F.avg(-F.log(F.element_at("p", F.col("d") + 1))), 6).alias("log_loss"), F.round(F.avg((F.col("rank") == 1).cast("int")), 6).alias("top1")), _POS + "SELECT position, round(avg(-ln(own)), 6) AS log_loss, round(avg(CAST(rank = 1 AS INTEGER)), 6) AS top1 FROM y GROUP BY 1")
 
 
 def _l14(s, d):
@@ -125,18 +125,23 @@ j AS (SELECT t, d1 * 10 + d2 AS actual, g.x AS c, p_d1[g.x // 10 + 1] * p_d2[g.x
 r AS (SELECT j.t, 1 + count(*) FILTER (j.p > o.p OR (j.p = o.p AND j.c < o.c)) AS rank FROM j JOIN j o ON o.t = j.t AND o.c = o.actual GROUP BY j.t),
 e AS (SELECT CAST(g.k AS INTEGER) AS k, avg(CAST(rank <= g.k AS INTEGER)) AS hit, avg(CAST(rank <= g.k AS INTEGER)) * 50 - g.k AS ev FROM r, (SELECT unnest(range(1, 21)) AS k) g GROUP BY g.k)
 SELECT k, round(hit, 9) AS hit, round(ev, 6) AS ev, row_number() OVER (ORDER BY round(ev, 9) DESC, k) = 1 AS best FROM e""")
-_register("l18_match_levels", lambda s, d: chosen(s, d).select("t", L.match_levels(F.col("chosen"), F.col("actual")).alias("best")), TOP + f"SELECT t, {_BEST.format(a='actual')} AS best FROM k")
-_register("n1_lag_table", lambda s, d: (lambda x: L.lag_table(x, x, LAGS).select("lag", "n", *(F.round(c, 6).alias(c) for c in ("exact", "best", "two"))))(chosen(s, d)),
-          TOP + f""", h AS (SELECT CAST(g.lag AS INTEGER) AS lag, {_BEST.format(a='b.actual')} AS best FROM k a, (SELECT unnest(range(6)) AS lag) g, (SELECT t AS at, actual FROM k) b WHERE b.at = a.t + g.lag)
-SELECT lag, count(*) AS n, round(avg(CAST(best = 3 AS INTEGER)), 6) AS exact, round(avg(best), 6) AS best, round(avg(CAST(best >= 2 AS INTEGER)), 6) AS two FROM h GROUP BY lag""")
+_COVER = ", ".join(f"CAST(list_contains(list_transform(chosen, lambda x: x // {s} % 10), {{a}} // {s} % 10) AS INTEGER) AS cover{i}" for i, s in enumerate((100, 10, 1), 1))
+_register("l18_match_levels", lambda s, d: chosen(s, d).select("t", L.match_levels(F.col("chosen"), F.col("actual")).alias("best"), *(c.alias(f"cover{i}") for i, c in enumerate(L.covered(F.col("chosen"), F.col("actual")), 1))), TOP + f"SELECT t, {_BEST.format(a='actual')} AS best, {_COVER.format(a='actual')} FROM k")
+_register("n1_lag_table", lambda s, d: (lambda x: L.lag_table(x, x, LAGS).select("lag", "n", *(F.round(c, 6).alias(c) for c in ("exact", "best", "two", "cover1", "cover2", "cover3"))))(chosen(s, d)),
+          TOP + f""", h AS (SELECT CAST(g.lag AS INTEGER) AS lag, {_BEST.format(a='b.actual')} AS best, {_COVER.format(a='b.actual')} FROM k a, (SELECT unnest(range(6)) AS lag) g, (SELECT t AS at, actual FROM k) b WHERE b.at = a.t + g.lag)
+SELECT lag, count(*) AS n, round(avg(CAST(best = 3 AS INTEGER)), 6) AS exact, round(avg(best), 6) AS best, round(avg(CAST(best >= 2 AS INTEGER)), 6) AS two, round(avg(cover1), 6) AS cover1, round(avg(cover2), 6) AS cover2, round(avg(cover3), 6) AS cover3 FROM h GROUP BY lag""")
 _register("n4_negative_lag_control", lambda s, d: (lambda x: L.lag_table(x, x, [-1, -2]).select("lag", "n", F.round("exact", 6).alias("exact"), F.round("best", 6).alias("best")))(chosen(s, d)),
           TOP + f""", h AS (SELECT CAST(-g.lag AS INTEGER) AS lag, {_BEST.format(a='b.actual')} AS best FROM k a, (SELECT unnest([1, 2]) AS lag) g, (SELECT t AS at, actual FROM k) b WHERE b.at = a.t - g.lag)
 SELECT lag, count(*) AS n, round(avg(CAST(best = 3 AS INTEGER)), 6) AS exact, round(avg(best), 6) AS best FROM h GROUP BY lag""")
 # ledgers
 _register("k2_score_ledger", lambda s, d: (lambda x: K.score(x.select((F.col("t") + 1).alias("t"), "chosen"), x).select("t", "actual", "hit", "place"))(chosen(s, d)),
           TOP + "SELECT a.t + 1 AS t, b.actual, list_contains(a.chosen, b.actual) AS hit, CAST(nullif(list_position(a.chosen, b.actual), 0) AS BIGINT) AS place FROM k a LEFT JOIN (SELECT t, actual FROM k) b ON b.t = a.t + 1")
+_SAME = "(CAST(x // 100 = actual // 100 AS INTEGER) + CAST(x // 10 % 10 = actual // 10 % 10 AS INTEGER) + CAST(x % 10 = actual % 10 AS INTEGER))"
 _register("k6_near_hits", lambda s, d: (lambda x: K.near_hits(x, x, range(-5, 6)))(chosen(s, d)),
-          TOP + f"""SELECT t, lag, actual, best, best = 3 AS exact FROM (SELECT a.t, CAST(g.lag AS INTEGER) AS lag, b.actual, {_BEST.format(a='b.actual')} AS best FROM k a, (SELECT unnest(range(-5, 6)) AS lag) g, (SELECT t AS at, actual FROM k) b WHERE b.at = a.t + g.lag) WHERE best >= 2""")
+          TOP + f""", h AS (SELECT a.t, CAST(g.lag AS INTEGER) AS lag, b.actual, a.chosen, {_BEST.format(a='b.actual')} AS best FROM k a, (SELECT unnest(range(-5, 6)) AS lag) g, (SELECT t AS at, actual FROM k) b WHERE b.at = a.t + g.lag), c AS (SELECT *, list_filter(chosen, lambda x: {_SAME} = best)[1] AS combo FROM h WHERE best >= 2)
+SELECT t, lag, actual, best, combo, concat_ws(',', CASE WHEN combo // 100 = actual // 100 THEN '1' END, CASE WHEN combo // 10 % 10 = actual // 10 % 10 THEN '2' END, CASE WHEN combo % 10 = actual % 10 THEN '3' END) AS places, best = 3 AS exact FROM c""")
+_register("k4_running_stats", lambda s, d: (lambda x: K.running_stats(K.score(x.select((F.col("t") + 1).alias("t"), "chosen"), x).withColumn("model", F.col("t") % 3), "model").select("model", "n", "scored", "hits", F.round("rate", 6).alias("rate"), F.round("place", 6).alias("place")))(chosen(s, d)),
+          TOP + ", z AS (SELECT a.t + 1 AS t, list_contains(a.chosen, b.actual) AS hit, nullif(list_position(a.chosen, b.actual), 0) AS place FROM k a LEFT JOIN (SELECT t, actual FROM k) b ON b.t = a.t + 1) SELECT t % 3 AS model, count(*) AS n, count(hit) AS scored, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / nullif(count(hit), 0), 6) AS rate, round(avg(place), 6) AS place FROM z GROUP BY 1")
 
 
 def experiments(s, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -121,11 +123,23 @@ def excitation(presence: DataFrame, hits: DataFrame, targets: list[int], items:
     return presence.sparkSession.createDataFrame(rows, "a int, b int, alpha double")  # at most items values for each target
 
 
-def periodogram(items: DataFrame, steps: int, most: int) -> DataFrame:
-    """Power of each item's presence at the periods steps / k, k = 1 .. most, from its hits alone: item, k, power."""
-    angle = 2 * 3.141592653589793 * F.col("k") * F.col("t") / steps
-    waves = items.select("item", "t", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).groupBy("item", "k").agg(F.sum(F.cos(angle)).alias("re"), F.sum(F.sin(angle)).alias("im"))
-    return waves.select("item", "k", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("power"))
+def periodogram(items: DataFrame, steps: int, peaks: int = 3) -> DataFrame:
+    """The strongest frequencies k / steps of each item's presence, over all k from 1 up to half the steps: item, place, k, period, power.
+
+    Hits of an item go to one task, which makes its series (8 bytes a step) and its transform; items, not steps, are
+    what is dealt out. Ties go to the smaller k; period is rounded, and null unless it is between 2 and half the steps.
+    """
+
+    def transform(key: tuple, hits: pd.DataFrame) -> pd.DataFrame:
+        series = np.zeros(steps)
+        series[hits["t"].to_numpy()] = 1.0
+        power = np.abs(np.fft.rfft(series - series.mean()))[1 : (steps + 1) // 2].round(6)
+        best = np.lexsort((np.arange(len(power)), -power))[:peaks]
+        return pd.DataFrame({"item": key[0], "place": np.arange(1, len(best) + 1), "k": best + 1, "power": power[best]})
+
+    found = items.select("item", "t").distinct().groupBy("item").applyInPandas(transform, "item int, place int, k int, power double")
+    period = F.round(steps / F.col("k")).cast("int")
+    return found.select("item", "place", "k", F.when((period > 2) & (period < steps / 2), period).alias("period"), "power")
 
 
 def logit_lr(df: DataFrame, targets: list[str], columns: list[str], controls: list[str]) -> DataFrame:

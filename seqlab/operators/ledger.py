@@ -37,10 +37,21 @@ def upsert_lag_hits(hits: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def near_hits(ledger: DataFrame, outcomes: DataFrame, lags: range, least: int = 2) -> DataFrame:
-    """Every (t, lag) whose outcome lag steps on agrees with a chosen member in least positions or more."""
+    """Every (t, lag) whose outcome lag steps on agrees with a chosen member in least positions or more.
+
+    best is how many, combo the first chosen member with so many, places the positions it agrees in.
+    """
     spread = ledger.select("t", "chosen", F.explode(F.array(*map(F.lit, lags))).alias("lag")).withColumn("at", F.col("t") + F.col("lag"))
-    held = spread.join(outcomes.select(F.col("t").alias("at"), "actual"), "at").withColumn("best", match_levels(F.col("chosen"), F.col("actual")))
-    return held.where(F.col("best") >= least).select("t", "lag", "actual", "best", (F.col("best") == 3).alias("exact"))
+    held = spread.join(outcomes.select(F.col("t").alias("at"), "actual"), "at").withColumn("best", match_levels(F.col("chosen"), F.col("actual"))).where(F.col("best") >= least)
+    combo = F.filter("chosen", lambda x: match_levels(F.array(x), F.col("actual")) == F.col("best"))[0]
+    places = F.concat_ws(",", *(F.when(F.floor(F.col("combo") / s) % 10 == F.floor(F.col("actual") / s) % 10, F.lit(str(i))) for i, s in enumerate((100, 10, 1), 1)))
+    return held.withColumn("combo", combo).select("t", "lag", "actual", "best", "combo", places.alias("places"), (F.col("best") == 3).alias("exact"))
+
+
+def running_stats(scored: DataFrame, by: str) -> DataFrame:
+    """Of a scored ledger per model: rows, those scored, hits, hit rate, mean place when hit."""
+    hits = F.count_if("hit")
+    return scored.groupBy(by).agg(F.count("*").alias("n"), F.count("hit").alias("scored"), hits.alias("hits"), F.try_divide(hits, F.count("hit")).alias("rate"), F.avg("place").alias("place"))
 
 
 def overfit_summary(experiments: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.tails import binomial_two_sided, fisher_greater
 from ..storage import pinned
 from .items import cross_step_pairs, pair_counts
+from .relations import quantile_bins
 from .series import prefix_sum
 
 
@@ -122,6 +123,11 @@ def calibration(df: DataFrame, score: str, label: str, bins: int) -> DataFrame:
     return df.groupBy(F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("score"), F.avg(label).alias("rate"))
 
 
+def calibration_by_quantiles(df: DataFrame, score: str, label: str, bins: int) -> DataFrame:
+    """As calibration(), in quantiles of the score; equal edges are one."""
+    return quantile_bins(df, score, bins).groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("score"), F.avg(label).alias("rate"))
+
+
 def log_odds(p: Column, floor: float = 1e-10) -> Column:
     held = F.greatest(F.least(p, F.lit(1 - floor)), F.lit(floor))
     return F.log(held / (1 - held))

@@ -122,6 +122,15 @@ def match_levels(chosen: Column, actual: Column) -> Column:
     return F.array_max(F.transform(chosen, agree))
 
 
+def covered(chosen: Column, actual: Column) -> list[Column]:
+    """For each of the three positions 1 if some member of the set agrees there, else 0."""
+
+    def agrees(place: int) -> Column:
+        return F.exists(chosen, lambda x: F.floor(x / place) % 10 == F.floor(actual / place) % 10).cast("int")
+
+    return [agrees(place) for place in (100, 10, 1)]
+
+
 def optimal_ev(ranked: DataFrame, rank: str = "rank", payout: float = 500.0, most: int = 20) -> DataFrame:
     """Per k = 1 .. most the hit rate of the k best and its value k bets on; best marks the largest, the smallest k of equals."""
     sums = ranked.agg(F.count(rank).alias("n"), *(F.count_if(F.col(rank) <= k).alias(f"h{k}") for k in range(1, most + 1)))
@@ -131,8 +140,9 @@ def optimal_ev(ranked: DataFrame, rank: str = "rank", payout: float = 500.0, mos
 
 
 def lag_table(predictions: DataFrame, outcomes: DataFrame, lags: list[int]) -> DataFrame:
-    """Sets (t, chosen) against the outcome (t, actual) lag steps later: lag, n, hit rate, mean best match, share of two or more."""
+    """Sets (t, chosen) against the outcome (t, actual) lag steps later: lag, n, hit rate, mean best match, share of two or more, share that covers each position."""
     later = predictions.select("chosen", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), (F.col("t") + k).alias("t")) for k in lags))).alias("x")).select("chosen", "x.*")
     best = match_levels(F.col("chosen"), F.col("actual"))
-    held = later.join(outcomes.select("t", "actual"), "t").select("lag", best.alias("best"))
-    return held.groupBy("lag").agg(F.count("best").alias("n"), F.avg((F.col("best") == 3).cast("int")).alias("exact"), F.avg("best").alias("best"), F.avg((F.col("best") >= 2).cast("int")).alias("two"))
+    cover = [c.alias(f"cover{i}") for i, c in enumerate(covered(F.col("chosen"), F.col("actual")), 1)]
+    held = later.join(outcomes.select("t", "actual"), "t").select("lag", best.alias("best"), *cover)
+    return held.groupBy("lag").agg(F.count("best").alias("n"), F.avg((F.col("best") == 3).cast("int")).alias("exact"), F.avg("best").alias("best"), F.avg((F.col("best") >= 2).cast("int")).alias("two"), *(F.avg(f"cover{i}").alias(f"cover{i}") for i in (1, 2, 3)))

@@ -197,10 +197,11 @@ def previous_shape(df: DataFrame, digits: list[str]) -> DataFrame:
     return over_chunks(df, make, 2)
 
 
-def context_windows(df: DataFrame, columns: list[str], width: int) -> DataFrame:
-    """The width rows before each row that has so many, as one array of structs: t, context."""
+def context_windows(df: DataFrame, columns: list[str], width: int, mask: int = 1) -> DataFrame:
+    """t, context, target: the width rows before each row that has so many and then the row itself masked, and its own values as labels."""
     rows = over_chunks(df, lambda w: {"context": F.collect_list(F.struct(*columns)).over(w.rowsBetween(-width, -1))}, width, max(width, 4096))
-    return rows.where(F.size("context") == width).select("t", "context")
+    hidden = F.array(F.struct(*(F.lit(mask).cast(df.schema[c].dataType).alias(c) for c in columns)))
+    return rows.where(F.size("context") == width).select("t", F.concat("context", hidden).alias("context"), F.struct(*columns).alias("target"))
 
 
 def lag_targets(df: DataFrame, column: str, ahead: int) -> DataFrame:
