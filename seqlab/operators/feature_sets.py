@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import pinned
 from .series import earlier, last_n, over_chunks, seen
 
 
@@ -151,10 +152,10 @@ def build_features(df: DataFrame, sets: list[str] | None = None, spec: Spec | No
     unknown = [x for x in sets if x not in SETS]
     if unknown:
         raise ValueError(f"unknown feature sets {unknown}; there are {list(SETS)}")
-    rows = df
+    rows = df = pinned(df)  # read once for every key
     if "equipment" in sets:
         for k in spec.keys:
-            rows = earlier(rows, [k], first=spec.day)
+            rows = earlier(rows, [k], first=spec.day, base=df)
             age = F.datediff(F.col(spec.day), F.col(f"first_{spec.day}"))
             unset = F.col(k).isNull()
             rows = rows.withColumns({f"_{k}_uses": F.when(unset, 0).otherwise(F.col("uses")), f"_{k}_age": F.when(unset, 0).otherwise(age)}).drop("uses", f"first_{spec.day}")

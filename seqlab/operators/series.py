@@ -63,14 +63,15 @@ def neighbours(df: DataFrame, keys: list[str], t: str = "t", chunk: int = 1 << 1
     return joined.withColumns({"was": F.coalesce("was", "_was"), "next": F.coalesce("next", "_next")}).drop("_part", "_was", "_next")
 
 
-def earlier(df: DataFrame, keys: list[str], t: str = "t", first: str | None = None, chunk: int = 1 << 16) -> DataFrame:
+def earlier(df: DataFrame, keys: list[str], t: str = "t", first: str | None = None, chunk: int = 1 << 16, base: DataFrame | None = None) -> DataFrame:
     """Adds uses, how many rows of the same key come before, and first_<first>, the least value of that column in the key so far.
 
-    Null keys count as a key; ranges as in neighbours().
+    Null keys count as a key; ranges as in neighbours(). base: the same rows as df in a table that is cheaper to read,
+    for the sums of the ranges.
     """
     rows, inside, along = _ranged(df, keys, t, chunk)
     firsts = [F.min(first).alias("_first")] if first else []
-    sums = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), *firsts)
+    sums = (rows if base is None else _ranged(base, keys, t, chunk)[0]).groupBy(*keys, "_part").agg(F.count("*").alias("_n"), *firsts)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     least = [F.min("_first").over(before).alias("_first")] if first else []
     carried = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), *least)
