@@ -108,6 +108,19 @@ def _x2(s, d):
 _register("x2_stream_score", _x2, "SELECT a.user_id AS key, a.event_id AS id, b.event_id AS outcome FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR")
 
 
+def _x2_pending(s, d):
+    """Every view with its clicks within 6 hours, and those that got none once the watermark has passed them: two rows far ahead move it."""
+    base, rows = _new(s, "pending"), table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    ahead = rows.agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts")).select(F.lit(-1).cast(rows.schema["id"].dataType).alias("id"), "ts", F.lit(-1).cast(rows.schema["user_id"].dataType).alias("user_id"), F.explode(F.array(F.lit("view"), F.lit("click"))).alias("event_type"))
+    rows.unionByName(ahead).write.parquet(f"{base}/in")
+    stream = lambda kind: streams.event_stream(s, f"{base}/in", rows.schema, 10_000).where(F.col("event_type") == kind)
+    streams.drain(streams.matched(stream("view"), stream("click"), "user_id", "6 hours", LATE, "left"), f"{base}/out", f"{base}/checkpoint", "append")
+    return s.read.parquet(f"{base}/out").where("key <> -1").select("key", "id", "outcome")
+
+
+_register("x2_stream_pending", _x2_pending, "SELECT a.user_id AS key, a.event_id AS id, b.event_id AS outcome FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'click' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'view'")
+
+
 def _x4(s, d):
     base, stream = _events(s, d, "seen")
     streams.drain(streams.last_seen(stream(), "user_id"), f"{base}/out", f"{base}/checkpoint")

@@ -8,6 +8,7 @@ from .bindings import ITEMS, draws, items, steps
 from .catalog_relations import _r
 from .operators import items as I
 from .operators import learned as M
+from .operators import scores as L
 from .operators import series as S
 from .storage import pinned
 
@@ -56,6 +57,20 @@ def _p16(s, d):
 _register("p16_run_config", _p16)
 
 
+PROPERTIES = {"large": "d1 + d2 + d3 >= 14", "repeat": "d1 = d2 or d2 = d3 or d1 = d3", "odd": "d1 % 2 + d2 % 2 + d3 % 2 >= 2", "high": "int(d1 >= 5) + int(d2 >= 5) + int(d3 >= 5) >= 2", "first_odd": "d1 % 2 = 1", "last_high": "d3 >= 5"}
+
+
+def _p8(s, d):
+    rows = S.previous_shape(S.rolling_frequency(draws(s, d), ["d1"], range(10), 50), DIGITS).withColumns({k: F.expr(e).cast("int") for k, e in PROPERTIES.items()})
+    out, cut = pinned(M.vectors(rows, FEATURES, "d1", ["t", "c", *PROPERTIES])), int(0.7 * steps(s, d))
+    table = [(int(a + b + c >= 14), int(len({a, b, c}) < 3), int(a % 2 + b % 2 + c % 2 >= 2), int((a >= 5) + (b >= 5) + (c >= 5) >= 2), a % 2, int(c >= 5)) for a in range(10) for b in range(10) for c in range(10)]
+    scored = M.property_intersection(out.where(F.col("t") < cut), out.where(F.col("t") >= cut), list(PROPERTIES), table)
+    return scored.select("t", L.rank_of(F.col("p"), F.col("c")).alias("rank"), F.element_at("p", F.col("c").cast("int") + 1).alias("own"))
+
+
+_register("p8_property_intersection", _p8)
+
+
 def _e3(s, d):
     train, _ = featured(s, d)
     kept = M.select_by_importance(train, len(FEATURES))

@@ -83,8 +83,9 @@ def _name(df):
     return df.withColumn("items", F.concat_ws(",", F.col("items").cast("array<string>")))
 
 
-_register("o10_contrast_patterns", lambda s, d: _r(_name(_contrast(s, d)), "growth", "chi2"), _CONTRAST + "SELECT items, n1, n0, round(growth, 6) AS growth, round(chi2, 6) AS chi2 FROM c")
-_register("o11_emerging_patterns", lambda s, d: _r(_name(_contrast(s, d)).where("(growth >= 1.3 or growth <= 0.7) and chi2 >= 2.705543"), "growth", "chi2").orderBy(F.desc("growth"), "items").limit(50),
+_register("o10_contrast_patterns", lambda s, d: _r(_name(P.with_lift(_contrast(s, d))), "growth", "chi2", "lift", "p", "p_bh"),
+          _CONTRAST + f", v AS (SELECT *, (n1 / s1) / ((n1 + n0) / (s1 + s0)) AS lift, {_normal_sql('sqrt(chi2)')} AS p FROM c, s), r AS (SELECT *, rank() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM v) SELECT items, n1, n0, round(growth, 6) AS growth, round(chi2, 6) AS chi2, round(lift, 6) AS lift, round(p, 6) AS p, round(least(1, min(p * m / r) OVER (ORDER BY r DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS p_bh FROM r")
+_register("o11_emerging_patterns", lambda s, d: _r(_name(_contrast(s, d).drop("s1", "s0")).where("(growth >= 1.3 or growth <= 0.7) and chi2 >= 2.705543"), "growth", "chi2").orderBy(F.desc("growth"), "items").limit(50),
           _CONTRAST + "SELECT items, n1, n0, round(growth, 6) AS growth, round(chi2, 6) AS chi2 FROM c WHERE (growth >= 1.3 OR growth <= 0.7) AND chi2 >= 2.705543 ORDER BY 4 DESC, items LIMIT 50")
 
 

@@ -115,16 +115,31 @@ _register("l16_position_logloss", lambda s, d: _per_position(s, d).groupBy("posi
 
 
 def _l14(s, d):
-    rows = marginals(s, d).withColumn("p", L.joint(["p_d1", "p_d2"]))
-    ranked = rows.select(L.rank_of(F.col("p"), F.col("d1") * 10 + F.col("d2")).alias("rank"))
-    return L.optimal_ev(ranked, payout=50.0).select("k", F.round("hit", 9).alias("hit"), F.round("ev", 6).alias("ev"), "best")
+    rows = marginals(s, d)
+    out = []
+    for name, a, b in (("front", "d1", "d2"), ("back", "d2", "d3")):
+        ranked = pinned(rows.withColumn("p", L.joint([f"p_{a}", f"p_{b}"])).select(L.rank_of(F.col("p"), F.col(a) * 10 + F.col(b)).alias("rank")))
+        mean = ranked.agg(F.round(F.avg("rank"), 6).alias("mean_rank"))
+        out.append(L.optimal_ev(ranked, payout=50.0).select(F.lit(name).alias("pair"), "k", F.round("hit", 9).alias("hit"), F.round("ev", 6).alias("ev"), "best").join(F.broadcast(mean)))
+    return out[0].unionByName(out[1])
 
 
 _register("l14_pair_ev", _l14, BASE + """,
-j AS (SELECT t, d1 * 10 + d2 AS actual, g.x AS c, p_d1[g.x // 10 + 1] * p_d2[g.x % 10 + 1] AS p FROM m, (SELECT unnest(range(100)) AS x) g),
-r AS (SELECT j.t, 1 + count(*) FILTER (j.p > o.p OR (j.p = o.p AND j.c < o.c)) AS rank FROM j JOIN j o ON o.t = j.t AND o.c = o.actual GROUP BY j.t),
-e AS (SELECT CAST(g.k AS INTEGER) AS k, avg(CAST(rank <= g.k AS INTEGER)) AS hit, avg(CAST(rank <= g.k AS INTEGER)) * 50 - g.k AS ev FROM r, (SELECT unnest(range(1, 21)) AS k) g GROUP BY g.k)
-SELECT k, round(hit, 9) AS hit, round(ev, 6) AS ev, row_number() OVER (ORDER BY round(ev, 9) DESC, k) = 1 AS best FROM e""")
+j AS (SELECT t, 'front' AS pair, d1 * 10 + d2 AS actual, g.x AS c, p_d1[g.x // 10 + 1] * p_d2[g.x % 10 + 1] AS p FROM m, (SELECT unnest(range(100)) AS x) g UNION ALL SELECT t, 'back', d2 * 10 + d3, g.x, p_d2[g.x // 10 + 1] * p_d3[g.x % 10 + 1] FROM m, (SELECT unnest(range(100)) AS x) g),
+r AS (SELECT j.pair, j.t, 1 + count(*) FILTER (j.p > o.p OR (j.p = o.p AND j.c < o.c)) AS rank FROM j JOIN j o ON o.t = j.t AND o.pair = j.pair AND o.c = o.actual GROUP BY 1, 2),
+e AS (SELECT pair, CAST(g.k AS INTEGER) AS k, avg(CAST(rank <= g.k AS INTEGER)) AS hit, avg(CAST(rank <= g.k AS INTEGER)) * 50 - g.k AS ev, avg(rank) AS mean_rank FROM r, (SELECT unnest(range(1, 21)) AS k) g GROUP BY pair, g.k)
+SELECT pair, k, round(hit, 9) AS hit, round(ev, 6) AS ev, row_number() OVER (PARTITION BY pair ORDER BY round(ev, 9) DESC, k) = 1 AS best, round(mean_rank, 6) AS mean_rank FROM e""")
+
+
+def _l11_ev(s, d):
+    rows = _l11(s, d).join(draws(s, d).select("t", F.size(F.array_distinct(F.array(*DIGITS))).alias("kinds")), "t")
+    pay = F.when(F.col("kinds") == 3, 80).when(F.col("kinds") == 2, 160).otherwise(0)
+    each = rows.agg(F.avg("rank").alias("mean_rank"), *(F.avg(F.when(F.col("rank") <= k, pay).otherwise(0)).alias(f"w{k}") for k in range(1, 21)))
+    spread = each.select("mean_rank", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"w{k}").alias("won")) for k in range(1, 21)))).alias("x"))
+    return spread.select("x.k", F.round("x.won", 6).alias("won"), F.round(F.col("x.won") - F.col("x.k"), 6).alias("ev"), F.round("mean_rank", 6).alias("mean_rank"))
+
+
+_register("l11_box_ev", _l11_ev, SQL["l11_box_rank"].replace("\nSELECT t, own_box", ", y AS (SELECT t, own_box", 1) + "), z AS (SELECT rank, CASE len(list_distinct([d1, d2, d3])) WHEN 3 THEN 80 WHEN 2 THEN 160 ELSE 0 END AS pay FROM y JOIN draws USING (t)) SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN rank <= k THEN pay ELSE 0 END), 6) AS won, round(avg(CASE WHEN rank <= k THEN pay ELSE 0 END) - k, 6) AS ev, round(avg(rank), 6) AS mean_rank FROM z, range(1, 21) q(k) GROUP BY k")
 _COVER = ", ".join(f"CAST(list_contains(list_transform(chosen, lambda x: x // {s} % 10), {{a}} // {s} % 10) AS INTEGER) AS cover{i}" for i, s in enumerate((100, 10, 1), 1))
 _register("l18_match_levels", lambda s, d: chosen(s, d).select("t", L.match_levels(F.col("chosen"), F.col("actual")).alias("best"), *(c.alias(f"cover{i}") for i, c in enumerate(L.covered(F.col("chosen"), F.col("actual")), 1))), TOP + f"SELECT t, {_BEST.format(a='actual')} AS best, {_COVER.format(a='actual')} FROM k")
 _register("n1_lag_table", lambda s, d: (lambda x: L.lag_table(x, x, LAGS).select("lag", "n", *(F.round(c, 6).alias(c) for c in ("exact", "best", "two", "cover1", "cover2", "cover3"))))(chosen(s, d)),

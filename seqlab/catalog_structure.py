@@ -52,6 +52,10 @@ def _covered(s, d):
     return waits.join(draws(s, d).select(F.col("t").alias("start"), "d1", "slot"), "start").withColumn("low", (F.col("item") <= 12).cast("int"))
 
 
+_register("v2_spell_covariates", lambda s, d: _covered(s, d).select("item", "start", "duration", "event", "d1", "slot", "low"),
+          _I + ", w AS (SELECT item, t AS start, coalesce(lead(t) OVER (PARTITION BY item ORDER BY t), steps) - t AS duration, CAST(lead(t) OVER (PARTITION BY item ORDER BY t) IS NOT NULL AS INTEGER) AS event FROM items, st) SELECT item, start, duration, event, d1, slot, CAST(item <= 12 AS INTEGER) AS low FROM w JOIN draws ON t = start WHERE duration > 0")
+
+
 def _v4(s, d):
     found = V.cox(_covered(s, d), ["d1", "slot", "low"])
     return s.createDataFrame([(k, float(round(v, 6))) for k, v in found.items()], "covariate string, beta double")  # three numbers

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -167,3 +169,18 @@ def l1_select(df: DataFrame, targets: list[str], columns: list[str], strength: f
         model = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=strength, standardization=True).fit(vectors_)
         out += [(y, c, float(b), bool(b != 0)) for c, b in zip(columns, model.coefficients.toArray())]
     return df.sparkSession.createDataFrame(out, "target string, column string, beta double, kept boolean")
+
+
+def property_intersection(train: DataFrame, rows: DataFrame, properties: list[str], table: list[tuple[int, ...]]) -> DataFrame:
+    """rows with p, the shares of all combinations: the product over properties of the model's chance that a combination has it, or has it not.
+
+    train and rows have x and the 0/1 properties; table has each combination's properties, in the order of combinations.
+    One logistic regression for each of the few properties.
+    """
+    out = rows
+    for i, name in enumerate(properties):
+        model = LogisticRegression(featuresCol="x", labelCol=name, predictionCol="_y", rawPredictionCol="_raw", probabilityCol="_p").fit(train.withColumn(name, F.col(name).cast("double")))
+        out = model.transform(out).withColumn(f"_p{i}", vector_to_array("_p")[1]).drop("_y", "_raw", "_p")
+    known = F.array(*(F.lit(sum(bit << i for i, bit in enumerate(row))) for row in table))  # a bit for each property
+    chance = lambda mask: reduce(lambda a, b: a * b, (F.when(mask.bitwiseAND(F.lit(1 << i)) > 0, F.col(f"_p{i}")).otherwise(1 - F.col(f"_p{i}")) for i in range(len(properties))))
+    return out.withColumn("p", normalised(F.transform(known, chance))).drop(*(f"_p{i}" for i in range(len(properties))))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import binomial_two_sided, fisher_greater
+from ..functions.tails import binomial_two_sided, chi_square, fisher_greater
 from ..storage import pinned
-from .items import cross_step_pairs, pair_counts
+from .items import adjust_p_values, cross_step_pairs, pair_counts
 from .relations import quantile_bins
 from .series import prefix_sum
 
@@ -80,7 +80,14 @@ def contrast(items: DataFrame, labels: DataFrame, default: float = 0.001) -> Dat
     gap = F.greatest(F.abs(n1 * (s0 - n0) - n0 * (s1 - n1)) - n / 2, F.lit(0.0))
     chi = F.try_divide(n * gap * gap, s1 * s0 * (n1 + n0) * (n - n1 - n0))
     growth = F.when(n1 > 0, n1 / s1).otherwise(F.lit(0.0)) / F.when(n0 > 0, n0 / s0).otherwise(default)
-    return each.select("items", "n1", "n0", growth.alias("growth"), F.coalesce(chi, F.lit(0.0)).alias("chi2"))
+    return each.select("items", "n1", "n0", growth.alias("growth"), F.coalesce(chi, F.lit(0.0)).alias("chi2"), "s1", "s0")
+
+
+def with_lift(contrasts: DataFrame) -> DataFrame:
+    """contrast() with the share in true steps over that in all (lift), p of chi-square, and its Benjamini-Hochberg value over all patterns."""
+    share, whole = F.col("n1") / F.col("s1"), (F.col("n1") + F.col("n0")) / (F.col("s1") + F.col("s0"))
+    tested = contrasts.withColumns({"lift": share / whole, "p": chi_square(F.col("chi2"), 1), "_all": F.lit(1)}).drop("s1", "s0")
+    return adjust_p_values(tested, "p", "_all").drop("_all", "p_bonferroni")
 
 
 def centrality(edges: DataFrame, nodes: int) -> DataFrame:

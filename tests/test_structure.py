@@ -177,3 +177,11 @@ def test_windows_at_the_ends(spark):
     assert contexts.previous_context(steps).where("t = 0").first()[1:] == (0, 0, 0, 0)
     parts = {r.split: r.n for r in contexts.split_counts(contexts.split_windows(steps, [5], 1, 2)).collect()}
     assert parts == {0: 2, None: 2, 1: 3}
+
+
+def test_property_intersection(spark):
+    rows = [(t, t % 4, t % 4 // 2, t % 2, float(t % 4 // 2), float(t % 2)) for t in range(200)]
+    df = spark.createDataFrame(rows, "t long, c int, high int, odd int, a double, b double")
+    made = learned.vectors(df, ["a", "b"], "c", ["t", "c", "high", "odd"])
+    scored = learned.property_intersection(made.where("t < 150"), made.where("t >= 150"), ["high", "odd"], [(c // 2, c % 2) for c in range(4)]).collect()
+    assert len(scored) == 50 and all(abs(sum(r.p) - 1) < 1e-9 and max(range(4), key=lambda k: r.p[k]) == r.c for r in scored)
