@@ -44,9 +44,18 @@ _register("c4_calendar", lambda s, d: (lambda x: x.join(F.broadcast(x.agg(F.min(
           _D + " SELECT o_orderkey, CAST(isodow(day) - 1 AS INTEGER) AS dow, substr(dayname(day), 1, 3) AS name, CAST(month(day) AS INTEGER) AS month, CAST(year(day) AS INTEGER) AS year, CAST(dayofyear(day) AS INTEGER) AS doy, CAST(day - (SELECT min(day) FROM draws) AS INTEGER) AS since FROM draws")
 _register("c6_covariate_flags", lambda s, d: _r(C.above_median(joined(s, d, False), ["quantity", "price"]).select("o_orderkey", C.celsius(F.col("quantity")).alias("celsius"), (F.col("quantity") > 25).alias("warm"), "above_quantity", "above_price"), "celsius"),
           _W + ", m AS (SELECT quantile_cont(quantity, 0.5) AS q, quantile_cont(price, 0.5) AS p FROM w) SELECT o_orderkey, round((quantity - 32) * 5 / 9, 6) AS celsius, quantity > 25 AS warm, quantity > q AS above_quantity, price > p AS above_price FROM w, m")
-_X = F.col("c") / 100.0 - 5
-_register("c8_safe_maths", lambda s, d: (lambda x: x.select("o_orderkey", *(F.round(c, 6).alias(c) for c in x.columns if c != "o_orderkey")))(rows(s, d).select("o_orderkey", C.sigmoid(_X).alias("sigmoid"), C.logit(F.col("c") / 999.0).alias("logit"), C.safe_log(F.col("c").cast("double")).alias("log"), C.clip(_X, -2.0, 2.0).alias("clipped"),
-          C.finite(F.try_divide(F.col("d1"), F.col("d3")) * 1e7).alias("finite"), C.decay(F.col("d1"), 0.5).alias("decayed"), C.softmax(F.array(*(F.col(x).cast("double") for x in DIGITS)))[0].alias("first"))),
+
+
+def _c8(s, d):
+    x = F.col("c") / 100.0 - 5
+    made = {
+        "sigmoid": C.sigmoid(x), "logit": C.logit(F.col("c") / 999.0), "log": C.safe_log(F.col("c").cast("double")), "clipped": C.clip(x, -2.0, 2.0), "finite": C.finite(F.try_divide(F.col("d1"), F.col("d3")) * 1e7),
+        "decayed": C.decay(F.col("d1"), 0.5), "first": C.softmax(F.array(*(F.col(v).cast("double") for v in DIGITS)))[0],
+    }
+    return rows(s, d).select("o_orderkey", *(F.round(v, 6).alias(k) for k, v in made.items()))
+
+
+_register("c8_safe_maths", _c8,
           _D + """ SELECT o_orderkey, round(1 / (1 + exp(-(c / 100.0 - 5))), 6) AS sigmoid, round(ln(greatest(least(c / 999.0, 1 - 1e-10), 1e-10) / (1 - greatest(least(c / 999.0, 1 - 1e-10), 1e-10))), 6) AS logit, round(ln(greatest(CAST(c AS DOUBLE), 1e-15)), 6) AS log, round(greatest(least(c / 100.0 - 5, 2.0), -2.0), 6) AS clipped,
 CASE WHEN d3 = 0 THEN 0.0 ELSE round(greatest(least(d1 / d3 * 1e7, 1e6), -1e6), 6) END AS finite, round(exp(-0.5 * d1), 6) AS decayed, round(exp(CAST(d1 AS DOUBLE)) / (exp(CAST(d1 AS DOUBLE)) + exp(CAST(d2 AS DOUBLE)) + exp(CAST(d3 AS DOUBLE))), 6) AS first FROM draws""")
 

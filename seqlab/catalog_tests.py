@@ -66,8 +66,13 @@ def _f5(s, d):
 
 _register("f5_sum_distribution", _f5, f"""{_D}, a AS (SELECT v, coalesce(n, 0) AS n, m FROM (SELECT x // 100 + x // 10 % 10 + x % 10 AS v, count(*) AS m FROM range(1000) r(x) GROUP BY 1) LEFT JOIN (SELECT d1 + d2 + d3 AS v, count(*) AS n FROM draws GROUP BY 1) USING (v)),
 k AS (SELECT CAST(any_value(tn) AS BIGINT) AS n, CAST(any_value(tm) AS BIGINT) AS m, max(abs(cn / tn - cm / tm)) AS d FROM (SELECT sum(n) OVER (ORDER BY v) AS cn, sum(m) OVER (ORDER BY v) AS cm, sum(n) OVER () AS tn, sum(m) OVER () AS tm FROM a)) SELECT n, m, round(d, 6) AS d, round({_ks_sql('d', 'n')}, 6) AS p FROM k""")
-_KINDS = {"odd": sum((F.col(x) % 2 for x in DIGITS[1:]), F.col("d1") % 2), "high": sum(((F.col(x) >= 5).cast("int") for x in DIGITS[1:]), (F.col("d1") >= 5).cast("int"))}
-_register("f6_parity_test", lambda s, d: _r(T.binomial_counts(rows(s, d), _KINDS, 3), "expected", "part", "chi2", "p"),
+
+
+def _kinds():
+    return {"odd": sum((F.col(x) % 2 for x in DIGITS[1:]), F.col("d1") % 2), "high": sum(((F.col(x) >= 5).cast("int") for x in DIGITS[1:]), (F.col("d1") >= 5).cast("int"))}
+
+
+_register("f6_parity_test", lambda s, d: _r(T.binomial_counts(rows(s, d), _kinds(), 3), "expected", "part", "chi2", "p"),
           _D + f""", x AS (SELECT 'odd' AS kind, d1 % 2 + d2 % 2 + d3 % 2 AS k FROM draws UNION ALL SELECT 'high', CAST(d1 >= 5 AS INTEGER) + CAST(d2 >= 5 AS INTEGER) + CAST(d3 >= 5 AS INTEGER) FROM draws), n AS (SELECT kind, k, count(*) AS n FROM x GROUP BY 1, 2),
 e AS (SELECT *, [1, 3, 3, 1][k + 1] / 8 * sum(n) OVER (PARTITION BY kind) AS expected FROM n), c AS (SELECT *, sum((n - expected) ** 2 / expected) OVER (PARTITION BY kind) AS chi2 FROM e)
 SELECT kind, k, n, round(expected, 6) AS expected, round((n - expected) ** 2 / expected, 6) AS part, round(chi2, 6) AS chi2, round({_chi_sql('chi2', 3)}, 6) AS p FROM c""")
@@ -79,7 +84,7 @@ def _drawn(s, d):
 
 
 def _against(value, name):
-    return lambda s, d: (lambda x: _r(T.against_drawn(*x, value, name), "d", "p"))(_drawn(s, d))
+    return lambda s, d: (lambda x: _r(T.against_drawn(*x, value(F.col("xs")), name), "d", "p"))(_drawn(s, d))
 
 
 #: Real and drawn baskets, and the two-sample KS of a value v of the relation vals (kind, v).
@@ -91,9 +96,9 @@ def _against_sql(name, expr):
     return f"{_BOTH}, vals AS (SELECT 0 AS kind, {expr} AS v FROM real UNION ALL SELECT 1, {expr} FROM sim){_KS} SELECT '{name}' AS test, n, m, round(d, 6) AS d, round({_ks_sql('d', '(n * m / (n + m))')}, 6) AS p FROM k"
 
 
-_register("f7_consecutive_pairs", _against(T.adjacent_pairs(F.col("xs")), "adjacent"), _against_sql("adjacent", "len(list_filter(xs, lambda x: list_contains(xs, x + 1)))"))
-_register("f13_range_test", _against(T.spread(F.col("xs")), "range"), _against_sql("range", "xs[-1] - xs[1]"))
-_register("f13_spacing_test", _against(T.mean_spacing(F.col("xs")), "spacing"), _against_sql("spacing", "round((xs[-1] - xs[1]) / nullif(len(xs) - 1, 0), 6)"))
+_register("f7_consecutive_pairs", _against(T.adjacent_pairs, "adjacent"), _against_sql("adjacent", "len(list_filter(xs, lambda x: list_contains(xs, x + 1)))"))
+_register("f13_range_test", _against(T.spread, "range"), _against_sql("range", "xs[-1] - xs[1]"))
+_register("f13_spacing_test", _against(T.mean_spacing, "spacing"), _against_sql("spacing", "round((xs[-1] - xs[1]) / nullif(len(xs) - 1, 0), 6)"))
 _register("f10_runs_test", lambda s, d: _r(I.runs_test(items(s, d), steps(s, d)).withColumn("p", tails.normal_two_sided(F.col("z"))), "z", "p"),
           _I + f""", x AS (SELECT i.item, g.t, CAST(h.t IS NOT NULL AS INTEGER) AS x, steps FROM (SELECT DISTINCT item FROM items) i, (SELECT t FROM draws) g, st LEFT JOIN items h ON h.item = i.item AND h.t = g.t),
 y AS (SELECT item, x, steps, lag(x) OVER (PARTITION BY item ORDER BY t) AS b FROM x), r AS (SELECT item, any_value(steps) AS n, sum(x) AS n1, 1 + sum(CAST(x <> b AS INTEGER)) AS runs FROM y GROUP BY item),

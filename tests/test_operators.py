@@ -1,6 +1,8 @@
 """Leak, chunk and closed-form tests of the series and item operators."""
 
 import __spark_entry__ as entry
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from seqlab.operators import items as I
@@ -38,3 +40,11 @@ def test_adjusted_p_values(spark):
 
 def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries().keys() >= e.oracle_sql().keys()"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
