@@ -11,8 +11,10 @@ from .common import new_folder
 from .decontaminate import find_leaks
 from .license_scan import scan_licenses
 from .neardup import near_duplicates
+from .resample import resample
 from .sharding import ShardStore
 from .topk import top_k
+from .trie import rebuilt_trie
 from .url_filter import filter_urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -75,6 +77,15 @@ def op10_url_filter(spark, sf_dir):
     return filter_urls(_table(spark, sf_dir, "pages")).drop("component")
 
 
+def op12_conversation_trie(spark, sf_dir):
+    return rebuilt_trie(_table(spark, sf_dir, "conversations"), group=5, longest=9)
+
+
+def op13_importance_resampling(spark, sf_dir):
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -82,7 +93,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [op1_license_scan, op2_near_duplicates, op3_html_text, op4_bpe_round_trip, op5_sharding, op6_chat_format, op7_exact_top_k, op8_language_id, op9_decontamination, op10_url_filter, pipeline]
+    named = [op1_license_scan, op2_near_duplicates, op3_html_text, op4_bpe_round_trip, op5_sharding, op6_chat_format, op7_exact_top_k, op8_language_id, op9_decontamination, op10_url_filter, op12_conversation_trie, op13_importance_resampling, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -149,5 +160,52 @@ FROM k LEFT JOIN bad ON bad.a = k.key
 """
 
 
+#: crc.tab: the table of the byte-wise CRC-32.
+_CRC = """crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of the UTF-8 bytes of text, next to crc."""
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen({text})), lambda i: {byte})), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])))"
+
+
+OP12 = rf"""
+WITH {_CRC},
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+ids AS (SELECT c, c - c % 5 AS base, {_crc32('CAST(c AS VARCHAR)')} % 9 AS h FROM (SELECT DISTINCT c FROM o), crc),
+heads AS (SELECT ids.c, i AS p, role, text FROM ids JOIN o ON o.c = base WHERE i < h),
+taken AS (SELECT ids.c, h, count(p) AS taken FROM ids LEFT JOIN heads ON heads.c = ids.c GROUP BY ids.c, h),
+r AS (SELECT * FROM heads UNION ALL SELECT o.c, i - h + taken, role, text FROM o JOIN taken ON o.c = taken.c WHERE i >= h),
+k AS (SELECT c, p + 1 AS d, strlen(text) AS bytes, sha256(string_agg(sha256(role || chr(10) || text), '') OVER (PARTITION BY c ORDER BY p)) AS key FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+m AS (SELECT c, d, bytes, key, lag(key) OVER (PARTITION BY c ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY c) AS ends FROM k),
+n AS (SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent, (count(*) - 1) * any_value(bytes) AS saved,
+  sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY key, d),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT k.key, sum(CASE WHEN kids.key IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(n.saved) AS saved_tokens
+  FROM n LEFT JOIN kids USING (key) JOIN k ON k.c = n.conv_id AND k.d <= n.d GROUP BY k.key)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n AS up ON up.key = n.parent LEFT JOIN kids ON kids.key = n.key JOIN below ON below.key = n.key
+"""
+
+OP13 = rf"""
+WITH {_CRC},
+texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+f AS MATERIALIZED (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+b AS MATERIALIZED (SELECT f, {_crc32('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM f), crc),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN b USING (f) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000)) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM n),
+m AS (SELECT id, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE side = 0 GROUP BY id),
+h AS (SELECT id, len(w) AS n_words, CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) AS h FROM w WHERE side = 0),
+sc AS (SELECT id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM h LEFT JOIN m USING (id)),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc WHERE n_words >= 20)
+SELECT id AS doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM r) THEN rank END AS rank FROM sc LEFT JOIN r USING (id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": OP2, "op5_sharding": OP5, "op6_chat_format": OP6, "op7_exact_top_k": OP7, "op10_url_filter": OP10}
+    return {"op2_near_duplicates": OP2, "op5_sharding": OP5, "op6_chat_format": OP6, "op7_exact_top_k": OP7, "op10_url_filter": OP10, "op12_conversation_trie": OP12, "op13_importance_resampling": OP13}
