@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, language
+from . import bpe, chat, html_text, language, quality
 from .common import new_folder
 from .decontaminate import find_leaks
 from .license_scan import scan_licenses
@@ -77,6 +77,11 @@ def op10_url_filter(spark, sf_dir):
     return filter_urls(_table(spark, sf_dir, "pages")).drop("component")
 
 
+def op11_quality_rules(spark, sf_dir):
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("perplexity", 6).alias("perplexity"))
+
+
 def op12_conversation_trie(spark, sf_dir):
     return rebuilt_trie(_table(spark, sf_dir, "conversations"), group=5, longest=9)
 
@@ -93,7 +98,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [op1_license_scan, op2_near_duplicates, op3_html_text, op4_bpe_round_trip, op5_sharding, op6_chat_format, op7_exact_top_k, op8_language_id, op9_decontamination, op10_url_filter, op12_conversation_trie, op13_importance_resampling, pipeline]
+    named = [op1_license_scan, op2_near_duplicates, op3_html_text, op4_bpe_round_trip, op5_sharding, op6_chat_format, op7_exact_top_k, op8_language_id, op9_decontamination, op10_url_filter, op11_quality_rules, op12_conversation_trie, op13_importance_resampling, pipeline]
     return {f.__name__: f for f in named}
 
 
