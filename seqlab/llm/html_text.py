@@ -3,29 +3,14 @@
 A page is read into a tree of elements; each element is described by its kind, attribute tokens, depth, the density of
 its subtree, its links and its siblings. Boosted trees (Spark ML), fitted on a bounded sample of pages whose semantic
 elements show where the article is and on generated pages with plainly named parts, give every element log odds of
-being main text. The decoding then finds the best consistent labelling of the tree: what is outside may hold the
+being main text. A second ensemble is fitted on the same pages with attributes and semantic elements taken away, and on
+pages of few bare parts, so that density, links, depth and siblings decide where no name does. The decoding then finds the best consistent labelling of the tree: what is outside may hold the
 article, the article may hold parts to leave out, and nothing under those comes back.
 
 Markup is read as browsers do: a quote inside a bare attribute value belongs to it, a quoted value ends at the next
 such quote, and a tag or comment that never ends takes the rest of the page. Reading, describing and writing out a page
 take time in proportion to its length, whatever its nesting.
 
-Markup is read as browsers do: a quote inside a bare attribute value belongs to it, a quoted value ends at the next
-such quote, and a tag or comment that never ends takes the rest of the page. Reading, describing and writing out a page
-take time in proportion to its length, whatever its nesting.
-
-Markup is read as browsers do: a quote inside a bare attribute value belongs to it, a quoted value ends at the next
-such quote, and a tag or comment that never ends takes the rest of the page. Reading, describing and writing out a page
-take time in proportion to its length, whatever its nesting.
-
-Markup is read as browsers do: a quote inside a bare attribute value belongs to it, a quoted value ends at the next
-such quote, and a tag or comment that never ends takes the rest of the page. Reading, describing and writing out a page
-take time in proportion to its length, whatever its nesting.
-
-Markup is read as browsers do: a quote inside a bare attribute value belongs to it, a quoted value ends at the next
-such quote, and a tag or comment that never ends takes the rest of the page. Reading, describing and writing out a page
-take time in proportion to its length, whatever its nesting.
-
 Edge cases: null or empty html, and pages without main text, give an empty text; broken or unclosed markup is read as
 far as it goes; texts of any length are kept whole; repeated rows are extracted row by row; columns beside page_id,
 url and html are ignored; without any page the trees are fitted on the generated pages alone.
@@ -58,14 +43,6 @@ CLOSES_P = frozenset("address article aside blockquote body details div dl field
 SCOPE = frozenset("article aside body div footer form header html li main nav ol section table td th ul blockquote button".split())
 ITEMS = frozenset("li tr td th dt dd option".split())
 HOLDERS = "ul ol table dl select div article body".split()
-ITEMS = frozenset("li tr td th dt dd option".split())
-HOLDERS = "ul ol table dl select div article body".split()
-ITEMS = frozenset("li tr td th dt dd option".split())
-HOLDERS = "ul ol table dl select div article body".split()
-ITEMS = frozenset("li tr td th dt dd option".split())
-HOLDERS = "ul ol table dl select div article body".split()
-ITEMS = frozenset("li tr td th dt dd option".split())
-HOLDERS = "ul ol table dl select div article body".split()
 #: Kinds of elements and attribute tokens that the features count.
 GROUPS = {
     "paragraph": "p blockquote pre".split(),
@@ -83,12 +60,10 @@ GOOD = frozenset("article articlebody body content entry main maincontent post s
 BAD = frozenset(
     "ad ads advert advertisement aside author banner breadcrumb byline comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header links login masthead menu meta modal nav navbar navigation newsletter notice notification pagination popup promo promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar widget".split()
 )
+#: Elements whose names say what they hold; half of the training pages go without them and without attributes.
+SEMANTIC = frozenset("article main nav header footer aside section".split())
 TOKEN = re.compile(r"[a-z]+")
 #: A comment, a declaration or a tag; each ends with the page at the latest.
-#: A comment, a declaration or a tag; each ends with the page at the latest.
-#: A comment, a declaration or a tag; each ends with the page at the latest.
-#: A comment, a declaration or a tag; each ends with the page at the latest.
-#: A comment, a declaration or a tag; each ends with the page at the latest.
 PIECE = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</(?![A-Za-z])[^>]*+>?"""
     r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)""",
@@ -134,114 +109,6 @@ class _Open:
                 self.scopes.pop()
 
 
-class _Open:
-    """The open elements of a page, with the places of each kind among them, so that no look-up walks the tree."""
-
-    def __init__(self, root: Node):
-        self.stack, self.at, self.scopes = [root], {}, []
-
-    def push(self, node: Node) -> None:
-        place = len(self.stack)
-        self.stack.append(node)
-        self.at.setdefault(node.tag, []).append(place)
-        if node.tag in SCOPE:
-            self.scopes.append(place)
-
-    def last(self, tag: str) -> int:
-        """Where the innermost element of this kind is; 0 if there is none."""
-        places = self.at.get(tag)
-        return places[-1] if places else 0
-
-    def close(self, place: int) -> None:
-        """Ends the element at this place and all inside it; at 0, nothing."""
-        while place and len(self.stack) > place:
-            node = self.stack.pop()
-            self.at[node.tag].pop()
-            if node.tag in SCOPE:
-                self.scopes.pop()
-
-
-class _Open:
-    """The open elements of a page, with the places of each kind among them, so that no look-up walks the tree."""
-
-    def __init__(self, root: Node):
-        self.stack, self.at, self.scopes = [root], {}, []
-
-    def push(self, node: Node) -> None:
-        place = len(self.stack)
-        self.stack.append(node)
-        self.at.setdefault(node.tag, []).append(place)
-        if node.tag in SCOPE:
-            self.scopes.append(place)
-
-    def last(self, tag: str) -> int:
-        """Where the innermost element of this kind is; 0 if there is none."""
-        places = self.at.get(tag)
-        return places[-1] if places else 0
-
-    def close(self, place: int) -> None:
-        """Ends the element at this place and all inside it; at 0, nothing."""
-        while place and len(self.stack) > place:
-            node = self.stack.pop()
-            self.at[node.tag].pop()
-            if node.tag in SCOPE:
-                self.scopes.pop()
-
-
-class _Open:
-    """The open elements of a page, with the places of each kind among them, so that no look-up walks the tree."""
-
-    def __init__(self, root: Node):
-        self.stack, self.at, self.scopes = [root], {}, []
-
-    def push(self, node: Node) -> None:
-        place = len(self.stack)
-        self.stack.append(node)
-        self.at.setdefault(node.tag, []).append(place)
-        if node.tag in SCOPE:
-            self.scopes.append(place)
-
-    def last(self, tag: str) -> int:
-        """Where the innermost element of this kind is; 0 if there is none."""
-        places = self.at.get(tag)
-        return places[-1] if places else 0
-
-    def close(self, place: int) -> None:
-        """Ends the element at this place and all inside it; at 0, nothing."""
-        while place and len(self.stack) > place:
-            node = self.stack.pop()
-            self.at[node.tag].pop()
-            if node.tag in SCOPE:
-                self.scopes.pop()
-
-
-class _Open:
-    """The open elements of a page, with the places of each kind among them, so that no look-up walks the tree."""
-
-    def __init__(self, root: Node):
-        self.stack, self.at, self.scopes = [root], {}, []
-
-    def push(self, node: Node) -> None:
-        place = len(self.stack)
-        self.stack.append(node)
-        self.at.setdefault(node.tag, []).append(place)
-        if node.tag in SCOPE:
-            self.scopes.append(place)
-
-    def last(self, tag: str) -> int:
-        """Where the innermost element of this kind is; 0 if there is none."""
-        places = self.at.get(tag)
-        return places[-1] if places else 0
-
-    def close(self, place: int) -> None:
-        """Ends the element at this place and all inside it; at 0, nothing."""
-        while place and len(self.stack) > place:
-            node = self.stack.pop()
-            self.at[node.tag].pop()
-            if node.tag in SCOPE:
-                self.scopes.pop()
-
-
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#page", None)
@@ -279,24 +146,8 @@ def parse(page: str) -> Node:
     return root
 
 
+PARAGRAPH = frozenset(GROUPS["paragraph"])
 GROUP_OF = {tag: i for i, tags in enumerate(GROUPS.values()) for tag in tags}
-WIDTH = 2 * len(GROUPS) + 22
-
-
-def _tokens(node: Node) -> list[str]:
-    return TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(node.attributes)).lower()) if node.attributes else []
-
-
-def _tokens(node: Node) -> list[str]:
-    return TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(node.attributes)).lower()) if node.attributes else []
-
-
-def _tokens(node: Node) -> list[str]:
-    return TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(node.attributes)).lower()) if node.attributes else []
-
-
-def _tokens(node: Node) -> list[str]:
-    return TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(node.attributes)).lower()) if node.attributes else []
 
 
 def _tokens(node: Node) -> list[str]:
@@ -331,23 +182,27 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
             x = children[i]
             todo.append((x, depth + 1, good + here_good, bad + here_bad, here, i / len(children), len(children), tags[x.tag]))
         nodes.append(node)
-        sums.append([own, own if node.tag == "a" else 0, 1, stops, own])
+        sums.append([own, own if node.tag == "a" else 0, 1, stops, own if node.tag in PARAGRAPH else 0, own])
         matrix.append((row, above, depth, here_good, here_bad, min(good, 3), min(bad, 3), place, siblings, alike, len(children), len(words)))
-    for i in range(len(nodes) - 1, 0, -1):  # text, link text, elements and full stops of each subtree
+    for i in range(len(nodes) - 1, 0, -1):  # text, link text, elements, full stops and text in paragraphs of each subtree
         x, up = sums[i], sums[nodes[i].up.index]
         if nodes[i].tag == "a":
             x[1] = x[0]
-        for j in range(4):
+        if nodes[i].tag in PARAGRAPH:
+            x[4] = x[0]
+        for j in range(5):
             up[j] += x[j]
+    whole, prose = max(sums[0][0], 1), max(sums[0][4], 1)
     out = np.array([
         (
             *row, *above, depth, own, text, elements, text / elements, links / text if text else 0.0, stops, stops / text if text else 0.0,
             good, bad, more_good, more_bad, place, siblings, alike, alike / siblings if siblings else 0.0,
-            children, words, float(node.tag in RAW), float(node.tag in INLINE), own / text if text else 0.0, 1.0,
+            children, words, float(node.tag in RAW), float(node.tag in INLINE), own / text if text else 0.0,
+            text / whole, paragraphs / prose, paragraphs / text if text else 0.0, text / max(up[0], 1), up[1] / max(up[0], 1), paragraphs / max(up[4], 1),
         )
-        for node, (text, links, elements, stops, own), (row, above, depth, good, bad, more_good, more_bad, place, siblings, alike, children, words) in zip(nodes, sums, matrix)
+        for node, (text, links, elements, stops, paragraphs, own), up, (row, above, depth, good, bad, more_good, more_bad, place, siblings, alike, children, words) in zip(nodes, sums, (sums[x.up.index] if x.up is not None else sums[0] for x in nodes), matrix)
     ])
-    return nodes, out, np.array([x[4] for x in sums], float)
+    return nodes, out, np.array([x[5] for x in sums], float)
 
 
 def decode(nodes: list[Node], odds: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -357,10 +212,6 @@ def decode(nodes: list[Node], odds: np.ndarray, weight: np.ndarray) -> np.ndarra
     score = np.zeros((len(nodes), 3))
     score[:, 1] = gain
     score[[i for i, x in enumerate(nodes) if x.tag in NEVER], 1] = -np.inf
-    score[[i for i, x in enumerate(nodes) if x.tag in NEVER], 1] = -np.inf
-    score[[i for i, x in enumerate(nodes) if x.tag in NEVER], 1] = -np.inf
-    score[[i for i, x in enumerate(nodes) if x.tag in NEVER], 1] = -np.inf
-    score[[i for i, x in enumerate(nodes) if x.tag in NEVER], 1] = -np.inf
     best = np.zeros((len(nodes), 3), np.int8)
     for i in range(len(nodes) - 1, -1, -1):
         best[i] = (1 if score[i, 1] > score[i, 0] else 0, 1 if score[i, 1] >= score[i, 2] else 2, 2)
@@ -411,8 +262,8 @@ def weak_labels(nodes: list[Node]) -> list[int]:
     return [int(s == 1) for s in state]
 
 
-def generated_pages(n: int, seed: int = 7) -> list[str]:
-    """Pages made from a small grammar of plainly named parts: html, and the kind of each part marked by data-part (1 or 0)."""
+def generated_pages(n: int, seed: int = 7, bare: bool = False) -> list[str]:
+    """Pages made from a small grammar of plainly named parts, or of few bare ones: html, the kind of each part marked by data-part (1 or 0)."""
     rng = random.Random(seed)
     syllables = "ba co di fe gu ha ki lo mu na pe ri so ta vu".split()
 
@@ -471,8 +322,20 @@ def generated_pages(n: int, seed: int = 7) -> list[str]:
                 body += "<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(3)) + "</ul>"
         return f'<{tag} data-part="1"{name}>{body}</{tag}>'
 
+    def plain():
+        """A page of few bare parts: beside or below links in divs or table cells, or paragraphs and lines alone."""
+        around, text = f'data-part="0">{links(rng.randint(1, 8))}', f'data-part="1">{paragraphs(rng.randint(1, 4))}'
+        lines = "<br>".join(sentence() + sentence() for _ in range(rng.randint(1, 4)))
+        return rng.choice([
+            f"<div><div {around}</div><div {text}</div></div>", f"<table><tr><td {around}</td><td {text}</td></tr></table>", f"<div {around}</div><div data-part=\"1\">{lines}</div>",
+            paragraphs(rng.randint(1, 4)).replace("<p>", '<p data-part="1">'),
+        ])
+
     out = []
     for _ in range(n):
+        if bare:
+            out.append(rng.choice(["{}", "<body>{}</body>", "<html><body>{}</body></html>"]).format(plain()))
+            continue
         parts = [boiler() for _ in range(rng.randint(1, 4))] + [article()] + [boiler() for _ in range(rng.randint(1, 4))]
         out.append(f"<html><head><title>{words(5)}</title><script>x()</script></head><body>{''.join(parts)}</body></html>")
     return out
@@ -518,33 +381,71 @@ class Trees:
         return 2 * total
 
 
+def nameless(nodes: list[Node]) -> None:
+    """Takes attributes and semantic elements from a page, so that only its structure is left."""
+    for x in nodes:
+        x.attributes = ""
+        if x.tag in SEMANTIC:
+            x.tag = "div"
+
+
 def training_nodes(spark: SparkSession, pages: DataFrame, sample_pages: int = SAMPLE_PAGES, generated: int = GENERATED_PAGES) -> DataFrame:
-    """features, label of the elements of about sample_pages pages of the table, and of generated ones."""
-    share = min(1.0, sample_pages / max(1, pages.count()))
-    drawn = pages.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int(share * (1 << 20))).select("html", F.lit(False).alias("made"))
-    made = spark.createDataFrame([(p, True) for p in generated_pages(generated)], "html string, made boolean")
+    """features, label, named of the elements of about sample_pages different pages of the table, and of generated ones.
+
+    Each page counts twice: as it is, and without names, with the labels of the named one.
+    """
+    draw = F.xxhash64("html").bitwiseAND(F.lit((1 << 48) - 1))
+    different = pages.agg(F.approx_count_distinct(F.xxhash64("html"))).first()[0]
+    drawn = pages.where(draw < int(min(1.0, sample_pages / max(1, different)) * (1 << 48))).select("html").distinct().select("html", F.lit(False).alias("made"), F.lit(False).alias("plain"))
+    made = spark.createDataFrame([(p, True, False) for p in generated_pages(generated)] + [(p, True, True) for p in generated_pages(generated // 2, bare=True)], "html string, made boolean, plain boolean")
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, labels = [], []
-            for page, own in zip(batch.column("html").to_pylist(), batch.column("made").to_pylist()):
-                nodes, matrix, _ = features(parse(page or ""))
+            rows, labels, named = [], [], []
+            for page, own, plain in zip(*(batch.column(c).to_pylist() for c in ("html", "made", "plain"))):
+                root = parse(page or "")
+                nodes, matrix, _ = features(root)
                 mine = _generated_labels(nodes) if own else weak_labels(nodes)
                 keep = [i for i, l in enumerate(mine) if l >= 0]
-                rows += matrix[keep].tolist()
-                labels += [float(mine[i]) for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64())], ["features", "label"])
+                nameless(nodes)
+                for described, kind in ((features(root)[1], False), *([] if plain else [(matrix, True)])):
+                    rows += described[keep].tolist()
+                    labels += [float(mine[i]) for i in keep]
+                    named += [kind] * len(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64()), pa.array(named, pa.bool_())], ["features", "label", "named"])
+
+    return drawn.union(made).mapInArrow(describe, "features array<double>, label double, named boolean")
+
 
-    return drawn.union(made).mapInArrow(describe, "features array<double>, label double")
+@dataclass
+class Forest:
+    """Trees for pages whose names tell where the article is, and trees that know the structure alone."""
+
+    named: Trees
+    bare: Trees
+
+    def odds(self, pages: list[tuple[list[Node], np.ndarray]]) -> np.ndarray:
+        """Log odds of all elements of pages: by names where an element or attribute names the article, else by both in equal parts."""
+        x = np.concatenate([m for _, m in pages])
+        by_name = self.named.odds(x)
+        told = np.concatenate([np.full(len(nodes), any(n.tag in ("article", "main") or not GOOD.isdisjoint(_tokens(n)) for n in nodes)) for nodes, _ in pages])
+        if not told.all():
+            by_name[~told] = (by_name[~told] + self.bare.odds(x[~told])) / 2
+        return by_name
 
 
-def fit(spark: SparkSession, pages: DataFrame, **sizes) -> Trees:
-    """Trees on the bounded sample, which all tasks of the scan write and a few read again for the fit."""
+def fit(spark: SparkSession, pages: DataFrame, **sizes) -> Forest:
+    """Trees on the bounded sample, which all tasks of the scan write and a few read again for the fits."""
     nodes = materialize(training_nodes(spark, pages, **sizes), "nodes")
-    return Trees(GBTClassifier(maxIter=10, maxDepth=4, stepSize=0.3, maxBins=32, seed=1).fit(nodes.select(array_to_vector("features").alias("features"), "label").coalesce(2)))
+
+    def trees(named: bool, rounds: int, depth: int) -> Trees:
+        rows = nodes.where(F.col("named") == named).select(array_to_vector("features").alias("features"), "label").coalesce(2)
+        return Trees(GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, maxBins=32, seed=1).fit(rows))
+
+    return Forest(trees(True, 10, 4), trees(False, 16, 5))
 
 
-def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
+def extract(pages: DataFrame, trees: Forest | None = None) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars."""
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -562,10 +463,10 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(read, f"page_id {kinds['page_id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string, n_chars long")
 
 
-def extract_texts(pages: list[str | None], trees: Trees) -> list[str]:
+def extract_texts(pages: list[str | None], trees: Forest) -> list[str]:
     roots = [parse(p or "") for p in pages]
     described = [features(r) for r in roots]
-    odds = trees.odds(np.concatenate([m for _, m, _ in described])) if described else np.empty(0)
+    odds = trees.odds([x[:2] for x in described]) if described else np.empty(0)
     out, at = [], 0
     for root, (nodes, _, own) in zip(roots, described):
         mine = odds[at : at + len(nodes)]
