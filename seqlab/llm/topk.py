@@ -20,6 +20,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,19 +165,32 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1
         return df.select("vec_id", usable(F.col("embedding")).alias("vector")).where("vec_id is not null and vector is not null")
 
     queries, index = ready(queries), build_index(ready(candidates), scale, block)
-    n_q = -(-max(1, queries.count()) // query_block)
-    blocks = index.select("cb").distinct()
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_q)).cast("int")).join(F.broadcast(blocks.agg(F.collect_list("cb").alias("cbs")))).withColumn("cb", F.explode("cbs")).drop("cbs")
-    right = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(asked) and len(held):
-            found = pickle.loads(held["slices"].iloc[0])
-            for q, v in zip(asked["vec_id"].tolist(), quantise(asked["vector"].tolist(), scale)):
-                out += [(q, i, max(-(1 << 63), min((1 << 63) - 1, s)), sort_key(s)) for s, i in found.top(v, q, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "key"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
-
-    parts = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, "query_id long, vec_id long, score long, key binary")
+    n_q, n_c = -(-max(1, queries.count()) // query_block), index.count()
+    stripes = min(n_q, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // max(1, n_c)))  # few blocks are read by several tasks
+    blocks = index.select(F.collect_list("cb").alias("cbs"))
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"qb": [key[0]], "payload": [pickle.dumps((rows["vec_id"].tolist(), quantise(rows["vector"].tolist(), scale)))]})
+
+    asked = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_q)).cast("int"))
+    asked = asked.groupBy("qb").applyInPandas(pack, "qb int, payload binary").crossJoin(F.broadcast(blocks))  # one row of block numbers
+    asked = asked.select(F.explode("cbs").alias("cb"), (F.col("qb") % stripes).alias("stripe"), "qb", "payload")
+    held = index.select("cb", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(-1).alias("qb"), F.col("slices").alias("payload"))
+    met = held.union(asked).repartition(max(1, n_c * stripes), "cb", "stripe").sortWithinPartitions("cb", "stripe", "qb")
+
+    def best(batches):
+        found = None
+        for batch in batches:
+            for qb, payload in zip(batch.column("qb").to_pylist(), batch.column("payload")):
+                if qb < 0:
+                    found = pickle.loads(payload.as_py())
+                    continue
+                out: list[tuple] = []
+                for q, v in zip(*pickle.loads(payload.as_py())):
+                    out += [(q, i, max(-(1 << 63), min((1 << 63) - 1, s)), sort_key(s)) for s, i in found.top(v, q, k)]
+                columns = zip(*out) if out else ((),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["query_id", "vec_id", "score", "key"])
+
+    parts = met.mapInArrow(best, "query_id long, vec_id long, score long, key binary")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
