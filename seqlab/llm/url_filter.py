@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import dealt, hot_keys, materialize, repeated
 from .components import connected_components
 
 #: Verdict and rule, a host and the beginning of a path.
@@ -145,14 +146,24 @@ def alias_edges(pages: DataFrame) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """Per row of pages (page_id, url, html): page_id, host, path, rule, verdict, component (the smallest alias; null if it has none)."""
-    joined = connected_components(alias_edges(pages))
+    """Per row of pages (page_id, url, html): page_id, host, path, rule, verdict, component (the smallest alias; null if it has none).
+
+    A component of very many urls, and a url of very many pages, are joined by parts; pages without a host have no alias
+    and are answered apart.
+    """
+    joined = materialize(connected_components(alias_edges(pages)), "components")
+    large = hot_keys(joined.groupBy("component").agg(F.count("*").alias("n")), ["component"], joined.count())
     slash = F.concat(F.col("node"), F.lit("#"))  # a key reads like a url without its scheme
     node_host, node_path = F.regexp_extract(slash, r"(?s)^([^/?#]*)", 1), F.regexp_extract(slash, r"(?s)^[^/?#]*([^?#]*)", 1)
     bad = joined.where(matching_rule(node_host, node_path, rules)["verdict"] == "block").select("component").distinct().withColumn("bad", F.lit(True))
-    aliases = joined.join(bad, "component", "left").select(F.col("node").alias("alias"), "component", "bad")
+    aliases = dealt(joined, large, ["component"], "node").join(repeated(bad, large, ["component"]), ["component", "_salt"], "left")
+    aliases = aliases.select(F.col("node").alias("alias"), "component", "bad")
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), alias_key(F.col("url")).alias("alias"))
-    judged = judged.withColumn("own", matching_rule(F.col("host"), F.col("path"), rules)).join(aliases, "alias", "left")
+    judged = judged.withColumn("own", matching_rule(F.col("host"), F.col("path"), rules))
+    named, nameless = judged.where("alias is not null"), judged.where("alias is null")
+    often = hot_keys(named.groupBy("alias").agg(F.count("*").alias("n")), ["alias"], pages.count())
+    found = dealt(named, often, ["alias"], "page_id").join(repeated(aliases, often, ["alias"]), ["alias", "_salt"], "left").drop("_salt")
+    judged = found.unionByName(nameless, allowMissingColumns=True)
     inherited = F.when(F.col("bad"), F.lit("block")).otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", inherited).alias("verdict"), "component")
 
