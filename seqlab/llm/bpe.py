@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, free_name
 
 #: Pieces, and pairs of tokens, of a generation of a Python worker's memory; the one before is kept as well.
 MEMORY = 150_000
@@ -181,7 +181,7 @@ class _Shared:
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """All columns of docs, whose text is encoded whole, and ids array<int>."""
+    """All columns of docs, whose text is encoded whole, and ids array<int> (ids_ and so on if docs has that)."""
     shared = _Shared(docs.sparkSession, path, pattern)
 
     @F.pandas_udf("array<int>")
@@ -189,19 +189,19 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = shared.bpe()
         return texts.map(lambda t: bpe.encode(t or ""))
 
-    return docs.withColumn("ids", ids("text"))
+    return docs.withColumn(free_name("ids", docs.columns), ids("text"))
 
 
-def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """All columns of tokens and bytes binary, the bytes of its ids."""
+def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
+    """All columns of tokens and bytes binary (bytes_ and so on if tokens has that), the bytes of its ids."""
     shared = _Shared(tokens.sparkSession, path, pattern)
 
     @F.pandas_udf("binary")
-    def back(ids):
+    def back(rows):
         bpe = shared.bpe()
-        return ids.map(lambda x: bpe.decode(x.tolist()))
+        return rows.map(lambda x: bpe.decode(list(map(int, x))))
 
-    return tokens.withColumn("bytes", back("ids"))
+    return tokens.withColumn(free_name("bytes", tokens.columns), back(ids))
 
 
 def digest_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -227,10 +227,14 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """All columns of docs but text, and ids array<int>, n_tokens, intact (whether the ids decode to the text's bytes), in one pass."""
+    """All columns of docs but text, and ids array<int>, n_tokens, intact (whether the ids decode to the text's bytes), in one pass.
+
+    A name that docs has already gets an underscore at its end.
+    """
     shared = _Shared(docs.sparkSession, path, pattern)
     rest = [c for c in docs.columns if c != "text"]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
+    names = [free_name(c, rest) for c in ("ids", "n_tokens", "intact")]
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared.bpe()
@@ -241,6 +245,6 @@ def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = [bpe.encode(t) for t in texts]
                 intact = [bpe.decode(x) == t.encode() for x, t in zip(ids, texts)]
                 columns = [*(part.column(c) for c in rest), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(intact)]
-                yield pa.RecordBatch.from_arrays(columns, [*rest, "ids", "n_tokens", "intact"])
+                yield pa.RecordBatch.from_arrays(columns, [*rest, *names])
 
-    return docs.select(*rest, "text").mapInArrow(tokens, fields + ", ids array<int>, n_tokens long, intact boolean")
+    return docs.select(*rest, "text").mapInArrow(tokens, ", ".join([*fields, f"`{names[0]}` array<int>, `{names[1]}` long, `{names[2]}` boolean"]))

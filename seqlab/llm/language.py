@@ -10,8 +10,9 @@ cross-entropy is far above what its language showed on those rows.
 Fitting takes about train_docs distinct texts of each language, chosen by a hash, and the whole texts of these;
 predictions read whole texts and nothing but texts. Edge cases: null, empty and letterless texts get `und`, score 0
 and are rejected; equal cross-entropies go to the language first in order; repeated rows are judged row by row; rows
-with a null id keep it; with no labelled row at all every text gets `und`; columns of docs that are named as a result
-give way to it, all other names are free; no rows give no rows.
+with a null id keep it; with no labelled row at all every text gets `und` and only
+letterless ones are rejected; columns of docs that are named as a result give way to it, all other names are free; no
+rows give no rows.
 """
 
 from __future__ import annotations
@@ -348,10 +349,10 @@ def identify(docs: DataFrame, learned: Languages, tolerance: float = 12.0) -> Da
         return pd.DataFrame({"language": names[best], "confidence": confidence, "rejected": far})
 
     rest = [c for c in docs.columns if c.lower() not in ("language", "confidence", "rejected")]
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not learned.languages:
-        return docs.select(*rest, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"))
+        return docs.select(*rest, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), (~lettered).alias("rejected"))
     judged = free_name("judged", docs.columns)
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     found = docs.select(*rest, F.struct(judge("text").alias("x"), lettered.alias("lettered")).alias(judged))
     x, lettered = F.col(judged)["x"], F.col(judged)["lettered"]
     return found.select(

@@ -49,6 +49,11 @@ def merged_schema(a: StructType, b: StructType) -> StructType:
     return StructType([StructField(f.name, f.dataType, True) for f in have.values()])
 
 
+def _decoded_path() -> Column:
+    """The path of a row's file as the file system names it; metadata gives it as a URI, where a plus stands for itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, base_bytes: int = 1 << 20, growth: int = 4, fan_in: int = 4):
         self.spark, self.root = spark, root.rstrip("/")
@@ -112,7 +117,7 @@ class ShardStore:
 
     def _described(self, paths: list[str]) -> list[dict]:
         """The manifest rows of new runs, from their files."""
-        files = self.spark.read.parquet(*paths).groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n"))
+        files = self.spark.read.parquet(*paths).groupBy(_decoded_path().alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n"))
         sums = files.groupBy(F.regexp_extract("file", RUN, 1).alias("run")).agg(F.count("*").alias("files"), F.sum("n").alias("rows"), F.sum("size").alias("bytes"))
         tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / self.base) / math.log(self.growth))).cast("int")
         return [r.asDict() for r in sums.select("run", tier.alias("tier"), "files", "rows", "bytes").orderBy("run").collect()]
@@ -173,7 +178,7 @@ class ShardStore:
             if name and name.lower() in taken:
                 raise ValueError(f"the store has a column {name}")
         rows = self._rows(schema, live) if live else self.spark.createDataFrame([], schema)
-        found = F.regexp_extract(F.col("_metadata.file_path"), RUN, 1) if live else F.lit(None).cast("string")
+        found = F.regexp_extract(_decoded_path(), RUN, 1) if live else F.lit(None).cast("string")
         key = run or free_name("run", schema.names)
         if run or tier:
             rows = rows.select("*", found.alias(key))
