@@ -12,6 +12,7 @@ from .catalog_patterns import _name
 from .catalog_relations import _chi_sql, _r
 from .catalog_scalars import _B, _EVENTS, _steps
 from .operators import contexts as W
+from .operators import features as E
 from .operators import items as I
 from .operators import learned as M
 from .operators import patterns as P
@@ -19,6 +20,7 @@ from .operators import profiles as Q
 from .operators import relations as G
 from .operators import series as S
 from .operators import survival as V
+from .storage import pinned
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,17 +35,27 @@ def _register(name, query, sql=None):
 
 
 # survival
+_GAPS = [f"gap_{k}_{n}" for n in (5, 10, 20) for k in ("mean", "sd")]
+
+
 def _v1(s, d):
     each, n = items(s, d), steps(s, d)
-    return _r(V.survival_panel(each, W.every_step(s, each, n), s.range(1, 26).select(F.col("id").cast("int").alias("item")), int(0.9 * n), n), "gap_mean")
+    return _r(V.survival_panel(each, W.every_step(s, each, n), s.range(1, 26).select(F.col("id").cast("int").alias("item")), 0, n), *_GAPS, "runs_ratio")
 
 
-_register("v1_survival_panel", _v1, _B + """, g AS (SELECT CAST(k AS INTEGER) AS item, t FROM range(1, 26) q(k), draws WHERE t >= (SELECT floor(0.9 * count(*)) FROM orders)), n AS (SELECT item, t, t - lag(t) OVER (PARTITION BY item ORDER BY t) AS gap, t - row_number() OVER (PARTITION BY item ORDER BY t) AS isl, count(*) OVER (PARTITION BY item ORDER BY t RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING) AS f FROM items),
-x AS (SELECT item, t, f, isl, CASE WHEN gap IS NOT NULL THEN avg(gap) OVER w END AS m, CASE WHEN gap IS NOT NULL THEN max(gap) OVER w END AS most FROM n WINDOW w AS (PARTITION BY item ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), il AS (SELECT item, isl, min(t) AS start, list(gap ORDER BY t)[1] - 1 AS absence FROM n GROUP BY 1, 2), h AS (SELECT x.*, start, absence FROM x JOIN il USING (item, isl)),
+_register("v1_survival_panel", _v1, _B + """, g AS (SELECT CAST(k AS INTEGER) AS item, d.t, CAST(i.t IS NOT NULL AS INTEGER) AS event FROM range(1, 26) q(k) CROSS JOIN draws d LEFT JOIN items i ON i.item = k AND i.t = d.t),
+w AS (SELECT *, max(CASE WHEN event = 1 THEN t END) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hit, sum(event) OVER (b ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS u20, sum(event) OVER (b ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS u50, sum(event) OVER (b ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS u100,
+  CAST(event <> coalesce(lag(event) OVER b, -1) AS INTEGER) AS turns FROM g WINDOW b AS (PARTITION BY item ORDER BY t)),
+r AS (SELECT *, sum(turns) OVER b AS island, sum(turns * event) OVER b AS came FROM w WINDOW b AS (PARTITION BY item ORDER BY t ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, row_number() OVER (PARTITION BY item, island ORDER BY t) AS length FROM r),
+l AS (SELECT *, coalesce(lag(length) OVER b, 0) AS run, coalesce(lag(2 * event - 1) OVER b, 0) AS direction, lag(island) OVER b AS runs, greatest(1, lag(came) OVER b) AS appear FROM s WINDOW b AS (PARTITION BY item ORDER BY t)),
+y AS (SELECT item, t, t - lag(t) OVER (PARTITION BY item ORDER BY t) AS gap FROM items),
+q AS (SELECT item, t""" + "".join(f", avg(gap) OVER w{n} AS mean_{n}, stddev_pop(gap) OVER w{n} AS sd_{n}, min(gap) OVER w{n} AS least_{n}, max(gap) OVER w{n} AS most_{n}" for n in (5, 10, 20)) + " FROM y WHERE gap IS NOT NULL WINDOW " + ", ".join(f"w{n} AS (PARTITION BY item ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 10, 20)) + """),
 pr AS (SELECT a.item AS a, b.item AS b, count(*) AS n FROM items a JOIN items b ON a.t = b.t AND a.item <> b.item GROUP BY 1, 2), tp AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pr) WHERE r <= 5), pa AS (SELECT i.t + 1 AS t, tp.a AS item, count(*) AS partners FROM items i JOIN tp ON tp.b = i.item GROUP BY 1, 2),
-cx AS (SELECT t, CAST(coalesce(list_sum(xs), 0) AS BIGINT) AS total, coalesce(xs[-1] - xs[1], 0) AS range, CAST(len(list_filter(xs, lambda y: y % 2 = 1)) AS INTEGER) AS odd FROM e), cr AS (SELECT *, CAST(range > coalesce(max(range) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS INTEGER) AS record FROM cx),
-pc AS (SELECT t, coalesce(lag(total) OVER w, 0) AS prev_total, coalesce(lag(range) OVER w, 0) AS prev_range, coalesce(lag(odd) OVER w, 0) AS prev_odd, coalesce(lag(record) OVER w, 0) AS prev_record FROM cr WINDOW w AS (ORDER BY t)), j AS (SELECT g.item, g.t, h.t AS hit, h.m, h.most, h.f, h.start, h.absence FROM g ASOF LEFT JOIN h ON h.item = g.item AND h.t < g.t)
-SELECT j.item, j.t, CAST(i.t IS NOT NULL AS INTEGER) AS event, j.t - hit AS since, round(m, 6) AS gap_mean, most AS gap_most, f AS uses_20, hit - start + 1 AS run, absence, coalesce(partners, 0) AS partners, prev_total, prev_range, prev_odd, prev_record FROM j LEFT JOIN items i ON i.item = j.item AND i.t = j.t LEFT JOIN pa ON pa.item = j.item AND pa.t = j.t JOIN pc ON pc.t = j.t""")
+px AS (SELECT t + 1 AS t, sum(item) AS total, max(item) - min(item) AS range, count(*) FILTER (item % 2 = 1) AS odd, max(item) AS top FROM items GROUP BY t)
+SELECT l.item, l.t, event, CASE WHEN hit IS NULL THEN l.t + 1 ELSE l.t - hit END AS since, """ + ", ".join(f"round(coalesce({k}_{n}, 0), 6) AS gap_{k}_{n}" if k in ("mean", "sd") else f"CAST(coalesce({k}_{n}, 0) AS DOUBLE) AS gap_{k}_{n}" for n in (5, 10, 20) for k in ("mean", "sd", "least", "most")) + """, CAST(coalesce(u20, 0) AS INTEGER) AS uses_20, CAST(coalesce(u50, 0) AS INTEGER) AS uses_50, CAST(coalesce(u100, 0) AS INTEGER) AS uses_100,
+  run, direction, round(coalesce(greatest(1, runs - appear) / appear, 1), 6) AS runs_ratio, CAST(coalesce(partners, 0) AS INTEGER) AS partners, CAST(coalesce(total, 0) AS BIGINT) AS prev_total, coalesce(range, 0) AS prev_range, CAST(coalesce(odd, 0) AS INTEGER) AS prev_odd, CAST(coalesce(top = l.item, false) AS INTEGER) AS was_max
+FROM l ASOF LEFT JOIN q ON q.item = l.item AND q.t < l.t LEFT JOIN pa ON pa.item = l.item AND pa.t = l.t LEFT JOIN px ON px.t = l.t""")
 
 
 def _covered(s, d):
@@ -93,7 +105,32 @@ _register("v14_expanding_backtest", lambda s, d: _r((lambda n: V.expanding_backt
           _I + ", k AS (SELECT steps, steps // 2 AS start, CAST(ceil((steps - steps // 2) / 100) AS BIGINT) AS blocks FROM st), b AS (SELECT item, CAST(block AS BIGINT) AS block FROM (SELECT DISTINCT item FROM items), k, range((SELECT blocks FROM k)) q(block)), x AS (SELECT b.item, b.block, k.start, least(100, k.steps - k.start - b.block * 100) AS size, count(i.t) FILTER (i.t < k.start + b.block * 100) AS before, count(i.t) FILTER (i.t >= k.start + b.block * 100 AND i.t < k.start + b.block * 100 + 100) AS hits FROM b CROSS JOIN k LEFT JOIN items i ON i.item = b.item GROUP BY 1, 2, 3, 4) SELECT block, CAST(sum(size) AS BIGINT) AS n, CAST(sum(hits) AS BIGINT) AS hits, round(sum(-(hits * ln((before + 1) / (block * 100 + start + 2)) + (size - hits) * ln(1 - (before + 1) / (block * 100 + start + 2)))) / sum(size), 6) AS log_loss FROM x GROUP BY block")
 
 # segments and profiles
-_register("q3_bic_select", lambda s, d: (lambda each: s.createDataFrame([(k, c, round(e, 6), round(b, 6), best) for k, c, e, b, best in Q.bic_select(Q.segmentations(each, "d1", 3, 30), each.count())], "splits int, cuts string, error double, bic double, best boolean"))(draws(s, d)))
+def _wavering(s, d):
+    """Chi-square, entropy and variance of the items of the last 50 steps, standardised over the whole series."""
+    names = ["chi2", "entropy", "variance"]
+    each = pinned(W.rolling_basket_stats(W.every_step(s, items(s, d), steps(s, d)), range(1, 26), 50))
+    return E.scale(each, each, names), names
+
+
+def _cuts(s, d, replicates=0):
+    each, names = _wavering(s, d)
+    return Q.greedy_cuts(Q.replicated(each, names, replicates), names, 10, 30), len(names)
+
+
+def _q3(s, d):
+    cuts, columns = _cuts(s, d)
+    return _r(Q.bic_of_cuts(cuts.where("rep = 0"), steps(s, d), columns), "error", "bic")
+
+
+def _q4_all(s, d):
+    """Stability of all cuts that the criterion asks for, over 100 samples."""
+    cuts, columns = _cuts(s, d, 100)
+    wanted = Q.bic_of_cuts(cuts.where("rep = 0"), steps(s, d), columns).where("best").first().splits
+    return _r(Q.cut_stability(cuts, wanted, 25), "found")
+
+
+_register("q3_bic_select", _q3)
+_register("q4_stability_all_cuts", _q4_all)
 _HASH = "('0x' || substr(md5('42:' || rep || ':' || t), 1, 12))::BIGINT"
 _register("q4_changepoint_stability", lambda s, d: _r(Q.first_split_stability(draws(s, d), "d1", 10, 30, 25), "found"),
           _D + f""", p AS (SELECT rep, {_HASH} % (SELECT count(*) FROM orders) AS t FROM draws, range(1, 11) q(rep)), x AS (SELECT rep, t, count(*) AS w, any_value(d1) AS v FROM p JOIN draws USING (t) GROUP BY 1, 2 UNION ALL SELECT 0, t, 1, d1 FROM draws), c AS (SELECT rep, t, coalesce(sum(w) OVER b, 0) AS l, coalesce(sum(w * v) OVER b, 0) AS s, sum(w) OVER (PARTITION BY rep) AS m, sum(w * v) OVER (PARTITION BY rep) AS a FROM x WINDOW b AS (PARTITION BY rep ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -119,8 +156,6 @@ _register("q6_matrix_profile", lambda s, d: Q.matrix_profile(_daily(s, d), "v",
 
 
 def _q7(s, d):
-    from .storage import pinned
-
     profile = pinned(Q.matrix_profile(_daily(s, d), "v", 7))
     found = [("motif", *x) for x in Q.motifs(profile, 7, 5)] + [("discord", *x) for x in Q.motifs(profile, 7, 5, most=True)]
     return s.createDataFrame(found, "kind string, place int, t long, distance double, nearest long")  # ten rows

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions.tails import binomial_two_sided, chi_square, fisher_greater
 from ..storage import pinned
 from .items import adjust_p_values, cross_step_pairs, pair_counts
 from .relations import quantile_bins
-from .series import prefix_sum
+from .series import prefix_sum, with_ordinal
 
 
 def pair_significance(items: DataFrame, steps: int, domain: int) -> DataFrame:
@@ -106,17 +109,68 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.col("i") / F.col("m") - (F.col("d") / (2 * F.col("m"))) ** 2).alias("modularity"))
 
 
-def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
-    """Share of comparable pairs (the earlier one an event) in which the earlier has the larger risk, ties one half.
+def _dominated(order: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each place the sum of n over later places whose order is smaller; halves are merged level by level."""
+    total, at, width = np.zeros(len(order), np.int64), np.arange(len(order)), 1
+    while width < len(order):
+        node, right = at // (2 * width), (at // width) % 2 == 1
+        by = np.lexsort((order, node))
+        sums = np.cumsum(np.where(right, n, 0)[by])
+        start = np.searchsorted(node[by], node[by])  # sums run on from node to node
+        total[by] += np.where(right[by], 0, sums - np.where(start > 0, sums[start - 1], 0))
+        width *= 2
+    return total
 
-    Pairs are counted on the histogram of (time, risk), whose distinct values have to be few; rows are never paired.
+
+def concordance(df: DataFrame, time: str, event: str, risk: str, blocks: int = 1024) -> DataFrame:
+    """Share of comparable pairs (the earlier one an event) in which the earlier has the larger risk, ties one half: pairs, c_index.
+
+    Equal (time, risk) are one cell. Cells are numbered by (time, risk) and by (risk, time); a pair is concordant if the
+    later one in the first order is the earlier in the second. Both orders are cut into so many blocks of equal size,
+    whatever the ties. Pairs within a block of either order are counted in its task, by merging halves; all others by
+    the numbers of cells in each pair of blocks, at most blocks squared numbers, which one task sums up.
     """
-    cells = pinned(df.groupBy(F.col(time).alias("d"), F.col(risk).alias("r")).agg(F.count("*").alias("n"), F.sum(event).alias("e")))
-    early, late = cells.select(F.col("d").alias("d1"), F.col("r").alias("r1"), "e").where("e > 0"), cells.select("d", "r", "n")
-    pairs = early.join(late, F.col("d") > F.col("d1"))
-    w = F.col("e") * F.col("n")
-    good = F.when(F.col("r1") > F.col("r"), 1.0).when(F.col("r1") == F.col("r"), 0.5).otherwise(0.0)
-    return pairs.agg(F.sum(w).alias("pairs"), F.try_divide(F.sum(w * good), F.sum(w)).alias("c_index"))
+    cells = df.groupBy(F.col(time).alias("d"), F.col(risk).alias("r")).agg(F.count("*").alias("n"), F.sum(event).alias("e"))
+    first = with_ordinal(cells, ["d", "r"], "p")
+    both = pinned(with_ordinal(first, ["r", "d"], "q"))
+    size = max(1, -(-both.count() // blocks))
+    both = both.withColumns({"a": F.floor(F.col("p") / size).cast("int"), "b": F.floor(F.col("q") / size).cast("int")})
+
+    def inside(first_: str, second: str):
+        """Weights of the concordant pairs in a block; for blocks of the second order those of two blocks of the first."""
+
+        def count(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values([first_, "q"] if second == "q" else [first_])
+            found = _dominated(rows["q"].to_numpy(), rows["n"].to_numpy())
+            return pd.DataFrame({"v": [int((found * rows["e"].to_numpy()).sum())]})
+
+        return count
+
+    by_time = both.groupBy("a").applyInPandas(inside("p", "p"), "v long")
+    by_risk = both.groupBy("b").applyInPandas(inside("a", "q"), "v long")
+    table = both.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+
+    def apart(batches):
+        n, e = np.zeros((blocks + 1, blocks + 1), np.int64), np.zeros((blocks + 1, blocks + 1), np.int64)
+        for x in batches:
+            a, b = x.column("a").to_numpy(), x.column("b").to_numpy()
+            n[a, b], e[a, b] = x.column("n").to_numpy(), x.column("e").to_numpy()
+        later = n[::-1].cumsum(0)[::-1]  # of this block of times and all later ones
+        below = later.cumsum(1) - later  # and of lower blocks of risks
+        yield pa.RecordBatch.from_arrays([pa.array([int((e[:-1] * below[1:]).sum())])], ["v"])
+
+    over = table.coalesce(1).mapInArrow(apart, "v long")
+    # comparable pairs, and those of equal risk, from running counts along either order
+    along = prefix_sum(both.select("d", "r", "e", "n"), ["d", "r"], "n", "before")
+    ends = along.groupBy("d").agg(F.max(F.col("before") + F.col("n")).alias("upto"), F.sum("e").alias("e"))
+    whole = both.agg(F.sum("n").alias("all"))
+    pairs = ends.join(F.broadcast(whole)).agg(F.sum(F.col("e") * (F.col("all") - F.col("upto"))).alias("pairs"))
+    equal = prefix_sum(both.select("d", "r", "e", "n"), ["r", "d"], "n", "before")
+    last = equal.groupBy("r").agg(F.max(F.col("before") + F.col("n")).alias("last"), F.sum("e").alias("e"), F.sum(F.col("e") * (F.col("before") + F.col("n"))).alias("seen"))
+    ties = last.agg(F.sum(F.col("e") * F.col("last") - F.col("seen")).alias("ties"))
+    good = by_time.union(by_risk).union(over).agg(F.sum("v").alias("good"))
+    joined = pairs.join(F.broadcast(ties)).join(F.broadcast(good))  # one row each
+    return joined.select("pairs", F.try_divide(F.col("good") + F.col("ties") / 2, F.col("pairs")).alias("c_index"))
 
 
 def brier_at(spells: DataFrame, rate: str, horizons: list[int]) -> DataFrame:

@@ -12,58 +12,96 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..storage import pinned
-from .patterns import segment_costs
 from .resampling import draw
 from .series import over_chunks
 
 
-def segmentations(df: DataFrame, x: str, splits: int, least: int) -> list[tuple[int, list[int], float]]:
-    """(splits, cuts, squared error) of the greedy segmentations with 0 .. splits cuts; a pass over the series each."""
-    rows = pinned(df.select("t", x))
-    total = rows.agg(F.var_pop(F.col(x).cast("double")).alias("v"), F.count("*").alias("n")).first()
-    error, cuts, out = total.v * total.n, [0], [(0, [], total.v * total.n)]
-    for k in range(1, splits + 1):
-        best = segment_costs(rows, x, sorted(cuts), least).orderBy(F.desc("gain"), "at").first()  # a row for each segment
-        if best is None or best.gain <= 0:
-            break
-        cuts.append(best.at)
-        error -= best.gain
-        out.append((k, sorted(cuts[1:]), error))
-    return out
-
+def replicated(df: DataFrame, columns: list[str], replicates: int, seed: int = 42) -> DataFrame:
+    """rep, t, w and the columns as doubles: the series itself as replicate 0, and sorted bootstrap samples of its rows, each t with how often it was drawn."""
+    rows = pinned(df.select("t", *(F.col(c).cast("double").alias(c) for c in columns)))
+    n = rows.count()
+    picks = rows.select("t", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).select("rep", (draw(seed, "rep", "t") % n).alias("t")) if replicates else None
+    own = rows.select(F.lit(0).alias("rep"), "t", F.lit(1).cast("long").alias("w"), *columns)
+    return own if picks is None else picks.groupBy("rep", "t").agg(F.count("*").alias("w")).join(rows, "t").select(*own.columns).unionByName(own)
 
-def bic_select(found: list[tuple[int, list[int], float]], n: int) -> list[tuple[int, str, float, float, bool]]:
-    """(splits, cuts, error, bic, best): n ln(error / n) + splits ln n, the smallest first at ties."""
-    rows = [(k, ",".join(map(str, cuts)), e, n * math.log(max(e, 0.0) / n + 1e-10) + k * math.log(n)) for k, cuts, e in found]
-    best = min(range(len(rows)), key=lambda i: (round(rows[i][3], 6), i))
-    return [(*r, i == best) for i, r in enumerate(rows)]
 
+def greedy_cuts(series: DataFrame, columns: list[str], splits: int, least: int, chunk: int = 4096) -> DataFrame:
+    """rep, step, at, error of greedy binary segmentations of all replicates (rep, t, w, columns) at once; step 0 has no cut.
 
-def first_split_stability(df: DataFrame, x: str, replicates: int, least: int, tolerance: int, seed: int = 42) -> DataFrame:
-    """at, found: the best single split of the series, and the share of sorted bootstrap samples of its rows whose best split is within tolerance.
-
-    All samples are cut in one pass: counts by (rep, range of t) carry the running sums.
+    A step cuts, in each replicate, the segment whose best cut lowers the squared error of all columns most; a segment has
+    at least least rows, and equal gains (to 6 digits) go to the smaller t. Sums before every row are made once, by
+    ranges of t; as the sums of a segment are differences of those at its ends, a step only looks at the rows of the
+    two segments that the one before has made, and gives one row each.
     """
-    rows = pinned(df.select("t", F.col(x).cast("double").alias("v")))
-    n = rows.count()
-    picks = rows.select("t", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).select("rep", (draw(seed, "rep", "t") % n).alias("t"))
-    samples = picks.groupBy("rep", "t").agg(F.count("*").alias("w")).join(rows, "t")
-    every = pinned(samples.unionByName(rows.select(F.lit(0).alias("rep"), "t", F.lit(1).cast("long").alias("w"), "v")))
-    part = F.floor(F.col("t") / 4096)
-    sums = every.groupBy("rep", part.alias("_part")).agg(F.sum("w").alias("_w"), F.sum(F.col("w") * F.col("v")).alias("_s"))
+    part = F.floor(F.col("t") / chunk)
+    value = {"_w": F.col("w").cast("double")} | {f"_{i}": F.col("w") * F.col(c) for i, c in enumerate(columns)}
+    names = list(value)
+    rows = series.withColumn("_part", part)
     before = Window.partitionBy("rep").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    whole = Window.partitionBy("rep")
-    carried = sums.select("rep", "_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_w", "_s")), *(F.sum(c).over(whole).alias(f"{c}1") for c in ("_w", "_s")))
+    sums = rows.groupBy("rep", "_part").agg(*(F.sum(v).alias(n) for n, v in value.items()))
+    carried = sums.select("rep", "_part", *(F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"_0{n}") for n in names))
     inside = Window.partitionBy("rep", "_part").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    here = every.withColumn("_part", part).join(carried, ["rep", "_part"])
-    left = F.col("_w0") + F.coalesce(F.sum("w").over(inside), F.lit(0))
-    low = F.col("_s0") + F.coalesce(F.sum(F.col("w") * F.col("v")).over(inside), F.lit(0.0))
-    cut = here.select("rep", "t", left.alias("l"), low.alias("s"), F.col("_w1").alias("m"), F.col("_s1").alias("a")).where((F.col("l") >= least) & (F.col("m") - F.col("l") >= least))
-    rest = F.col("a") - F.col("s")
-    gain = F.round(F.col("s") * F.col("s") / F.col("l") + rest * rest / (F.col("m") - F.col("l")) - F.col("a") * F.col("a") / F.col("m"), 6)
-    best = cut.groupBy("rep").agg(F.max_by("t", F.struct(gain, -F.col("t"))).alias("at"))
-    real = best.where("rep = 0").select(F.col("at").alias("real"))
-    return best.where("rep > 0").join(F.broadcast(real)).groupBy("real").agg(F.avg((F.abs(F.col("at") - F.col("real")) <= tolerance).cast("int")).alias("found")).withColumnRenamed("real", "at")
+    upto = rows.join(carried, ["rep", "_part"]).select("rep", "t", F.array(*(F.coalesce(F.sum(v).over(inside), F.lit(0.0)) + F.col(f"_0{n}") for n, v in value.items())).alias("x"))
+    upto = pinned(upto)
+    squares = F.sum(reduce(lambda a, c: a + F.col("w") * F.col(c) * F.col(c), columns, F.lit(0.0)))
+    whole = series.groupBy("rep").agg(F.array(*(F.sum(v) for v in value.values())).alias("hi_x"), squares.alias("squares"), (F.max("t") + 1).alias("hi"))
+    zero = F.array(*[F.lit(0.0)] * len(names))
+
+    def spread(x):  # of the sums x of a segment: how much its mean explains
+        return F.aggregate(F.slice(x, 2, len(columns)), F.lit(0.0), lambda a, s: a + s * s) / x[0]
+
+    def minus(a, b):
+        return F.zip_with(a, b, lambda p, q: p - q)
+
+    def best(segments: DataFrame) -> DataFrame:
+        """The best cut of each segment (rep, lo, hi, lo_x, hi_x): at, at_x, gain; segments without one are left out."""
+        held = upto.join(F.broadcast(segments), "rep").where((F.col("t") > F.col("lo")) & (F.col("t") < F.col("hi")))  # two segments a replicate
+        left, right, all_ = minus(F.col("x"), F.col("lo_x")), minus(F.col("hi_x"), F.col("x")), minus(F.col("hi_x"), F.col("lo_x"))
+        able = held.select("rep", "lo", "hi", "lo_x", "hi_x", "t", "x", left.alias("l"), right.alias("r"), all_.alias("a")).where((F.col("l")[0] >= least) & (F.col("r")[0] >= least))
+        gain = F.round(spread(F.col("l")) + spread(F.col("r")) - spread(F.col("a")), 6)
+        top = able.groupBy("rep", "lo", "hi").agg(F.max_by(F.struct("lo_x", "hi_x", F.col("t").alias("at"), F.col("x").alias("at_x"), gain.alias("gain")), F.struct(gain, -F.col("t"))).alias("b"))
+        return top.select("rep", "lo", "hi", "b.*")
+
+    first = pinned(whole.select("rep", F.lit(0).cast("long").alias("lo"), "hi", zero.alias("lo_x"), "hi_x", (F.col("squares") - spread(F.col("hi_x"))).alias("error")))
+    found = first.select("rep", F.lit(0).alias("step"), F.lit(None).cast("long").alias("at"), "error")
+    errors, open_ = first.select("rep", "error"), pinned(best(first.drop("error")))
+    for step in range(1, splits + 1):
+        taken = pinned(open_.groupBy("rep").agg(F.max_by(F.struct("lo", "hi", "lo_x", "hi_x", "at", "at_x", "gain"), F.struct("gain", -F.col("at"))).alias("b")).select("rep", "b.*").where("gain > 0"))
+        if taken.isEmpty():
+            break
+        errors = pinned(taken.join(errors, "rep").select("rep", "at", (F.col("error") - F.col("gain")).alias("error")))
+        found, errors = found.unionByName(errors.select("rep", F.lit(step).alias("step"), "at", "error")), errors.select("rep", "error")
+        halves = F.array(F.struct("lo", F.col("at").alias("hi"), "lo_x", F.col("at_x").alias("hi_x")), F.struct(F.col("at").alias("lo"), "hi", F.col("at_x").alias("lo_x"), "hi_x"))
+        new = best(taken.select("rep", F.inline(halves))) if step < splits else None
+        rest = open_.join(taken.select("rep", "lo", "hi"), ["rep", "lo", "hi"], "left_anti")
+        open_ = pinned(rest.unionByName(new)) if new is not None else rest
+    return pinned(found)
+
+
+def bic_of_cuts(cuts: DataFrame, n: int, columns: int) -> DataFrame:
+    """Of the cuts of one replicate (step, at, error): splits, cuts (ascending), error, bic, best (the smallest bic, to 6 digits, with the fewest cuts).
+
+    bic is n ln(error / n) plus ln n for every mean: one for each column of each segment.
+    """
+    upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # a row for each cut
+    every = Window.partitionBy()
+    bic = n * F.ln(F.greatest(F.col("error"), F.lit(0.0)) / n + 1e-10) + (F.col("step") + 1) * columns * math.log(n)
+    made = cuts.select(F.col("step").alias("splits"), F.array_join(F.sort_array(F.collect_list("at").over(upto)), ",").alias("cuts"), "error", F.round(bic, 6).alias("bic"))
+    return made.withColumn("best", F.col("splits") == F.min_by("splits", F.struct("bic", "splits")).over(every))
+
+
+def cut_stability(cuts: DataFrame, wanted: int, tolerance: int) -> DataFrame:
+    """at, found: of the first wanted cuts of replicate 0, in what share of the other replicates one of as many cuts is within tolerance."""
+    used = cuts.where(F.col("step").between(1, wanted))
+    real = used.where("rep = 0").select(F.col("at").alias("real"))
+    replicates = cuts.where("rep > 0").select("rep").distinct().count()
+    near = used.where("rep > 0").join(F.broadcast(real), F.abs(F.col("at") - F.col("real")) <= tolerance).groupBy("real").agg(F.count_distinct("rep").alias("n"))
+    return real.join(near, "real", "left").select(F.col("real").alias("at"), (F.coalesce("n", F.lit(0)) / F.lit(max(1, replicates))).alias("found"))
+
+
+def first_split_stability(df: DataFrame, x: str, replicates: int, least: int, tolerance: int, seed: int = 42) -> DataFrame:
+    """at, found: the best single split of the series, and the share of sorted bootstrap samples of its rows whose best split is within tolerance."""
+    return cut_stability(greedy_cuts(replicated(df, [x], replicates, seed), [x], 1, least), 1, tolerance)
 
 
 def segment_profile(df: DataFrame, x: str, cuts: list[int], symbols: int, k: int = 5) -> DataFrame:

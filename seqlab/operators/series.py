@@ -87,6 +87,17 @@ def earlier(df: DataFrame, keys: list[str], t: str = "t", first: str | None = No
     return out.drop("_part", "_p", "_n", "_here", *(f"_k_{k}" for k in keys))
 
 
+def running(df: DataFrame, keys: list[str], sums: dict[str, Column], lasts: dict[str, Column], t: str = "t", chunk: int = 1 << 16) -> DataFrame:
+    """Adds, over this row and all earlier ones of the same key (not null): sums, and the last values that aren't null; ranges as in neighbours()."""
+    rows, inside, along = _ranged(df, keys, t, chunk)
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    here = rows.select("*", *(F.sum(c).over(upto).alias(f"_{n}") for n, c in sums.items()), *(F.last(c, ignorenulls=True).over(upto).alias(f"_{n}") for n, c in lasts.items()))
+    ends = rows.groupBy(*keys, "_part").agg(*(F.sum(c).alias(n) for n, c in sums.items()), *(F.max_by(c, F.when(c.isNotNull(), F.col(t))).alias(n) for n, c in lasts.items()))
+    carried = ends.select(*keys, "_part", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_0{n}") for n in sums), *(F.last(n, ignorenulls=True).over(before).alias(f"_0{n}") for n in lasts))
+    made = {n: F.coalesce(f"_{n}", F.lit(0)) + F.col(f"_0{n}") for n in sums} | {n: F.coalesce(f"_{n}", f"_0{n}") for n in lasts}
+    return here.join(carried, [*keys, "_part"]).withColumns(made).drop("_part", *(f"{m}{n}" for n in (*sums, *lasts) for m in ("_", "_0")))
+
+
 def last_n(value: Column, window, n: int) -> Column:
     """Sum of value over the n rows before this one, as a difference of two running sums."""
     upto = F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

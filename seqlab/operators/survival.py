@@ -3,54 +3,65 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import pinned
-from .contexts import previous_context
-from .features import partner_presence, recent_uses, rolling_gap_stats, run_state
-from .items import neighbours, pair_counts
+from .features import rolling_gap_stats
+from .items import pair_counts
+from .series import neighbours, over_chunks, running
 
 
-def last_known(grid: DataFrame, facts: DataFrame, keys: list[str], columns: list[str], t: str = "t", chunk: int = 1 << 14) -> DataFrame:
-    """grid (keys, t) with the columns of the last row of facts (keys, t) before t; null if there is none.
+def survival_panel(items: DataFrame, steps: DataFrame, domain: DataFrame, first: int, last: int, gaps: tuple[int, ...] = (5, 10, 20), uses: tuple[int, ...] = (20, 50, 100), partners: int = 5, piece: int = 1 << 14) -> DataFrame:
+    """One row for each item of domain and step first .. last - 1, from what was known before the step, and event, whether the item came in it.
 
-    Both are dealt out by ranges of t; the last facts of a range are carried into those after it.
-    """
-    part = F.floor(F.col(t) / chunk)
-    value = F.struct(*columns)
-    rows = facts.select(*keys, t, value.alias("_v"), F.lit(0).alias("_kind")).unionByName(grid.select(*keys, t, F.lit(None).cast(facts.select(value.alias("v")).schema["v"].dataType).alias("_v"), F.lit(1).alias("_kind")))
-    rows = rows.withColumn("_part", part)
-    ends = facts.groupBy(*keys, part.alias("_part")).agg(F.max_by(value, t).alias("_last"))
-    spans = rows.select(*keys, "_part").distinct().join(ends, [*keys, "_part"], "left")
-    along = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
-    carried = spans.select(*keys, "_part", F.last("_last", ignorenulls=True).over(along).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_part").orderBy(t, F.desc("_kind")).rowsBetween(Window.unboundedPreceding, -1)  # of one t the grid's row first
-    held = rows.withColumn("_before", F.last("_v", ignorenulls=True).over(inside)).where("_kind = 1").join(carried, [*keys, "_part"])
-    return held.select(*keys, t, F.coalesce("_before", "_carried").alias("_x")).select(*keys, t, *(F.col("_x")[c].alias(c) for c in columns))
-
-
-def survival_panel(items: DataFrame, steps: DataFrame, domain: DataFrame, first: int, last: int) -> DataFrame:
-    """One row for each item of domain and step first .. last - 1: event, steps since its last hit, statistics of its gaps, uses, run, partners, and the step before.
-
-    Gap statistics, uses and runs are as of the item's last hit before the step, and partners as of the step before it,
-    so no row reads its own outcome. The domain is a bounded list of items.
+    since: steps since the last hit (t + 1 before any). gap_<mean, sd, least, most>_<n>: over the last n completed gaps, 0
+    without any. uses_<n>: hits in the n steps before t. run, direction: how many steps before t the item has come (1) or
+    stayed out (-1) without a break. runs_ratio: runs of absence over runs of presence so far, each at least 1. partners:
+    how many of the items it came with most often came in the step before. prev_total, prev_range, prev_odd, was_max: of
+    that step's basket.
+
+    Between two hits all this follows from the first of them and the number of steps since, so the panel is made by
+    spreading out what is known at each hit over the steps up to the next one; long waits are spread in pieces. Hits
+    before t - n are told by the last max(uses) hits, which each hit holds. items are the hits (t, item) from step 0,
+    steps all baskets (t, xs); domain is a list of items that fits a broadcast.
     """
-    grid = pinned(domain.select("item").crossJoin(steps.where(F.col("t").between(first, last - 1)).select("t")))
-    hits = items.select("item", "t")
-    gaps = rolling_gap_stats(hits, [5])
-    uses = recent_uses(hits, [20])
-    islands = run_state(hits).select("item", F.col("start"), "absence")
-    near = neighbours(hits, ["item"]).select("item", "t", F.col("t").alias("hit"))
-    facts = near.join(gaps.select("item", "t", "mean_5", "most_5"), ["item", "t"], "left").join(uses, ["item", "t"], "left")
-    out = last_known(grid, pinned(facts), ["item"], ["hit", "mean_5", "most_5", "f_20"])
-    opened = last_known(grid, islands.select("item", F.col("start").alias("t"), F.col("start").alias("run_start"), "absence"), ["item"], ["run_start", "absence"])
-    partners = partner_presence(items, pair_counts(items), 5)
-    event = hits.select("item", "t", F.lit(1).alias("event"))
-    held = out.join(opened, ["item", "t"]).join(partners, ["item", "t"], "left").join(event, ["item", "t"], "left").join(previous_context(steps), "t")
-    return held.select(
-        "item", "t", F.coalesce("event", F.lit(0)).alias("event"), (F.col("t") - F.col("hit")).alias("since"), F.col("mean_5").alias("gap_mean"), F.col("most_5").alias("gap_most"), F.col("f_20").alias("uses_20"),
-        (F.col("hit") - F.col("run_start") + 1).alias("run"), "absence", F.coalesce("partners", F.lit(0)).alias("partners"), "prev_total", "prev_range", "prev_odd", "prev_record",
+    hits = items.where(F.col("t") < last).select("item", "t").distinct()
+    near = pinned(neighbours(pinned(hits), ["item"]))
+    opens = F.col("was").isNull() | (F.col("was") < F.col("t") - 1)
+    counted = running(near, ["item"], {"hit": F.lit(1), "islands": opens.cast("int")}, {"start": F.when(opens, F.col("t"))})
+    recent = over_chunks(counted, lambda w: {"recent": F.collect_list("t").over(w.rowsBetween(-max(uses) + 1, 0))}, max(uses), t="hit", keys=("item",))
+    stats = [f"{k}_{n}" for n in gaps for k in ("mean", "sd", "least", "most")]
+    known = recent.join(rolling_gap_stats(hits, list(gaps)), ["item", "t"], "left").select("item", F.col("t").alias("hit"), "next", "islands", "start", "recent", *stats)
+    begun = near.groupBy("item").agg(F.min("t").alias("next"))
+    heads = domain.select("item").join(begun, "item", "left")
+    unknown = heads.select("item", F.lit(-1).cast("long").alias("hit"), "next", F.lit(0).cast("long").alias("islands"), F.lit(None).cast("long").alias("start"), F.array().cast("array<bigint>").alias("recent"), *(F.lit(None).cast("double").alias(c) for c in stats))
+    pairs = pair_counts(items)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    top = both.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("_r") <= partners).groupBy(F.col("a").alias("item")).agg(F.collect_set("b").alias("_top"))
+    kept = heads.select("item", (F.col("next") == 0).alias("_at_once")).join(top, "item", "left")  # a row for each item of the domain
+    facts = known.unionByName(unknown).join(F.broadcast(kept), "item")
+    lo, hi = F.greatest(F.col("hit") + 1, F.lit(first)), F.least(F.coalesce("next", F.lit(last - 1)), F.lit(last - 1))
+    spans = facts.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_lo") / piece), F.floor(F.col("_hi") / piece))))
+    spread = spans.repartition("item", "_piece").withColumn("t", F.explode(F.sequence(F.greatest(F.col("_lo"), F.col("_piece") * piece), F.least(F.col("_hi"), (F.col("_piece") + 1) * piece - 1))))
+    before = steps.select((F.col("t") + 1).alias("t"), "xs")
+    t, hit, present = F.col("t"), F.col("hit"), (F.col("hit") >= 0) & (F.col("hit") == F.col("t") - 1)
+    absences = F.col("islands") - present.cast("int") + F.when(F.coalesce("_at_once", F.lit(False)), 0).otherwise(1)
+    basket = F.coalesce("xs", F.array().cast("array<int>"))
+    zero = F.lit(0)
+
+    def later_than(low: Column):
+        return lambda x: x >= low
+
+    return spread.join(before, "t", "left").select(
+        "item", "t", F.coalesce((t == F.col("next")).cast("int"), zero).alias("event"), F.when(hit >= 0, t - hit).otherwise(t + 1).alias("since"),
+        *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"gap_{c}") for c in stats),
+        *(F.size(F.filter("recent", later_than(t - n))).alias(f"uses_{n}") for n in uses),
+        F.when(present, hit - F.col("start") + 1).otherwise(t - 1 - hit).alias("run"), F.when(t == 0, 0).when(present, 1).otherwise(-1).alias("direction"),
+        F.when(F.col("islands") == 0, 1.0).otherwise(F.greatest(absences, F.lit(1)) / F.col("islands")).alias("runs_ratio"),
+        F.size(F.array_intersect(basket, F.coalesce("_top", F.array().cast("array<int>")))).alias("partners"),
+        F.aggregate(basket, zero.cast("long"), lambda a, x: a + x).alias("prev_total"), F.coalesce(F.array_max(basket) - F.array_min(basket), zero).alias("prev_range"),
+        F.size(F.filter(basket, lambda x: x % 2 == 1)).alias("prev_odd"), F.coalesce((F.array_max(basket) == F.col("item")).cast("int"), zero).alias("was_max"),
     )
 
 

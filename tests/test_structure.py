@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlab.functions import tails
-from seqlab.operators import contexts, feature_sets, learned, predictors, profiles, scalars, series, survival
+from seqlab.operators import contexts, feature_sets, learned, patterns, predictors, profiles, scalars, series, survival
 
 
 def test_neighbours_and_earlier_by_ranges(spark):
@@ -68,17 +68,68 @@ def test_cox_against_newton_on_rows(spark):
     assert np.allclose(sorted(risk), sorted(np.exp(z @ beta)), rtol=1e-3)
 
 
-def test_segmentations_and_bic(spark):
-    values = [0.0] * 40 + [5.0] * 40 + [1.0] * 40
-    df = spark.createDataFrame([(i, v + 0.1 * (i % 2)) for i, v in enumerate(values)], "t long, x double")
-    found = profiles.segmentations(df, "x", 3, 5)
-    x = np.array([v + 0.1 * (i % 2) for i, v in enumerate(values)])
-    for k, cuts, error in found:
-        parts = np.split(x, cuts)
-        assert k == len(cuts) and abs(error - sum(((p - p.mean()) ** 2).sum() for p in parts)) < 1e-4
-    assert found[2][1] == [40, 80]
-    table = profiles.bic_select(found, len(x))
-    assert [r[0] for r in table if r[4]] == [2]
+def _greedy(x, w, splits, least):
+    """Greedy cuts of rows x (n, columns) with weights w, as places in the rows, and the error after each."""
+    error = lambda lo, hi: (w[lo:hi, None] * (x[lo:hi] - np.average(x[lo:hi], axis=0, weights=w[lo:hi])) ** 2).sum()
+    cuts, out = [0, len(x)], [(None, error(0, len(x)))]
+    for _ in range(splits):
+        best = (0.0, None)
+        for lo, hi in zip(cuts, cuts[1:]):
+            for c in range(lo + 1, hi):
+                if w[lo:c].sum() >= least and w[c:hi].sum() >= least:
+                    best = max(best, (round(error(lo, hi) - error(lo, c) - error(c, hi), 6), -c), key=lambda b: (b[0], b[1] if b[1] is not None else 0))
+        if best[1] is None:
+            break
+        cuts = sorted([*cuts, -best[1]])
+        out.append((-best[1], out[-1][1] - best[0]))
+    return out
+
+
+def test_greedy_cuts_of_all_replicates(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 1, (40, 2)) for m in ([0, 0], [4, 0], [4, 3], [1, 3])])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "t long, a double, b double")
+    series = profiles.replicated(df, ["a", "b"], 3)
+    rows = series.toPandas()
+    cuts = profiles.greedy_cuts(series, ["a", "b"], 5, 10, chunk=32)
+    found = cuts.orderBy("rep", "step").toPandas()
+    for rep, mine in rows.sort_values("t").groupby("rep"):
+        want = _greedy(mine[["a", "b"]].to_numpy(), mine["w"].to_numpy(float), 5, 10)
+        got = found[found["rep"] == rep]
+        t = mine["t"].to_numpy()
+        assert [None if c is None else t[c] for c, _ in want] == [None if np.isnan(c) else int(c) for c in got["at"]]
+        assert np.allclose([e for _, e in want], got["error"], atol=1e-4)
+    table = profiles.bic_of_cuts(cuts.where("rep = 0"), len(x), 2).orderBy("splits").collect()
+    bic = [len(x) * np.log(r.error / len(x) + 1e-10) + (r.splits + 1) * 2 * np.log(len(x)) for r in table]
+    assert np.allclose(bic, [r.bic for r in table]) and [r.splits for r in table if r.best] == [int(np.argmin(bic))] == [3]
+    assert sorted(map(int, table[3].cuts.split(","))) == sorted(found[(found["rep"] == 0) & (found["step"].between(1, 3))]["at"].astype(int)) and table[0].cuts == ""
+    stable = {r.at: r.found for r in profiles.cut_stability(cuts, 3, 5).collect()}
+    used = found[found["step"].between(1, 3)]
+    for at, share in stable.items():
+        assert share == np.mean([(abs(used[used["rep"] == k]["at"] - at) <= 5).any() for k in (1, 2, 3)])
+    assert len(stable) == 3
+
+
+def test_constant_series_has_no_cut(spark):
+    df = spark.createDataFrame([(i, 1.0) for i in range(50)], "t long, x double")
+    assert [r.step for r in profiles.greedy_cuts(profiles.replicated(df, ["x"], 0), ["x"], 4, 5).collect()] == [0]
+
+
+def test_concordance_of_blocks(spark):
+    """Pairs counted by blocks equal all pairs, with ties in times and risks and one time that a third of all rows have."""
+    rng = np.random.default_rng(8)
+    time, risk = rng.integers(1, 40, 900), rng.normal(size=900).round(1)
+    time[:300], risk[300:420] = 7, 0.5
+    risk[420:] = rng.normal(size=480)
+    event = (rng.random(900) < 0.6).astype(int)
+    later = time[None, :] > time[:, None]
+    pairs = (later * event[:, None]).sum()
+    good = (later * event[:, None] * (np.where(risk[:, None] > risk[None, :], 1.0, 0.0) + 0.5 * (risk[:, None] == risk[None, :]))).sum()
+    df = spark.createDataFrame([(int(a), int(e), float(r)) for a, e, r in zip(time, event, risk)], "time int, event int, risk double")
+    for blocks in (1, 7, 64):
+        (row,) = patterns.concordance(df, "time", "event", "risk", blocks=blocks).collect()
+        assert row.pairs == pairs and abs(row.c_index - good / pairs) < 1e-12
+    assert patterns.concordance(df.where("event = 0"), "time", "event", "risk").first().c_index is None
 
 
 def test_motifs_are_disjoint(spark):
