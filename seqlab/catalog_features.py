@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .bindings import COVARIATES, DRAWS, ITEMS, draws, items, joined, rows, steps
 from .catalog_relations import _r
 from .catalog_scores import BASE, DIGITS, marginals
+from .functions import tails
 from .operators import features as E
 from .operators import items as I
 from .operators import resampling as N
@@ -71,6 +74,30 @@ def _scaled(method):
 _PARTS = {"standard": ("avg({0})", "stddev_pop({0})"), "robust": ("quantile_cont({0}, 0.5)", "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)"), "minmax": ("min({0})", "max({0}) - min({0})")}
 for _m, (_a, _b) in _PARTS.items():
     _register(f"e4_scale_{_m}", _scaled(_m), _W + f", f AS (SELECT {_a.format('c')} AS a, {_b.format('c')} AS b, {_a.format('quantity')} AS e, {_b.format('quantity')} AS g FROM w WHERE quantity IS NOT NULL AND t % 10 < 7) SELECT t, round((c - a) / b, 6) AS c, round((quantity - e) / g, 6) AS quantity FROM w, f WHERE quantity IS NOT NULL")
+def _normal_sql(p):
+    def along(coefficients, x):
+        return reduce(lambda a, c: f"({a} * {x} + {c!r}::DOUBLE)", coefficients[1:], f"{coefficients[0]!r}::DOUBLE")
+
+    def end(tail):
+        return f"{along(tails.NORMAL_ENDS[0], f'sqrt(-2 * ln({tail}))')} / {along(tails.NORMAL_ENDS[1], f'sqrt(-2 * ln({tail}))')}"
+
+    q = f"(({p}) - 0.5)"
+    middle = f"{q} * {along(tails.NORMAL_MIDDLE[0], f'({q} * {q})')} / {along(tails.NORMAL_MIDDLE[1], f'({q} * {q})')}"
+    return f"CASE WHEN {p} < 0.02425 THEN {end(p)} WHEN {p} > 1 - 0.02425 THEN -({end(f'(1 - {p})')}) ELSE {middle} END"
+
+
+def _share_sql(c, q):
+    below, upto = f"len(list_filter({q}, lambda v: v < {c}))", f"len(list_filter({q}, lambda v: v <= {c}))"
+    return f"greatest(CAST(1e-7 AS DOUBLE), least(1 - CAST(1e-7 AS DOUBLE), CASE WHEN {upto} > {below} THEN ({below} + {upto} - 1) / CAST(200 AS DOUBLE) WHEN {below} = 0 THEN 0 WHEN {below} > 100 THEN 1 ELSE ({below} - 1 + ({c} - {q}[{below}]) / ({q}[{below} + 1] - {q}[{below}])) / 100 END))"
+
+
+def _e4_normal(s, d):
+    rows = joined(s, d).where("quantity is not null").select("t", "c", "quantity")
+    return _r(E.to_normal(rows, rows.where("t % 10 < 7"), ["c", "quantity"]), "c", "quantity")
+
+
+_register("e4_scale_normal", _e4_normal, _W + ", f AS (SELECT quantile_cont(CAST(c AS DOUBLE), list_transform(range(101), lambda k: k / 100)) AS qc, quantile_cont(quantity, list_transform(range(101), lambda k: k / 100)) AS qq FROM w WHERE quantity IS NOT NULL AND t % 10 < 7), "
+          f"x AS (SELECT t, {_share_sql('c', 'qc')} AS pc, {_share_sql('quantity', 'qq')} AS pq FROM w, f WHERE quantity IS NOT NULL) SELECT t, round({_normal_sql('pc')}, 6) AS c, round({_normal_sql('pq')}, 6) AS quantity FROM x")
 _register("e6_seasonal_detrend", lambda s, d: _r(E.seasonal_detrend(draws(s, d).select("t", "day", "c"), draws(s, d), "day", ["c"]).select("t", "c"), "c"),
           _D + ", y AS (SELECT dayofyear(day) AS doy, avg(c) AS m FROM draws GROUP BY 1), z AS (SELECT (doy + k - 1 + 366) % 366 + 1 AS doy, avg(m) AS m FROM y, range(-7, 8) q(k) GROUP BY 1) SELECT t, round(c - coalesce(m, (SELECT avg(m) FROM y)), 6) AS c FROM draws LEFT JOIN z ON z.doy = dayofyear(day)")
 _register("e7_linear_detrend", lambda s, d: _r(E.linear_detrend(draws(s, d).select("t", (F.col("c") + F.col("t") * 0.1).alias("up"), "d1"), ["up", "d1"]), "up", "d1"),

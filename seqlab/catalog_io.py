@@ -145,6 +145,29 @@ _register("x6_frozen_vs_replica", lambda s, d: _both_losses(s, d).drop("replica"
 SELECT count(*) AS n, round(avg(-ln((coalesce(f.n, 0) + 1) / ((SELECT sum(n) FROM f) + 5))), 6) AS frozen FROM events LEFT JOIN f USING (event_type)""")
 
 
+def _x8_late(s, d):
+    """Events in order, and then some of the old ones again: repeats within two days are dropped, later ones are kept apart."""
+    base, rows = _new(s, "late"), table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    sink, stream = streams.divert_late(s, base, ["event_id"], "2 days"), lambda: streams.event_stream(s, f"{base}/in", rows.schema, 10_000)
+    for part in (rows, rows.where("event_id % 50 = 0")):
+        part.write.mode("append").parquet(f"{base}/in")
+        streams.drain(stream(), "", f"{base}/checkpoint", "append", sink)
+    both = s.read.parquet(f"{base}/kept").select("event_id", F.lit("kept").alias("kind")).unionByName(s.read.parquet(f"{base}/late").select("event_id", F.lit("late").alias("kind")))
+    return both
+
+
+_register("x8_late_rows", _x8_late, "SELECT event_id, 'kept' AS kind FROM events UNION ALL SELECT event_id, 'late' FROM events WHERE event_id % 50 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
+
+
+def _x6_pool(s, d):
+    base, stream = _events(s, d, "pool")
+    streams.drain(stream(), "", f"{base}/checkpoint", "append", streams.replay_pool(s, base, "id"))
+    return streams.last_batch(s, f"{base}/pool").select("id", "event_type", "is_newest")
+
+
+_register("x6_replay_pool", _x6_pool, "WITH n AS (SELECT event_id AS id, event_type, row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 64 AS is_newest FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY is_newest ORDER BY md5(CAST(id AS VARCHAR)), id) AS r FROM n) SELECT id, event_type, is_newest FROM e WHERE is_newest OR r <= 64")
+
+
 def _x7(s, d):
     base, stream = _events(s, d, "sessions")
     streams.drain(streams.sessions(stream(), "user_id", "30 minutes", LATE), f"{base}/out", f"{base}/checkpoint", "complete")

@@ -42,7 +42,7 @@ def previous_context(steps: DataFrame) -> DataFrame:
     ends = rows.groupBy("_chunk").agg(F.max("range").alias("_top"))
     carried = ends.select("_chunk", F.max("_top").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # one row a chunk
     top = F.greatest(F.max("range").over(Window.partitionBy("_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
-    marked = rows.join(F.broadcast(carried), "_chunk").withColumn("record", (F.col("range") > F.coalesce(top, F.lit(-1))).cast("int")).drop("_chunk", "_before")
+    marked = rows.join(carried, "_chunk").withColumn("record", (F.col("range") > F.coalesce(top, F.lit(-1))).cast("int")).drop("_chunk", "_before")
     return over_chunks(marked, lambda w: {f"prev_{c}": F.coalesce(F.lag(c, 1).over(w), F.lit(0)) for c in ("total", "range", "odd", "record")}, 1).select("t", "prev_total", "prev_range", "prev_odd", "prev_record")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import normal_quantile
 from ..storage import pinned
 from .series import earlier, neighbours, over_chunks
 
@@ -46,6 +48,31 @@ def scale(df: DataFrame, fit: DataFrame, columns: list[str], method: str = "stan
     return df.join(F.broadcast(made)).withColumns({c: (F.col(c) - F.col(f"_at_{c}")) / by[c] for c in columns}).drop(*made.columns)
 
 
+def to_normal(df: DataFrame, fit: DataFrame, columns: list[str], quantiles: int = 100, clip: float = 1e-7) -> DataFrame:
+    """Columns mapped to a standard normal by the quantiles of fit: the share of a value between quantiles 0 .. quantiles, within clip of 0 and 1.
+
+    Between two quantiles shares are linear; a value that several quantiles have takes the middle of their shares. Null
+    stays null. The table is one row of quantiles + 1 numbers for each column.
+    """
+    at = [k / quantiles for k in range(quantiles + 1)]
+    table = fit.agg(*(F.percentile(F.col(c).cast("double"), F.lit(at)).alias(f"_q_{c}") for c in columns))
+
+    def places(c):
+        q, x = F.col(f"_q_{c}"), F.col(c).cast("double")
+        return {f"_b_{c}": F.size(F.filter(q, lambda v: v < x)), f"_u_{c}": F.size(F.filter(q, lambda v: v <= x))}
+
+    def share(c):
+        q, x, below, upto = F.col(f"_q_{c}"), F.col(c).cast("double"), F.col(f"_b_{c}"), F.col(f"_u_{c}")
+        low, high = F.get(q, below - 1), F.get(q, below)
+        between = (below - 1 + (x - low) / (high - low)) / quantiles
+        return F.when(x.isNull(), None).when(upto > below, (below + upto - 1) / (2.0 * quantiles)).when(below == 0, 0.0).when(below > quantiles, 1.0).otherwise(between)
+
+    rows = df.join(F.broadcast(table)).withColumns({k: v for c in columns for k, v in places(c).items()})
+    rows = rows.withColumns({f"_p_{c}": F.greatest(F.lit(clip), F.least(share(c), F.lit(1 - clip))) for c in columns})
+    made = rows.withColumns({c: F.when(F.col(c).isNotNull(), normal_quantile(F.col(f"_p_{c}"))) for c in columns})
+    return made.drop(*table.columns, *(f"_{k}_{c}" for k in "bup" for c in columns))
+
+
 def seasonal_detrend(df: DataFrame, fit: DataFrame, day: str, columns: list[str], reach: int = 7) -> DataFrame:
     """Columns minus the mean of fit on the day of the year, smoothed over reach days on both sides around the year.
 
@@ -89,28 +116,30 @@ def decayed_frequency(df: DataFrame, column: str, symbols: int, rate: float, rea
 def decayed_history(df: DataFrame, column: str, symbols: int, rate: float, chunk: int = 4096) -> DataFrame:
     """As decayed_frequency(), over all rows before this one.
 
-    Each chunk sums its rows, weighted as seen from its end; a later chunk takes the sums of all before it, each scaled
-    down by its distance. Chunks are few, and their sums are all that meets in one place.
+    Each chunk sums its rows, weighted as seen from its end; a later chunk takes the sums of those before it, each scaled
+    down by its distance. These are running sums over blocks of chunks, in which a weight falls by e^40: a block reads
+    itself and the one before, and what is older would not change a double. So no task holds more than two blocks of
+    chunk sums, and weights neither overflow nor vanish inside a block.
     """
-    rows = df.withColumn("_chunk", F.floor(F.col("t") / chunk))
-    place = F.col("t") - F.col("_chunk") * chunk
-    own = [F.when(F.col(column) == s, F.exp(rate * (place - chunk))).otherwise(0.0) for s in range(symbols)]
-    ends = rows.groupBy("_chunk").agg(F.array(*map(F.sum, own)).alias("_sums"))
-    along = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.array(*[F.lit(0.0)] * symbols)
-    past = F.collect_list(F.struct("_chunk", "_sums")).over(along)
-
-    def add(acc, x):  # sums seen from the end of the chunk before this one
-        scale = F.exp(-rate * chunk * (F.col("_chunk") - 1 - x["_chunk"]))
-        return F.zip_with(acc, x["_sums"], lambda a, b: a + b * scale)
-
-    carried = ends.select("_chunk", F.aggregate(past, zero, add).alias("_past"))
+    size = max(1, min(chunk, int(40 / rate))) if rate > 0 else chunk
+    fall = rate * size
+    block = max(1, math.ceil(40 / fall)) if fall > 0 else 1 << 40
+    rows = df.withColumn("_chunk", F.floor(F.col("t") / size))
+    place = F.col("t") - F.col("_chunk") * size
+    own = [F.when(F.col(column) == s, F.exp(rate * (place - size))).otherwise(0.0) for s in range(symbols)]
+    ends = rows.groupBy("_chunk").agg(*(F.sum(x).alias(f"_{i}") for i, x in enumerate(own)))
+    mine = F.floor(F.col("_chunk") / block)
+    copies = ends.withColumn("_own", mine).withColumn("_block", F.explode(F.array(mine, mine + 1)))
+    off = F.col("_chunk") - F.col("_block") * block  # in chunks, from the begin of the block
+    before = Window.partitionBy("_block").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    past = [F.coalesce(F.sum(F.col(f"_{i}") * F.exp(fall * off)).over(before), F.lit(0.0)) * F.exp(-fall * (off - 1)) for i in range(symbols)]
+    carried = copies.select("_chunk", "_own", "_block", F.array(*past).alias("_past")).where("_own = _block").select("_chunk", "_past")
     inside = Window.partitionBy("_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     here = [F.coalesce(F.sum(x).over(inside), F.lit(0.0)) for x in own]
     # weights of this chunk are seen from its end, the past from its beginning
-    both = F.array(*(h + F.element_at("_past", i + 1) * F.exp(F.lit(-rate * chunk)) for i, h in enumerate(here)))
+    both = F.array(*(h + F.element_at("_past", i + 1) * F.exp(F.lit(-fall)) for i, h in enumerate(here)))
     total = F.aggregate("_both", F.lit(0.0), lambda a, x: a + x)
-    held = rows.join(F.broadcast(carried), "_chunk").withColumn("_both", both).withColumn("_total", total)
+    held = rows.join(carried, "_chunk").withColumn("_both", both).withColumn("_total", total)
     shares = F.when(F.col("_total") > 0, F.transform("_both", lambda x: x / F.col("_total"))).otherwise(F.array(*[F.lit(1.0 / symbols)] * symbols))
     return held.withColumn(f"p_{column}", shares).drop("_chunk", "_past", "_both", "_total")
 

@@ -170,7 +170,7 @@ def symbol_gap_uncapped(df: DataFrame, hits: dict[str, Column], chunk: int = 409
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("_chunk", *(F.max(f"_{n}").over(before).alias(f"_{n}") for n in hits))
     inside = Window.partitionBy("_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    near = rows.join(F.broadcast(carried), "_chunk").select(*df.columns, *(F.coalesce(F.max(F.when(hit, F.col("t"))).over(inside), F.col(f"_{n}")).alias(n) for n, hit in hits.items()))
+    near = rows.join(carried, "_chunk").select(*df.columns, *(F.coalesce(F.max(F.when(hit, F.col("t"))).over(inside), F.col(f"_{n}")).alias(n) for n, hit in hits.items()))
     return near.withColumns({n: F.coalesce(F.col("t") - F.col(n), F.col("t")) for n in hits})
 
 

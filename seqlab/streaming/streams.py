@@ -121,3 +121,62 @@ def score_then_learn(spark: SparkSession, base: str, frozen: DataFrame, symbol:
         scored.agg(F.sum("n").alias("n"), loss["f"].alias("frozen"), loss["r"].alias("replica")).write.mode("overwrite").parquet(f"{base}/scores/batch={number}")
 
     return put
+
+
+def _earlier(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
+    """What batches before this one have written to a folder of batch=<number> folders; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    if not any(n.startswith("batch=") and int(n[6:]) < number for n in names):
+        return None
+    return spark.read.parquet(folder).where(F.col("batch") < number)
+
+
+def divert_late(spark: SparkSession, base: str, keys: list[str], late: str) -> Callable:
+    """A sink that keeps rows (ts, keys) once, and late rows apart: base/kept and base/late, and base/marks with the newest ts and counts of each batch.
+
+    A row is late if its ts is before the newest ts of all earlier batches by more than late. Rows that are in time are
+    kept unless a row of the same keys is kept already; only kept rows that a row in time could repeat are read for
+    that, so late bounds the work (a repeat that is further from its first than late counts as another row). Every
+    batch writes under its number, so one that runs again changes nothing.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        marks = _earlier(spark, f"{base}/marks", number)
+        newest = marks.agg(F.max("newest").alias("newest")) if marks is not None else spark.createDataFrame([(None,)], "newest timestamp")  # one row
+        rows = batch.join(F.broadcast(newest.select((F.col("newest") - F.expr(f"interval {late}")).alias("_low"))))
+        behind = F.coalesce(F.col("ts") < F.col("_low"), F.lit(False))
+        rows.where(behind).drop("_low").write.mode("overwrite").parquet(f"{base}/late/batch={number}")
+        fresh = rows.where(~behind).dropDuplicates(keys)
+        kept = _earlier(spark, f"{base}/kept", number)
+        if kept is not None:
+            recent = kept.join(F.broadcast(newest)).where(F.col("ts") >= F.col("newest") - 2 * F.expr(f"interval {late}"))
+            fresh = fresh.join(recent.select(*keys), keys, "left_anti")
+        fresh.drop("_low").write.mode("overwrite").parquet(f"{base}/kept/batch={number}")
+        sums = [spark.read.parquet(f"{base}/{name}/batch={number}").agg(F.count("*").alias(name)) for name in ("kept", "late")]
+        batch.agg(F.max("ts").alias("newest")).join(sums[0]).join(sums[1]).write.mode("overwrite").parquet(f"{base}/marks/batch={number}")
+
+    return put
+
+
+def replay_pool(spark: SparkSession, base: str, id_: str, newest: int = 64, earlier: int = 64) -> Callable:
+    """A sink that holds what a learner replays: the newest rows (by ts and id), and of all rows before these the ones with the smallest hashes.
+
+    base/pool/batch=<number> is the pool after a batch, with is_newest. A uniform sample by smallest hashes can be
+    merged: a row that is out of it once never comes back, so the pool before and the batch tell the pool after. A batch
+    that runs again starts from the pool before it.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        before = _earlier(spark, f"{base}/pool", number)
+        rows = batch
+        if before is not None:
+            last = before.agg(F.max("batch").alias("batch"))  # one row
+            rows = before.join(F.broadcast(last), "batch", "left_semi").drop("batch", "is_newest").unionByName(batch)
+        top = rows.orderBy(F.desc("ts"), F.desc(id_)).limit(newest)
+        rest = rows.join(F.broadcast(top.select(id_)), id_, "left_anti").orderBy(F.md5(F.col(id_).cast("string")), id_).limit(earlier)  # both bounded by the pool's size
+        pool = top.withColumn("is_newest", F.lit(True)).unionByName(rest.withColumn("is_newest", F.lit(False)))
+        pool.coalesce(1).write.mode("overwrite").parquet(f"{base}/pool/batch={number}")
+
+    return put
