@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .bindings import ITEMS, draws, items, steps
+from .bindings import ITEMS, draws, items, steps, table
 from .catalog_relations import _r
 from .operators import items as I
 from .operators import learned as M
 from .operators import scores as L
 from .operators import series as S
 from .operators import survival as V
+from .plans import runs as R
 from .storage import pinned
 
 QUERIES: dict = {}
@@ -58,6 +60,37 @@ def _p16(s, d):
 _register("p16_run_config", _p16)
 
 
+_SETS = {"shares": FEATURES[:10], "shape": FEATURES[10:]}
+
+
+def _experiments(s, d):
+    """Each user's events as a configuration in JSON: sets, stages and models by the hashes of the event types."""
+    k, kinds = F.get_json_object("props", "$.k").cast("int"), F.array(*map(F.lit, ("forest", "logistic", "bayes")))
+    first = table(s, d, "events").withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("_r <= 3")
+    pick = lambda options: F.element_at(options, F.pmod(F.crc32("event_type"), F.lit(3)).cast("int") + 1)
+    stages = F.array(F.lit("select"), F.lit("poly"), F.lit("scale"))
+    params = F.when(pick(stages) == "poly", F.create_map(F.lit("degree"), F.lit(2.0), F.lit("top_k"), (k + 1).cast("double"))).when(pick(stages) == "select", F.create_map(F.lit("threshold"), k / 30.0))
+    rows = first.select("user_id", "_r", F.struct(pick(stages).alias("stage"), F.lit("robust").alias("method"), params.alias("params")).alias("stage"), F.struct(pick(kinds).alias("type"), (k / 8.0).alias("weight")).alias("model"))
+    lists = rows.groupBy("user_id").agg(*(F.array_sort(F.collect_list(F.struct("_r", c))).alias(c) for c in ("stage", "model")))
+    config = F.struct(F.col("user_id").cast("string").alias("id"), F.array(F.lit("shares"), F.lit("shape")).alias("feature_sets"), F.col("stage.stage").alias("pipeline"), F.col("model.model").alias("models"))
+    return R.read_configs(lists.select(F.to_json(config).alias("config")))
+
+
+_RULES = R.Rules(tuple(_SETS))
+
+
+def _p16_configs(s, d):
+    """The first valid configuration of the users', run on the features of draws."""
+    configs = pinned(_experiments(s, d))
+    able = configs.join(R.problems(configs, _RULES).select("id").distinct(), "id", "left_anti").orderBy(F.col("id").cast("long")).first()
+    rows, cut = pinned(S.previous_shape(S.rolling_frequency(draws(s, d), ["d1"], range(10), 50), DIGITS).select("t", "d1", *FEATURES)), int(0.7 * steps(s, d))
+    return R.run_config(able, rows.where(F.col("t") < cut), rows.where(F.col("t") >= cut), _SETS, "d1", 10).select("t", F.posexplode("p").alias("symbol", "p"))
+
+
+_register("p16_configured_run", _p16_configs)
+_register("p17_all_rules", lambda s, d: R.problems(_experiments(s, d), _RULES))
+
+
 PROPERTIES = {"large": "d1 + d2 + d3 >= 14", "repeat": "d1 = d2 or d2 = d3 or d1 = d3", "odd": "d1 % 2 + d2 % 2 + d3 % 2 >= 2", "high": "int(d1 >= 5) + int(d2 >= 5) + int(d3 >= 5) >= 2", "first_odd": "d1 % 2 = 1", "last_high": "d3 >= 5"}
 
 

@@ -37,13 +37,15 @@ def _after(s, d, df):
     return df.where(F.col("t") >= _cut(s, d))
 
 
-def _markov(s, d):
-    rows, cut = pinned(P.with_previous(draws(s, d), DIGITS)), _cut(s, d)
+def _previous(rows):
+    return pinned(P.with_previous(rows, DIGITS))
+
+
+def _markov(rows, cut):
     return P.given_key(rows.where(F.col("t") < cut), rows.where(F.col("t") >= cut), {c: f"was_{c}" for c in DIGITS}, 10)
 
 
-def _conditional(s, d):
-    rows, cut = pinned(P.with_previous(draws(s, d), DIGITS)), _cut(s, d)
+def _conditional(rows, cut):
     return P.given_key(rows.where(F.col("t") < cut), rows.where(F.col("t") >= cut), dict.fromkeys(DIGITS, "was_bin"), 10)
 
 
@@ -61,9 +63,9 @@ _COND = ", conditional AS (" + " UNION ALL ".join(_given(c, "was_bin") for c in
 _RECENT = ", recency AS (" + " UNION ALL ".join(f"SELECT t, '{c}' AS position, CAST(k AS INTEGER) AS symbol, coalesce(w / nullif(sum(w) OVER (PARTITION BY t), 0), 0.1) AS p FROM (SELECT t, k, sum(CASE WHEN {c} = k THEN exp(0.005 * (t - (SELECT count(*) FROM orders))) ELSE 0 END) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM draws, range(10) r(k))" for c in DIGITS) + ")"
 _OVERDUE = ", overdue AS (" + " UNION ALL ".join(f"SELECT t, '{c}' AS position, CAST(k AS INTEGER) AS symbol, exp((g - max(g) OVER (PARTITION BY t)) / 10.0) / sum(exp((g - mg) / 10.0)) OVER (PARTITION BY t) AS p FROM (SELECT *, max(g) OVER (PARTITION BY t) AS mg FROM (SELECT t, k, coalesce(t - max(CASE WHEN {c} = k THEN t END) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t) AS g FROM draws, range(10) r(k)))" for c in DIGITS) + ")"
 _OUT = "SELECT t, position, symbol, round(p, 6) AS p FROM {0} WHERE t >= " + _CUT
-_register("p2_markov_scores", lambda s, d: _r(_markov(s, d), "p"), _PREV + _MARKOV + " " + _OUT.format("markov"))
+_register("p2_markov_scores", lambda s, d: _r(_markov(_previous(draws(s, d)), _cut(s, d)), "p"), _PREV + _MARKOV + " " + _OUT.format("markov"))
 _register("p3_recency_weighted_scores", lambda s, d: _r(_after(s, d, P.recency(draws(s, d), DIGITS, 10)), "p"), _D + _RECENT + " " + _OUT.format("recency"))
-_register("p4_conditional_freq", lambda s, d: _r(_conditional(s, d), "p"), _PREV + _COND + " " + _OUT.format("conditional"))
+_register("p4_conditional_freq", lambda s, d: _r(_conditional(_previous(draws(s, d)), _cut(s, d)), "p"), _PREV + _COND + " " + _OUT.format("conditional"))
 
 
 def _p6(s, d):
@@ -86,17 +88,23 @@ def _p14(s, d):
 _register("p14_quantiles_to_distribution", _p14, _D + ", x AS (SELECT t, list_transform(range(-4, 5), lambda k: greatest(least(round_even(d1 + k * d2 / 4.0, 0), 9), 0)) AS q FROM draws), r AS (SELECT t, CAST(v AS INTEGER) AS symbol, len(list_filter(q, lambda y: y = v)) / 9 + 1e-6 AS w FROM x, range(10) g(v)) SELECT t, symbol, round(w / sum(w) OVER (PARTITION BY t), 6) AS p FROM r")
 
 
-def _strategies(s, d):
-    rows = draws(s, d)
-    named = {"uniform": _after(s, d, P.uniform(rows, DIGITS, 10)), "markov": _markov(s, d), "recency": _after(s, d, P.recency(rows, DIGITS, 10)), "conditional": _conditional(s, d), "overdue": _after(s, d, P.overdue(rows, DIGITS, 10))}
+def _strategies(rows, cut):
+    """Scores of five strategies for the rows from cut on; rows are numbered once for all of them."""
+    near, after = _previous(rows), lambda x: x.where(F.col("t") >= cut)
+    named = {"uniform": after(P.uniform(rows, DIGITS, 10)), "markov": _markov(near, cut), "recency": after(P.recency(rows, DIGITS, 10)), "conditional": _conditional(near, cut), "overdue": after(P.overdue(rows, DIGITS, 10))}
     return reduce(DataFrame.unionByName, (x.select("t", "position", "symbol", "p").withColumn("strategy", F.lit(n)) for n, x in named.items()))
 
 
-def _actuals(s, d):
-    return draws(s, d).select("t", F.explode(F.array(*(F.struct(F.lit(c).alias("position"), F.col(c).alias("actual")) for c in DIGITS))).alias("x")).select("t", "x.*")
+def _actuals(rows):
+    return rows.select("t", F.explode(F.array(*(F.struct(F.lit(c).alias("position"), F.col(c).alias("actual")) for c in DIGITS))).alias("x")).select("t", "x.*")
+
+
+def _k15(s, d):
+    rows = pinned(draws(s, d).select("t", *DIGITS))
+    return _r(P.evaluate(_strategies(rows, _cut(s, d)), _actuals(rows), ["strategy", "position"]), "log_loss", "rank", "top1")
 
 
-_register("k15_strategy_comparison", lambda s, d: _r(P.evaluate(_strategies(s, d), _actuals(s, d), ["strategy", "position"]), "log_loss", "rank", "top1"),
+_register("k15_strategy_comparison", _k15,
           _PREV + _MARKOV + _COND + _RECENT + _OVERDUE + f""", every AS (SELECT 'uniform' AS strategy, t, position, CAST(k AS INTEGER) AS symbol, 0.1 AS p FROM draws, (SELECT unnest(['d1', 'd2', 'd3']) AS position), range(10) r(k) UNION ALL SELECT 'markov', * FROM markov UNION ALL SELECT 'conditional', * FROM conditional UNION ALL SELECT 'recency', * FROM recency UNION ALL SELECT 'overdue', * FROM overdue),
 h AS (SELECT strategy, t, position, symbol, round(p, 9) AS p, CASE position WHEN 'd1' THEN d1 WHEN 'd2' THEN d2 ELSE d3 END AS actual FROM every JOIN draws USING (t) WHERE t >= {_CUT}), o AS (SELECT *, max(CASE WHEN symbol = actual THEN p END) OVER (PARTITION BY strategy, t, position) AS own FROM h),
 r AS (SELECT strategy, t, position, any_value(own) AS own, 1 + count(*) FILTER (p > own OR (p = own AND symbol < actual)) AS rank FROM o GROUP BY 1, 2, 3) SELECT strategy, position, count(*) AS n, round(avg(-ln(greatest(own, 1e-15))), 6) AS log_loss, round(avg(rank), 6) AS rank, round(avg(CAST(rank = 1 AS INTEGER)), 6) AS top1 FROM r GROUP BY 1, 2""")
@@ -112,9 +120,10 @@ _register("l17_lag_head_logloss", lambda s, d: _r(N.lag_logloss(marginals(s, d),
 
 
 def _l15(s, d):
-    rows = _strategies(s, d).where("strategy <> 'uniform'")
+    numbered = pinned(draws(s, d).select("t", "c", *DIGITS))
+    rows = _strategies(numbered, _cut(s, d)).where("strategy <> 'uniform'")
     sets = rows.groupBy("strategy", "t").agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("position") == c, F.struct("symbol", F.round("p", 9).alias("p"))))), lambda x: x["p"]).alias(f"p_{c}") for c in DIGITS))
-    ranked = sets.join(draws(s, d).select("t", "c"), "t").withColumn("rank", L.rank_of(L.joint([f"p_{c}" for c in DIGITS]), F.col("c")))
+    ranked = sets.join(numbered.select("t", "c"), "t").withColumn("rank", L.rank_of(L.joint([f"p_{c}" for c in DIGITS]), F.col("c")))
     return N.straight_ev(ranked, "strategy", 500.0, 20)
 
 
