@@ -69,9 +69,9 @@ def _experiments(s, d):
     first = table(s, d, "events").withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("_r <= 3")
     pick = lambda options: F.element_at(options, F.pmod(F.crc32("event_type"), F.lit(3)).cast("int") + 1)
     stages = F.array(F.lit("select"), F.lit("poly"), F.lit("scale"))
-    params = F.when(pick(stages) == "poly", F.create_map(F.lit("degree"), F.lit(2.0), F.lit("top_k"), (k + 1).cast("double"))).when(pick(stages) == "select", F.create_map(F.lit("threshold"), k / 30.0))
-    rows = first.select("user_id", "_r", F.struct(pick(stages).alias("stage"), F.lit("robust").alias("method"), params.alias("params")).alias("stage"), F.struct(pick(kinds).alias("type"), (k / 8.0).alias("weight")).alias("model"))
-    lists = rows.groupBy("user_id").agg(*(F.array_sort(F.collect_list(F.struct("_r", c))).alias(c) for c in ("stage", "model")))
+    params = F.when(pick(stages) == "poly", F.create_map(F.lit("degree"), F.lit(2.0), F.lit("top_k"), (k + 1).cast("double"))).when(pick(stages) == "select", F.create_map(F.lit("threshold"), 0.5 + k / 40.0))
+    rows = first.select("user_id", "_r", F.struct(pick(stages).alias("stage"), F.lit("robust").alias("method"), params.alias("params")).alias("stage"), F.struct(pick(kinds).alias("type"), ((k + 1) / 10.0).alias("weight")).alias("model"))
+    lists = rows.groupBy("user_id").agg(*(F.array_sort(F.collect_list(F.struct("_r", c)), lambda a, b: a["_r"] - b["_r"]).alias(c) for c in ("stage", "model")))
     config = F.struct(F.col("user_id").cast("string").alias("id"), F.array(F.lit("shares"), F.lit("shape")).alias("feature_sets"), F.col("stage.stage").alias("pipeline"), F.col("model.model").alias("models"))
     return R.read_configs(lists.select(F.to_json(config).alias("config")))
 
@@ -123,6 +123,17 @@ def _e8(s, d):
 _register("e8_calibrate_isotonic", _e8)
 
 
+def _e8_all(s, d):
+    train, rows = featured(s, d)
+    scored = pinned(M.symbol_scores(train, rows, "logistic", len(FEATURES), 10).select("t", "p", "y"))
+    done = M.calibrate_all(scored.where("t % 2 = 0"), scored.where("t % 2 = 1"), "p", "y", 10)
+    return done.select("t", F.posexplode("calibrated").alias("symbol", "p")).withColumn("p", F.round("p", 9))
+
+
+_register("e8_calibrate_all", _e8_all)
+_register("p13_forest_auc", lambda s, d: M.forest_auc(featured(s, d)[0], len(FEATURES), 10).withColumn("auc", F.round("auc", 9)))
+
+
 def _p13(s, d):
     train, _ = featured(s, d)
     return s.createDataFrame([(M.forest_cv(train),)], "r2 double")  # one number
@@ -133,8 +144,7 @@ _register("p13_forest_cv", _p13)
 
 def _f17(s, d):
     rows = draws(s, d).select("t", F.explode(F.array(*DIGITS)).alias("v")).groupBy("t").agg(*(F.count_if(F.col("v") == k).alias(f"n{k}") for k in range(10)))
-    shares = M.explained_variance(M.vectors(rows, [f"n{k}" for k in range(10)], "t", ["t"]), 5)
-    return s.createDataFrame([(i + 1, float(x)) for i, x in enumerate(shares)], "component int, share double")  # five numbers
+    return M.components(M.vectors(rows, [f"n{k}" for k in range(10)], "t", ["t"]), 5, 10)
 
 
 _register("f17_pca", _f17)

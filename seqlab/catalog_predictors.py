@@ -149,13 +149,14 @@ SELECT round((SELECT mi FROM i WHERE rep = 0), 6) AS observed, round(avg(mi), 6)
 def _lifts(s, d):
     each, n = items(s, d), steps(s, d)
     real = Q.rule_tests(each, n, 5).select(F.col("lift").alias("real"))
-    later = Q.rule_tests(each, n, 5, 7).select(F.col("lift").alias("shuffled"))  # seven steps on stands for a shuffled order
-    return N.exceedance(real, "real", later, "shuffled")
+    mixed = pinned(N.shuffled_steps(each, n, 3))
+    lifts = [Q.rule_tests(mixed.where(F.col("rep") == r).drop("rep"), n, 5).select(F.col("lift").alias("shuffled")) for r in (1, 2, 3)]
+    return N.exceedance(real, "real", reduce(DataFrame.unionByName, lifts), "shuffled")
 
 
-_RULES = "(SELECT n * (m - {w}) / (na * nb) AS lift FROM (SELECT x.item AS a, y.item AS b, count(*) AS n FROM items x JOIN items y ON y.t = x.t + {w} GROUP BY 1, 2 HAVING count(*) >= 5) JOIN (SELECT item AS a, count(*) AS na, any_value(steps) AS m FROM items, st WHERE t < steps - {w} GROUP BY 1) USING (a) JOIN (SELECT item AS b, count(*) AS nb FROM items WHERE t >= {w} GROUP BY 1) USING (b))"
+_RULES = "(SELECT n * (m - 1) / (na * nb) AS lift FROM (SELECT x.item AS a, y.item AS b, count(*) AS n FROM {x} x JOIN {x} y ON y.t = x.t + 1 GROUP BY 1, 2 HAVING count(*) >= 5) JOIN (SELECT item AS a, count(*) AS na, any_value(steps) AS m FROM {x}, st WHERE t < steps - 1 GROUP BY 1) USING (a) JOIN (SELECT item AS b, count(*) AS nb FROM {x} WHERE t >= 1 GROUP BY 1) USING (b))"
 _register("n10_exceedance", lambda s, d: _r(_lifts(s, d), "null_p95", "mean", "sd", "most"),
-          "WITH " + ITEMS + f", c AS (SELECT quantile_cont(lift, 0.95) AS p95, avg(lift) AS mean, stddev_samp(lift) AS sd, max(lift) AS most FROM {_RULES.format(w=7)}) SELECT round(any_value(p95), 6) AS null_p95, round(any_value(mean), 6) AS mean, round(any_value(sd), 6) AS sd, round(any_value(most), 6) AS most, count(*) AS n, count(*) FILTER (lift > p95) AS above FROM {_RULES.format(w=1)}, c")
+          "WITH " + ITEMS + f", mx AS (SELECT rep, t, row_number() OVER (PARTITION BY rep ORDER BY {_HASH.format(seed=42, parts="rep || ':' || t")}, t) - 1 AS at FROM draws, range(1, 4) q(rep)), " + ", ".join(f"m{r} AS (SELECT mx.at AS t, item FROM items JOIN mx ON mx.t = items.t AND rep = {r})" for r in (1, 2, 3)) + f", c AS (SELECT quantile_cont(lift, 0.95) AS p95, avg(lift) AS mean, stddev_samp(lift) AS sd, max(lift) AS most FROM ({' UNION ALL '.join('SELECT lift FROM ' + _RULES.format(x=f'm{r}') for r in (1, 2, 3))})) SELECT round(any_value(p95), 6) AS null_p95, round(any_value(mean), 6) AS mean, round(any_value(sd), 6) AS sd, round(any_value(most), 6) AS most, count(*) AS n, count(*) FILTER (lift > p95) AS above FROM {_RULES.format(x='items')}, c")
 _register("n11_significant_cell_count", lambda s, d: _r(N.cell_count(N.lag_cells(chosen(s, d), [0, 1, 2, 3, 4, 5], 20), 0.05), "expected"),
           TOP + f""", h AS (SELECT g.lag, a.t, a.chosen, b.actual FROM k a, (SELECT unnest(range(6)) AS lag) g, (SELECT t AS at, actual FROM k) b WHERE b.at = a.t + g.lag), pn AS (SELECT *, row_number() OVER (PARTITION BY lag ORDER BY t) - 1 AS i FROM h),
 x AS (SELECT rep, lag, i, chosen, actual, row_number() OVER (PARTITION BY rep, lag ORDER BY {_HASH.format(seed=42, parts="rep || ':' || lag || ':' || i")}, i) - 1 AS source FROM pn, range(1, 21) q(rep)), ob AS (SELECT lag, avg(CAST({_BEST.format(a='actual')} >= 2 AS INTEGER)) AS observed FROM pn GROUP BY lag),

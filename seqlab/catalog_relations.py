@@ -103,13 +103,13 @@ _D = " UNION ALL ".join(f"SELECT '{k}' AS split, '{v}' AS value, {q} AS high, CA
 _register("g13_cohens_d", lambda s, d: _r(G.effect_sizes(rows(s, d), {k: F.expr(x) for k, (x, _) in _SPLITS.items()}, ["d1", "c"]), "d"),
           "WITH " + DRAWS + f""", x AS ({_D}), g AS (SELECT split, value, count(*) FILTER (high) AS n1, count(*) FILTER (NOT high) AS n0, avg(v) FILTER (high) AS m1, avg(v) FILTER (NOT high) AS m0, var_samp(v) FILTER (high) AS v1, var_samp(v) FILTER (NOT high) AS v0 FROM x GROUP BY 1, 2),
 e AS (SELECT *, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d FROM g) SELECT split, value, n1, n0, round(d, 6) AS d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS size FROM e""")
-_register("g14_conditional_rates", lambda s, d: _r(G.conditional_rates(items(s, d), draws(s, d).select("t", (F.col("d1") >= 5).alias("high")), "high"), "rate_high", "rate_low", "distance"),
-          "WITH " + ITEMS + ", s AS (SELECT count(*) FILTER (d1 >= 5) AS s1, count(*) FILTER (d1 < 5) AS s0 FROM draws), r AS (SELECT item, count(*) FILTER (d1 >= 5) / any_value(s1) AS a, count(*) FILTER (d1 < 5) / any_value(s0) AS b FROM items JOIN draws USING (t), s GROUP BY item) SELECT item, round(a, 6) AS rate_high, round(b, 6) AS rate_low, round(abs(a - b), 6) AS distance FROM r")
+_register("g14_conditional_rates", lambda s, d: _r(G.ranked(G.conditional_rates(items(s, d), draws(s, d).select("t", (F.col("d1") >= 5).alias("high")), "high"), "distance", "item"), "rate_high", "rate_low", "distance"),
+          "WITH " + ITEMS + ", s AS (SELECT count(*) FILTER (d1 >= 5) AS s1, count(*) FILTER (d1 < 5) AS s0 FROM draws), r AS (SELECT item, count(*) FILTER (d1 >= 5) / any_value(s1) AS a, count(*) FILTER (d1 < 5) / any_value(s0) AS b FROM items JOIN draws USING (t), s GROUP BY item) SELECT item, round(a, 6) AS rate_high, round(b, 6) AS rate_low, round(abs(a - b), 6) AS distance, CAST(row_number() OVER (ORDER BY round(abs(a - b), 9) DESC, item) AS INTEGER) AS place FROM r")
 _register("g15_corr_summary", lambda s, d: G.summary(I.adjust_p_values(G.with_p(G.pearson(joined(s, d, False), _X, _Y)).withColumn("family", F.lit("all")), "p", "family")))
 
 
 def _g6(s, d):
-    return _r(G.transfer_entropy(items(s, d), steps(s, d), [1, 2, 3]), "te", digits=9)
+    return _r(G.transfer_entropy(items(s, d), steps(s, d), list(range(1, 11))), "te", digits=9)
 
 
 #: Its SQL, dense over items and steps, is too slow on whole tables; a test holds it against all cells.

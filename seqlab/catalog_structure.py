@@ -164,17 +164,20 @@ def _q7(s, d):
 _register("q7_motifs_discords", _q7)
 
 
+_WINDOWS = (5, 10, 15, 20, 30)
+
+
 def _q8(s, d):
-    each = reduce(DataFrame.unionByName, (Q.matrix_profile(_daily(s, d), "v", m).withColumn("m", F.lit(m)) for m in (5, 10)))
+    each = reduce(DataFrame.unionByName, (Q.matrix_profile(_daily(s, d), "v", m).withColumn("m", F.lit(m)) for m in _WINDOWS))
     best = each.agg(F.min_by(F.struct("m", F.round("distance", 4).alias("distance")), F.struct(F.round("distance", 4), "m")).alias("a"), F.max_by(F.struct("m", F.round("distance", 4).alias("distance")), F.struct(F.round("distance", 4), -F.col("m"))).alias("b"))
     return best.select(F.col("a.m").alias("motif_m"), F.col("a.distance").alias("motif"), F.col("b.m").alias("discord_m"), F.col("b.distance").alias("discord"))
 
 
-_register("q8_best_across_windows", _q8, _DAILY + ", " + _runs_sql(5) + ", " + _runs_sql(10) + ", e AS (SELECT 5 AS m, round(distance, 4) AS d FROM p5 UNION ALL SELECT 10, round(distance, 4) FROM p10), lo AS (SELECT m, d FROM e ORDER BY d, m LIMIT 1), hi AS (SELECT m, d FROM e ORDER BY d DESC, m LIMIT 1) SELECT lo.m AS motif_m, lo.d AS motif, hi.m AS discord_m, hi.d AS discord FROM lo, hi")
+_register("q8_best_across_windows", _q8, _DAILY + ", " + ", ".join(map(_runs_sql, _WINDOWS)) + ", e AS (" + " UNION ALL ".join(f"SELECT {m} AS m, round(distance, 4) AS d FROM p{m}" for m in _WINDOWS) + "), lo AS (SELECT m, d FROM e ORDER BY d, m LIMIT 1), hi AS (SELECT m, d FROM e ORDER BY d DESC, m LIMIT 1) SELECT lo.m AS motif_m, lo.d AS motif, hi.m AS discord_m, hi.d AS discord FROM lo, hi")
 
 # communities, contexts and families
-_register("o18_label_communities", lambda s, d: Q.label_communities(I.pair_counts(items(s, d)).select("a", "b", F.col("n").cast("double").alias("w")).where("a % 3 = b % 3"), 3),
-          _I + ", e AS (SELECT x.item AS a, y.item AS b, CAST(count(*) AS DOUBLE) AS w FROM items x JOIN items y ON x.t = y.t AND x.item <> y.item AND x.item % 3 = y.item % 3 GROUP BY 1, 2), l0 AS (SELECT DISTINCT a AS item, a AS label FROM e)" + "".join(f", l{k} AS (SELECT item, label FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY w DESC, label) AS r FROM (SELECT e.a AS item, label, sum(w) AS w FROM e JOIN l{k - 1} l ON l.item = e.b GROUP BY 1, 2)) WHERE r = 1)" for k in (1, 2, 3)) + " SELECT item, label FROM l3")
+_register("o18_label_communities", lambda s, d: Q.label_communities(I.pair_counts(items(s, d)).select("a", "b", F.col("n").cast("double").alias("w")), 3),
+          _I + ", e AS (SELECT x.item AS a, y.item AS b, CAST(count(*) AS DOUBLE) AS w FROM items x JOIN items y ON x.t = y.t AND x.item <> y.item GROUP BY 1, 2), l0 AS (SELECT DISTINCT a AS item, a AS label FROM e)" + "".join(f", l{k} AS (SELECT item, label FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY w DESC, label) AS r FROM (SELECT e.a AS item, label, sum(w) AS w FROM e JOIN l{k - 1} l ON l.item = e.b GROUP BY 1, 2)) WHERE r = 1)" for k in (1, 2, 3)) + " SELECT item, label FROM l3")
 _register("o20_sequence_representations", lambda s, d: (lambda x: Q.representations(x, W.step_events(x, W.every_step(s, x, steps(s, d)), 25)))(items(s, d)),
           _EVENTS + "SELECT 'raw' AS mode, t, CAST(item AS VARCHAR) AS token FROM items UNION ALL SELECT DISTINCT 'decade', t, CAST((item - 1) // 10 AS VARCHAR) FROM items UNION ALL SELECT 'event', t, event FROM ev WHERE event IS NOT NULL")
 

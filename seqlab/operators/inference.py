@@ -80,6 +80,12 @@ def shuffled_information(df: DataFrame, x: str, y: str, replicates: int) -> Data
     return _against(each.where("rep = 0").select(F.col("stat").alias("observed")), each.where("rep > 0"), replicates, [])
 
 
+def shuffled_steps(items: DataFrame, steps: int, replicates: int, seed: int = 42) -> DataFrame:
+    """rep, t, item: the baskets of items in a random order of the steps, for each replicate; a basket stays together."""
+    order = permuted(items.sparkSession.range(steps).select(F.col("id").alias("i"), F.col("id").alias("_from")), ["_from"], replicates, seed)
+    return order.select("rep", F.col("i").alias("_to"), F.col("_from").alias("t")).join(items, "t").select("rep", F.col("_to").alias("t"), "item")
+
+
 def exceedance(real: DataFrame, value: str, null: DataFrame, null_value: str) -> DataFrame:
     """How many real values are above the null's 95th percentile, and the mean, spread and most of the null."""
     cut = null.agg(F.expr(f"percentile({null_value}, 0.95)").alias("null_p95"), F.avg(null_value).alias("mean"), F.stddev_samp(null_value).alias("sd"), F.max(null_value).alias("most"))

@@ -22,6 +22,7 @@ from ..functions.tails import chi_square
 from ..storage import pinned
 from .items import decayed_presence
 from .scores import normalised
+from .series import prefix_sum
 
 
 def vectors(df: DataFrame, columns: list[str], label: str, keep: list[str]) -> DataFrame:
@@ -89,6 +90,39 @@ def calibrate_isotonic(train: DataFrame, rows: DataFrame, score: str, label: str
     return model.transform(rows)
 
 
+def calibrate_all(train: DataFrame, rows: DataFrame, p: str, label: str, symbols: int) -> DataFrame:
+    """rows with calibrated: the array p of chances, each symbol by its own isotonic fit on train (out-of-fold rows), rescaled to 1; as it was where all are 0."""
+    out = rows
+    for s in range(symbols):
+        fit = IsotonicRegression(featuresCol="_s", labelCol="_l", predictionCol=f"_c{s}").fit(train.select(F.col(p)[s].alias("_s"), (F.col(label) == s).cast("double").alias("_l")))
+        out = fit.transform(out.withColumn("_s", F.col(p)[s])).drop("_s")
+    made = F.array(*(F.col(f"_c{s}") for s in range(symbols)))
+    total = F.aggregate(made, F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("calibrated", F.when(total > 0, F.transform(made, lambda x: x / total)).otherwise(F.col(p))).drop(*(f"_c{s}" for s in range(symbols)))
+
+
+def auc(df: DataFrame, by: list[str], score: str, label: str, least: int = 10) -> DataFrame:
+    """by, positives, negatives, auc of 0/1 labels: the chance that a positive row has the larger score, ties one half; 0.5 with under least of either.
+
+    Rows of a score are one cell. Negatives before each cell come from sums by ranges of all groups and scores at
+    once, less those before the group, so a group of any size is worked on by many tasks.
+    """
+    cells = df.groupBy(*by, F.col(score).alias("_score")).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_q"))
+    upto = prefix_sum(cells, [*by, "_score"], "_q", "_before")
+    sums = upto.groupBy(*by).agg(F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"), F.min("_before").alias("_base"), F.sum(F.col("_p") * (F.col("_before") + F.col("_q") / 2)).alias("_u"))
+    area = (F.col("_u") - F.col("positives") * F.col("_base")) / (F.col("positives") * F.col("negatives"))
+    return sums.select(*by, "positives", "negatives", F.when((F.col("positives") >= least) & (F.col("negatives") >= least), area).otherwise(0.5).alias("auc"))
+
+
+def forest_auc(df: DataFrame, width: int, symbols: int, folds: int = 5, least: int = 10) -> DataFrame:
+    """symbol, auc: the mean over folds (by a hash of t) of the area under the curve of each symbol's chance, under a forest fitted on the other folds."""
+    marked = pinned(df.withColumn("fold", F.pmod(F.xxhash64("t"), F.lit(folds)).cast("int")))
+    scored = [symbol_scores(marked.where(F.col("fold") != k), marked.where(F.col("fold") == k), "forest", width, symbols) for k in range(folds)]
+    each = reduce(DataFrame.unionByName, scored).select("fold", "y", F.posexplode("p").alias("symbol", "p"))
+    areas = auc(each.withColumn("came", (F.col("symbol") == F.col("y")).cast("int")), ["symbol", "fold"], "p", "came", least)
+    return areas.groupBy("symbol").agg(F.avg("auc").alias("auc"))
+
+
 def forest_cv(df: DataFrame, folds: int = 5, seed: int = 42) -> float:
     """Mean R squared of a regression forest over folds that a hash of the row's t chooses."""
     forest = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=20, maxDepth=5, seed=seed)
@@ -103,6 +137,13 @@ def explained_variance(df: DataFrame, k: int) -> list[float]:
     return PCA(k=k, inputCol="z", outputCol="_").fit(scaled).explainedVariance.toArray().tolist()
 
 
+def components(df: DataFrame, k: int, width: int) -> DataFrame:
+    """component, share, eigenvalue, edge, above: the first k components of the standardised x of width columns, and whether their eigenvalue of the correlations is over the Marchenko-Pastur edge (1 + sqrt(width / rows))^2 that noise stays below."""
+    edge = (1 + (width / max(1, df.count())) ** 0.5) ** 2
+    rows = [(i + 1, s, s * width, edge, s * width > edge) for i, s in enumerate(map(float, explained_variance(df, k)))]
+    return df.sparkSession.createDataFrame(rows, "component int, share double, eigenvalue double, edge double, above boolean")  # k rows
+
+
 def survival_quantiles(spells: DataFrame, columns: list[str]) -> DataFrame:
     """Accelerated failure time of duration and event on columns: the expected duration of each row."""
     rows = VectorAssembler(inputCols=columns, outputCol="x").transform(spells.withColumns({"duration": F.col("duration").cast("double"), "event": F.col("event").cast("double")}))

@@ -93,6 +93,11 @@ def conditional_rates(items: DataFrame, steps: DataFrame, high: str) -> DataFram
     return rates.withColumn("distance", F.abs(F.col("rate_high") - F.col("rate_low")))
 
 
+def ranked(df: DataFrame, value: str, key: str) -> DataFrame:
+    """Adds place: 1 for the largest value (to 9 digits), ties by key. For tables of one row an item."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.round(value, 9).desc_nulls_last(), key)))
+
+
 def transfer_entropy(items: DataFrame, steps: int, lags: list[int]) -> DataFrame:
     """Bits that the source's presence lag steps before the last step adds on the target's next one, beyond the target's last.
 

@@ -29,3 +29,36 @@ def test_discrete_hawkes_equals_single_fits(spark):
     assert got[2].alpha[0] > 0.5 and got[3].alpha[3] < -0.5
     for b, share in ((6, 1.0), (7, 2 / 890)):
         assert not any(got[b].alpha) and got[b].baseline == pytest.approx(np.log(share / (1 - share + 1e-10)))
+
+
+def test_auc_of_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, f, float(round(rng.normal() + 0.5 * y, 1)), int(y)) for g in range(3) for f in range(2) for y in (rng.random(60) < (0.4 if g else 0.05)).astype(int)]
+    got = {(r.g, r.f): r for r in M.auc(spark.createDataFrame(rows, "g int, f int, s double, y int"), ["g", "f"], "s", "y").collect()}
+    for key, r in got.items():
+        p, q = ([s for a, b, s, y in rows if (a, b) == key and y == v] for v in (1, 0))
+        pairs = [(a > b) + 0.5 * (a == b) for a in p for b in q]
+        assert (r.positives, r.negatives) == (len(p), len(q))
+        assert r.auc == pytest.approx(sum(pairs) / len(pairs) if len(p) >= 10 else 0.5)
+    assert any(r.positives < 10 for r in got.values()) and len(got) == 6
+
+
+def test_calibration_of_all_classes(spark):
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([1, 1, 1], 600)
+    y = [rng.choice(3, p=q**3 / (q**3).sum()) for q in p]
+    df = spark.createDataFrame([(q.tolist(), int(v)) for q, v in zip(p, y)], "p array<double>, y int")
+    done = M.calibrate_all(df, df, "p", "y", 3).collect()
+    loss = lambda name: -np.mean([np.log(max(r[name][r.y], 1e-6)) for r in done])
+    assert all(abs(sum(r.calibrated) - 1) < 1e-9 for r in done) and loss("calibrated") < loss("p") - 0.02
+
+
+def test_components_of_noise_and_of_one_factor(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    x[:, :3] += 2 * rng.normal(size=(400, 1))
+    df = M.vectors(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "t long, " + ", ".join(f"c{k} double" for k in range(6))), [f"c{k}" for k in range(6)], "t", ["t"])
+    rows = M.components(df, 3, 6).orderBy("component").collect()
+    values = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1][:3]
+    assert np.allclose([r.eigenvalue for r in rows], values) and [r.above for r in rows] == [True, False, False]
+    assert rows[0].edge == pytest.approx((1 + np.sqrt(6 / 400)) ** 2)
