@@ -15,6 +15,7 @@ are read whole. Of two notices of one score and length at one place both labels
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -135,11 +136,9 @@ def license_spans(docs: DataFrame, grams: DataFrame | None = None, slack: int =
     named = F.transform("found", lambda x: F.struct("template", "label", "exact", *(x[c].alias(c) for c in SPAN)))
     rows = merged.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list(named)).alias("spans"))
 
-    def beaten(x):
-        better = lambda y: (y["score"] > x["score"]) | ((y["score"] == x["score"]) & (y["matched"] > x["matched"]))
-        return F.exists("spans", lambda y: ~y["exact"] & (y["first_word"] <= x["last_word"]) & (x["first_word"] <= y["last_word"]) & better(y))
-
-    left = F.filter("spans", lambda x: x["exact"] | ~beaten(x))
+    loose = F.filter("spans", lambda x: ~x["exact"])
+    rows = rows.withColumn("loose", loose).withColumn("left", _best_of()(F.transform("loose", lambda x: F.struct(*(x[c].alias(c) for c in SPAN)))))
+    left = F.concat(F.filter("spans", lambda x: x["exact"]), F.transform("left", lambda i: F.get("loose", i)))
     return rows.select("row", "doc_id", "n_words", F.explode_outer(left).alias("x")).select("row", "doc_id", "n_words", "x.*")
 
 
@@ -164,14 +163,39 @@ def align(hits: list[tuple[int, int]], length: int, k: int, coverage: float) ->
                 matched, inserted = matched + min(k, step, tstep), inserted + max(0, step - tstep)
                 chain = max(chain, (matched / (length + inserted), matched, inserted, first), key=lambda x: (x[0], x[1], x[3]))
         best.append(chain)
-    out: list[tuple[int, int, int, float]] = []
+    out: list[tuple[int, int, int, float]] = []  # disjoint, in order
     for score, i in sorted(((b[0], i) for i, b in enumerate(best) if b[0] >= coverage), key=lambda x: (-x[0], x[1])):
         first, last = best[i][3], hits[i][0] + k - 1
-        if all(last < f or l < first for f, l, _, _ in out):
-            out.append((first, last, best[i][1], score))
+        place = bisect_left(out, (first,))
+        if (place == len(out) or last < out[place][0]) and (not place or out[place - 1][1] < first):
+            out.insert(place, (first, last, best[i][1], score))
     return out
 
 
+def unbeaten(spans: list[tuple[int, int, int, float]]) -> list[int]:
+    """The places of spans (first word, last word, matched, score) that no overlapping one beats by score, then by words matched.
+
+    Spans of a template are disjoint and as short as it is, so only the few that begin near a span can overlap it.
+    """
+    order = sorted(range(len(spans)), key=lambda i: spans[i])
+    firsts = [spans[i][0] for i in order]
+    longest = max((s[1] - s[0] for s in spans), default=0)
+    out = []
+    for i, (first, last, matched, score) in enumerate(spans):
+        near = order[bisect_left(firsts, first - longest) : bisect_right(firsts, last)]
+        if not any(spans[j][1] >= first and (spans[j][3], spans[j][2]) > (score, matched) for j in near):
+            out.append(i)
+    return out
+
+
+def _best_of():
+    @F.pandas_udf("array<int>")
+    def left(spans: pd.Series) -> pd.Series:
+        return pd.Series([unbeaten([tuple(x[c] for c in SPAN) for x in row]) if row is not None and len(row) else [] for row in spans])
+
+    return left
+
+
 #: What a verified span is told by.
 SPAN = ["first_word", "last_word", "matched", "score"]
 

@@ -1,11 +1,13 @@
 """License scans: the contract's base columns against SQL over the given documents, and verified notices by cases."""
 
 import pathlib
+import random
+import time
 
 import duckdb
 import pytest
 
-from seqlab.llm.license_scan import NOTICES, align, scan_licenses
+from seqlab.llm.license_scan import NOTICES, align, scan_licenses, unbeaten
 
 DATA = "/root/testdata/sf0.001/documents.parquet"
 BASE = r"""
@@ -62,3 +64,24 @@ def test_align():
     assert align([(5, 0), (7, 1), (8, 2)], 4, 2, 0.8) == [(5, 9, 4, 0.8)]  # one word put in
     assert align([(0, 0), (9, 0)], 2, 2, 1.0) == [(0, 1, 2, 1.0), (9, 10, 2, 1.0)]
     assert align([(0, 2), (1, 1), (2, 0)], 4, 2, 0.8) == []
+
+
+def test_very_many_places_take_linear_time():
+    """A hundred thousand exact places and as many notices, each beaten by an equal one that matches more, or tied."""
+    n = 100_000
+    began = time.time()
+    spans = align([(3 * i, 0) for i in range(n)], 2, 2, 1.0)
+    assert len(spans) == n and spans[0] == (0, 1, 2, 1.0)
+    many = [(20 * i, 20 * i + 9, 10, 0.9) for i in range(n)] + [(20 * i + 5, 20 * i + 12, 8 if i % 2 else 12, 0.9) for i in range(n)]
+    left = unbeaten(many)
+    assert left == [i for i in range(n) if i % 2] + [n + i for i in range(n) if not i % 2]
+    assert unbeaten([(0, 5, 4, 0.8), (5, 9, 4, 0.8), (10, 12, 3, 0.8)]) == [0, 1, 2]  # ties stay
+    assert time.time() - began < 20
+
+
+def test_overlaps_by_brute_force():
+    rng = random.Random(1)
+    for _ in range(200):
+        spans = [(f, f + rng.randrange(8), rng.randrange(3), rng.randrange(3) / 2) for f in (rng.randrange(40) for _ in range(rng.randrange(15)))]
+        want = [i for i, x in enumerate(spans) if not any(y[0] <= x[1] and x[0] <= y[1] and (y[3], y[2]) > (x[3], x[2]) for y in spans)]
+        assert unbeaten(spans) == want
