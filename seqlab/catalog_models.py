@@ -64,13 +64,13 @@ _SETS = {"shares": FEATURES[:10], "shape": FEATURES[10:]}
 
 
 def _experiments(s, d):
-    """Each user's events as a configuration in JSON: sets, stages and models by the hashes of the event types."""
+    """Each user's events as a configuration in JSON: sets, stages by their numbers and models by their types."""
     k, kinds = F.get_json_object("props", "$.k").cast("int"), F.array(*map(F.lit, ("forest", "logistic", "bayes")))
     first = table(s, d, "events").withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("_r <= 3")
-    pick = lambda options: F.element_at(options, F.pmod(F.crc32("event_type"), F.lit(3)).cast("int") + 1)
+    pick = lambda options, by=k: F.element_at(options, F.pmod(by, F.lit(3)).cast("int") + 1)
     stages = F.array(F.lit("select"), F.lit("poly"), F.lit("scale"))
     params = F.when(pick(stages) == "poly", F.create_map(F.lit("degree"), F.lit(2.0), F.lit("top_k"), (k + 1).cast("double"))).when(pick(stages) == "select", F.create_map(F.lit("threshold"), 0.5 + k / 40.0))
-    rows = first.select("user_id", "_r", F.struct(pick(stages).alias("stage"), F.lit("robust").alias("method"), params.alias("params")).alias("stage"), F.struct(pick(kinds).alias("type"), ((k + 1) / 10.0).alias("weight")).alias("model"))
+    rows = first.select("user_id", "_r", F.struct(pick(stages).alias("stage"), F.lit("robust").alias("method"), params.alias("params")).alias("stage"), F.struct(pick(kinds, F.crc32("event_type")).alias("type"), ((k + 1) / 10.0).alias("weight")).alias("model"))
     lists = rows.groupBy("user_id").agg(*(F.array_sort(F.collect_list(F.struct("_r", c)), lambda a, b: a["_r"] - b["_r"]).alias(c) for c in ("stage", "model")))
     config = F.struct(F.col("user_id").cast("string").alias("id"), F.array(F.lit("shares"), F.lit("shape")).alias("feature_sets"), F.col("stage.stage").alias("pipeline"), F.col("model.model").alias("models"))
     return R.read_configs(lists.select(F.to_json(config).alias("config")))
