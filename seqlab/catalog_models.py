@@ -11,6 +11,7 @@ from .operators import items as I
 from .operators import learned as M
 from .operators import scores as L
 from .operators import series as S
+from .operators import spectrum as X
 from .operators import survival as V
 from .plans import runs as R
 from .storage import pinned
@@ -157,6 +158,8 @@ def _v10(s, d):
 
 _register("v10_hawkes_discrete", lambda s, d: _v10(s, d).select("b", F.round("baseline", 6).alias("baseline"), F.posexplode("alpha").alias("a", "alpha")).select("b", "baseline", (F.col("a") + 1).alias("a"), F.round("alpha", 6).alias("alpha")))
 _register("v11_hawkes_pairs", lambda s, d: V.top_excitation(_v10(s, d).select("b", F.posexplode("alpha").alias("a", "alpha")).select((F.col("a") + 1).alias("a"), "b", F.round("alpha", 6).alias("alpha")), 20))
-_register("q1_periodogram", lambda s, d: _r(M.periodogram(items(s, d), steps(s, d)), "power", digits=4),
-          "WITH " + ITEMS + """, p AS (SELECT item, k, round(sqrt(sum(cos(2 * 3.141592653589793 * ((k * t) % steps) / steps)) ** 2 + sum(sin(2 * 3.141592653589793 * ((k * t) % steps) / steps)) ** 2), 6) AS power FROM items, st, range(1, (SELECT (steps + 1) // 2 FROM st)) q(k) GROUP BY item, k),
-r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY power DESC, k) AS place FROM p), y AS (SELECT r.*, CAST(round(steps / k) AS INTEGER) AS period, steps FROM r, st WHERE place <= 3) SELECT item, CAST(place AS INTEGER) AS place, CAST(k AS INTEGER) AS k, CASE WHEN period > 2 AND period < steps / 2 THEN period END AS period, round(power, 4) AS power FROM y""")
+_Q1 = "WITH " + ITEMS + """, p AS (SELECT item, k, round(sqrt(sum(cos(2 * 3.141592653589793 * ((k * t) % steps) / steps)) ** 2 + sum(sin(2 * 3.141592653589793 * ((k * t) % steps) / steps)) ** 2), 6) AS power FROM items, st, range(1, (SELECT (steps + 1) // 2 FROM st)) q(k) GROUP BY item, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY power DESC, k) AS place FROM p), y AS (SELECT r.*, CAST(round(steps / k) AS INTEGER) AS period, steps FROM r, st WHERE place <= 3) SELECT item, CAST(place AS INTEGER) AS place, CAST(k AS INTEGER) AS k, CASE WHEN period > 2 AND period < steps / 2 THEN period END AS period, round(power, 4) AS power FROM y"""
+_register("q1_periodogram", lambda s, d: _r(X.periodogram(items(s, d), steps(s, d)), "power", digits=4), _Q1)
+_register("q1_shared_periods", lambda s, d: X.shared_periods(X.periodogram(items(s, d), steps(s, d))), "SELECT period, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT period, item FROM (" + _Q1 + ") WHERE period IS NOT NULL) GROUP BY period")
+

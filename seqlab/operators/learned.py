@@ -227,25 +227,6 @@ def discrete_hawkes(items: DataFrame, steps: int, size: int, beta: float = 1.0,
     return spark.createDataFrame([(b + 1, float(baseline[b]), alpha[b].tolist()) for b in range(size)], "b int, baseline double, alpha array<double>")
 
 
-def periodogram(items: DataFrame, steps: int, peaks: int = 3) -> DataFrame:
-    """The strongest frequencies k / steps of each item's presence, over all k from 1 up to half the steps: item, place, k, period, power.
-
-    Hits of an item go to one task, which makes its series (8 bytes a step) and its transform; items, not steps, are
-    what is dealt out. Ties go to the smaller k; period is rounded, and null unless it is between 2 and half the steps.
-    """
-
-    def transform(key: tuple, hits: pd.DataFrame) -> pd.DataFrame:
-        series = np.zeros(steps)
-        series[hits["t"].to_numpy()] = 1.0
-        power = np.abs(np.fft.rfft(series - series.mean()))[1 : (steps + 1) // 2].round(6)
-        best = np.lexsort((np.arange(len(power)), -power))[:peaks]
-        return pd.DataFrame({"item": key[0], "place": np.arange(1, len(best) + 1), "k": best + 1, "power": power[best]})
-
-    found = items.select("item", "t").distinct().groupBy("item").applyInPandas(transform, "item int, place int, k int, power double")
-    period = F.round(steps / F.col("k")).cast("int")
-    return found.select("item", "place", "k", F.when((period > 2) & (period < steps / 2), period).alias("period"), "power")
-
-
 def logit_lr(df: DataFrame, targets: list[str], columns: list[str], controls: list[str]) -> DataFrame:
     """Per 0/1 target a logistic regression on columns and controls against one on controls alone: lr, p, aic, r2 (McFadden's).
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlab.functions import tails
-from seqlab.operators import contexts, feature_sets, learned, patterns, predictors, profiles, scalars, series, survival
+from seqlab.operators import contexts, feature_sets, learned, patterns, predictors, profiles, scalars, series, spectrum, survival
 
 
 def test_neighbours_and_earlier_by_ranges(spark):
@@ -165,7 +165,7 @@ def test_logistic_regressions(spark):
 
 def test_periodogram_finds_a_period(spark):
     items = spark.createDataFrame([(t, 1) for t in range(0, 240, 12)] + [(t, 2) for t in (3, 50, 51, 200)], "t long, item int")
-    top = {r.item: r for r in learned.periodogram(items, 240).where("place = 1").collect()}
+    top = {r.item: r for r in spectrum.periodogram(items, 240).where("place = 1").collect()}
     assert top[1].period == 12 and top[1].k == 20
     want = np.abs(np.fft.rfft(np.isin(np.arange(240), [3, 50, 51, 200]) - 4 / 240))[1:120]
     assert abs(top[2].power - want.max()) < 1e-5
