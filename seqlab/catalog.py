@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import catalog_features, catalog_io, catalog_models, catalog_patterns, catalog_predictors, catalog_relations, catalog_scalars, catalog_scores, catalog_structure, catalog_tests
@@ -13,6 +12,7 @@ from .operators import feature_sets as B
 from .operators import items as I
 from .operators import resampling as N
 from .operators import series as S
+from .operators import tables as T
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -34,65 +34,62 @@ def _with(base: str, body: str) -> str:
 
 
 # scans, joins, sets, aggregates
-_register("s6_profile", lambda s, d: table(s, d, "orders").agg(F.count("*").alias("n"), F.min("o_orderdate").cast("date").alias("first"), F.max("o_orderdate").cast("date").alias("last")),
+_register("s6_profile", lambda s, d: T.profile(table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")), "day"),
           "SELECT count(*) AS n, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last FROM orders")
 _register("s9_with_ordinal", lambda s, d: draws(s, d).select("t", "o_orderkey", "c"), _with(DRAWS, "SELECT t, o_orderkey, c FROM draws"))
 
 
 def _s10(s, d):
-    days = table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
-    calendar = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("day"))
-    return calendar.join(days, "day", "left_anti")
+    return T.missing_days(table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")), "day")
 
 
 _register("s10_missing_days", _s10, """WITH x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
 SELECT CAST(day AS DATE) AS day FROM (SELECT unnest(generate_series((SELECT min(day) FROM x), (SELECT max(day) FROM x), INTERVAL 1 DAY)) AS day) EXCEPT SELECT day FROM x""")
-_register("r1_range_filter", lambda s, d: table(s, d, "orders").where("o_orderdate >= timestamp_ntz'1995-01-01' and o_orderdate < timestamp_ntz'1996-01-01'").select("o_orderkey", "o_totalprice"),
+_register("r1_range_filter", lambda s, d: T.between(table(s, d, "orders"), "o_orderdate", F.expr("timestamp_ntz'1995-01-01'"), F.expr("timestamp_ntz'1996-01-01'")).select("o_orderkey", "o_totalprice"),
           "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
 
 
 def _r2(s, d):
-    rows = table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 4).alias("slot"), "o_orderkey")
-    whole = rows.groupBy("day").agg(F.size(F.collect_set("slot")).alias("n")).where("n = 4").select("day")
-    return rows.join(whole, "day", "left_semi")
+    each = table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 4).alias("slot"), "o_orderkey")
+    return T.complete_groups(each, ["day"], "slot", 4)
 
 
 _register("r2_complete_groups", _r2, """WITH x AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey % 4 AS slot, o_orderkey FROM orders)
 SELECT * FROM x WHERE day IN (SELECT day FROM x GROUP BY day HAVING count(DISTINCT slot) = 4)""")
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-_register("r3_latest_per_key", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.max(F.struct(*_ORDER)).alias("x")).select("l_orderkey", "x.*"),
+_register("r3_latest_per_key", lambda s, d: T.latest(table(s, d, "lineitem"), ["l_orderkey"], _ORDER),
           f"SELECT l_orderkey, {', '.join(_ORDER)} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(x + ' DESC' for x in _ORDER)}) AS r FROM lineitem) WHERE r = 1")
-_register("r4_pick_flagged", lambda s, d: table(s, d, "lineitem").groupBy(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).when(F.col("l_linestatus") == "O", F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("picked")).agg(F.count("*").alias("n")),
+_register("r4_pick_flagged", lambda s, d: table(s, d, "lineitem").groupBy(T.first_flagged([(F.col("l_returnflag") == "R", F.col("l_suppkey")), (F.col("l_linestatus") == "O", F.col("l_partkey"))], F.col("l_suppkey")).alias("picked")).agg(F.count("*").alias("n")),
           "SELECT CASE WHEN l_returnflag = 'R' THEN l_suppkey WHEN l_linestatus = 'O' THEN l_partkey ELSE l_suppkey END AS picked, count(*) AS n FROM lineitem GROUP BY 1")
-_register("r5_left_equi_join", lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")),
+_register("r5_left_equi_join", lambda s, d: T.match_counts(table(s, d, "customer"), table(s, d, "orders"), "c_custkey", "o_custkey"),
           "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
-_register("r9_lag_self_join", lambda s, d: (lambda x: x.select("t", "c").join(x.select((F.col("t") - 3).alias("t"), F.col("c").alias("later")), "t"))(draws(s, d)),
+_register("r9_lag_self_join", lambda s, d: T.later(draws(s, d), "c", 3),
           _with(DRAWS, "SELECT a.t, a.c, b.c AS later FROM draws a JOIN draws b ON a.t = b.t - 3"))
-_register("r11_anti_join_new", lambda s, d: table(s, d, "customer").select("c_custkey").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti"),
+_register("r11_anti_join_new", lambda s, d: T.only_new(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]),
           "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_register("r12_union_sources", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("nation")).unionByName(table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"))).groupBy("nation").agg(F.count("*").alias("n")),
+_register("r12_union_sources", lambda s, d: T.stacked({"c": table(s, d, "customer").select(F.col("c_nationkey").alias("nation")), "s": table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"))}).groupBy("nation").agg(F.count("*").alias("n")),
           "SELECT nation, count(*) AS n FROM (SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY nation")
-_register("r13_dedupe_keep_first", lambda s, d: draws(s, d).groupBy("day", "slot").agg(F.min_by("c", "t").alias("c"), F.min("t").alias("t")), _with(DRAWS, "SELECT day, slot, arg_min(c, t) AS c, min(t) AS t FROM draws GROUP BY day, slot"))
-_register("r15_intersect_sets", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))), "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
-_register("r17_sort_limit", lambda s, d: table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
-_register("r18_top_k_per_group", lambda s, d: table(s, d, "orders").withColumn("r", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("r <= 5").select("o_orderpriority", "r", "o_orderkey"),
+_register("r13_dedupe_keep_first", lambda s, d: T.keep_first(draws(s, d), ["day", "slot"], "t", ["c"]), _with(DRAWS, "SELECT day, slot, arg_min(c, t) AS c, min(t) AS t FROM draws GROUP BY day, slot"))
+_register("r15_intersect_sets", lambda s, d: T.common_keys(table(s, d, "customer").select(F.col("c_nationkey").alias("k")), table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))), "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+_register("r17_sort_limit", lambda s, d: T.top(table(s, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 20), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+_register("r18_top_k_per_group", lambda s, d: T.top_per_group(table(s, d, "orders"), ["o_orderpriority"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 5).select("o_orderpriority", "r", "o_orderkey"),
           "SELECT o_orderpriority, CAST(r AS INTEGER) AS r, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 5")
-_register("r19_hash_aggregate", lambda s, d: _rounded(rows(s, d).groupBy(F.year("day").alias("y"), F.month("day").alias("m")).agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.stddev_samp("c").alias("sd"), F.min("c").alias("lo"), F.max("c").alias("hi")), "mean", "sd"),
+_register("r19_hash_aggregate", lambda s, d: _rounded(T.describe(rows(s, d).withColumns({"y": F.year("day"), "m": F.month("day")}), ["y", "m"], "c"), "mean", "sd"),
           _with(DRAWS, "SELECT CAST(year(day) AS INTEGER) AS y, CAST(month(day) AS INTEGER) AS m, count(*) AS n, round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS sd, min(c) AS lo, max(c) AS hi FROM draws GROUP BY 1, 2"))
-_register("r20_distinct_count", lambda s, d: table(s, d, "lineitem").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("supps")), "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM lineitem")
-_register("r21_value_counts", lambda s, d: table(s, d, "lineitem").groupBy(F.concat_ws("|", "l_returnflag", "l_linestatus").alias("key")).agg(F.count("*").alias("n")), "SELECT l_returnflag || '|' || l_linestatus AS key, count(*) AS n FROM lineitem GROUP BY 1")
-_register("r22_group_transform", lambda s, d: draws(s, d).select("t", "slot", F.min("t").over(Window.partitionBy("day")).alias("first_t"), (F.row_number().over(Window.partitionBy("day").orderBy("t")) - 1).alias("seen")),
+_register("r20_distinct_count", lambda s, d: T.distinct_counts(table(s, d, "lineitem"), {"parts": "l_partkey", "supps": "l_suppkey"}), "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM lineitem")
+_register("r21_value_counts", lambda s, d: T.value_counts(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"]), "SELECT l_returnflag || '|' || l_linestatus AS key, count(*) AS n FROM lineitem GROUP BY 1")
+_register("r22_group_transform", lambda s, d: T.group_ordinals(draws(s, d), ["day"]).select("t", "slot", "first_t", "seen"),
           _with(DRAWS, "SELECT t, slot, min(t) OVER (PARTITION BY day) AS first_t, CAST(row_number() OVER (PARTITION BY day ORDER BY t) - 1 AS INTEGER) AS seen FROM draws"))
-_register("r23_split_by_time", lambda s, d: (lambda n: draws(s, d).groupBy(F.when(F.col("t") < 0.7 * n, "train").when(F.col("t") < 0.85 * n, "val").otherwise("test").alias("split")).agg(F.count("*").alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi")))(steps(s, d)),
+_register("r23_split_by_time", lambda s, d: draws(s, d).groupBy(T.time_split(F.col("t"), steps(s, d), {"train": 0.7, "val": 0.85}, "test").alias("split")).agg(F.count("*").alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi")),
           _with(DRAWS, "SELECT CASE WHEN t < 0.7 * (SELECT count(*) FROM orders) THEN 'train' WHEN t < 0.85 * (SELECT count(*) FROM orders) THEN 'val' ELSE 'test' END AS split, count(*) AS n, min(day) AS lo, max(day) AS hi FROM draws GROUP BY 1"))
-_register("r25_percentile_stats", lambda s, d: _rounded(table(s, d, "orders").groupBy("o_orderpriority").agg(F.expr("percentile(o_totalprice, 0.5)").alias("p50"), F.expr("percentile(o_totalprice, 0.95)").alias("p95")), "p50", "p95"),
+_register("r25_percentile_stats", lambda s, d: _rounded(T.percentiles(table(s, d, "orders"), ["o_orderpriority"], "o_totalprice", {"p50": 0.5, "p95": 0.95}), "p50", "p95"),
           "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.95), 6) AS p95 FROM orders GROUP BY 1")
-_register("r26_seeded_subset", lambda s, d: table(s, d, "orders").select("o_orderkey").orderBy(F.md5(F.concat(F.lit("7:"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(100), "SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100")
+_register("r26_seeded_subset", lambda s, d: T.seeded_subset(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 100, 7), "SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100")
 
 # scalar functions
-_register("c5_cyclic_encoding", lambda s, d: draws(s, d).select("t", F.round(F.sin(2 * 3.141592653589793 * F.dayofyear("day") / 365.25), 6).alias("sin_doy"), F.round(F.cos(2 * 3.141592653589793 * F.dayofyear("day") / 365.25), 6).alias("cos_doy")),
+_register("c5_cyclic_encoding", lambda s, d: draws(s, d).select("t", *(F.round(x, 6).alias(n) for x, n in zip(T.cyclic(F.dayofyear("day"), 365.25), ("sin_doy", "cos_doy")))),
           _with(DRAWS, "SELECT t, round(sin(2 * 3.141592653589793 * dayofyear(day) / 365.25), 6) AS sin_doy, round(cos(2 * 3.141592653589793 * dayofyear(day) / 365.25), 6) AS cos_doy FROM draws"))
-_register("c10_box_key", lambda s, d: rows(s, d).select(F.concat_ws("", F.array_sort(F.array(*DIGITS)).cast("array<string>")).alias("box"), F.size(F.array_distinct(F.array(*DIGITS))).alias("k")).groupBy("box").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 3, 6).when(F.col("k") == 2, 3).otherwise(1)).alias("orbit"), F.max(F.when(F.col("k") == 3, 80).when(F.col("k") == 2, 160).otherwise(0)).alias("payout")),
+_register("c10_box_key", lambda s, d: rows(s, d).select(T.box_key(DIGITS).alias("box"), T.orbit(DIGITS).alias("k")).groupBy("box").agg(F.count("*").alias("n"), F.max("k").alias("orbit"), F.max(F.when(F.col("k") == 6, 80).when(F.col("k") == 3, 160).otherwise(0)).alias("payout")),
           _with(DRAWS, "SELECT array_to_string(list_sort([d1, d2, d3]), '') AS box, count(*) AS n, max(CASE len(list_distinct([d1, d2, d3])) WHEN 3 THEN 6 WHEN 2 THEN 3 ELSE 1 END) AS orbit, max(CASE len(list_distinct([d1, d2, d3])) WHEN 3 THEN 80 WHEN 2 THEN 160 ELSE 0 END) AS payout FROM draws GROUP BY 1"))
 
 # causal windows
