@@ -39,7 +39,5 @@ def read_header_csv(spark: SparkSession, path: str, schema: str, needed: str) ->
 
 
 def coerce_nested(value: Column, schema: str) -> Column:
-    """A struct from a text that is JSON, or JSON with single quotes."""
-    read = F.from_json(value, schema)
-    plain = F.from_json(F.replace(value, F.lit("'"), F.lit('"')), schema)
-    return F.when(F.instr(value, "'") > 0, plain).otherwise(read)
+    """A struct from a text that is JSON, with double or single quotes around names and values; the other kind may be inside."""
+    return F.from_json(value, schema, {"allowSingleQuotes": "true"})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from seqlab.operators import items as I
 from seqlab.operators import series as S
+from seqlab.sources import files
 
 
 def _series(spark, n=300):
@@ -48,3 +49,10 @@ def test_entry_needs_no_session():
 
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries().keys() >= e.oracle_sql().keys()"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_quotes_of_nested_texts(spark):
+    texts = ['{"k": "it\'s"}', "{'k': 'x'}", "{'k': \"it's\"}", "{'k': 'say \"no\"'}", '{"k": "plain"}', "{broken", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.k for r in rows.select("i", files.coerce_nested(F.col("t"), "k string")["k"].alias("k")).collect()}
+    assert got == {0: "it's", 1: "x", 2: "it's", 3: 'say "no"', 4: "plain", 5: None, 6: None}
