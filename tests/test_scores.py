@@ -42,3 +42,10 @@ def test_append_is_idempotent_and_patches_keep_the_rest(spark):
     once = K.append_new(old, new, "id", "v")
     assert sorted(K.append_new(once, new, "id", "v").collect()) == [(1, "a"), (2, "c")]
     assert sorted(K.patch(once, spark.createDataFrame([(2, "z")], "id int, v string"), "id").collect()) == [(1, "a"), (2, "z")]
+
+
+def test_sets_that_pack_well_are_not_broadcast_over_lags(spark):
+    sets = spark.range(20000).select(F.col("id").alias("t"), F.array(*map(F.lit, range(20))).alias("chosen"), (F.col("id") % 10).alias("actual")).repartition(4).localCheckpoint()
+    for made in (L.lag_table(sets, sets, [0, 1]), K.near_hits(sets, sets, range(2))):
+        assert made.collect() and "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.lag, r.n, r.exact) for r in L.lag_table(sets, sets, [0, 1]).orderBy("lag").collect()] == [(0, 20000, 1.0), (1, 19999, 1.0)]
