@@ -7,6 +7,7 @@ from collections import Counter
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
+from seqlab.operators.inference import permuted
 from seqlab.operators.resampling import permutation_match
 from seqlab.streaming.streams import score_then_learn
 
@@ -66,3 +67,11 @@ def test_replica_with_fixed_batches(spark, tmp_path):
 def test_both_losses_are_returned(spark):
     row = entry.queries()["x6_frozen_and_replica"](spark, "/root/testdata/sf0.001").first()
     assert row.n == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() and row.frozen > 0 and row.replica > 0
+
+
+def test_permuted_rows_that_pack_well_are_not_broadcast(spark):
+    rows = spark.range(20000).select(F.col("id").alias("i"), F.array(*map(F.lit, range(20))).alias("chosen"), (F.col("id") % 10).alias("actual")).repartition(4).localCheckpoint()
+    made = permuted(rows, ["actual"], 2)
+    held = made.collect()
+    assert len(held) == 40000 and Counter(r.actual for r in held) == dict.fromkeys(range(10), 4000)
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
