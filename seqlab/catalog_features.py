@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from .bindings import COVARIATES, DRAWS, ITEMS, draws, items, joined, rows, steps
+from .bindings import COVARIATES, DRAWS, ITEMS, decayed_sql, draws, items, joined, rows, steps
 from .catalog_relations import _r
 from .catalog_scores import BASE, DIGITS, marginals
 from .functions import tails
@@ -45,7 +45,7 @@ def _w20(s, d):
 _register("w20_partner_presence", _w20, _I + """, p AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM items x JOIN items y ON x.t = y.t AND x.item <> y.item GROUP BY 1, 2), k AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM p) WHERE r <= 5)
 SELECT i.t + 1 AS t, k.a AS item, count(*) AS partners FROM items i JOIN k ON k.b = i.item GROUP BY 1, 2""")
 _register("w23_decayed_symbol_freq", lambda s, d: E.decayed_history(draws(s, d), "d1", 10, 0.005).select("t", *(F.round(F.col("p_d1")[k], 6).alias(f"p{k}") for k in range(10))),
-          _D + ", n AS (SELECT *, " + ", ".join(f"sum(CASE WHEN d1 = {k} THEN exp(0.005 * (t - (SELECT count(*) FROM orders))) ELSE 0 END) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s{k}" for k in range(10)) + " FROM draws) SELECT t, " + ", ".join(f"round(coalesce(s{k} / nullif(" + " + ".join(f"s{j}" for j in range(10)) + f", 0), 0.1), 6) AS p{k}" for k in range(10)) + " FROM n")
+          _D + ", " + decayed_sql("d1", "n") + " SELECT t, " + ", ".join(f"round(coalesce(max(w) FILTER (k = {k}) / nullif(sum(w), 0), 0.1), 6) AS p{k}" for k in range(10)) + " FROM n GROUP BY t")
 _register("w30_expanding_mean", lambda s, d: S.prefix_sum(draws(s, d), ["t"], "c", "before").select("t", F.round(F.try_divide("before", "t"), 6).alias("mean")), _D + " SELECT t, round(avg(c) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS mean FROM draws")
 
 # fitted features

@@ -4,6 +4,8 @@ import math
 import random
 import statistics
 
+import __spark_entry__ as entry
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,21 @@ def test_baskets_stay_together(spark):
                 mine.setdefault(r.t, set()).add(r.item)
         assert sorted(map(sorted, mine.values())) == [[3 * k, 3 * k + 1, 3 * k + 2] for k in range(30)]
         assert max(mine) < 40 and any(min(v) != 3 * t for t, v in mine.items())
+
+
+def test_decayed_twins_hold_for_steps_far_from_the_last():
+    base = duckdb.connect()
+    base.execute("CREATE TABLE orders AS SELECT i AS o_orderkey, i AS o_custkey, 'F' AS o_orderstatus, CAST(hash(i) % 1000 AS DOUBLE) AS o_totalprice, TIMESTAMP '2000-01-01' AS o_orderdate, 'LOW' AS o_orderpriority FROM range(600000) r(i)")
+    digits = [x[0] for x in base.execute("SELECT CAST(floor(o_totalprice) AS BIGINT) // 100 FROM orders ORDER BY o_orderkey").fetchall()]
+
+    def shares(t):
+        weights = [0.0] * 10
+        for s in range(max(0, t - 8000), t):  # e^-40 before that
+            weights[digits[s]] += math.exp(-0.005 * (t - s))
+        return [x / sum(weights) for x in weights]
+
+    got = base.execute(f"SELECT * FROM ({entry.oracle_sql()['w23_decayed_symbol_freq']}) WHERE t IN (100, 20001, 599999) ORDER BY t").fetchall()
+    assert all(abs(a - b) < 2e-6 for row in got for a, b in zip(row[1:], shares(row[0]))) and len(got) == 3
+    late = base.execute(f"SELECT t, symbol, p FROM ({entry.oracle_sql()['p3_recency_weighted_scores']}) WHERE t IN (420000, 599999) AND position = 'd1'").fetchall()
+    want = {t: shares(t) for t in (420000, 599999)}
+    assert len(late) == 20 and all(abs(p - want[t][k]) < 2e-6 for t, k, p in late)
