@@ -88,7 +88,8 @@ def periodogram(items: DataFrame, steps: int, peaks: int = 3, block: int = 1 <<
     hits = items.select(F.col("item").cast("int").alias("item"), "t").distinct().withColumn("cb", F.floor(F.col("t") % columns / wide).cast("int"))
     own = hits.groupBy("item", "cb").applyInPandas(of_item, kind).groupBy("item", "kb").applyInPandas(across, "item int, kb int, data binary")
     chirp = spark.range(columns // wide).mapInPandas(of_chirp, kind).groupBy("item", "kb").applyInPandas(across, "item int, kb int, data binary")
-    turned = own.join(chirp.select("kb", F.col("data").alias("other")), "kb").select("item", "kb", "data", "other").mapInPandas(back, "item int, nb int, part int, data binary")
+    # a row is a block of numbers, so estimates from the number of rows would broadcast the whole chirp
+    turned = own.hint("merge").join(chirp.select("kb", F.col("data").alias("other")), "kb").select("item", "kb", "data", "other").mapInPandas(back, "item int, nb int, part int, data binary")
     found = turned.groupBy("item", "nb").applyInPandas(strongest, "item int, k int, power double")
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("power"), "k"))  # peaks rows a block
     period = F.round(steps / F.col("k")).cast("int")

@@ -26,3 +26,8 @@ def test_any_length_and_any_blocks(spark, steps, block):
 def test_shared_periods(spark):
     found = spark.createDataFrame([(1, 7), (2, 7), (2, 7), (3, 4), (3, None)], "item int, period int")
     assert sorted(map(tuple, spectrum.shared_periods(found).collect())) == [(4, 1, "3"), (7, 2, "1,2")]
+
+
+def test_the_chirp_is_not_broadcast(spark):
+    hits = spark.range(100).select((F.col("id") % 3).cast("int").alias("item"), F.col("id").alias("t"))
+    assert "BroadcastHashJoin" not in spectrum.periodogram(hits, 100)._jdf.queryExecution().sparkPlan().toString()
