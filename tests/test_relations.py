@@ -105,3 +105,9 @@ def test_decayed_shares_do_not_depend_on_chunks(spark):
 def test_scaling_by_nothing_but_one_value_is_centred(spark):
     rows = spark.createDataFrame([(5.0,), (5.0,)], "v double")
     assert [[r.v for r in E.scale(rows, rows, ["v"], m).collect()] for m in ("standard", "robust", "minmax")] == [[0.0, 0.0]] * 3
+
+
+def test_fisher_of_large_tables_neither_overflows_nor_goes_through_all_terms(spark):
+    a, b, c, d = 500_000, 7_600_000, 7_600_000, 38_300_000  # far fewer than by chance: the first term is 0, the sum of ratios infinite
+    assert _one(spark, tails.fisher_greater(*(F.lit(x).cast("long") for x in (a, b, c, d)))) == 1.0
+    assert abs(_one(spark, tails.fisher_greater(*(F.lit(x).cast("long") for x in (1_215_000, 6_885_000, 6_885_000, 39_015_000)))) - 0.5) < 1e-3
