@@ -49,3 +49,11 @@ def test_sets_that_pack_well_are_not_broadcast_over_lags(spark):
     for made in (L.lag_table(sets, sets, [0, 1]), K.near_hits(sets, sets, range(2))):
         assert made.collect() and "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
     assert [(r.lag, r.n, r.exact) for r in L.lag_table(sets, sets, [0, 1]).orderBy("lag").collect()] == [(0, 20000, 1.0), (1, 19999, 1.0)]
+
+
+def test_batches_of_ranks_and_choices_agree_with_rows(spark):
+    rows = spark.createDataFrame([(*P, 123), (*P, None), (P[0], None, P[2], 5), (P[2], P[2], P[2], 999)], "a array<double>, b array<double>, c array<double>, actual int").coalesce(1)
+    got = L.with_rank(L.top_combinations(rows, ["a", "b", "c"], 20), ["a", "b", "c"], "actual").collect()
+    want = rows.select(L.rank_of(L.joint(["a", "b", "c"]), F.col("actual")).alias("rank")).collect()
+    assert [r.rank for r in got] == [want[0].rank, None, None, 1000] and got[0].own == P[0][1] * P[1][2] * P[2][3]
+    assert got[2].chosen is None and got[3].chosen == list(range(20)) and got[0].chosen == got[1].chosen
