@@ -50,3 +50,20 @@ def test_panel(spark, piece):
         assert {k: v for k, v in mine.items() if k not in ("item", "t")} == pytest.approx(want[r.item, r.t]), (r.item, r.t)
     part = V.survival_panel(items, W.every_step(spark, items, 120), domain, 40, 100, gaps=(2, 5), uses=(3, 20), partners=2, piece=piece)
     assert part.count() == 6 * 60
+
+
+def test_panel_rows_never_move(spark):
+    """Rows are made where a range's baskets are, so nothing of the panel's size is shuffled; a part of it has the whole one's values, also for an item that waits over many ranges."""
+    rng = random.Random(3)
+    baskets = [{k for k, p in ((1, 0.6), (2, 0.3), (4, 0.02)) if rng.random() < p} for _ in range(90)]
+    baskets[3] = {1, 4}
+    items = spark.createDataFrame([(t, i) for t, x in enumerate(baskets) for i in sorted(x)], "t long, item int")
+    domain = spark.createDataFrame([(k,) for k in (1, 2, 4, 5)], "item int")
+    part = V.survival_panel(items, W.every_step(spark, items, 90), domain, 33, 71, gaps=(2, 5), uses=(3, 20), partners=1, piece=4)
+    plan = part._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert plan[0].startswith("MapInArrow") and not any("uses_" in line for line in plan[1:])
+    want = plain(baskets, (1, 2, 4, 5), (2, 5), (3, 20), 1)
+    got = {(r.item, r.t): r.asDict() for r in part.collect()}
+    assert sorted(got) == sorted((k, t) for k in (1, 2, 4, 5) for t in range(33, 71))
+    for key, r in got.items():
+        assert {k: v for k, v in r.items() if k not in ("item", "t")} == pytest.approx(want[key]), key
