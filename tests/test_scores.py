@@ -2,10 +2,12 @@
 
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqlab.operators import ledger as K
+from seqlab.operators import predictors
 from seqlab.operators import scores as L
 
 P = [[0.1, 0.4, 0.4, 0.0, 0.02, 0.02, 0.02, 0.02, 0.01, 0.01], [0.3, 0.1, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05], [0.1] * 10]
@@ -57,3 +59,21 @@ def test_batches_of_ranks_and_choices_agree_with_rows(spark):
     want = rows.select(L.rank_of(L.joint(["a", "b", "c"]), F.col("actual")).alias("rank")).collect()
     assert [r.rank for r in got] == [want[0].rank, None, None, 1000] and got[0].own == P[0][1] * P[1][2] * P[2][3]
     assert got[2].chosen is None and got[3].chosen == list(range(20)) and got[0].chosen == got[1].chosen
+
+
+def test_nearest_holds_distinct_points_against_each_other(spark):
+    """Rows and queries that share a point are asked once, and all queries get what a search of all rows gives."""
+    rng = np.random.default_rng(4)
+    a, b, y = rng.integers(0, 3, 400), rng.integers(0, 2, 400), rng.integers(0, 4, 400)
+    df = spark.createDataFrame([(i, int(p), int(q), int(s)) for i, (p, q, s) in enumerate(zip(a, b, y))], "t long, a int, b int, y int")
+    got = predictors.nearest(df.where("t < 250"), df.where("t >= 250"), ["a", "b"], "y", 4, k=7, block=10)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    have = {(r.t, r.symbol): r.p for r in got.collect()}
+    assert len(have) == 150 * 4
+    x = np.column_stack([(v - v[:250].mean()) / v[:250].std() for v in (a, b)])
+    for t in range(250, 400):
+        d = np.round(np.sqrt(((x[:250] - x[t]) ** 2).sum(1)), 9)
+        best = np.lexsort((np.arange(250), d))[:7]
+        w = 1 / (d[best] + 1e-6)
+        for s in range(4):
+            assert abs(have[t, s] - w[y[best] == s].sum() / w.sum()) < 1e-6
