@@ -1,12 +1,15 @@
 """Closed forms and brute-force versions of tests, dependence, patterns and fitted features."""
 
+import datetime
 import math
+import random
 from collections import Counter
 from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
+from seqlab import catalog_relations
 from seqlab.functions import tails
 from seqlab.operators import features as E
 from seqlab.operators import patterns as P
@@ -111,3 +114,17 @@ def test_fisher_of_large_tables_neither_overflows_nor_goes_through_all_terms(spa
     a, b, c, d = 500_000, 7_600_000, 7_600_000, 38_300_000  # far fewer than by chance: the first term is 0, the sum of ratios infinite
     assert _one(spark, tails.fisher_greater(*(F.lit(x).cast("long") for x in (a, b, c, d)))) == 1.0
     assert abs(_one(spark, tails.fisher_greater(*(F.lit(x).cast("long") for x in (1_215_000, 6_885_000, 6_885_000, 39_015_000)))) - 0.5) < 1e-3
+
+
+def test_lookup_takes_the_least_outcome_before_it_joins(spark, tmp_path):
+    """Rows of a day and slot meet one outcome of the next day, not all of its rows."""
+    rng = random.Random(8)
+    rows = [(k, datetime.date(2020, 1, 1 + rng.choice([0, 1, 1, 3])), float(rng.randrange(3000)), "O", 1, "x") for k in range(200)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate date, o_totalprice double, o_orderstatus string, o_custkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalog_relations.QUERIES["r8_lookup_result"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    for r in got.collect():
+        key, day = ordered[r.t][:2]
+        assert r.outcome == min((int(x[2]) % 1000 for x in rows if x[0] % 4 == key % 4 and (x[1] - day).days == 1), default=None)
