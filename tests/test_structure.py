@@ -236,3 +236,30 @@ def test_property_intersection(spark):
     made = learned.vectors(df, ["a", "b"], "c", ["t", "c", "high", "odd"])
     scored = learned.property_intersection(made.where("t < 150"), made.where("t >= 150"), ["high", "odd"], [(c // 2, c % 2) for c in range(4)]).collect()
     assert len(scored) == 50 and all(abs(sum(r.p) - 1) < 1e-9 and max(range(4), key=lambda k: r.p[k]) == r.c for r in scored)
+
+
+def test_rule_scores_are_summed_where_they_are_made(spark):
+    """Items are dealt out once, by step; neither what the rules give nor its ranks moves again. Several sizes give what each alone gives."""
+    rng = random.Random(6)
+    rows = sorted({(rng.randrange(60), rng.randrange(6)) for _ in range(200)})
+    items = spark.createDataFrame(rows, "t long, item int")
+    rules = spark.createDataFrame([(a, b, 0.1 * (a + 1), 0.5 + 0.2 * b) for a in range(6) for b in range(6) if (a + b) % 3], "a int, b int, confidence double, lift double")
+    scores = patterns.rule_scores(items, rules)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    want = {}
+    for t, a in rows:
+        for b in range(6):
+            if (a + b) % 3:
+                want[t + 1, b] = want.get((t + 1, b), 0.0) + np.log(0.5 + 0.2 * b) * 0.1 * (a + 1)
+    got = {(r.t, r.item): r.score for r in scores.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    have = set(rows)
+    both = {r.n: r for r in patterns.top_n_backtests(scores, items, [1, 4]).collect()}
+    for n in (1, 4):
+        best = {t: sorted((-round(v, 9), b) for (u, b), v in want.items() if u == t)[:n] for t in {t for t, _ in want} & {t for t, _ in rows}}
+        hits = {t: sum((t, b) in have for _, b in x) for t, x in best.items()}
+        one = patterns.top_n_backtest(scores, items, n).first()
+        for r in (one, both[n]):
+            assert r.steps == len(best) and abs(r.hits - np.mean(list(hits.values()))) < 1e-12
+            assert abs(r.precision - sum(hits.values()) / sum(map(len, best.values()))) < 1e-12 and abs(r.recall - sum(hits.values()) / sum(t in best for t, _ in rows)) < 1e-12
