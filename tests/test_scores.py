@@ -77,3 +77,17 @@ def test_nearest_holds_distinct_points_against_each_other(spark):
         w = 1 / (d[best] + 1e-6)
         for s in range(4):
             assert abs(have[t, s] - w[y[best] == s].sum() / w.sum()) < 1e-6
+
+
+def test_box_ranks_of_batches(spark):
+    """Ranks made for many rows at a time are those of box_scores(), ties among boxes included."""
+    rng = np.random.default_rng(9)
+    digits, shares = rng.integers(0, 10, (300, 3)), rng.integers(1, 4, (300, 3, 10)) / 20
+    rows = [(i, *map(int, d), *(x.tolist() for x in p)) for i, (d, p) in enumerate(zip(digits, shares))] + [(300, None, 1, 2, *P)]
+    df = spark.createDataFrame(rows, "t long, d1 int, d2 int, d3 int, a array<double>, b array<double>, c array<double>")
+    boxes = df.where("t < 300").select("t", L.box_of(["d1", "d2", "d3"]).alias("box"), L.box_scores(L.joint(["a", "b", "c"])).alias("x"))
+    want = {}
+    for r in boxes.collect():
+        own = next(x.p for x in r.x if x.box == r.box)
+        want[r.t] = (r.box, 1 + sum(x.p > own or (x.p == own and x.box < r.box) for x in r.x))
+    assert {r.t: (r.box, r.rank) for r in L.with_box_rank(df, ["a", "b", "c"], ["d1", "d2", "d3"]).collect()} == want | {300: (None, None)}
