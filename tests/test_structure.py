@@ -263,3 +263,18 @@ def test_rule_scores_are_summed_where_they_are_made(spark):
         for r in (one, both[n]):
             assert r.steps == len(best) and abs(r.hits - np.mean(list(hits.values()))) < 1e-12
             assert abs(r.precision - sum(hits.values()) / sum(map(len, best.values()))) < 1e-12 and abs(r.recall - sum(hits.values()) / sum(t in best for t, _ in rows)) < 1e-12
+
+
+def test_greedy_cuts_read_the_series_once(spark):
+    """The samples behind the replicates are drawn once, however many cuts are looked for."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    rows = [(0, t, 1, float(t // 30 % 2)) for t in range(120)]
+    series = spark.createDataFrame(rows, "rep int, t long, w long, x double").mapInPandas(counted, "rep int, t long, w long, x double")
+    cuts = profiles.greedy_cuts(series, ["x"], 3, 5, chunk=16).orderBy("step").collect()
+    assert read.value == 120 and sorted(r.at for r in cuts if r.step) == [30, 60, 90] and abs(cuts[-1].error) < 1e-9
