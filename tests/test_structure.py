@@ -2,9 +2,11 @@
 
 import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +280,29 @@ def test_greedy_cuts_read_the_series_once(spark):
     series = spark.createDataFrame(rows, "rep int, t long, w long, x double").mapInPandas(counted, "rep int, t long, w long, x double")
     cuts = profiles.greedy_cuts(series, ["x"], 3, 5, chunk=16).orderBy("step").collect()
     assert read.value == 120 and sorted(r.at for r in cuts if r.step) == [30, 60, 90] and abs(cuts[-1].error) < 1e-9
+
+
+def test_pattern_family_reads_tokens_once(spark):
+    """Against brute force, with gaps, repeated tokens and small runs of steps."""
+    rng = np.random.default_rng(21)
+    rows = [(mode, int(t), f"{mode}{k}") for mode in ("a", "b") for t in range(200) if t % 17 for k in rng.integers(0, 4, rng.integers(0, 5))]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    tokens = spark.createDataFrame(rows, "mode string, t long, token string").mapInArrow(counted, "mode string, t long, token string")
+    got = {r["mode"]: r.tested for r in profiles.pattern_family(tokens, 200, {"a": 20, "b": 30}).collect()}
+    assert read.value == len(rows)
+    n = Counter((m, x, y) for m, t, x in rows for k, u, y in rows if k == m and u == t + 1)
+    want = Counter(m for (m, _, _), times in n.items() if times >= {"a": 20, "b": 30}[m])
+    assert got == dict(want) and min(want.values()) > 1
+    found = [profiles._counted(8, 199)(pa.table({"mode": [m] * len(part), "_chunk": [c] * len(part), "t": pa.array([t for t, _ in part], pa.int64()), "token": [x for _, x in part]})).to_pylist()
+             for m in ("a", "b") for c in range(25) if (part := [(t, x) for k, t, x in rows if k == m and 8 * c <= t <= 8 * c + 8])]
+    sums = Counter()
+    for r in (r for part in found for r in part):
+        sums[r["mode"], r["a"], r["b"]] += r["n"]
+    each = Counter((m, x, None) for m, t, x in rows if t < 199) + Counter((m, None, y) for m, t, y in rows if t >= 1)
+    assert sums == n + each
