@@ -165,6 +165,28 @@ def test_logistic_regressions(spark):
     assert kept["y", "a"] and not any(v for k, v in kept.items() if k != ("y", "a"))
 
 
+def test_logistic_regressions_read_groups(spark, monkeypatch):
+    """Rows of few days are fitted as groups, and give what a fit of the rows gives."""
+    rng = np.random.default_rng(20)
+    days = rng.normal(size=(12, 2))
+    rows = [(float(a), float(b), int(rng.random() < 1 / (1 + np.exp(-a)))) for a, b in days[rng.integers(0, 12, 9000)]]
+    df, held = spark.createDataFrame(rows, "a double, b double, y int"), []
+    monkeypatch.setattr(learned, "pinned", lambda made: held.append(made.localCheckpoint()) or held[-1])
+    got = learned.logit_lr(df, ["y"], ["a"], ["b"]).first()
+    assert held[0].count() == 12
+
+    def deviance(columns):
+        x, y, w = np.array([[1, *(r[k] for k in columns)] for r in rows]), np.array([r[2] for r in rows]), np.zeros(1 + len(columns))
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x @ w))
+            w += np.linalg.solve((x.T * (p * (1 - p))) @ x, x.T @ (y - p))
+        p = 1 / (1 + np.exp(-x @ w))
+        return -2 * np.sum(np.where(y == 1, np.log(p), np.log(1 - p)))
+
+    full, small, none = deviance([0, 1]), deviance([1]), deviance([])
+    assert np.allclose([got.lr, got.aic, got.r2], [small - full, full + 6, 1 - full / none], rtol=1e-7)
+
+
 def test_periodogram_finds_a_period(spark):
     items = spark.createDataFrame([(t, 1) for t in range(0, 240, 12)] + [(t, 2) for t in (3, 50, 51, 200)], "t long, item int")
     top = {r.item: r for r in spectrum.periodogram(items, 240).where("place = 1").collect()}
