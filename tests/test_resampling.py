@@ -5,10 +5,11 @@ import math
 from collections import Counter
 
 import __spark_entry__ as entry
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqlab.operators.inference import permuted
-from seqlab.operators.resampling import permutation_match
+from seqlab.operators.resampling import draws_of, permutation_match
 from seqlab.streaming.streams import score_then_learn
 
 
@@ -36,6 +37,26 @@ def test_permutation_in_ranges(spark):
         assert _close(permutation_match(df, "guess", "d", "t", 20, chunk=chunk).first(), _brute(rows, 20))
 
 
+def test_permuted_outcomes_move_packed(spark):
+    """No row a replicate and outcome; nulls take a place, but are no match."""
+    rows = [(t * 5, None if t % 13 == 0 else t * 7919 % 4, None if t % 11 == 0 else t * 104729 % 3) for t in range(700)]
+    made = permutation_match(spark.createDataFrame(rows, "t long, guess int, d int"), "guess", "d", "t", 12, chunk=8)
+    assert "explode(sequence(1, 12" not in made._jdf.queryExecution().toString()
+    row, stats = made.first(), []
+    for rep in range(1, 13):
+        moved = sorted(rows, key=lambda r: (int(hashlib.md5(f"42:{rep}:{r[0]}".encode()).hexdigest()[:12], 16), r[0]))
+        known = [a[1] == b[2] for a, b in zip(rows, moved) if a[1] is not None and b[2] is not None]
+        stats.append(sum(known) / len(known))
+    assert abs(row.null_mean - sum(stats) / 12) < 1e-9
+
+
+def test_draws_of_are_md5():
+    t = np.array([0, 5, -3, 99, 123456789, 10**17, -(2**63), 2**63 - 1])
+    got = draws_of(42, 101, t, block=3)
+    for rep in (1, 9, 10, 99, 100, 101):
+        assert got[rep - 1].tolist() == [int(hashlib.md5(f"42:{rep}:{x}".encode()).hexdigest()[:12], 16) for x in t]
+
+
 def test_no_task_has_a_whole_replicate(spark):
     rows = spark.range(1, 5000).select(F.col("id").alias("t"), (F.col("id") % 7).alias("guess"), (F.col("id") % 5).alias("d"))
     plan = permutation_match(rows, "guess", "d", "t", 3, chunk=64)._jdf.queryExecution().optimizedPlan().toString()
