@@ -31,6 +31,17 @@ def test_discrete_hawkes_equals_single_fits(spark):
         assert not any(got[b].alpha) and got[b].baseline == pytest.approx(np.log(share / (1 - share + 1e-10)))
 
 
+def test_hawkes_passes_read_packed_runs(spark, monkeypatch):
+    """One row for a run of steps, whatever its length; also where runs or steps are empty."""
+    rng, held = np.random.default_rng(28), []
+    hits = [(t, i) for t in range(300) if not 100 <= t < 170 for i in (1, 2, 3) if rng.random() < 0.4]
+    items = spark.createDataFrame(hits, "t long, item int")
+    monkeypatch.setattr(M, "pinned", lambda made: held.append(made.localCheckpoint()) or held[-1])
+    short, whole = ([(r.baseline, *r.alpha) for r in M.discrete_hawkes(items, 300, 3, strength=10.0, chunk=k).orderBy("b").collect()] for k in (32, 512))
+    assert [h.count() for h in held] == [10, 1]
+    assert np.allclose(short, whole, atol=1e-6) and np.abs(np.array(whole)[:, 1:]).max() > 0
+
+
 def test_auc_of_groups(spark):
     rng = np.random.default_rng(6)
     rows = [(g, f, float(round(rng.normal() + 0.5 * y, 1)), int(y)) for g in range(3) for f in range(2) for y in (rng.random(60) < (0.4 if g else 0.05)).astype(int)]
