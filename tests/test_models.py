@@ -4,10 +4,13 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from seqlab.operators import boosting as B
 from seqlab.operators import learned as M
 
 
@@ -73,3 +76,64 @@ def test_components_of_noise_and_of_one_factor(spark):
     values = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1][:3]
     assert np.allclose([r.eigenvalue for r in rows], values) and [r.above for r in rows] == [True, False, False]
     assert rows[0].edge == pytest.approx((1 + np.sqrt(6 / 400)) ** 2)
+
+
+def _labelled(spark, symbols, n=900):
+    """t, y, x: of the features one is constant, one has two values, one 30 and one 80 (more than there are bins)."""
+    rng = np.random.default_rng(33)
+    x = np.stack([np.full(n, 2.0), rng.integers(0, 2, n), rng.integers(0, 30, n) / 10, rng.integers(0, 80, n) / 10], axis=1)
+    y = (x[:, 3] / 8 * symbols).astype(int)
+    y = np.where(rng.random(n) < 0.2, (y + x[:, 1].astype(int)) % symbols, y)
+    y = np.where(x[:, 2] > 2.4, symbols - 1, y)
+    made = spark.createDataFrame([(i, float(k), v.tolist()) for i, (k, v) in enumerate(zip(y, x))], "t long, y double, a array<double>")
+    return made.select("t", "y", array_to_vector("a").alias("x"))
+
+
+def test_boosted_trees_equal_spark_ml(spark):
+    """Against a GBTClassifier for each symbol, also of a symbol that no row has and with fewer symbols than asked for."""
+    df = _labelled(spark, 4).withColumn("y", F.when(F.col("y") == 1, 0.0).otherwise(F.col("y")))
+    train, rows = df.where("t < 700"), df.where("t >= 700")
+    got = {r.t: r.p for r in M.symbol_scores(train, rows, "boosted", 4, 5).collect()}
+    single = OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=3, seed=42), featuresCol="x", labelCol="y")
+    fitted = Pipeline(stages=[StandardScaler(inputCol="x0", outputCol="x", withMean=True), single]).fit(train.withColumnRenamed("x", "x0"))
+    want = {r.t: 1 / (1 + np.exp(-2 * r.rawPrediction.toArray())) for r in fitted.transform(rows.withColumnRenamed("x", "x0")).collect()}
+    assert len(got) == len(want) == 200
+    for t, q in want.items():
+        assert len(q) == 4 and got[t] == pytest.approx([*(q / q.sum()), 0.0], abs=1e-6)
+
+
+def test_boosted_passes_are_shared_by_all_symbols(spark, monkeypatch):
+    """As many Spark jobs for 8 symbols as for 2; passes read blocks of packed bins; results don't hang on how rows are dealt out."""
+    jobs, held, got = [], [], []
+    monkeypatch.setattr(B, "pinned", lambda made: held.append(made.localCheckpoint()) or held[-1])
+    for symbols, parts in ((2, 3), (8, 3), (8, 1)):
+        df = _labelled(spark, symbols).repartition(parts, "t").localCheckpoint()
+        spark.sparkContext.setJobGroup(f"boosted{len(jobs)}", "")
+        got.append({r.t: r.p for r in M.symbol_scores(df, df, "boosted", 4, symbols).collect()})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosted{len(jobs)}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] < 60 and [h.count() for h in held] == [3, 3, 1]
+    assert all(abs(a - b) < 1e-9 for t, p in got[1].items() for a, b in zip(p, got[2][t]))
+
+
+def test_boosted_cuts_count_all_rows(spark):
+    """All values where they fit into the bins, else nearly equal parts; a dense feature is cut by cells of all rows."""
+    n = 20000
+    rows = spark.range(n).select(F.array((F.col("id") % 3 - 1).cast("double"), F.lit(0.0), (F.col("id") - n / 2) / (n / 4), F.when(F.col("id") == 7, 1.0).otherwise(-1.0)).alias("x"))
+    cuts, size = B.cut_points(rows, 4)
+    assert size == n and cuts[0].tolist() == [-0.5, 0.5] and len(cuts[1]) == 0 and cuts[3].tolist() == [0.0]
+    assert np.abs(cuts[2] - (np.arange(1, 32) / 8 - 2)).max() < 0.01 and len(cuts[2]) == 31
+
+
+def test_chances_are_aligned_once(spark):
+    """What gives the chances is computed once a row, not once a symbol: counters would move on in between."""
+    count = lambda: F.monotonically_increasing_id().cast("double")
+    rows = spark.range(1, 4, numPartitions=1).select(M.aligned(F.array(count(), count()), 3).alias("p")).collect()
+    assert [r.p for r in rows] == [[pytest.approx(1 / 3)] * 3, [0.5, 0.5, 0.0], [0.5, 0.5, 0.0]]
+
+
+def test_boosting_refuses_what_it_cannot_fit(spark):
+    for x, y in (([1.0, None], 0.0), ([1.0, 2.0], None), ([1.0, 2.0], 0.5), ([1.0, float("inf")], 0.0)):
+        rows = spark.createDataFrame([(x, y), ([0.0, 1.0], 1.0)], "x array<double>, y double")
+        with pytest.raises(Exception, match="not finite|no symbol"):
+            B.boosted_margins(rows, rows, 2)
