@@ -49,7 +49,7 @@ def cut_points(rows: DataFrame, width: int, bins: int = 32) -> tuple[list[np.nda
     """Per feature of the standardised x (an array) the ascending cuts between its bins, and the number of rows.
 
     With at most so many values a feature is cut between all of them, else where the rows so far come nearest to equal
-    parts. All rows are counted, by values that agree in their leading 20 bits (sign, exponent and a part in 256), of which
+    parts; values of under one in 10,000 rows, if they are less than a bin together, don't count for that and join their neighbours. All rows are counted, by values that agree in their leading 20 bits (sign, exponent and a part in 256), of which
     there are few; so a bin may be off by one such cell where values are that dense.
     """
 
@@ -72,6 +72,9 @@ def cut_points(rows: DataFrame, width: int, bins: int = 32) -> tuple[list[np.nda
     for f in range(width):
         own = np.flatnonzero(place == f)
         own = own[np.argsort(lo[own])]
+        common = own[n[own] * 10_000 >= size]
+        if len(own) > most and n[own].sum() - n[common].sum() < size / most:
+            own = common
         between = (hi[own][:-1] + lo[own][1:]) / 2
         if len(between) >= most:
             upto, chosen, target = np.cumsum(n[own]), [], size / most

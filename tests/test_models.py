@@ -123,6 +123,8 @@ def test_boosted_cuts_count_all_rows(spark):
     cuts, size = B.cut_points(rows, 4)
     assert size == n and cuts[0].tolist() == [-0.5, 0.5] and len(cuts[1]) == 0 and cuts[3].tolist() == [0.0]
     assert np.abs(cuts[2] - (np.arange(1, 32) / 8 - 2)).max() < 0.01 and len(cuts[2]) == 31
+    few = spark.range(n).select(F.array(F.when(F.col("id") < 40, F.col("id") / 100 + 0.105).otherwise(F.col("id") % 20)).alias("x"))
+    assert B.cut_points(few, 1)[0][0][1:].tolist() == [k + 0.5 for k in range(1, 19)]  # the 40 rare values don't make the others share bins
 
 
 def test_chances_are_aligned_once(spark):
