@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import pinned, written
+
 
 def _chirp(t: np.ndarray, n: int) -> np.ndarray:
     """exp(-i pi t^2 / n), from t^2 modulo 2n."""
     return np.exp(-1j * np.pi * ((t * t) % (2 * n)) / n)
 
 
-def periodogram(items: DataFrame, steps: int, peaks: int = 3, block: int = 1 << 18) -> DataFrame:
+def periodogram(items: DataFrame, steps: int, peaks: int = 3, block: int = 1 << 18, most: int = 1 << 25) -> DataFrame:
     """The strongest frequencies k / steps of each item's presence, over all k from 1 up to half the steps: item, place, k, period, power.
 
     The transform of any length is a convolution with a chirp (Bluestein), whose length is a power of two, rows times
     columns. A transform of that length is one of all columns, a twist, and one of all rows; a task has some columns or
     rows of one item, about block numbers, and two shuffles of packed blocks lead from one to the other and back. So a
-    series of any length is worked on by many tasks. Ties go to the smaller k; period is rounded, and null unless it is
+    series of any length is worked on by many tasks. Items are done in turns of at most about most numbers, each of which
+    leaves no shuffle files to the next. Ties go to the smaller k; period is rounded, and null unless it is
     between 2 and half the steps.
     """
     spark = items.sparkSession
@@ -86,12 +90,22 @@ def periodogram(items: DataFrame, steps: int, peaks: int = 3, block: int = 1 <<
 
     kind = "item int, kb int, part int, data binary"
     hits = items.select(F.col("item").cast("int").alias("item"), "t").distinct().withColumn("cb", F.floor(F.col("t") % columns / wide).cast("int"))
-    own = hits.groupBy("item", "cb").applyInPandas(of_item, kind).groupBy("item", "kb").applyInPandas(across, "item int, kb int, data binary")
-    chirp = spark.range(columns // wide).mapInPandas(of_chirp, kind).groupBy("item", "kb").applyInPandas(across, "item int, kb int, data binary")
-    # a row is a block of numbers, so estimates from the number of rows would broadcast the whole chirp
-    turned = own.hint("merge").join(chirp.select("kb", F.col("data").alias("other")), "kb").select("item", "kb", "data", "other").mapInPandas(back, "item int, nb int, part int, data binary")
-    found = turned.groupBy("item", "nb").applyInPandas(strongest, "item int, k int, power double")
-    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("power"), "k"))  # peaks rows a block
+    chirp = written(spark.range(columns // wide).mapInPandas(of_chirp, kind).groupBy("item", "kb").applyInPandas(across, "item int, kb int, data binary"))
+    other = chirp.select("kb", F.col("data").alias("other"))
+
+    def turn(some: DataFrame) -> DataFrame:
+        """The strongest of each block of some items."""
+        own = some.groupBy("item", "cb").applyInPandas(of_item, kind).groupBy("item", "kb").applyInPandas(across, "item int, kb int, data binary")
+        # a row is a block of numbers, so estimates from the number of rows would broadcast the whole chirp
+        turned = own.hint("merge").join(other, "kb").select("item", "kb", "data", "other").mapInPandas(back, "item int, nb int, part int, data binary")
+        return turned.groupBy("item", "nb").applyInPandas(strongest, "item int, k int, power double")  # peaks rows a block
+
+    every = sorted(r.item for r in hits.select("item").distinct().collect())  # a transform each, so they are few
+    each = max(1, most // size)
+    turns = [every[lo : lo + each] for lo in range(0, len(every), each)]
+    made = [turn(hits.where(F.col("item").isin(some)) if len(turns) > 1 else hits) for some in turns] or [turn(hits)]
+    found = reduce(DataFrame.unionByName, (pinned(x) for x in made)) if len(made) > 1 else made[0]
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("power"), "k"))
     period = F.round(steps / F.col("k")).cast("int")
     ranked = found.withColumn("place", place).where(F.col("place") <= peaks)
     return ranked.select("item", "place", "k", F.when((period > 2) & (period < steps / 2), period).alias("period"), "power")

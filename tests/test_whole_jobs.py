@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 import __spark_entry__ as entry
+from seqlab import storage
+from seqlab.operators import spectrum
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -12,3 +16,25 @@ def test_neighbours_are_found_for_every_row_after_the_cut(spark):
     found = entry.queries()["p6_knn_scores"](spark, SMALL).groupBy("t").count().collect()
     assert sorted(r.t for r in found) == list(range(int(0.7 * n), n))
     assert {r["count"] for r in found} == {10}
+
+
+def _shuffle_files(spark) -> int:
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList()
+    return sum(held.apply(i).getName().startswith("shuffle_") and held.apply(i).getName().endswith(".data") for i in range(held.size()))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    for keep in (storage.pinned, storage.written):
+        before = _shuffle_files(spark)
+        kept = keep(spark.range(1000).repartition(5))
+        ends = time.time() + 20
+        while _shuffle_files(spark) > before and time.time() < ends:  # files are removed beside
+            time.sleep(0.2)
+        assert _shuffle_files(spark) <= before
+        assert kept.count() == 1000
+
+
+def test_periodograms_in_turns_are_those_of_one_turn(spark):
+    hits = spark.createDataFrame([(i, t) for i in range(5) for t in range(0, 300, 3 + i)], "item int, t long")
+    one, turns = (sorted(map(tuple, spectrum.periodogram(hits, 300, block=64, **more).collect())) for more in ({}, {"most": 1 << 11}))
+    assert len(one) == 15 and one == turns
