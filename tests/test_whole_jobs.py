@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import time
 
+import pytest
+
 import __spark_entry__ as entry
 from seqlab import storage
-from seqlab.operators import spectrum
+from seqlab.operators import scores, spectrum
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,3 +41,18 @@ def test_periodograms_in_turns_are_those_of_one_turn(spark):
     hits = spark.createDataFrame([(i, t) for i in range(5) for t in range(0, 300, 3 + i)], "item int, t long")
     one, turns = (sorted(map(tuple, spectrum.periodogram(hits, 300, block=64, **more).collect())) for more in ({}, {"most": 1 << 11}))
     assert len(one) == 15 and one == turns
+
+
+def test_shares_and_joints_of_runs_of_rows(spark):
+    draws = random.Random(1)
+    rows = [(t, draws.choice([0, 1, 2, 2, None]), draws.randrange(3)) for t in range(90)]
+    df = spark.createDataFrame(rows, "t long, a int, b int")
+    made = {r.t: r for r in scores.with_extremes(scores.with_rank(scores.smoothed_marginals(df, ["a", "b"], 3, 7, chunk=16), ["p_a", "p_b"], "b", squares=True), ["p_a", "p_b"]).collect()}
+    assert sorted(made) == list(range(90))
+    for t, *_ in rows:
+        before = rows[max(0, t - 7) : t]
+        a, b = ([(sum(r[i] == s for r in before) + 1) / (len(before) + 3) for s in range(3)] for i in (1, 2))
+        p, mine, r = [x * y for x in a for y in b], rows[t][2], made[t]
+        assert (r.p_a, r.p_b, r.own) == (a, b, p[mine])
+        assert r.rank == 1 + sum(x > p[mine] or (x == p[mine] and i < mine) for i, x in enumerate(p))
+        assert [r.squares, r.most, r.least, r.total] == pytest.approx([sum(x * x for x in p), max(p) / sum(p), min(p) / sum(p), 1.0])
