@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
@@ -9,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from seqlab import storage
-from seqlab.operators import scores, spectrum
+from seqlab.operators import inference, scores, spectrum
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -56,3 +57,31 @@ def test_shares_and_joints_of_runs_of_rows(spark):
         assert (r.p_a, r.p_b, r.own) == (a, b, p[mine])
         assert r.rank == 1 + sum(x > p[mine] or (x == p[mine] and i < mine) for i, x in enumerate(p))
         assert [r.squares, r.most, r.least, r.total] == pytest.approx([sum(x * x for x in p), max(p) / sum(p), min(p) / sum(p), 1.0])
+
+
+def test_lags_are_permuted_in_packed_turns(spark):
+    draws = random.Random(2)
+    rows = [(t, draws.choice([None, *[draws.randrange(1000) for _ in range(9)]]), [draws.randrange(1000) for _ in range(5)] if t % 17 else None) for t in range(400)]
+    df = spark.createDataFrame(rows, "t long, actual long, chosen array<int>").repartition(3)
+    agree = lambda s, a: None if s is None or a is None else max(sum(f"{x:03d}"[k] == f"{a:03d}"[k] for k in range(3)) for x in s) >= 2
+
+    def mean(values):
+        known = [x for x in values if x is not None]
+        return sum(known) / len(known)
+
+    def nulls(pairs, head):
+        out = []
+        for rep in range(1, 7):
+            order = sorted(range(len(pairs)), key=lambda i: (int(hashlib.md5(f"42:{rep}:{head}{i}".encode()).hexdigest()[:12], 16), i))
+            out.append(mean([agree(p[0], pairs[j][1]) for p, j in zip(pairs, order)]))
+        return out
+
+    lags = [0, 3, 1]
+    by_lag = {lag: [(rows[t][2], rows[t + lag][1]) for t in range(400 - lag)] for lag in lags}
+    pooled = [x for lag in lags for x in by_lag[lag]]
+    for more in ({"chunk": 16, "most": 2500}, {}):
+        for r in inference.lag_cells(df, lags, 6, **more).collect():
+            found, seen = nulls(by_lag[r.lag], f"{r.lag}:"), mean([agree(*x) for x in by_lag[r.lag]])
+            assert (r.observed, r.p) == (seen, (1 + sum(x >= seen for x in found)) / 7) and r.null_mean == pytest.approx(sum(found) / 6)
+        row, seen, found = inference.pooled_lag_test(df, lags, 6, **more).first(), mean([agree(*x) for x in pooled]), nulls(pooled, "")
+        assert (row.n, row.observed, row.p) == (len(pooled), seen, (1 + sum(x >= seen for x in found)) / 7) and row.null_mean == pytest.approx(sum(found) / 6)
