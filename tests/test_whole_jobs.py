@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import time
+from collections import Counter
 
 import pytest
 
 import __spark_entry__ as entry
 from seqlab import storage
-from seqlab.operators import inference, scores, spectrum
+from seqlab.operators import inference, profiles, relations, scores, spectrum
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -85,3 +87,27 @@ def test_lags_are_permuted_in_packed_turns(spark):
             assert (r.observed, r.p) == (seen, (1 + sum(x >= seen for x in found)) / 7) and r.null_mean == pytest.approx(sum(found) / 6)
         row, seen, found = inference.pooled_lag_test(df, lags, 6, **more).first(), mean([agree(*x) for x in pooled]), nulls(pooled, "")
         assert (row.n, row.observed, row.p) == (len(pooled), seen, (1 + sum(x >= seen for x in found)) / 7) and row.null_mean == pytest.approx(sum(found) / 6)
+
+
+def test_transfer_entropy_is_counted_in_runs(spark):
+    draws = random.Random(3)
+    on = {(t, i) for t in range(70) if not 20 <= t < 45 for i in range(4) if draws.random() < 0.3}
+    items, lags = spark.createDataFrame([(t, i) for t, i in sorted(on)], "t long, item int"), [1, 4, 9]
+    made = [{(r.a, r.b, r.lag): r.te for r in relations.transfer_entropy(items, 70, lags, chunk=chunk).collect()} for chunk in (10, 16, 1 << 17)]
+    for a, b, lag in made[0]:
+        c = Counter(((t - lag, a) in on, (t, b) in on, (t + 1, b) in on) for t in range(lag, 69))
+        part = lambda k, *keep: sum(v for x, v in c.items() if all(x[i] == k[i] for i in keep))
+        want = sum(v / (69 - lag) * math.log2(v * part(k, 1) / (part(k, 0, 1) * part(k, 1, 2))) for k, v in c.items())
+        assert [x[a, b, lag] for x in made] == pytest.approx([want] * 3, abs=1e-12)
+    assert len(made[0]) == len(made[1]) == len(made[2]) == 4 * 3 * 3
+
+
+def test_bootstrap_samples_are_cut_from_packed_counts(spark):
+    draws = random.Random(4)
+    df = spark.createDataFrame([(t, draws.gauss(t // 90, 1), draws.randrange(5)) for t in range(400)], "t long, a double, b int").repartition(3)
+    plain = profiles.greedy_cuts(profiles.replicated(df, ["a", "b"], 5), ["a", "b"], 4, 10, chunk=64)
+    for chunk in (64, 1 << 15):
+        packed = profiles.bootstrap_cuts(df, ["a", "b"], 5, 4, 10, chunk=chunk)
+        one, other = ({(r.rep, r.step): r for r in x.collect()} for x in (plain, packed))
+        assert len(one) == 30 and one.keys() == other.keys()
+        assert all(other[k].at == r.at and other[k].error == pytest.approx(r.error) for k, r in one.items())
