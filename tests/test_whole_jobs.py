@@ -11,8 +11,8 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
-from seqlab import storage
-from seqlab.operators import inference, profiles, relations, scores, spectrum
+from seqlab import catalog_predictors, storage
+from seqlab.operators import inference, predictors, profiles, relations, scores, spectrum
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -111,3 +111,17 @@ def test_bootstrap_samples_are_cut_from_packed_counts(spark):
         one, other = ({(r.rep, r.step): r for r in x.collect()} for x in (plain, packed))
         assert len(one) == 30 and one.keys() == other.keys()
         assert all(other[k].at == r.at and other[k].error == pytest.approx(r.error) for k, r in one.items())
+
+
+def test_sets_of_strategies_are_those_of_the_single_predictors(spark):
+    draws = random.Random(5)
+    df = spark.createDataFrame([(t, t % 3, *(draws.choice([0, 1, 1, 4, 7, 9]) for _ in range(3))) for t in range(300)], "t long, c int, d1 int, d2 int, d3 int")
+    digits = ["d1", "d2", "d3"]
+    plain = {}
+    for r in catalog_predictors._strategies(df, 210).where("strategy <> 'uniform'").collect():
+        plain[r.strategy, r.t, r.position, r.symbol] = r.p
+    for chunk in (32, 4096):
+        made = predictors.score_sets(df, digits, 10, 210, ["c"], chunk=chunk).collect()
+        assert len(made) == 4 * 90 and all(r.c == r.t % 3 for r in made)
+        found = {(r.strategy, r.t, c, k): p for r in made for c in digits for k, p in enumerate(r[f"p_{c}"])}
+        assert found.keys() == plain.keys() and all(abs(found[k] - p) < 1e-8 for k, p in plain.items())
