@@ -9,10 +9,11 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seqlab import catalog_predictors, storage
-from seqlab.operators import inference, predictors, profiles, relations, scores, spectrum
+from seqlab.operators import feature_sets, inference, predictors, profiles, relations, scores, spectrum
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -125,3 +126,21 @@ def test_sets_of_strategies_are_those_of_the_single_predictors(spark):
         assert len(made) == 4 * 90 and all(r.c == r.t % 3 for r in made)
         found = {(r.strategy, r.t, c, k): p for r in made for c in digits for k, p in enumerate(r[f"p_{c}"])}
         assert found.keys() == plain.keys() and all(abs(found[k] - p) < 1e-8 for k, p in plain.items())
+
+
+def test_features_of_runs_are_those_of_rows(spark, monkeypatch):
+    from datetime import date, timedelta
+
+    draws = random.Random(6)
+    rows = [(t, date(2020, 1, 1) + timedelta(t // 9), t % 4, "m", draws.choice(["a", None]), "x", t % 3, draws.randrange(1000) // 7 * 7) for t in range(260)]
+    df = spark.createDataFrame(rows, "t long, day date, slot int, machine string, ball1 string, ball2 string, ball3 int, c int")
+    df = df.withColumns({"d1": (F.col("c") / 100).cast("int"), "d2": (F.col("c") / 10 % 10).cast("int"), "d3": F.col("c") % 10}).repartition(3)
+    spec = feature_sets.Spec(cap=40, window=20, windows=[5, 30])
+    packed = feature_sets.build_features(df, spec=spec).orderBy("t").collect()
+    calls = []
+    monkeypatch.setattr(feature_sets, "_in_runs", lambda *x: calls.append(x))
+    monkeypatch.setattr(feature_sets, "RUNS", {})
+    plain = feature_sets.build_features(df, spec=spec, chunk=64).orderBy("t").collect()
+    assert not calls and len(packed) == 260 and packed[0].__fields__ == plain[0].__fields__
+    for a, b in zip(packed, plain):
+        assert [float(x) for x in a] == pytest.approx([float(x) for x in b], abs=1e-9)
